@@ -1,0 +1,210 @@
+"""Registered queries of the command side: imports, incremental clustering, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import read_models
+from ..policy import MatchingPolicy, Policies
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import fixtures as fx
+from ..streaming import embed
+from ..streaming.cluster import cluster_stream
+from ..streaming.intake import submission_stream, validate_stream
+from . import incremental
+from .flow import Flow
+from .import_dataset import import_dataset
+from .incremental import ClusterState
+from .queries import _now, _store, automated, joined, query, reviewed, tail
+
+
+def _late(column) -> Column:
+    return tail(column) % 10 == 0
+
+
+def _history_and_fresh(spark, d) -> tuple[ClusterState, DataFrame, DataFrame]:
+    """Every tenth report arrives later than the others."""
+    complaints, vectors = fx.complaints(spark, d), fx.vectors(spark, d)
+    old = Flow(complaints.filter(~_late("id")), vectors.filter(~_late("id")))
+    state = ClusterState(old.complaints, old.vectors, old.matched, old.members)
+    return state, complaints.filter(_late("id")), vectors.filter(_late("id"))
+
+
+@query("incremental_cluster")
+def q_incremental(spark, d):
+    """History plus late reports; must equal clustering everything at once."""
+    state, fresh, vectors = _history_and_fresh(spark, d)
+    return incremental.add_reports(state, fresh, vectors).state.members
+
+
+@query("incremental_touched_incidents")
+def q_touched(spark, d):
+    state, fresh, vectors = _history_and_fresh(spark, d)
+    rows = incremental.touched_incidents(incremental.add_reports(state, fresh, vectors))
+    return rows.select(
+        "incident_id", "report_count", "pending_count", "conflict_count", "status",
+        joined("category_summary").alias("category_summary"),
+    )
+
+
+@query("submission_result")
+def q_submission_result(spark, d):
+    state, fresh, vectors = _history_and_fresh(spark, d)
+    step = incremental.add_reports(state, fresh, vectors)
+    now = fx.reports(spark, d).agg(F.max("reported_at")).scalar()
+    return incremental.submission_results(
+        state, step, fresh, fx.sensitive_locations(spark, d), now
+    )
+
+
+@query("incremental_review")
+def q_incremental_review(spark, d):
+    """Officer decisions merged into the automated clustering."""
+    flow = reviewed(spark, d)
+    before = Flow(flow.complaints, flow.vectors)
+    state = ClusterState(flow.complaints, flow.vectors, flow.matched, before.members)
+    after, _ = incremental.apply_review_decisions(state, flow.reviews)
+    return after.members
+
+
+@query("mutation_result_view")
+def q_mutation_view(spark, d):
+    """Presentation of each officer decision, taken together."""
+    flow = reviewed(spark, d)
+    automated_flow = automated(spark, d)
+    before = ClusterState(flow.complaints, flow.vectors, flow.matched, automated_flow.members)
+    after = ClusterState(flow.complaints, flow.vectors, flow.edges, flow.members)
+    resolved = flow.reviews.filter(F.col("status") != "pending")
+    results = incremental.mutation_results(before, after, resolved, flow.assessed())
+    return read_models.mutation_result_view(results)
+
+
+@query("import_dataset")
+def q_import(spark, d):
+    """Seed documents to a published snapshot, read back by seed key."""
+    reports = fx.reports(spark, d)
+    docs = reports.select(
+        F.to_json(
+            F.struct(
+                F.struct(F.lit("v1").alias("seed_version")).alias("manifest"),
+                F.array(
+                    F.struct(
+                        F.col("id").alias("seed_key"),
+                        "text",
+                        "latitude",
+                        "longitude",
+                        F.date_format("reported_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(
+                            "reported_at"
+                        ),
+                        "category",
+                        "photo_path",
+                    )
+                ).alias("complaints"),
+            )
+        ).alias("document")
+    )
+    vectors = fx.vectors(spark, d).withColumnRenamed("id", "seed_key")
+
+    def vectors_of(complaints: DataFrame) -> DataFrame:
+        return complaints.select("id", "seed_key").join(vectors, "seed_key").select("id", "vector")
+
+    store = _store(spark)
+    import_dataset(
+        store,
+        docs,
+        vectors_of,
+        fx.sensitive_locations(spark, d),
+        Policies(),
+        check_manifest=False,
+        ascii_only=True,
+    )
+    members = store.read("incident_members")
+    rows = store.read("incidents").select("incident_id", "report_count", "status", "priority_level")
+    return (
+        members.join(rows, "incident_id")
+        .join(store.read("complaints").select("id", "seed_key"), "id")
+        .select("seed_key", "report_count", "status", "priority_level")
+    )
+
+
+@query("incremental_embed")
+def q_embed(spark, d):
+    """Distinct texts absent from a cache that holds the texts of every third report."""
+    policy = MatchingPolicy()
+    texts = fx.complaints(spark, d, with_locations=False).select(
+        "id", F.col("normalized_text").alias("text")
+    )
+    cached = embed.incremental_embed(
+        texts.filter(tail("id") % 3 == 0).select("text"),
+        spark.createDataFrame([], "text_key string"),
+        policy.model_name,
+        policy.normalization_version,
+    )
+    fresh = embed.incremental_embed(
+        texts.select("text"), cached, policy.model_name, policy.normalization_version
+    )
+    return fresh.select(
+        "text_key", "model_version", F.size("vector").cast("bigint").alias("dimension")
+    )
+
+
+def _as_stream(spark, df: DataFrame, parts: int) -> DataFrame:
+    """The rows as a file stream of ``parts`` files, one file per micro-batch."""
+    path = f"{ensure_checkpoint_dir(spark)}/stream-{_unique()}"
+    df.repartition(parts).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _unique() -> str:
+    import uuid
+
+    return uuid.uuid4().hex
+
+
+def _drain(spark, writer) -> None:
+    path = f"{ensure_checkpoint_dir(spark)}/progress-{_unique()}"
+    writer.option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_validate")
+def q_stream_validate(spark, d):
+    store = _store(spark)
+    stream = _as_stream(spark, fx.raw_reports(spark, d), 3)
+    _drain(spark, validate_stream(stream, store, _now()))
+    ok = store.read("accepted").select("id", "text", F.lit("").alias("rejections"))
+    bad = store.read("quarantine").select("id", "text", joined("rejections").alias("rejections"))
+    return ok.unionByName(bad)
+
+
+@query("stream_submissions")
+def q_stream_submissions(spark, d):
+    """The command log cut into three consecutive batches."""
+    subs = fx.submissions(spark, d).withColumn(
+        "normalized_text", text.normalize_text(F.col("text"), ascii_only=True)
+    )
+    subs = cut_lineage(subs)
+    path = f"{ensure_checkpoint_dir(spark)}/stream-{_unique()}"
+    for part in range(3):
+        subs.filter(F.col("sequence") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    store = _store(spark)
+    _drain(spark, submission_stream(stream, store))
+    return store.read("outcomes")
+
+
+@query("stream_cluster")
+def q_stream_cluster(spark, d):
+    """Reports arriving in two micro-batches; must equal clustering everything at once."""
+    store = _store(spark)
+    vectors = cut_lineage(fx.vectors(spark, d))
+    stream = _as_stream(spark, fx.complaints(spark, d), 2)
+
+    def vectors_of(complaints: DataFrame) -> DataFrame:
+        return vectors.join(complaints.select("id"), "id", "left_semi")
+
+    _drain(spark, cluster_stream(stream, store, vectors_of))
+    return store.read("members")
+
+

@@ -1042,5 +1042,112 @@ add(
 )
 
 
+# --- command side -----------------------------------------------------------------------------
+
+add("incremental_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
+add("stream_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
+add("incremental_review", "SELECT id, component FROM final_comp", "final_comp")
+CTES["auto_inc"] = (
+    ("auto_comp", "auto_ids", "reports", "matched"),
+    """SELECT i.component, i.incident_id, i.report_count, c.cats, coalesce(k.n, 0) AS conflicts, coalesce(p.n, 0) AS pend,
+ CASE WHEN coalesce(k.n, 0) > 0 THEN 'conflict' WHEN i.report_count > 1 THEN 'confirmed' ELSE 'isolated' END AS status FROM auto_ids i
+ JOIN (SELECT component, list_sort(list(DISTINCT category)) AS cats FROM auto_comp JOIN reports USING (id) GROUP BY component) c USING (component)
+ LEFT JOIN (SELECT a.component, count(*) AS n FROM matched e JOIN auto_comp a ON a.id = e.left_id JOIN auto_comp b ON b.id = e.right_id
+  WHERE e.decision = 'no_match' AND a.component = b.component GROUP BY a.component) k USING (component)
+ LEFT JOIN (SELECT component, count(DISTINCT candidate) AS n FROM (
+  SELECT a.component, e.right_id AS candidate FROM matched e JOIN auto_comp a ON a.id = e.left_id WHERE e.decision = 'review_required'
+  UNION ALL SELECT b.component, e.left_id FROM matched e JOIN auto_comp a ON a.id = e.left_id JOIN auto_comp b ON b.id = e.right_id
+  WHERE e.decision = 'review_required' AND a.component <> b.component) GROUP BY component) p USING (component)""",
+)
+_is_late = lambda c: f"{tail(c)} % 10 = 0"
+CTES["auto_touched"] = (
+    ("auto_comp", "matched"),
+    f"""SELECT DISTINCT component FROM auto_comp WHERE {_is_late('id')} OR id IN (
+  SELECT left_id FROM matched WHERE {_is_late('right_id')} UNION SELECT right_id FROM matched WHERE {_is_late('left_id')})""",
+)
+add(
+    "incremental_touched_incidents",
+    """SELECT incident_id, report_count, pend AS pending_count, conflicts AS conflict_count, status, array_to_string(cats, ',') AS category_summary
+ FROM auto_inc WHERE component IN (SELECT component FROM auto_touched)""",
+    "auto_inc",
+    "auto_touched",
+)
+# priorities over the automated graph: the same ladder with the automated components
+CTES["auto_prio"] = (
+    ("auto_inc", "auto_comp", "reports", "safety_rows", "places"),
+    f"""SELECT *, CASE WHEN status = 'conflict' THEN 'review_required' ELSE ['low','medium','high','critical'][greatest(0,
+  CASE WHEN report_count >= 20 THEN 3 WHEN report_count >= 10 THEN 2 WHEN report_count >= 2 THEN 1 ELSE 0 END,
+  CASE WHEN hours >= 48 THEN 3 WHEN hours >= 24 THEN 2 ELSE 0 END,
+  CASE WHEN {_crit} THEN 3 WHEN {_high} THEN 2 ELSE 0 END,
+  CASE WHEN list_contains(names, 'active_flooding') AND hospital THEN 3 ELSE 0 END,
+  CASE WHEN sens > 0 THEN 2 ELSE 0 END) + 1] END AS level FROM (
+ SELECT i.*, t.hours, coalesce(s.names, []) AS names, coalesce(e.sens, 0) AS sens, coalesce(e.hospital, false) AS hospital FROM auto_inc i
+ JOIN (SELECT component, (epoch_us((SELECT max(reported_at) FROM reports)) - epoch_us(min(reported_at))) / 3.6e9 AS hours
+   FROM auto_comp JOIN reports USING (id) GROUP BY component) t USING (component)
+ LEFT JOIN (SELECT component, list(DISTINCT signal) AS names FROM safety_rows JOIN auto_comp USING (id) GROUP BY component) s USING (component)
+ LEFT JOIN (SELECT component, count(DISTINCT place_id) AS sens, bool_or(lower(kind) = 'hospital') AS hospital
+   FROM reports r JOIN places p ON abs(r.latitude - p.latitude) < 0.01 AND abs(r.longitude - p.longitude) < 0.01 JOIN auto_comp USING (id)
+   WHERE {hav('r.latitude', 'r.longitude', 'p.latitude', 'p.longitude')} <= 250 GROUP BY component) e USING (component))""",
+)
+# components of the history alone, to know what a late report's incident replaced
+CTES["old_links"] = (
+    ("matched",),
+    f"""SELECT left_id AS a, right_id AS b FROM matched WHERE decision = 'auto_match' AND NOT {_is_late('left_id')} AND NOT {_is_late('right_id')}
+ UNION ALL SELECT right_id, left_id FROM matched WHERE decision = 'auto_match' AND NOT {_is_late('left_id')} AND NOT {_is_late('right_id')}""",
+)
+CTES["old_reach"] = (
+    ("old_links",),
+    """/*recursive*/SELECT DISTINCT a AS id, a AS root FROM old_links
+ UNION SELECT l.b, r.root FROM old_reach r JOIN old_links l ON l.a = r.id""",
+)
+add(
+    "submission_result",
+    f"""SELECT m.id AS complaint_id, p.incident_id, p.report_count, p.status, p.level AS priority_level,
+ coalesce(o.n, 0) AS previous_incident_count, coalesce(x.n, 0) AS decision_count
+ FROM auto_comp m JOIN auto_prio p USING (component)
+ LEFT JOIN (SELECT c.component, count(DISTINCT coalesce(r.root, c.id)) AS n FROM auto_comp c
+   LEFT JOIN (SELECT id, min(root) AS root FROM old_reach GROUP BY id) r ON r.id = c.id WHERE NOT {_is_late('c.id')} GROUP BY c.component) o USING (component)
+ LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT left_id AS id FROM matched WHERE decision <> 'no_match'
+   UNION ALL SELECT right_id FROM matched WHERE decision <> 'no_match') GROUP BY id) x ON x.id = m.id
+ WHERE {_is_late('m.id')}""",
+    "auto_comp",
+    "auto_prio",
+    "old_reach",
+    "matched",
+)
+add(
+    "mutation_result_view",
+    """SELECT review_id, CASE WHEN conflict THEN 'warning' ELSE 'success' END AS presentation,
+ CASE WHEN conflict THEN 'Review was recorded, but the resulting incident graph is conflicted.' ELSE 'Review resolution recorded.' END AS message,
+ CASE WHEN conflict THEN 'unavailable' ELSE 'available' END AS priority, previous_snapshot_ids, new_snapshot_ids FROM (
+ SELECT e.review_id, bool_or(p.status = 'conflict') AS conflict,
+  array_to_string(list_sort(list(DISTINCT i.incident_id)), ',') AS previous_snapshot_ids,
+  array_to_string(list_sort(list(DISTINCT p.incident_id)), ',') AS new_snapshot_ids
+ FROM (SELECT review_id, unnest([left_id, right_id]) AS id FROM rev WHERE status <> 'pending') e
+ JOIN auto_comp a ON a.id = e.id JOIN auto_ids i ON i.component = a.component
+ JOIN final_comp f ON f.id = e.id JOIN inc p ON p.component = f.component GROUP BY e.review_id)""",
+    "rev",
+    "auto_comp",
+    "auto_ids",
+    "final_comp",
+    "inc",
+)
+add(
+    "import_dataset",
+    "SELECT id AS seed_key, report_count, status, level AS priority_level FROM auto_comp JOIN auto_prio USING (component)",
+    "auto_comp",
+    "auto_prio",
+)
+add(
+    "incremental_embed",
+    """SELECT sha256('intfloat/multilingual-e5-small' || chr(1) || 'normalization-v1' || chr(1) || nt) AS text_key,
+ 'intfloat/multilingual-e5-small' AS model_version, 64::BIGINT AS dimension
+ FROM (SELECT nt FROM complaints GROUP BY nt HAVING bool_and(event_id % 3 <> 0))""",
+    "complaints",
+)
+ORACLES["stream_validate"] = ORACLES["validate_complaints"]
+ORACLES["stream_submissions"] = ORACLES["idempotent_submissions"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -66,6 +66,10 @@ class SnapshotStore:
         pointer = self._read_pointer()
         return None if pointer is None else pointer["snapshot_id"]
 
+    def metadata(self) -> dict:
+        pointer = self._read_pointer()
+        return {} if pointer is None else pointer.get("metadata", {})
+
     def tables(self) -> tuple[str, ...]:
         pointer = self._read_pointer()
         return () if pointer is None else tuple(sorted(pointer["tables"]))
@@ -78,7 +82,10 @@ class SnapshotStore:
         return self.spark.read.parquet(*pointer["tables"][table])
 
     def publish(
-        self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None
+        self,
+        replaced: dict[str, DataFrame] | None = None,
+        appended: dict[str, DataFrame] | None = None,
+        metadata: dict | None = None,
     ) -> str:
         """Replace and/or append tables as one new snapshot; untouched tables carry over.
 
@@ -96,7 +103,8 @@ class SnapshotStore:
             path = f"{self.root}/{name}/snapshot_id={snapshot}-append"
             df.write.mode("errorifexists").parquet(path)
             tables[name] = [*tables.get(name, []), path]
-        self._swap_pointer({"snapshot_id": snapshot, "tables": tables})
+        kept = {**pointer.get("metadata", {}), **(metadata or {})}
+        self._swap_pointer({"snapshot_id": snapshot, "tables": tables, "metadata": kept})
         return snapshot
 
     def compact(self, table: str) -> str:
