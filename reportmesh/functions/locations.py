@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD
+from .text import WORD, let
 
 # --- fixed values -----------------------------------------------------------------------------
 
@@ -63,15 +63,28 @@ def _entity(kind: str, value: Column, raw: Column) -> Column:
 
 def _until_stop_word(words: Column, limit: int) -> Column:
     """Leading words up to the first stop word, at most ``limit``."""
-    tokens = F.filter(F.split(F.trim(words), r"\s+"), lambda w: w != "")
-    stop_at = F.array_min(
-        F.transform(
-            F.array(*[F.lit(w) for w in STOP_WORDS]),
-            lambda w: F.nullif(F.array_position(tokens, w), F.lit(0)),
+    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+
+    def cut(tokens: Column) -> Column:
+        # first stop word among the tokens, else one past the end
+        stop_at = F.array_min(
+            F.transform(
+                tokens,
+                lambda w, i: F.when(F.array_contains(stops, w), i).otherwise(F.size(tokens)),
+            )
         )
-    )
-    length = F.least(F.coalesce(stop_at - 1, F.size(tokens)), F.lit(limit))
-    return F.array_join(F.slice(tokens, F.lit(1), length.cast("int")), " ")
+        return F.array_join(F.slice(tokens, F.lit(1), F.coalesce(stop_at, F.lit(0))), " ")
+
+    tokens = F.filter(F.split(F.trim(words), r"\s+"), lambda w: w != "")
+    return let(F.slice(tokens, 1, limit), cut)
+
+
+def _mentions(text: Column, guard: tuple[str, ...], found: Column) -> Column:
+    """Run an extraction only on texts holding one of its trigger words."""
+    triggered = text.contains(guard[0])
+    for word in guard[1:]:
+        triggered = triggered | text.contains(word)
+    return F.coalesce(F.when(triggered, found), F.array().cast(ENTITY_TYPE))
 
 
 def extract_locations(normalized: Column) -> Column:
@@ -108,16 +121,34 @@ def extract_locations(normalized: Column) -> Column:
             "landmark", F.concat(F.element_at(kind_of, m["prefix"]), F.lit(":"), m["name"]), m["prefix"]
         ),
     )
-    found = F.concat(blocks, units, F.filter(streets, lambda e: e["value"] != ""), landmarks)
-    keys = F.array_distinct(
-        F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value")))
-    )
-    return F.transform(
-        keys,
-        lambda k: F.element_at(
-            F.filter(found, lambda e: (e["kind"] == k["kind"]) & (e["value"] == k["value"])), -1
+    found = F.concat(
+        _mentions(normalized, ("block", "blok"), blocks),
+        _mentions(normalized, ("unit",), units),
+        _mentions(
+            normalized,
+            ("jalan", "lorong", "taman", "kampung"),
+            F.filter(streets, lambda e: e["value"] != ""),
+        ),
+        _mentions(
+            normalized,
+            ("sekolah", "school", "hospital", "clinic", "stesen", "station", "mall", "pasar",
+             "market", "park", "taman"),
+            landmarks,
         ),
-    ).cast(ENTITY_TYPE)
+    )
+
+    def last_raw(entities: Column) -> Column:
+        def same(k: Column):
+            return lambda e: (e["kind"] == k["kind"]) & (e["value"] == k["value"])
+
+        keys = F.array_distinct(
+            F.transform(
+                entities, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))
+            )
+        )
+        return F.transform(keys, lambda k: F.element_at(F.filter(entities, same(k)), -1))
+
+    return let(found, last_raw).cast(ENTITY_TYPE)
 
 
 def location_sets(entities: Column) -> Column:

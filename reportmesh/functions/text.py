@@ -91,6 +91,11 @@ def whole_word(term: str) -> str:
     return rf"(?<!{WORD}){re.escape(term)}(?!{WORD})"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _words(column: Column, pattern: str) -> Column:
     return F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
 
@@ -190,23 +195,27 @@ def _occurrence_exists(text: Column, term: str, accept) -> Column:
     Splitting on the term yields n + 1 pieces for n occurrences; gluing the pieces on either side
     of a cut back together gives that occurrence's exact prefix and suffix.
     """
-    pieces = F.split(text, whole_word(term), -1)
 
-    def at(i: Column) -> Column:
-        prefix = F.array_join(F.slice(pieces, F.lit(1), i), term)
-        suffix = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), term)
-        return accept(prefix, suffix)
+    def scan(pieces: Column) -> Column:
+        def at(i: Column) -> Column:
+            prefix = F.array_join(F.slice(pieces, F.lit(1), i), term)
+            suffix = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), term)
+            return accept(prefix, suffix)
 
-    cuts = F.sequence(F.lit(1), F.size(pieces) - 1)
-    return contains_term(text, term) & F.coalesce(F.exists(cuts, at), F.lit(False))
+        return F.exists(F.sequence(F.lit(1), F.size(pieces) - 1), at)
+
+    found = F.when(
+        contains_term(text, term), let(F.split(text, whole_word(term), -1), scan)
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def term_hit(normalized: Column, term: str) -> Column:
     """Whole-word hit with no negation among the two whitespace words before it."""
 
     def accept(prefix: Column, _suffix: Column) -> Column:
-        before = _last(_words(prefix, r"[^\t-\r\x1c-\x20\x85\p{Z}]+"), 2)
-        return ~_any_in(before, NEGATION_WORDS)
+        words = _words(prefix, r"[^\t-\r\x1c-\x20\x85\p{Z}]+")
+        return ~let(words, lambda w: _any_in(_last(w, 2), NEGATION_WORDS))
 
     return _occurrence_exists(normalized, term, accept)
 
@@ -215,17 +224,23 @@ def active_flooding_hit(normalized: Column, term: str) -> Column:
     """Hit that is not negated, not resolved, not a complaint count, not cleared history."""
 
     def accept(prefix: Column, suffix: Column) -> Column:
-        before = _last(_words(prefix, f"{WORD}+"), 2)
-        after = _words(suffix, f"{WORD}+")
-        historical = _any_in(before, HISTORICAL_WORDS) | _any_in(
-            F.slice(after, 1, 3), ("last", "yesterday")
-        )
-        return (
-            ~_any_in(before, NEGATION_WORDS)
-            & (F.array_join(F.slice(after, 1, 2), " ") != "with complaints")
-            & ~_any_in(F.slice(after, 1, 3), RESOLUTION_WORDS)
-            & ~(historical & _any_in(F.slice(after, 1, 6), CLEAR_WORDS))
+        def judge(w: Column) -> Column:
+            before, after = w["before"], w["after"]
+            historical = _any_in(before, HISTORICAL_WORDS) | _any_in(
+                F.slice(after, 1, 3), ("last", "yesterday")
+            )
+            return (
+                ~_any_in(before, NEGATION_WORDS)
+                & (F.array_join(F.slice(after, 1, 2), " ") != "with complaints")
+                & ~_any_in(F.slice(after, 1, 3), RESOLUTION_WORDS)
+                & ~(historical & _any_in(F.slice(after, 1, 6), CLEAR_WORDS))
+            )
+
+        words = F.struct(
+            let(_words(prefix, f"{WORD}+"), lambda w: _last(w, 2)).alias("before"),
+            F.slice(_words(suffix, f"{WORD}+"), 1, 6).alias("after"),
         )
+        return let(words, judge)
 
     return _occurrence_exists(normalized, term, accept)
 

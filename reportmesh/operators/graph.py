@@ -1,8 +1,8 @@
 """Connected components over confirmed edges.
 
 Alternating large-star / small-star rounds (Kiveris et al., 2014): hub nodes are handled by the
-split lookup, every round is written to the checkpoint folder, and only two numbers per round
-reach the driver.
+split lookup, every round is a table in the shared folder that replaces the one before, and only one row of
+sums per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,38 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import AUTO_MATCH
-from ..session import cut_lineage
+from ..session import drop_stage, write_stage
 from .skew import HOT_ROWS, lookup
 
 
-def _star(pairs: DataFrame, keep_lower: bool, hot_rows: int) -> DataFrame:
+def _star(pairs: DataFrame, keep_lower: bool, hot_rows: int | None) -> DataFrame:
     """Point neighbours at the smallest node of each neighbourhood. ``pairs`` is (u, v)."""
     smallest = (
         pairs.groupBy("u")
         .agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
         .select("u", F.least("_m", "u").alias("m"), "_n")
     )
-    moved = lookup(
-        pairs if keep_lower else pairs.filter(F.col("v") > F.col("u")),
-        smallest,
-        ["u"],
-        spread_by="v",
-        row_count="_n",
-        hot_rows=hot_rows,
-    ).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    rows = pairs if keep_lower else pairs.filter(F.col("v") > F.col("u"))
+    if hot_rows is None:
+        joined = rows.join(smallest, "u")
+    else:
+        joined = lookup(
+            rows, smallest, ["u"], spread_by="v", row_count="_n", hot_rows=hot_rows
+        )
+    moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
     if keep_lower:
         moved = moved.unionByName(smallest.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     return _star(both, False, hot_rows)
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     downhill = edges.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
@@ -64,20 +64,26 @@ def connected_components(
     vertices: DataFrame, edges: DataFrame, *, hot_rows: int = HOT_ROWS, max_rounds: int = 60
 ) -> DataFrame:
     """(id, component) for every vertex; a component is named by its smallest member id."""
-    stars = cut_lineage(
+    spark = edges.sparkSession
+    stars, path = write_stage(
         edges.filter(F.col("left_id") != F.col("right_id"))
         .select(F.greatest("left_id", "right_id").alias("a"), F.least("left_id", "right_id").alias("b"))
         .distinct()
     )
     before = _signature(stars)
-    for _ in range(max_rounds):
-        stars = cut_lineage(_small_star(_large_star(stars, hot_rows), hot_rows))
+    for _ in range(max_rounds if before[0] else 0):
+        # a star round works on at most two rows per edge: below that no node can be hot
+        split = hot_rows if 2 * before[0] > hot_rows else None
+        stars, next_path = write_stage(_small_star(_large_star(stars, split), split))
+        drop_stage(spark, path)
+        path = next_path
         after = _signature(stars)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError("connected components did not settle")
+        if before[0]:
+            raise RuntimeError("connected components did not settle")
     return (
         vertices.select("id")
         .join(stars.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left")

@@ -26,7 +26,7 @@ def _late(column) -> Column:
 
 def _history_and_fresh(spark, d) -> tuple[ClusterState, DataFrame, DataFrame]:
     """Every tenth report arrives later than the others."""
-    complaints, vectors = fx.complaints(spark, d), fx.vectors(spark, d)
+    complaints, vectors = cut_lineage(fx.complaints(spark, d)), fx.vectors(spark, d)
     old = Flow(complaints.filter(~_late("id")), vectors.filter(~_late("id")))
     state = ClusterState(old.complaints, old.vectors, old.matched, old.members)
     return state, complaints.filter(_late("id")), vectors.filter(_late("id"))

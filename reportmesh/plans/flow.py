@@ -22,7 +22,7 @@ class Flow:
     """
 
     complaints: DataFrame
-    vectors: DataFrame
+    vectors: DataFrame | None = None
     places: DataFrame | None = None
     reviews_of: object = None
     policies: Policies = field(default_factory=Policies)
@@ -60,8 +60,10 @@ class Flow:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents.incident_summary(
-            self.complaints, self.members, self.edges, self.policies.identity
+        return cut_lineage(
+            incidents.incident_summary(
+                self.complaints, self.members, self.edges, self.policies.identity
+            )
         )
 
     @cached_property

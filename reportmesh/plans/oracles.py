@@ -751,6 +751,9 @@ add(
     "reports",
 )
 add("connected_components", "SELECT id, component FROM auto_comp", "auto_comp")
+add(
+    "connected_components_collapsed_reviewed", "SELECT id, component FROM final_comp", "final_comp"
+)
 add("connected_components_reviewed", "SELECT id, component FROM final_comp", "final_comp")
 add(
     "incident_summary",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, ids, locations, text, vectors
 from ..operators import (
     candidates,
+    collapse,
     evaluation,
     graph,
     incidents,
@@ -46,15 +48,15 @@ def query(name: str):
 
 
 def automated(spark: SparkSession, d: str) -> Flow:
-    """Flow without officer decisions."""
-    return Flow(fx.complaints(spark, d), fx.vectors(spark, d), fx.sensitive_locations(spark, d))
+    """Flow without officer decisions. Text work on the reports runs once, into a stored table."""
+    return Flow(
+        cut_lineage(fx.complaints(spark, d)), fx.vectors(spark, d), fx.sensitive_locations(spark, d)
+    )
 
 
 def reviewed(spark: SparkSession, d: str) -> Flow:
     """Flow with officer decisions on a sixth of the reviews."""
-    return Flow(
-        fx.complaints(spark, d), fx.vectors(spark, d), fx.sensitive_locations(spark, d), fx.reviews
-    )
+    return replace(automated(spark, d), reviews_of=fx.reviews)
 
 
 def us(column) -> Column:
@@ -558,7 +560,7 @@ def q_projection(spark, d):
 
 @query("candidate_pairs")
 def q_pairs(spark, d):
-    return automated(spark, d).pairs.select(
+    return candidates.candidate_pairs(fx.reports(spark, d)).select(
         "left_id",
         "right_id",
         F.round("distance_metres", 4).alias("distance_metres"),
@@ -762,7 +764,9 @@ def q_attach_photos(spark, d):
 
 @query("connected_components")
 def q_components(spark, d):
-    return automated(spark, d).members
+    """Copies collapse before pairing; no list of confirmed pairs is made."""
+    flow = automated(spark, d)
+    return collapse.collapsed_components(flow.complaints, flow.vectors)
 
 
 @query("connected_components_reviewed")
@@ -770,6 +774,14 @@ def q_components_reviewed(spark, d):
     return reviewed(spark, d).members
 
 
+@query("connected_components_collapsed_reviewed")
+def q_components_collapsed_reviewed(spark, d):
+    flow = reviewed(spark, d)
+    return collapse.collapsed_components(
+        flow.complaints, flow.vectors, reviews=cut_lineage(flow.reviews)
+    )
+
+
 @query("incident_summary")
 def q_incident_summary(spark, d):
     rows = reviewed(spark, d).incidents

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def write_stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` once as a compressed columnar table in the shared folder and read it back.
+
+    Later readers prune columns, push filters down and plan against a plain scan; lost executors
+    re-read the table instead of replaying the steps before it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so lost executors never replay earlier rounds."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_stage(df)[0]
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Remove a staged table nothing reads any more."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use the whole cluster even when the input is a handful of large, unsplittable files."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df

@@ -13,7 +13,7 @@ from ..functions.ids import review_id
 from ..functions.locations import extract_locations
 from ..functions.text import normalize_text
 from ..policy import CATEGORIES
-from ..session import configure
+from ..session import configure, spread
 
 # Phrases per category (in CATEGORIES order), and prefixes that trip or dodge the safety lexicon.
 PHRASES = (
@@ -51,7 +51,8 @@ def _literal_array(values) -> str:
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean reports before any text processing."""
     flat_phrases = _literal_array([p for group in PHRASES for p in group])
-    hashed = table(spark, sf_dir, "events").selectExpr(
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    hashed = events.selectExpr(
         "event_id",
         "cast(ts as timestamp) as reported_at",
         f"{_HASH.format(m=2654435761)} as h1",
