@@ -156,27 +156,34 @@ def contains_term(text: Column, term: str) -> Column:
 
 def classify_category(normalized: Column) -> Column:
     """STRUCT<category, matched_terms, review_required>; a tie or no hit means ``other``."""
-    hits = {
-        category: F.array_compact(
-            F.array(*[F.when(contains_term(normalized, t), F.lit(t)) for t in terms])
-        )
-        for category, terms in CATEGORY_TERMS.items()
-    }
-    counts = {category: F.size(found) for category, found in hits.items()}
-    best = F.greatest(*counts.values())
-    winners = sum((F.when(c == best, 1).otherwise(0) for c in counts.values()), F.lit(0))
-    decided = (best > 0) & (winners == 1)
-    category, terms = F.lit(OTHER), F.concat(*hits.values())
-    for name, found in hits.items():
-        won = decided & (counts[name] == best)
-        category = F.when(won, F.lit(name)).otherwise(category)
-        terms = F.when(won, found).otherwise(terms)
-    return F.struct(
-        category.alias("category"),
-        F.array_sort(terms).alias("matched_terms"),
-        (~decided).alias("review_required"),
+    found = F.struct(
+        *[
+            F.array_compact(
+                F.array(*[F.when(contains_term(normalized, t), F.lit(t)) for t in terms])
+            ).alias(name)
+            for name, terms in CATEGORY_TERMS.items()
+        ]
     )
 
+    def decide(hits: Column) -> Column:
+        counts = {name: F.size(hits[name]) for name in CATEGORY_TERMS}
+        best = F.greatest(*counts.values())
+        winners = sum((F.when(c == best, 1).otherwise(0) for c in counts.values()), F.lit(0))
+        decided = (best > 0) & (winners == 1)
+        category = F.lit(OTHER)
+        terms = F.concat(*[hits[name] for name in CATEGORY_TERMS])
+        for name, count in counts.items():
+            won = decided & (count == best)
+            category = F.when(won, F.lit(name)).otherwise(category)
+            terms = F.when(won, hits[name]).otherwise(terms)
+        return F.struct(
+            category.alias("category"),
+            F.array_sort(terms).alias("matched_terms"),
+            (~decided).alias("review_required"),
+        )
+
+    return let(found, decide)
+
 
 # --- negation-aware hits ----------------------------------------------------------------------
 

@@ -3,6 +3,9 @@
 Each report sits in exactly one block. Probing rows visit every block that could hold a partner,
 so the equi-join on the block key followed by the exact distance and gap test yields each
 unordered pair once, without a distinct.
+
+Block lists use explode_outer: they are never empty, and a plain explode would make the optimizer
+compute every list twice (once more as a size filter).
 """
 
 from __future__ import annotations
@@ -147,23 +150,23 @@ def candidate_pairs(
         narrow(complaints if probe_side is None else probe_side, "p_")
         .withColumn(
             "cat_key",
-            F.explode(
+            F.explode_outer(
                 _probe_categories(F.col("p_category"), also_other=probe_side is not None)
             ),
         )
         .withColumn(
             "bucket",
-            F.explode(
+            F.explode_outer(
                 F.sequence(
                     _bucket(F.col("p_us") - window_us, width_us),
                     _bucket(F.col("p_us") + window_us, width_us),
                 )
             ),
         )
-        .withColumn("band", F.explode(grid.bands_near(F.col("p_lat"))))
+        .withColumn("band", F.explode_outer(grid.bands_near(F.col("p_lat"))))
         .withColumn(
             "cell",
-            F.explode(
+            F.explode_outer(
                 grid.cells_near(F.col("p_lat"), F.col("p_lon"), grid.cells_in(F.col("band")))
             ),
         )

@@ -100,14 +100,14 @@ def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> Data
         .withColumn("token", F.explode("p_tokens"))
         .withColumn(
             "bucket",
-            F.explode(
+            F.explode_outer(
                 F.sequence(bucket_of(F.col("p_lo") - window_us), bucket_of(F.col("p_hi") + window_us))
             ),
         )
-        .withColumn("band", F.explode(grid.bands_near(F.col("p_latitude"))))
+        .withColumn("band", F.explode_outer(grid.bands_near(F.col("p_latitude"))))
         .withColumn(
             "cell",
-            F.explode(
+            F.explode_outer(
                 grid.cells_near(
                     F.col("p_latitude"), F.col("p_longitude"), grid.cells_in(F.col("band"))
                 )

@@ -15,7 +15,10 @@ RANK_NAMES = ("low", "medium", "high", "critical")
 
 def safety_matches(complaints: DataFrame, members: DataFrame) -> DataFrame:
     """(component, id, signal, term): one row per hit. Reports without hits stop before the join."""
-    hits = complaints.select("id", F.explode(safety_hits(F.col("normalized_text"))).alias("h"))
+    # outer: a plain explode would make the optimizer evaluate the hits twice, as a size filter too
+    hits = complaints.select(
+        "id", F.explode_outer(safety_hits(F.col("normalized_text"))).alias("h")
+    ).filter(F.col("h").isNotNull())
     return hits.select("id", "h.signal", "h.term").join(members, "id")
 
 
@@ -52,10 +55,10 @@ def exposed_places(
         places.select(
             "place_id", "kind", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")
         )
-        .withColumn("band", F.explode(grid.bands_near(F.col("p_lat"))))
+        .withColumn("band", F.explode_outer(grid.bands_near(F.col("p_lat"))))
         .withColumn(
             "cell",
-            F.explode(
+            F.explode_outer(
                 grid.cells_near(F.col("p_lat"), F.col("p_lon"), grid.cells_in(F.col("band")))
             ),
         )

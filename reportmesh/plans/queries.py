@@ -454,7 +454,9 @@ def q_classify(spark, d):
 @query("extract_locations")
 def q_extract(spark, d):
     c = fx.complaints(spark, d)
-    return c.select("id", F.posexplode("locations").alias("position", "e")).select(
+    # outer, then filter: keeps the optimizer from evaluating the extraction twice
+    mentions = c.select("id", F.posexplode_outer("locations").alias("position", "e"))
+    return mentions.filter(F.col("e").isNotNull()).select(
         "id", "position", "e.kind", "e.value", "e.raw"
     )
 
@@ -544,8 +546,8 @@ def q_ring(spark, d):
         )
     )
     ring = geo.radius_ring(F.col("latitude"), F.col("longitude"), F.col("radius"))
-    out = raw.select("id", F.posexplode(ring).alias("vertex", "p"))
-    return out.select("id", "vertex", r6("p.lon").alias("lon"), r6("p.lat").alias("lat"))
+    out = raw.select("id", F.posexplode_outer(ring).alias("vertex", "p"))
+    return out.filter(F.col("p").isNotNull()).select("id", "vertex", r6("p.lon").alias("lon"), r6("p.lat").alias("lat"))
 
 
 @query("evidence_projection")
