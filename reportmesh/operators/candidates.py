@@ -15,7 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_METRES, haversine_metres, temporal_gap_seconds
+from ..functions.geo import (
+    EARTH_RADIUS_METRES,
+    haversine_metres,
+    temporal_gap_seconds,
+    valid_coordinate,
+)
 from ..policy import CATEGORIES, OTHER, MatchingPolicy
 
 # Blocks are two radii (two windows) wide: a probe then touches about 2 blocks per axis.
@@ -127,7 +132,12 @@ def candidate_pairs(
     width_us = math.ceil(window_us * BLOCK_WIDTH)
 
     def narrow(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
+        # reports without a usable place or time pair with nothing
+        usable = df.filter(
+            valid_coordinate(F.col("latitude"), F.col("longitude"))
+            & F.col("reported_at").isNotNull()
+        )
+        return usable.select(
             F.col("id").alias(f"{prefix}id"),
             F.coalesce("category", F.lit(OTHER)).alias(f"{prefix}category"),
             F.col("latitude").alias(f"{prefix}lat"),
@@ -188,7 +198,8 @@ def candidate_pairs(
     gap_us = F.abs(F.col("p_us") - F.col("b_us"))
     forward = F.col("p_id") < F.col("b_id")
     return (
-        probe.join(build, [*keys, "_split"])
+        # sort-merge, always: the planner sizes the probe side before its rows multiply
+        probe.join(build.hint("merge"), [*keys, "_split"])
         .filter(
             once
             & (F.col("p_id") != F.col("b_id"))

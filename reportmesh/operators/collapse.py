@@ -121,7 +121,7 @@ def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> Data
     # several shared mentions: keep the pair at the first one
     first_shared = F.array_min(F.array_intersect("p_tokens", "b_tokens"))
     return (
-        probe.join(build, [*keys, "_split"])
+        probe.join(build.hint("merge"), [*keys, "_split"])
         .filter(
             (F.col("p_node") < F.col("b_node"))
             & (gap <= policy.window_seconds * 1e6)
