@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..policy import OTHER
 
@@ -111,7 +112,7 @@ def _empty_strings() -> Column:
 # --- normalisation ----------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(),
