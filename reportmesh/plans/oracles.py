@@ -282,18 +282,22 @@ for _name, _src in (("auto", "matched"), ("final", "edges")):
  FROM {_name}_comp GROUP BY component)""",
     )
 cte(
-    "clashes",
+    "labelled",
     ("edges", "final_comp"),
-    """SELECT a.component, e.left_id, e.right_id FROM edges e JOIN final_comp a ON a.id = e.left_id
- JOIN final_comp b ON b.id = e.right_id WHERE e.decision = 'no_match' AND a.component = b.component""",
+    """SELECT e.*, a.component AS ac, b.component AS bc FROM edges e
+ JOIN final_comp a ON a.id = e.left_id JOIN final_comp b ON b.id = e.right_id""",
+)
+cte(
+    "clashes",
+    ("labelled",),
+    "SELECT ac AS component, left_id, right_id FROM labelled WHERE decision = 'no_match' AND ac = bc",
 )
 cte(
     "pending",
-    ("edges", "final_comp"),
+    ("labelled",),
     """SELECT DISTINCT component, candidate_id FROM (
- SELECT a.component, e.right_id AS candidate_id FROM edges e JOIN final_comp a ON a.id = e.left_id WHERE e.decision = 'review_required'
- UNION ALL SELECT b.component, e.left_id FROM edges e JOIN final_comp a ON a.id = e.left_id JOIN final_comp b ON b.id = e.right_id
- WHERE e.decision = 'review_required' AND a.component <> b.component)""",
+ SELECT ac AS component, right_id AS candidate_id FROM labelled WHERE decision = 'review_required'
+ UNION ALL SELECT bc, left_id FROM labelled WHERE decision = 'review_required' AND ac <> bc)""",
 )
 cte(
     "inc_base",
@@ -585,6 +589,12 @@ add(
  FROM subs GROUP BY {_content}""",
     "subs",
 )
+# lower-casing and NFC equal NFKC case folding on these languages, apart from sharp s
+_folded = "replace(lower(nfc_normalize(text)), 'ß', 'ss')"
+_documents = f"trim(regexp_replace(regexp_replace({_folded}, '\\p{{P}}', ' ', 'g'), '\\s+', ' ', 'g'))"
+for _source in sorted(ALIASES, key=len, reverse=True):
+    _documents = f"regexp_replace({_documents}, '\\b{_source}\\b', '{ALIASES[_source]}', 'g')"
+add("normalize_documents", f"SELECT doc_id, {_documents} AS normalized_text FROM documents")
 add("normalize_text", "SELECT id, nt AS normalized_text FROM complaints", "complaints")
 add(
     "extract_locations",
