@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.geo import (
     EARTH_RADIUS_METRES,
     haversine_metres,
-    temporal_gap_seconds,
     valid_coordinate,
 )
 from ..policy import CATEGORIES, OTHER, MatchingPolicy
@@ -218,21 +217,3 @@ def candidate_pairs(
             (gap_us / F.lit(1e6)).alias("time_gap_seconds"),
         )
     )
-
-
-def brute_force_pairs(complaints: DataFrame, policy: MatchingPolicy = MatchingPolicy()) -> DataFrame:
-    """Definition of the operator, for small fixtures only: every pair is tested."""
-    a, b = complaints.alias("a"), complaints.alias("b")
-    left_cat = F.coalesce(F.col("a.category"), F.lit(OTHER))
-    right_cat = F.coalesce(F.col("b.category"), F.lit(OTHER))
-    distance = haversine_metres(
-        F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")
-    )
-    gap = temporal_gap_seconds(F.col("a.reported_at"), F.col("b.reported_at"))
-    return a.join(
-        b,
-        (F.col("a.id") < F.col("b.id"))
-        & ((left_cat == right_cat) | (left_cat == OTHER) | (right_cat == OTHER))
-        & (distance <= policy.geographic_radius_metres)
-        & (gap <= policy.window_seconds),
-    ).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))

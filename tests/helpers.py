@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportmesh.functions.geo import haversine_metres, temporal_gap_seconds
 from reportmesh.operators.intake import to_complaints
+from reportmesh.policy import OTHER, MatchingPolicy
 
 BASE = dt.datetime(2026, 7, 12, 8, 0, tzinfo=dt.timezone.utc)
 
@@ -53,3 +55,21 @@ def union_find(nodes, links) -> dict:
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
     return {n: find(n) for n in nodes}
+
+
+def brute_force_pairs(complaints: DataFrame, policy=MatchingPolicy()) -> DataFrame:
+    """Definition of the candidate join: every pair is tested. For small fixtures only."""
+    a, b = complaints.alias("a"), complaints.alias("b")
+    left_cat = F.coalesce(F.col("a.category"), F.lit(OTHER))
+    right_cat = F.coalesce(F.col("b.category"), F.lit(OTHER))
+    distance = haversine_metres(
+        F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")
+    )
+    gap = temporal_gap_seconds(F.col("a.reported_at"), F.col("b.reported_at"))
+    return a.join(
+        b,
+        (F.col("a.id") < F.col("b.id"))
+        & ((left_cat == right_cat) | (left_cat == OTHER) | (right_cat == OTHER))
+        & (distance <= policy.geographic_radius_metres)
+        & (gap <= policy.window_seconds),
+    ).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))

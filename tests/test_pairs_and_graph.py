@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from helpers import complaints, edges, uid, union_find
+from helpers import brute_force_pairs, complaints, edges, uid, union_find
 
 from reportmesh.operators import candidates, collapse, graph, incidents, matching
 from reportmesh.operators.skew import lookup
@@ -27,7 +27,7 @@ def random_reports(seed, n=220):
 @pytest.mark.parametrize(("seed", "hot_rows"), [(1, 3), (2, 5000), (3, 3)])
 def test_blocked_join_equals_brute_force(spark, seed, hot_rows):
     df = complaints(spark, random_reports(seed)).cache()
-    want = {(r[0], r[1]) for r in candidates.brute_force_pairs(df).collect()}
+    want = {(r[0], r[1]) for r in brute_force_pairs(df).collect()}
     got = [(r["left_id"], r["right_id"]) for r in candidates.candidate_pairs(df, hot_rows=hot_rows).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want and len(want) > 100
@@ -39,7 +39,7 @@ def test_new_side_probe_finds_exactly_the_pairs_touching_new_reports(spark):
     ids = {r["id"] for r in fresh.select("id").collect()}
     want = {
         (r[0], r[1])
-        for r in candidates.brute_force_pairs(df).collect()
+        for r in brute_force_pairs(df).collect()
         if r[0] in ids or r[1] in ids
     }
     got = [tuple(r)[:2] for r in candidates.candidate_pairs(df, probe_side=fresh).collect()]
