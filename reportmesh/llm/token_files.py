@@ -126,7 +126,9 @@ def _filesystem(uri: str):
     """File system and path of a folder; local files are mapped into memory."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else os.path.abspath(uri))
+    if uri.startswith("file:/") and not uri.startswith("file://"):  # as Hadoop writes local folders
+        uri = "file://" + uri[5:]
+    system, path = fs.FileSystem.from_uri(uri)
     return (fs.LocalFileSystem(use_mmap=True) if isinstance(system, fs.LocalFileSystem) else system), path
 
 
