@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontamination, language_id, quality_model, sentencepiece_bpe, suffix_dedup, token_counts, token_files
+    from . import decontamination, jaccard_join, language_id, quality_model, sentencepiece_bpe, suffix_dedup, token_counts, token_files
 
-    return (token_files, suffix_dedup, language_id, decontamination, sentencepiece_bpe, quality_model, token_counts)
+    return (jaccard_join, token_files, suffix_dedup, language_id, decontamination, sentencepiece_bpe, quality_model, token_counts)
 
 
 def queries() -> dict:

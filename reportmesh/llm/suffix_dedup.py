@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_stage
+from . import sharing
 from .collection_bwt import smallest_owner
 from .flat import _BYTE, flat_blocks, hash_spans, mix, ranges
 from .frames import documents, map_arrow, read
@@ -41,8 +42,6 @@ _GRAM, _LONG_GRAM = 16, 42
 _RUN = 64
 #: Documents with a key from which its segments are split and combined.
 HOT = 512
-#: Documents of one batch with a key from which one witness stands for the rest in the count.
-_BATCH_HOT = 64
 GROUP_SEGMENTS = 12_000
 _M = 0xD6E8FEB86659FD93
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -173,11 +172,7 @@ def _fresh(batch: pa.RecordBatch, i: int, data: np.ndarray, offsets: np.ndarray)
 
 
 def key_table(docs: DataFrame) -> DataFrame:
-    """(key, salt, doc_id, witness): each document's different keys.
-
-    A key of many documents of a batch is known to be shared: its rows are salted, so that they do not
-    meet, and two witness rows tell the other batches.
-    """
+    """Rows of each document's different keys (see ``sharing``)."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -186,45 +181,15 @@ def key_table(docs: DataFrame) -> DataFrame:
             s = Segments(data, offsets, only=_fresh(batch, i, data, offsets))
             keys.append(s.key)
             owners.append(ids[i + s.row].astype(np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        if len(key):
-            keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-            key, owner = key[keep], owner[keep]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[head, len(key)])
-            many = size > _BATCH_HOT
-            salt = np.where(np.repeat(many, size), 1 + (owner & 0x3FF), 0)
-            ends = np.r_[head[many], (head + size - 1)[many]]
-            key = np.r_[key, key[ends]]
-            salt = np.r_[salt, np.zeros(len(ends), np.int64)]
-            witness = np.r_[np.zeros(len(owner), bool), np.ones(len(ends), bool)]
-            owner = np.r_[owner, owner[ends]]
-        else:
-            salt, witness = key, key.astype(bool)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(salt.astype(np.int32)), pa.array(owner), pa.array(witness)], ["key", "salt", "doc_id", "witness"]
-        )
-
-    return map_arrow(docs, one, "key long, salt int, doc_id long, witness boolean")
+        yield sharing.rows_of_keys(np.concatenate(keys), np.concatenate(owners))
+
+    return map_arrow(docs, one, sharing.SCHEMA)
 
 
 def shared_keys(keys: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, keys, hot_keys): keys of a document that other documents have too."""
-    group = Window.partitionBy("key", "salt")
-    seen = keys.select(
-        "doc_id", "key", "salt", "witness",
-        F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"),
-        F.max("witness").over(group).alias("told"), F.count(F.lit(1)).over(group).alias("n"),
-    )
-    known = F.col("salt") > 0
-    return (
-        seen.filter(~F.col("witness") & (known | (F.col("low") < F.col("high"))))
-        .select("doc_id", "key", (known | F.col("told") | (F.col("n") > hot)).alias("hot"))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
-    )
+    of = lambda flag: F.collect_list(F.when(flag, F.col("key")))
+    return sharing.shared(keys, hot).groupBy("doc_id").agg(of(~F.col("hot")).alias("keys"), of(F.col("hot")).alias("hot_keys"))
 
 
 def _member(s: Segments, lists: pa.ListArray) -> np.ndarray:
