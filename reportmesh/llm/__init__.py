@@ -4,9 +4,31 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import decontamination, jaccard_join, language_id, quality_model, sentencepiece_bpe, suffix_dedup, token_counts, token_files
-
-    return (jaccard_join, token_files, suffix_dedup, language_id, decontamination, sentencepiece_bpe, quality_model, token_counts)
+    from . import (
+        decontamination,
+        jaccard_join,
+        language_id,
+        licence_scan,
+        quality_model,
+        quality_rules,
+        sentencepiece_bpe,
+        suffix_dedup,
+        token_counts,
+        token_files,
+    )
+
+    return (
+        jaccard_join,
+        token_files,
+        suffix_dedup,
+        language_id,
+        licence_scan,
+        decontamination,
+        quality_rules,
+        sentencepiece_bpe,
+        quality_model,
+        token_counts,
+    )
 
 
 def queries() -> dict:

@@ -141,12 +141,14 @@ def _marked(data, offsets, t: _Text, hit: np.ndarray, items: dict[int, set[str]]
 _SCHEMA = "n_words long, n_hit long, item_ids array<string>, cleaned string"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_windows: int = MAX_WINDOWS, cleaned: bool = True) -> DataFrame:
-    """All columns of ``docs`` it needs plus n_words, n_hit, item_ids and the cleaned text."""
+def decontaminate(docs: DataFrame, items: DataFrame, *more: str, window: int = WINDOW, max_windows: int = MAX_WINDOWS, cleaned: bool = True) -> DataFrame:
+    """(doc_id, more..., n_words, n_hit, item_ids, cleaned) of every row: ``cleaned`` is the text without
+    the hit spans, or null where it is not asked for."""
     spark = docs.sparkSession
     known = cut_lineage(item_windows(items, window))
     rows = known.limit(max_windows + 1).collect()
-    docs = documents(docs)
+    docs = documents(docs, *more)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema) + f", {_SCHEMA}"
     if len(rows) <= max_windows:
         windows = spark.sparkContext.broadcast(WindowSet(rows))
 
@@ -160,21 +162,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, ma
                 hit = _covered(len(t.starts), np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))
                 yield _result(batch, i, j, _marked(data, offsets, t, hit, items_of), cleaned)
 
-        return map_arrow(docs, one, f"doc_id long, {_SCHEMA}")
-    return _by_join(docs, known, cleaned)
+        return map_arrow(docs, one, schema)
+    return _by_join(docs, known, cleaned, schema)
 
 
 def _result(batch, i, j, columns, cleaned) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
     if not cleaned:
         columns[3] = [None] * (j - i)
+    own = [c for c in batch.schema.names if c not in ("text", "row_key", "spans", "items")]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").slice(i, j - i)] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-        ["doc_id", "n_words", "n_hit", "item_ids", "cleaned"],
+        [batch.column(c).slice(i, j - i) for c in own] + [pa.array(c, k) for c, k in zip(columns, kinds)],
+        [*own, "n_words", "n_hit", "item_ids", "cleaned"],
     )
 
 
-def _by_join(docs: DataFrame, known: DataFrame, cleaned: bool) -> DataFrame:
+def _by_join(docs: DataFrame, known: DataFrame, cleaned: bool, schema: str) -> DataFrame:
     """The same result for a benchmark of any size: windows meet in a sort-merge join."""
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most ``window`` numbers
     keyed = cut_lineage(docs.withColumn("row_key", F.expr("uuid()")))
@@ -210,7 +213,7 @@ def _by_join(docs: DataFrame, known: DataFrame, cleaned: bool) -> DataFrame:
             hit = _covered(len(t.starts), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
             yield _result(batch, i, j, _marked(data, offsets, t, hit, {r: set(x) for r, x in enumerate(items) if x}), cleaned)
 
-    return map_arrow(keyed.join(hits, "row_key", "left"), mark, f"doc_id long, {_SCHEMA}")
+    return map_arrow(keyed.join(hits, "row_key", "left"), mark, schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

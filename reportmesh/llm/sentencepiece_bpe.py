@@ -252,8 +252,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return map_arrow(documents(docs), one, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Counts and digests of encoded rows: n_tokens, ids_sha256, decoded_sha256."""
+def digests(encoded: DataFrame, model: str = MODEL, *, keep_ids: bool = False) -> DataFrame:
+    """(doc_id[, ids], n_tokens, ids_sha256, decoded_sha256) of encoded rows."""
+
+    own = ["doc_id", "ids"] if keep_ids else ["doc_id"]
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         decimal = bpe(tokenizer_file(model)).decimal
@@ -263,15 +265,16 @@ def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                *(batch.column(c) for c in own),
                 pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64()),
                 pa.array([sha(",".join([decimal[k] for k in ids[a:b]]).encode()) for a, b in zip(ends, ends[1:])]),
                 pa.array([sha(t.encode()) for t in batch.column("decoded").to_pylist()]),
             ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            [*own, "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_arrow(encoded, one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "doc_id long, ids array<int>" if keep_ids else "doc_id long"
+    return map_arrow(encoded, one, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

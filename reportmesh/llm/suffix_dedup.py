@@ -386,6 +386,18 @@ def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
     return map_arrow(joined, one, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def texts_of(kept: DataFrame) -> DataFrame:
+    """``kept`` as text: bytes of characters that were cut apart go too."""
+    columns = [c for c in kept.columns if c != "kept"]
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(text, pa.string())], [*columns, "text"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("kept").schema)
+    return map_arrow(kept, one, f"{kinds}, text string")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
