@@ -259,17 +259,12 @@ def digests(encoded: DataFrame, model: str = MODEL, *, keep_ids: bool = False) -
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         decimal = bpe(tokenizer_file(model)).decimal
-        lists = batch.column("ids")
-        ids = lists.flatten().to_pylist()
-        ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].tolist()
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        lists, texts = batch.column("ids"), batch.column("decoded")
+        # value by value: a batch's ids as Python numbers would take far more room than its arrays
+        of_ids = [sha(",".join(map(decimal.__getitem__, x.values.to_numpy().tolist())).encode()) for x in lists]
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in own),
-                pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64()),
-                pa.array([sha(",".join([decimal[k] for k in ids[a:b]]).encode()) for a, b in zip(ends, ends[1:])]),
-                pa.array([sha(t.encode()) for t in batch.column("decoded").to_pylist()]),
-            ],
+            [*(batch.column(c) for c in own), lists.value_lengths().cast(pa.int64()), pa.array(of_ids), pa.array([sha(t.as_buffer()) for t in texts])],
             [*own, "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
