@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .flat import flat_blocks, lower_ascii
 from .frames import documents, map_arrow, read
 
-CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"as is", b"as-is", b"public domain", b"spdx")
+CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"as is", b"as-is", b"public domain", b"spdx", b"endorse", b"cc0", b"creative commons")
 
 #: Known sentences: identifier and pattern of the whole normalised sentence (public licence texts).
 SENTENCES = [
@@ -78,7 +78,7 @@ RULES = [
 ]
 
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-_ENDS = re.compile(r"\n|(?<=[.!?;:])\s+")
+_ENDS = re.compile(r"\n|(?<=[.!?;])\s+")
 _MARKS = re.compile(r"[^\w.+]+|_+")
 _SPEAKS = re.compile(r"\b(?:licen[cs]ed?|copyright)\b")
 

@@ -5,17 +5,16 @@ the collection are cut so that equal windows always meet, whatever surrounds the
 
 1. A window's key is the smallest hash of the 16-byte strings in it; neighbouring windows with one key
    form a segment of at most 64 windows. Equal windows have equal keys.
-2. Segments are joined to chunks at content-defined borders. A chunk whose bytes also occur in a smaller
-   document is one string of the collection, not two: all its windows go, and the rest of the work is
-   done on its first copy.
-3. Keys that occur in one document only cannot match. For the others the segments go to the task of
-   their key, where a collection Burrows-Wheeler transform with common prefixes is built column by
-   column (``collection_bwt``); runs of prefixes of 50 bytes or more are equal windows, and the smallest
-   document of each run decides.
-
-Keys in many documents are split by a second key of 42 bytes, and their equal segments are combined
-before the shuffle; their results return by a join, which splits skewed keys. Groups in a task are cut
-at keys, near ``GROUP_SEGMENTS`` strings of about 66 bytes, which bounds the transform.
+2. Equal segments (key and digest) are one string of the collection, its owner the smallest document;
+   the copies of other documents go whole. A string that is alone under its key has nothing to match.
+3. The other strings go to the task of their key, where a collection Burrows-Wheeler transform with
+   common prefixes is built column by column (``collection_bwt``); runs of prefixes of 50 bytes or more
+   are equal windows, and the smallest owner of each run decides.
+
+Copies are combined in each batch before the shuffle, so one row per batch and string is counted. Keys
+of many different strings are salted by digest in the count, and cut anew by a key of 42 bytes for the
+transform. Groups in a task are cut at keys, near ``GROUP_SEGMENTS`` strings of about 66 bytes, which
+bounds the transform.
 
 Null and short texts lose nothing. Rows with a null id neither give nor lose. Rows that repeat an id are
 one owner: they do not remove from each other.
@@ -27,21 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import write_stage
-from . import sharing
 from .collection_bwt import smallest_owner
 from .flat import _BYTE, flat_blocks, hash_spans, mix, ranges
-from .frames import documents, map_arrow, read
+from .frames import BATCH_ROWS, documents, map_arrow, read
 
 WINDOW = 50
 _GRAM, _LONG_GRAM = 16, 42
 _RUN = 64
-#: Documents with a key from which its segments are split and combined.
+#: Different strings under a key from which they are cut anew, over all batches and in one.
 HOT = 512
+BATCH_HOT = 64
 GROUP_SEGMENTS = 12_000
 _M = 0xD6E8FEB86659FD93
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -63,7 +60,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
             break
         power = power * np.uint64(pow(_M, size, 1 << 64)) + _shift(power, size)
         size *= 2
-    out = mix(total) >> np.uint64(1)
+    out = mix(total) >> np.uint64(16)  # keys only bring strings together: 48 bits travel cheaper
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
     out[room < length] = _NEVER
     return out
@@ -114,253 +111,263 @@ class Segments:
         self.row = row[self.first]
         self.ends = self.first + self.windows + WINDOW - 1
 
+    def digest(self) -> np.ndarray:
+        return hash_spans(self.data, self.first, self.ends).view(np.int64)
+
     def local(self) -> np.ndarray:
         """First byte of each segment within its row."""
         return self.first - self.offsets[self.row]
 
 
-def _chunks(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First segment of each chunk, and first and last byte (exclusive) of the chunks."""
-    if not len(s.first):
-        return s.first, s.first, s.first
-    fresh = np.r_[True, (s.row[1:] != s.row[:-1]) | ((s.key[1:] & 15) == 0) & (s.key[1:] != s.key[:-1])]
-    head = np.flatnonzero(fresh)
-    return head, s.first[head], s.ends[np.r_[head[1:], len(s.first)] - 1]
-
-
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(c1, c2, doc_id, from, to): digest and window starts of every chunk of every document."""
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, _, data, offsets in flat_blocks(batch.column("text")):
-            s = Segments(data, offsets)
-            head, a, b = _chunks(s)
-            raw = data.tobytes()
-            digest = b"".join(xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist()))
-            c = np.frombuffer(digest, np.int64).reshape(-1, 2)
-            row = s.row[head]
-            base = offsets[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1])), pa.array(ids[i + row], pa.int64()),
-                 pa.array((a - base).astype(np.int32)), pa.array((b - base - WINDOW + 1).astype(np.int32))],
-                ["c1", "c2", "doc_id", "low", "high"],
-            )
-
-    return map_arrow(docs.filter("doc_id is not null"), one, "c1 long, c2 long, doc_id long, low int, high int")
-
-
-def copied_chunks(chunks: DataFrame) -> DataFrame:
-    """(doc_id, low, high): windows of chunks that also occur in a smaller document."""
-    first = chunks.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    shared = first.filter("first_doc < last_doc").select("c1", "c2", "first_doc")
-    return chunks.join(shared, ["c1", "c2"]).filter("doc_id > first_doc").select("doc_id", "low", "high")
-
-
-def _fresh(batch: pa.RecordBatch, i: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Window starts of a block outside its rows' copied chunks."""
-    fresh = np.ones(len(data), bool)
-    lists = batch.column("copied").slice(i, len(offsets) - 1)
+def _outside(batch: pa.RecordBatch, i: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes of a block at which no removed window starts."""
+    outside = np.ones(len(data), bool)
+    lists = batch.column("gone").slice(i, len(offsets) - 1)
     flat = lists.flatten()
     if len(flat):
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         base = np.repeat(offsets[:-1], sizes)
         low = base + flat.field("low").to_numpy(zero_copy_only=False)
         high = base + flat.field("high").to_numpy(zero_copy_only=False)
-        fresh[ranges(low, high - low)] = False
-    return fresh
+        outside[ranges(low, high - low)] = False
+    return outside
 
 
-def key_table(docs: DataFrame) -> DataFrame:
-    """Rows of each document's different keys (see ``sharing``)."""
+def _runs(owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal owners in each string's windows: string, first window, length."""
+    string = np.repeat(np.arange(len(counts)), counts)
+    head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (string[1:] != string[:-1])]) if len(owner) else np.zeros(0, np.int64)
+    firsts = np.cumsum(counts) - counts
+    return string[head], head - firsts[string[head]], np.diff(np.r_[head, len(owner)])
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        keys, owners = [], []
-        for i, _, data, offsets in flat_blocks(batch.column("text")):
-            s = Segments(data, offsets, only=_fresh(batch, i, data, offsets))
-            keys.append(s.key)
-            owners.append(ids[i + s.row].astype(np.int64))
-        yield sharing.rows_of_keys(np.concatenate(keys), np.concatenate(owners))
 
-    return map_arrow(docs, one, sharing.SCHEMA)
+FOLLOWS, MEETS, MEETS_MANY = 1, 2, 3
 
 
-def shared_keys(keys: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, keys, hot_keys): keys of a document that other documents have too."""
-    of = lambda flag: F.collect_list(F.when(flag, F.col("key")))
-    return sharing.shared(keys, hot).groupBy("doc_id").agg(of(~F.col("hot")).alias("keys"), of(F.col("hot")).alias("hot_keys"))
+def string_rows(key: np.ndarray, digest: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, salt, digest, doc_id, witness) of a batch's strings.
 
+    Each string comes under its smallest document; the other documents are known to follow and come with
+    their tag as key and a negative salt. Strings of a key with many of them are salted by digest, and a
+    witness tells the other batches.
+    """
+    order = np.lexsort((owner, digest, key))
+    key, digest, owner = key[order], digest[order], owner[order]
+    new_key = np.ones(len(key), bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new_string = new_key.copy()
+    new_string[1:] |= digest[1:] != digest[:-1]
+    new_owner = new_string.copy()
+    new_owner[1:] |= owner[1:] != owner[:-1]
+    follows = new_owner & ~new_string
+    strings = np.bincount(np.cumsum(new_key)[new_string] - 1) if len(key) else np.zeros(0, np.int64)
+    many = np.repeat(strings > BATCH_HOT, strings)
+    lead = np.flatnonzero(new_string)
+    told = np.flatnonzero(new_key)[strings > BATCH_HOT]
+    follow = np.flatnonzero(follows)
+    columns = (
+        np.r_[key[lead], key[told], _tags(key[follow], digest[follow])],
+        np.r_[np.where(many, 1 + (digest[lead] & 0x3FF), 0), np.zeros(len(told), np.int64), -1 - (owner[follow] & 0x3FF)].astype(np.int32),
+        np.r_[digest[lead], digest[told], np.zeros(len(follow), np.int64)],
+        np.r_[owner[lead], owner[told], owner[follow]],
+        np.r_[np.zeros(len(lead), bool), np.ones(len(told), bool), np.zeros(len(follow), bool)],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "digest", "doc_id", "witness"])
 
-def _member(s: Segments, lists: pa.ListArray) -> np.ndarray:
-    """Whether each segment's key is in its row's list."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    if not len(flat) or not len(s.key):
-        return np.zeros(len(s.key), bool)
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    tag = lambda key, row: mix(key.view(np.uint64) + row.astype(np.uint64) * np.uint64(_M))
-    return np.isin(tag(s.key, s.row), tag(flat.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)))
 
+def _tags(key: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Name of a string within a document; two bits are left for its kind."""
+    return (key ^ digest) & ~np.int64(3)
 
-def segment_table(docs: DataFrame, *, places: bool) -> DataFrame:
-    """Segments of shared keys.
 
-    Without ``places``: (key, digest, segment, doc_id, low), where segments of hot keys come once per
-    batch with their smallest document and low -1. With ``places``: every occurrence of segments of hot
-    keys, as (key, digest, doc_id, low).
-    """
+def string_table(docs: DataFrame) -> DataFrame:
+    """Rows of all documents' strings, batch by batch."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
-            n = j - i
-            s = Segments(data, offsets, only=_fresh(batch, i, data, offsets))
-            hot = _member(s, batch.column("hot_keys").slice(i, n))
-            wide = np.zeros(len(data), bool)
-            wide[ranges(s.first[hot], s.windows[hot])] = True
-            h = Segments(data, offsets, _LONG_GRAM, wide) if hot.any() else None
-            if h is not None:
-                digest = hash_spans(data, h.first, h.ends).view(np.int64)
-                owner = ids[i + h.row].astype(np.int64)
-            if places:
-                if h is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.key), pa.array(digest), pa.array(owner), pa.array(h.local().astype(np.int32))],
-                        ["key", "digest", "doc_id", "low"],
-                    )
-                continue
-            parts = []
-            plain = np.flatnonzero(_member(s, batch.column("keys").slice(i, n)))
-            if len(plain):
-                parts.append((s, plain, hash_spans(data, s.first[plain], s.ends[plain]).view(np.int64), ids[i + s.row[plain]].astype(np.int64), s.local()[plain]))
-            if h is not None:
-                order = np.lexsort((owner, digest, h.key))
-                k, d = h.key[order], digest[order]
-                once = order[np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]]
-                parts.append((h, once, digest[once], owner[once], np.full(len(once), -1, np.int64)))
-            raw = data.tobytes()
-            for own, at, d, o, low in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.key[at]), pa.array(d), pa.array([raw[a:b] for a, b in zip(own.first[at].tolist(), own.ends[at].tolist())], pa.binary()),
-                     pa.array(o), pa.array(low.astype(np.int32))],
-                    ["key", "digest", "segment", "doc_id", "low"],
-                )
+        parts = []
+        for i, _, data, offsets in flat_blocks(batch.column("text")):
+            s = Segments(data, offsets)
+            parts.append((s.key, s.digest(), ids[i + s.row].astype(np.int64)))
+        yield string_rows(*(np.concatenate(c) for c in zip(*parts)))
+
+    return map_arrow(docs.filter("doc_id is not null"), one, "key long, salt int, digest long, doc_id long, witness boolean")
+
+
+def kinds_of_strings(strings: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, tags): for each document the strings that follow a smaller document's or meet others."""
+    by_digest = Window.partitionBy("key", "salt").orderBy("digest")
+    equal = by_digest.rangeBetween(Window.currentRow, Window.currentRow)
+    all_ = by_digest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = strings.withColumns({
+        "first_doc": F.min("doc_id").over(equal), "low": F.min("digest").over(all_), "high": F.max("digest").over(all_),
+        "told": F.max("witness").over(all_), "n": F.count(F.lit(1)).over(all_),
+    }).filter(~F.col("witness"))
+    known = F.col("salt") < 0
+    many = (F.col("salt") > 0) | F.col("told") | ((F.col("low") < F.col("high")) & (F.col("n") > hot))
+    kind = (
+        F.when(known | (F.col("first_doc") < F.col("doc_id")), FOLLOWS).when(many, MEETS_MANY)
+        .when(F.col("low") < F.col("high"), MEETS)
+    )
+    tag = F.when(known, F.col("key")).otherwise(F.expr("(key ^ digest) & ~3L"))
+    return (
+        seen.select("doc_id", tag.bitwiseOR(kind.cast("long")).alias("tag")).filter("tag is not null")
+        .groupBy("doc_id").agg(F.collect_list("tag").alias("tags"))
+    )
+
+
+def _kinds(s: Segments, digest: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Kind of each segment by its row's tags, 0 where it has none."""
+    tags = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros(len(digest), np.int64)
+    if not len(tags) or not len(digest):
+        return out
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    name = lambda tag, row: mix(tag.view(np.uint64) + row.astype(np.uint64) * np.uint64(_M))
+    known = name(tags & ~np.int64(3), np.repeat(np.arange(len(sizes)), sizes))
+    order = np.argsort(known)
+    known = known[order]
+    mine = name(_tags(s.key, digest), s.row)
+    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+    hit = known[at] == mine
+    out[hit] = (tags & 3)[order[at[hit]]]
+    return out
 
-    if places:
-        return map_arrow(docs, one, "key long, digest long, doc_id long, low int")
-    return map_arrow(docs, one, "key long, digest long, segment binary, doc_id long, low int")
 
+def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring ranges of a row as one. Ranges come in text order."""
+    if not len(row):
+        return row, low, high
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (low[1:] != high[:-1])])
+    return row[head], low[head], high[np.r_[head[1:], len(row)] - 1]
 
-def _runs(owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of equal owners in each string's windows: string, first window, length."""
-    string = np.repeat(np.arange(len(counts)), counts)
-    head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (string[1:] != string[:-1])]) if len(owner) else np.zeros(0, np.int64)
-    firsts = np.cumsum(counts) - counts
-    return string[head], head - firsts[string[head]], np.diff(np.r_[head, len(owner)])
 
+_SHIPPED = "key long, digest long, segment binary, doc_id long, low int, high int"
 
-def match(segments: DataFrame) -> DataFrame:
-    """(key, digest, doc_id, low, high, first_doc): runs of windows with the smallest document that has them.
 
-    For plain segments these are places of a document, and only where a smaller document has them; for
-    hot ones (doc_id null) places within the segment.
-    """
-    spark = segments.sparkSession
+def ship(docs: DataFrame) -> DataFrame:
+    """Strings that meet others (with their bytes), and ranges of windows that go (without)."""
+
+    def rows(key, digest, segment, doc, low, high) -> pa.RecordBatch:
+        n = len(doc)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(digest), pa.array(segment, pa.binary()) if segment is not None else pa.nulls(n, pa.binary()),
+             pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+            ["key", "digest", "segment", "doc_id", "low", "high"],
+        )
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j, data, offsets in flat_blocks(batch.column("text")):
+            s = Segments(data, offsets)
+            digest = s.digest()
+            kind = _kinds(s, digest, batch.column("tags").slice(i, j - i))
+            raw = data.tobytes()
+            gone = np.flatnonzero(kind == FOLLOWS)
+            ranges_ = [_joined(s.row[gone], s.local()[gone], (s.local() + s.windows)[gone])]
+            sent = [(s, np.flatnonzero(kind == MEETS), digest)]
+            wide = np.zeros(len(data), bool)
+            many = kind == MEETS_MANY
+            wide[ranges(s.first[many], s.windows[many])] = True
+            if many.any():
+                h = Segments(data, offsets, _LONG_GRAM, wide)
+                d, owner = h.digest(), ids[i + h.row]
+                order = np.lexsort((owner, d, h.key))
+                k, x, o = h.key[order], d[order], owner[order]
+                new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
+                lead = o[np.flatnonzero(new)][np.cumsum(new) - 1] == o
+                sent.append((h, np.sort(order[lead]), d))
+                gone = np.sort(order[~lead])
+                ranges_.append(_joined(h.row[gone], h.local()[gone], (h.local() + h.windows)[gone]))
+            for own, at, d in sent:
+                if len(at):
+                    bytes_ = [raw[a:b] for a, b in zip(own.first[at].tolist(), own.ends[at].tolist())]
+                    low = own.local()[at]
+                    yield rows(own.key[at], d[at], bytes_, ids[i + own.row[at]], low, low + own.windows[at])
+            row, low, high = (np.concatenate(c) for c in zip(*ranges_))
+            if len(row):
+                doc = ids[i + row]
+                yield rows(mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), None, doc, low, high)
+
+    return map_arrow(docs, one, _SHIPPED)
+
+
+def match(shipped: DataFrame) -> DataFrame:
+    """(doc_id, low, high): all ranges of windows that also start in a smaller document."""
+    spark = shipped.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.repartition(parts, "key").sortWithinPartitions("key")
-
-    def solve(key, digest, segment, doc, low) -> pa.RecordBatch:
-        order = np.lexsort((doc, digest, key))
-        k, d, o = key[order], digest[order], doc[order]
-        fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-        once = order[fresh]  # equal segments are one string, of their smallest document
-        string = np.empty(len(order), np.int64)
-        string[order] = np.cumsum(fresh) - 1
-        some = segment.take(pa.array(once))
+    dealt = shipped.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id")
+
+    def result(doc, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key, digest, doc, low = (table[c].to_numpy() for c in ("key", "digest", "doc_id", "low"))
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]
+        once, string = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        some = table["segment"].combine_chunks().cast(pa.large_binary()).take(pa.array(once))
         offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
-        data = np.frombuffer(some.buffers()[2], np.uint8)
-        counts, owner = smallest_owner(data, offsets[:-1], np.diff(offsets), o[fresh], WINDOW)
+        counts, owner = smallest_owner(np.frombuffer(some.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets), doc[fresh], WINDOW)
         own, first, size = _runs(owner, counts)
         value = owner[(np.cumsum(counts) - counts)[own] + first]
-        # every row that has the string takes its runs
         bounds = np.searchsorted(own, np.arange(len(once) + 1))
         row_runs = np.diff(bounds)[string]
-        hot = low < 0
-        row_runs[hot] = 0
-        row = np.repeat(np.arange(len(key)), row_runs)
-        run = ranges(bounds[:-1][string], row_runs)
+        row, run = np.repeat(np.arange(len(key)), row_runs), ranges(bounds[:-1][string], row_runs)
         keep = value[run] < doc[row]
         row, run = row[keep], run[keep]
-        hot_string = np.zeros(len(once), bool)
-        hot_string[string[hot]] = True
-        hot_run = np.flatnonzero(hot_string[own])
-        at = once[own[hot_run]]
-        none = len(hot_run)
         place = low[row] + first[run]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[key[row], key[at]]), pa.array(np.r_[digest[row], digest[at]]),
-                pa.array(np.r_[doc[row], np.zeros(none, np.int64)], mask=np.r_[np.zeros(len(row), bool), np.ones(none, bool)]),
-                pa.array(np.r_[place, first[hot_run]].astype(np.int32)),
-                pa.array((np.r_[place, first[hot_run]] + np.r_[size[run], size[hot_run]]).astype(np.int32)),
-                pa.array(np.r_[value[run], value[hot_run]]),
-            ],
-            ["key", "digest", "doc_id", "low", "high", "first_doc"],
-        )
+        return result(doc[row], place, place + size[run])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table["key"].to_numpy()
-            cut = len(key) if final else int(np.searchsorted(key, key[-1]))  # the last key may go on
-            held, rows = ([table.slice(cut).combine_chunks().to_batches()[0]] if cut < len(key) else []), len(key) - cut
-            if cut:
-                t = table.slice(0, cut)
-                yield solve(*(t[c].to_numpy().astype(np.int64) for c in ("key", "digest")), t["segment"].combine_chunks().cast(pa.large_binary()),
-                            t["doc_id"].to_numpy(), t["low"].to_numpy().astype(np.int64))
-
+        held: list[pa.Table] = []
+        rows, last = 0, (None, None, None)
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows >= GROUP_SEGMENTS:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    return dealt.mapInArrow(every, "key long, digest long, doc_id long, low int, high int, first_doc long")
+            if not batch.num_rows:
+                continue
+            is_range = np.asarray(batch.column("segment").is_null())
+            key, digest, doc, low, high = (batch.column(c).to_numpy() for c in ("key", "digest", "doc_id", "low", "high"))
+            # rows are sorted: the first of a string has its smallest owner
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+            new[0] = (key[0], digest[0]) != last[:2]
+            owners = np.r_[last[2] if last[2] is not None else 0, doc[new]]
+            lead = owners[np.cumsum(new)]
+            last = (key[-1], digest[-1], lead[-1])
+            gone = is_range | (lead < doc)
+            if gone.any():
+                yield result(doc[gone], low[gone], high[gone])
+            if not gone.all():
+                held.append(pa.Table.from_batches([batch]).filter(pa.array(~gone)))
+                rows += held[-1].num_rows
+            if rows >= GROUP_SEGMENTS:
+                table = pa.concat_tables(held)
+                cut = int(np.searchsorted(table["key"].to_numpy(), table["key"][-1].as_py()))  # the last key may go on
+                held, rows = [table.slice(cut)], table.num_rows - cut
+                if cut:
+                    yield solve(table.slice(0, cut))
+        if held and rows:
+            yield solve(pa.concat_tables(held))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return dealt.mapInArrow(every, "doc_id long, low int, high int")
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, low, high): window starts whose string also starts in a smaller document."""
-    chunks = write_stage(chunk_table(docs))[0]
-    copied = copied_chunks(chunks)
-    lists = copied.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("copied"))
-    marked = docs.join(lists, "doc_id", "left").filter("doc_id is not null")
-    shared = marked.join(shared_keys(key_table(marked)), "doc_id", "left")
-    found = write_stage(match(segment_table(shared, places=False)))[0]
-    plain = found.filter("doc_id is not null").select("doc_id", "low", "high")
-    hot = found.filter("doc_id is null").select("key", "digest", F.col("low").alias("a"), F.col("high").alias("b"), "first_doc")
-    places = segment_table(shared, places=True)
-    spread = places.join(hot, ["key", "digest"]).filter("first_doc < doc_id")
-    return copied.unionByName(plain).unionByName(spread.select("doc_id", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")))
+    tagged = docs.join(kinds_of_strings(string_table(docs)), "doc_id", "left").filter("tags is not null")
+    return match(ship(tagged))
 
 
 def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, more..., n_bytes, n_removed, n_spans, kept binary) of every row."""
     own = documents(docs, *more)
     ranges_of = removed_ranges(own.select("doc_id", "text"))
-    lists = ranges_of.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("copied"))
+    lists = ranges_of.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
     joined = own.join(lists, "doc_id", "left")
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in flat_blocks(batch.column("text")):
-            starts = ~_fresh(batch, i, data, offsets)
+            starts = ~_outside(batch, i, data, offsets)
             depth = np.zeros(len(data) + WINDOW, np.int32)  # each window start covers its window
             edge = np.diff(np.r_[False, starts, False].astype(np.int8))
             np.add.at(depth, np.flatnonzero(edge == 1), 1)
@@ -371,7 +378,7 @@ def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
             head[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
             kept = data[~gone].tobytes()
             left = np.r_[0, np.cumsum(~gone)][offsets].tolist()
-            columns = [c for c in batch.schema.names if c not in ("text", "copied")]
+            columns = [c for c in batch.schema.names if c not in ("text", "gone")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).slice(i, j - i) for c in columns]
                 + [
@@ -382,7 +389,7 @@ def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
                 [*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("text", "copied").schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("text", "gone").schema)
     return map_arrow(joined, one, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
