@@ -109,7 +109,7 @@ def _marked_keys(docs: DataFrame) -> DataFrame:
             sets, ends = shingle_sets(data, offsets)
             low = sets < _MARK
             row = np.repeat(np.arange(j - i), np.diff(ends))
-            keys.append(sets[low].view(np.int64))
+            keys.append((sets[low] >> np.uint64(16)).view(np.int64))  # only counted: fewer bits travel cheaper
             owners.append(i + row[low])
             seen.append(_classes(sets, ends))
         key, owner, c = np.concatenate(keys), np.concatenate(owners), np.concatenate(seen)
@@ -125,7 +125,7 @@ def _marked_keys(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, n): first documents of classes that may link, by the counts of marked shingles."""
-    found = sharing.shared(_marked_keys(docs), 1 << 40).groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
+    found = sharing.shared(_marked_keys(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
     first = classes.filter("n > 0 and doc_id is not null").groupBy("c1", "c2", "n", "marked").agg(F.min("doc_id").alias("doc_id"))
     may = F.coalesce("found", F.lit(0)) >= F.col("marked") - (F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100"))
     return first.join(found, "doc_id", "left").filter(may).select("doc_id", "c1", "c2", "n")
@@ -135,12 +135,13 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, n, shingles binary) of the wanted classes, from the text of their first documents."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        c1, c2 = (batch.column(c).to_numpy() for c in ("c1", "c2"))
+        c1, c2, ids = (batch.column(c).to_numpy() for c in ("c1", "c2", "doc_id"))
         for i, j, data, offsets in flat_blocks(batch.column("text")):
             sets, ends = shingle_sets(data, offsets)
             c = _classes(sets, ends)
             raw = sets.tobytes()
             own = np.flatnonzero((c[:, 0] == c1[i:j]) & (c[:, 1] == c2[i:j]))  # an id may repeat with other texts
+            own = own[np.unique(ids[i + own], return_index=True)[1]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i).take(pa.array(own)), pa.array(np.diff(ends)[own]),
                  pa.array([raw[8 * ends[k] : 8 * ends[k + 1]] for k in own], pa.binary())],
@@ -148,29 +149,23 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     joined = docs.join(wanted.drop("n"), "doc_id")
-    return map_arrow(joined, one, "id long, n long, shingles binary").dropDuplicates(["id"])
+    return map_arrow(joined, one, "id long, n long, shingles binary")
 
 
-def _exploded(sets: DataFrame) -> DataFrame:
-    """(key, id, n) of every shingle."""
+def short_lists(sets: DataFrame) -> DataFrame:
+    """(key, id): the rarest shared shingles of each class that can still reach its overlap."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = batch.column("n").to_numpy().astype(np.int64)
-        keys = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(), n)), pa.array(np.repeat(n, n))], ["key", "id", "n"]
-        )
-
-    return map_arrow(sets, one, "key long, id long, n long")
+        ids = np.repeat(batch.column("id").to_numpy(), batch.column("n").to_numpy())
+        yield sharing.rows_of_keys(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), ids)
 
-
-def short_lists(sets: DataFrame) -> DataFrame:
-    """(key, id): the rarest shared shingles of each class that can still reach its overlap."""
-    tokens = _exploded(sets)
-    counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = tokens.join(counts, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("lists"))
+    mine = sharing.shared(map_arrow(sets, one, sharing.SCHEMA)).groupBy("doc_id").agg(F.collect_set(F.struct("df", "key")).alias("lists"))
+    sizes = sets.groupBy("id").agg(F.max("n").alias("n"))
     room = F.size("lists") - F.expr(f"cast(({PERCENT} * n + 99) div 100 as int)") + 1
-    return mine.withColumn("room", room).filter("room > 0").select("id", F.explode(F.slice("lists", 1, F.col("room"))).alias("t")).select("id", "t.key")
+    return (
+        mine.join(sizes, F.col("doc_id") == F.col("id")).withColumn("room", room).filter("room > 0")
+        .select("id", F.explode(F.slice(F.array_sort("lists"), 1, F.col("room"))).alias("t")).select("id", "t.key")
+    )
 
 
 def groups(lists: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH_HOT = 64
+MANY = 1 << 60
 SCHEMA = "key long, salt int, doc_id long, witness boolean"
 
 
@@ -42,9 +43,9 @@ def rows_of_keys(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def shared(rows: DataFrame, hot: int) -> DataFrame:
-    """(doc_id, key, hot): pairs whose key other documents have too; hot keys are in more than ``hot``
-    documents, or in more than BATCH_HOT of some batch. All documents agree about a key."""
+def shared(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, df): pairs whose key other documents have too, with the number of documents, or
+    MANY where a batch alone had more than BATCH_HOT. All documents agree about a key."""
     group = Window.partitionBy("key", "salt")
     seen = rows.select(
         "doc_id", "key", "salt", "witness",
@@ -53,5 +54,5 @@ def shared(rows: DataFrame, hot: int) -> DataFrame:
     )
     known = F.col("salt") > 0
     return seen.filter(~F.col("witness") & (known | (F.col("low") < F.col("high")))).select(
-        "doc_id", "key", (known | F.col("told") | (F.col("n") > hot)).alias("hot")
+        "doc_id", "key", F.when(known | F.col("told"), F.lit(MANY)).otherwise(F.col("n")).alias("df")
     )
