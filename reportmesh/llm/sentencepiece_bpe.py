@@ -236,44 +236,37 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) of every text."""
+COLUMNS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens = bpe(tokenizer_file(model))
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
-            ids, rows = tokens.encode(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), lists, pa.array(tokens.decode_rows(ids, rows), pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
-
-    return map_arrow(documents(docs), one, "doc_id long, ids array<int>, decoded string")
 
+def encode(docs: DataFrame, columns: tuple[str, ...] = ("ids", "decoded"), model: str = MODEL) -> DataFrame:
+    """doc_id and the asked ``columns`` of every text: ids, decoded text, count, digests of both.
 
-def digests(encoded: DataFrame, model: str = MODEL, *, keep_ids: bool = False) -> DataFrame:
-    """(doc_id[, ids], n_tokens, ids_sha256, decoded_sha256) of encoded rows."""
-
-    own = ["doc_id", "ids"] if keep_ids else ["doc_id"]
+    The digest of ids is taken over their decimal forms joined by commas.
+    """
+    sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        decimal = bpe(tokenizer_file(model)).decimal
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        lists, texts = batch.column("ids"), batch.column("decoded")
-        # value by value: a batch's ids as Python numbers would take far more room than its arrays
-        of_ids = [sha(",".join(map(decimal.__getitem__, x.values.to_numpy().tolist())).encode()) for x in lists]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in own), lists.value_lengths().cast(pa.int64()), pa.array(of_ids), pa.array([sha(t.as_buffer()) for t in texts])],
-            [*own, "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        tokens = bpe(tokenizer_file(model))
+        for i, j, data, offsets in flat_blocks(batch.column("text")):
+            ids, rows = tokens.encode(data, offsets)
+            texts = tokens.decode_rows(ids, rows) if {"decoded", "decoded_sha256"} & {*columns} else []
+            # row by row: a block's ids as Python numbers would take far more room than its array
+            cut = list(zip(rows.tolist(), rows[1:].tolist()))
+            made = {
+                "ids": lambda: pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32())),
+                "decoded": lambda: pa.array(texts, pa.string()),
+                "n_tokens": lambda: pa.array(np.diff(rows)),
+                "ids_sha256": lambda: pa.array([sha(",".join(map(tokens.decimal.__getitem__, ids[a:b].tolist())).encode()) for a, b in cut]),
+                "decoded_sha256": lambda: pa.array([sha(t.encode()) for t in texts]),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *(made[c]() for c in columns)], ["doc_id", *columns])
 
-    kinds = "doc_id long, ids array<int>" if keep_ids else "doc_id long"
-    return map_arrow(encoded, one, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(documents(docs), one, ", ".join(["doc_id long", *(f"{c} {COLUMNS[c]}" for c in columns)]))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(read(spark, sf_dir, "documents")))
+    return encode(read(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}
