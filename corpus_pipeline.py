@@ -54,9 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that repeat a smaller document's."""
-    kept = suffix_dedup.deduplicate(_packed(docs), "other_columns")
+    kept = suffix_dedup.deduplicate(_packed(docs), "other_columns", as_text=True)
     kept = kept.filter("n_removed = 0 or n_removed < n_bytes")
-    return _unpacked(suffix_dedup.texts_of(kept.select("doc_id", "other_columns", "kept")), docs)
+    return _unpacked(kept.select("doc_id", "other_columns", F.col("kept").alias("text")), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    return sentencepiece_bpe.digests(sentencepiece_bpe.encode(docs), keep_ids=True)
+    return sentencepiece_bpe.encode(docs, ("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: bounds what one task holds at a time.
-BATCH_ROWS = "4000"
+BATCH_ROWS = "2000"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

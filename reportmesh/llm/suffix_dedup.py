@@ -358,8 +358,11 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     return match(ship(tagged))
 
 
-def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, more..., n_bytes, n_removed, n_spans, kept binary) of every row."""
+def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame:
+    """(doc_id, more..., n_bytes, n_removed, n_spans, kept) of every row.
+
+    ``kept`` are the remaining bytes; as text, bytes of characters that were cut apart go too.
+    """
     own = documents(docs, *more)
     ranges_of = removed_ranges(own.select("doc_id", "text"))
     lists = ranges_of.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
@@ -384,25 +387,14 @@ def deduplicate(docs: DataFrame, *more: str) -> DataFrame:
                 + [
                     pa.array(np.diff(offsets)), pa.array(np.bincount(row[gone], minlength=j - i).astype(np.int64)),
                     pa.array(np.bincount(row[head], minlength=j - i).astype(np.int64)),
-                    pa.array([kept[a:b] for a, b in zip(left, left[1:])], pa.binary()),
+                    pa.array([kept[a:b].decode("utf-8", "ignore") for a, b in zip(left, left[1:])], pa.string())
+                    if as_text else pa.array([kept[a:b] for a, b in zip(left, left[1:])], pa.binary()),
                 ],
                 [*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("text", "gone").schema)
-    return map_arrow(joined, one, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def texts_of(kept: DataFrame) -> DataFrame:
-    """``kept`` as text: bytes of characters that were cut apart go too."""
-    columns = [c for c in kept.columns if c != "kept"]
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(text, pa.string())], [*columns, "text"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("kept").schema)
-    return map_arrow(kept, one, f"{kinds}, text string")
+    return map_arrow(joined, one, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
