@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and row offsets into them. A null text is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

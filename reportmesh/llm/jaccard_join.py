@@ -34,7 +34,7 @@ from ..operators.graph import connected_components
 from ..session import write_stage
 from . import sharing
 from .flat import NOT_SPACE, counts_of, flat_blocks, fold, hash_spans, lower_ascii, ranges, words
-from .frames import documents, map_arrow, read
+from .frames import arrived, documents, map_arrow, read, travelling
 
 SHINGLE = 5
 PERCENT = 75
@@ -136,7 +136,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c1, c2, ids = (batch.column(c).to_numpy() for c in ("c1", "c2", "doc_id"))
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
+        for i, j, data, offsets in flat_blocks(arrived(batch.column("body"))):
             sets, ends = shingle_sets(data, offsets)
             c = _classes(sets, ends)
             raw = sets.tobytes()
@@ -148,7 +148,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["id", "n", "shingles"],
             )
 
-    joined = docs.join(wanted.drop("n"), "doc_id")
+    joined = travelling(docs).join(wanted.drop("n"), "doc_id")
     return map_arrow(joined, one, "id long, n long, shingles binary")
 
 

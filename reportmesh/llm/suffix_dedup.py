@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collection_bwt import smallest_owner
-from .flat import _BYTE, flat_blocks, hash_spans, mix, ranges
-from .frames import BATCH_ROWS, documents, map_arrow, read
+from .flat import _BYTE, flat, flat_blocks, hash_spans, mix, ranges
+from .frames import BATCH_ROWS, arrived, documents, map_arrow, read, travelling
 
 WINDOW = 50
 _GRAM, _LONG_GRAM = 16, 42
@@ -242,30 +242,33 @@ def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return row[head], low[head], high[np.r_[head[1:], len(row)] - 1]
 
 
-_SHIPPED = "key long, digest long, segment binary, doc_id long, low int, high int"
+_SHIPPED = "key long, segment binary, doc_id long, low int, high int"
 
 
 def ship(docs: DataFrame) -> DataFrame:
     """Strings that meet others (with their bytes), and ranges of windows that go (without)."""
 
-    def rows(key, digest, segment, doc, low, high) -> pa.RecordBatch:
+    def rows(key, segment, doc, low, high) -> pa.RecordBatch:
+        """Strings have a segment, whose length tells where they end; ranges have an end instead."""
         n = len(doc)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(digest), pa.array(segment, pa.binary()) if segment is not None else pa.nulls(n, pa.binary()),
-             pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-            ["key", "digest", "segment", "doc_id", "low", "high"],
+            [
+                pa.array(key), pa.nulls(n, pa.binary()) if segment is None else pa.array(segment, pa.binary()), pa.array(doc),
+                pa.array(low.astype(np.int32)), pa.nulls(n, pa.int32()) if high is None else pa.array(high.astype(np.int32)),
+            ],
+            ["key", "segment", "doc_id", "low", "high"],
         )
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
+        ids = batch.column("doc_id").fill_null(0).to_numpy()  # a null id has no tags
+        for i, j, data, offsets in flat_blocks(arrived(batch.column("body"))):
             s = Segments(data, offsets)
             digest = s.digest()
             kind = _kinds(s, digest, batch.column("tags").slice(i, j - i))
             raw = data.tobytes()
             gone = np.flatnonzero(kind == FOLLOWS)
             ranges_ = [_joined(s.row[gone], s.local()[gone], (s.local() + s.windows)[gone])]
-            sent = [(s, np.flatnonzero(kind == MEETS), digest)]
+            sent = [(s, np.flatnonzero(kind == MEETS))]
             wide = np.zeros(len(data), bool)
             many = kind == MEETS_MANY
             wide[ranges(s.first[many], s.windows[many])] = True
@@ -276,18 +279,17 @@ def ship(docs: DataFrame) -> DataFrame:
                 k, x, o = h.key[order], d[order], owner[order]
                 new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
                 lead = o[np.flatnonzero(new)][np.cumsum(new) - 1] == o
-                sent.append((h, np.sort(order[lead]), d))
+                sent.append((h, np.sort(order[lead])))
                 gone = np.sort(order[~lead])
                 ranges_.append(_joined(h.row[gone], h.local()[gone], (h.local() + h.windows)[gone]))
-            for own, at, d in sent:
+            for own, at in sent:
                 if len(at):
                     bytes_ = [raw[a:b] for a, b in zip(own.first[at].tolist(), own.ends[at].tolist())]
-                    low = own.local()[at]
-                    yield rows(own.key[at], d[at], bytes_, ids[i + own.row[at]], low, low + own.windows[at])
+                    yield rows(own.key[at], bytes_, ids[i + own.row[at]], own.local()[at], None)
             row, low, high = (np.concatenate(c) for c in zip(*ranges_))
             if len(row):
                 doc = ids[i + row]
-                yield rows(mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), None, doc, low, high)
+                yield rows(mix(doc.view(np.uint64)).view(np.int64), None, doc, low, high)
 
     return map_arrow(docs, one, _SHIPPED)
 
@@ -296,14 +298,13 @@ def match(shipped: DataFrame) -> DataFrame:
     """(doc_id, low, high): all ranges of windows that also start in a smaller document."""
     spark = shipped.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shipped.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id")
+    dealt = shipped.repartition(parts, "key").sortWithinPartitions("key", "segment", "doc_id")
 
     def result(doc, low, high) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        key, digest, doc, low = (table[c].to_numpy() for c in ("key", "digest", "doc_id", "low"))
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]
+        doc, low, fresh = (table[c].to_numpy() for c in ("doc_id", "low", "fresh"))
         once, string = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         some = table["segment"].combine_chunks().cast(pa.large_binary()).take(pa.array(once))
         offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
@@ -312,7 +313,7 @@ def match(shipped: DataFrame) -> DataFrame:
         value = owner[(np.cumsum(counts) - counts)[own] + first]
         bounds = np.searchsorted(own, np.arange(len(once) + 1))
         row_runs = np.diff(bounds)[string]
-        row, run = np.repeat(np.arange(len(key)), row_runs), ranges(bounds[:-1][string], row_runs)
+        row, run = np.repeat(np.arange(len(doc)), row_runs), ranges(bounds[:-1][string], row_runs)
         keep = value[run] < doc[row]
         row, run = row[keep], run[keep]
         place = low[row] + first[run]
@@ -320,24 +321,29 @@ def match(shipped: DataFrame) -> DataFrame:
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows, last = 0, (None, None, None)
+        rows, last, owner = 0, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            is_range = np.asarray(batch.column("segment").is_null())
-            key, digest, doc, low, high = (batch.column(c).to_numpy() for c in ("key", "digest", "doc_id", "low", "high"))
+            segment = batch.column("segment")
+            is_range = np.asarray(segment.is_null())
+            key, doc, low = (batch.column(c).to_numpy() for c in ("key", "doc_id", "low"))
+            data, ends = flat(segment)
+            size = np.diff(ends)
+            high = np.where(is_range, batch.column("high").fill_null(0).to_numpy(), low + size - WINDOW + 1)
             # rows are sorted: the first of a string has its smallest owner
+            digest = hash_spans(data, ends[:-1], ends[1:])
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-            new[0] = (key[0], digest[0]) != last[:2]
-            owners = np.r_[last[2] if last[2] is not None else 0, doc[new]]
+            new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (digest[1:] != digest[:-1])
+            new[0] = (key[0], size[0], digest[0]) != last
+            owners = np.r_[owner, doc[new]]
             lead = owners[np.cumsum(new)]
-            last = (key[-1], digest[-1], lead[-1])
+            last, owner = (key[-1], size[-1], digest[-1]), lead[-1]
             gone = is_range | (lead < doc)
             if gone.any():
                 yield result(doc[gone], low[gone], high[gone])
             if not gone.all():
-                held.append(pa.Table.from_batches([batch]).filter(pa.array(~gone)))
+                held.append(pa.Table.from_batches([batch]).append_column("fresh", pa.array(new)).filter(pa.array(~gone)))
                 rows += held[-1].num_rows
             if rows >= GROUP_SEGMENTS:
                 table = pa.concat_tables(held)
@@ -352,10 +358,10 @@ def match(shipped: DataFrame) -> DataFrame:
     return dealt.mapInArrow(every, "doc_id long, low int, high int")
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame, bodies: DataFrame) -> DataFrame:
     """(doc_id, low, high): window starts whose string also starts in a smaller document."""
-    tagged = docs.join(kinds_of_strings(string_table(docs)), "doc_id", "left").filter("tags is not null")
-    return match(ship(tagged))
+    # an outer join, so that the shuffle of the texts is the one of the last join
+    return match(ship(bodies.join(kinds_of_strings(string_table(docs)), "doc_id", "left")))
 
 
 def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame:
@@ -363,13 +369,13 @@ def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame
 
     ``kept`` are the remaining bytes; as text, bytes of characters that were cut apart go too.
     """
-    own = documents(docs, *more)
-    ranges_of = removed_ranges(own.select("doc_id", "text"))
+    own = travelling(docs, *more)
+    ranges_of = removed_ranges(documents(docs), own)
     lists = ranges_of.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
     joined = own.join(lists, "doc_id", "left")
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
+        for i, j, data, offsets in flat_blocks(arrived(batch.column("body"))):
             starts = ~_outside(batch, i, data, offsets)
             depth = np.zeros(len(data) + WINDOW, np.int32)  # each window start covers its window
             edge = np.diff(np.r_[False, starts, False].astype(np.int8))
@@ -381,7 +387,7 @@ def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame
             head[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
             kept = data[~gone].tobytes()
             left = np.r_[0, np.cumsum(~gone)][offsets].tolist()
-            columns = [c for c in batch.schema.names if c not in ("text", "gone")]
+            columns = [c for c in batch.schema.names if c not in ("body", "gone")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).slice(i, j - i) for c in columns]
                 + [
@@ -393,7 +399,7 @@ def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame
                 [*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("text", "gone").schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("body", "gone").schema)
     return map_arrow(joined, one, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
