@@ -36,35 +36,34 @@ def build(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
         symbol = symbols[starts[who] + lengths[who] - 1 - done]
         bwt[at] = symbol
         # suffixes of the next round, in order: those of this round by the symbol before them
-        order = np.argsort(bwt, kind="stable")
-        closed = len(bwt) - np.count_nonzero(bwt)
-        order = order[closed:]
-        place = np.empty(len(bwt), np.int64)
-        place[order] = np.arange(len(order))
-        rank = place[at]
+        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
+        fresh = np.zeros(len(bwt), bool)
+        fresh[at] = True
+        risen = np.flatnonzero(fresh[order])  # ranks of the new suffixes, rising
+        by_rank = np.argsort(symbol, kind="stable")  # their strings in that order
+        rank = np.empty_like(risen)
+        rank[by_rank] = risen
         before = order[np.maximum(rank - 1, 0)]
         same = (rank > 0) & (bwt[before] == symbol)
-        low = np.where(same, before + 1, at)
-        shared = _minima(prefix, low, at + 1)
+        shared = _minima(prefix, np.where(same, before + 1, at), at + 1)
         shared = np.where(same, np.minimum(shared, _CAP - 1) + 1, 0).astype(np.uint8)
         after = order[np.minimum(rank + 1, len(order) - 1)]
-        follows = np.flatnonzero((rank + 1 < len(order)) & (bwt[after] == symbol))
+        # a follower that is new itself gets its value above
+        follows = np.flatnonzero((rank + 1 < len(order)) & (bwt[after] == symbol) & ~fresh[after])
         next_shared = np.minimum(_minima(prefix, at[follows] + 1, after[follows] + 1), _CAP - 1) + 1
         # sequential pass: old entries move apart, new ones go between them
         size = m + len(order)
         new = m + rank
         old = np.ones(size, bool)
-        old[new] = False
+        old[m + risen] = False
         next_bwt = np.zeros(size, np.uint8)
         next_bwt[old] = bwt
         next_prefix = np.zeros(size + 1, np.uint8)
         next_prefix[:-1][old] = prefix[:-1]
-        next_prefix[new + 1] = 0  # set below where the follower goes on with the same symbol
         next_prefix[new[follows] + 1] = next_shared
         next_prefix[new] = shared
         bwt, prefix = next_bwt, next_prefix
-        by_place = np.argsort(new)
-        at, who = new[by_place], who[by_place]
+        at, who = m + risen, who[by_rank]
         done += 1
 
 

@@ -37,9 +37,9 @@ WINDOW = 50
 _GRAM, _LONG_GRAM = 16, 42
 _RUN = 64
 #: Different strings under a key from which they are cut anew, over all batches and in one.
-HOT = 512
-BATCH_HOT = 64
-GROUP_SEGMENTS = 12_000
+HOT = 16_384
+BATCH_HOT = 256
+GROUP_SEGMENTS = 5_000
 _M = 0xD6E8FEB86659FD93
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 

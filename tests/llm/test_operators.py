@@ -164,7 +164,7 @@ def test_strings_of_many_batches(spark):
     rng = np.random.default_rng(4)
     rows = []
     pairs = {(int(k), int(d) * 4, int(o)) for k, d, o in zip(rng.integers(0, 6, 900), rng.integers(0, 90, 900), rng.integers(0, 300, 900))}
-    pairs |= {(9, d * 4, d) for d in range(100)} | {(9, 4, 999), (10, 8, 5), (10, 8, 5), (11, 4, 1)}
+    pairs |= {(9, d * 4, d) for d in range(900)} | {(9, 4, 9999), (10, 8, 5), (10, 8, 5), (11, 4, 1)}
     pairs = {(k << 40, d, o) for k, d, o in pairs}
     for b in ([p for p in pairs if p[2] % 3 == b] for b in range(3)):
         rows += sd.string_rows(*(np.array(c) for c in zip(*b))).to_pylist()
