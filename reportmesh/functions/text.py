@@ -7,7 +7,6 @@ characters, which Spark has no built-in for.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -114,16 +113,11 @@ def _empty_strings() -> Column:
 
 @F.pandas_udf(T.StringType())
 def _fold_unicode(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(),
-        na_action="ignore",
-    )
+    return texts.str.normalize("NFKC").str.casefold()
 
 
-def fold_case(text: Column, *, ascii_only: bool = False) -> Column:
+def fold_case(text: Column) -> Column:
     """NFKC + case fold. ASCII rows stay in the JVM: the Python side sees NULL for them."""
-    if ascii_only:
-        return F.lower(text)
     non_ascii = text.rlike(r"[^\x00-\x7f]")
     folded = _fold_unicode(F.when(non_ascii, text))
     return F.when(non_ascii, folded).otherwise(F.lower(text))
@@ -133,14 +127,12 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
-def normalize_text(
-    text: Column, aliases: Mapping[str, str] = ALIASES, *, ascii_only: bool = False
-) -> Column:
+def normalize_text(text: Column, aliases: Mapping[str, str] = ALIASES) -> Column:
     """Canonical spelling: fold, punctuation to spaces, collapse, whole-word aliases in order.
 
     Longer aliases go first and each replacement is visible to the ones after it.
     """
-    out = collapse_spaces(F.regexp_replace(fold_case(text, ascii_only=ascii_only), r"\p{P}", " "))
+    out = collapse_spaces(F.regexp_replace(fold_case(text), r"\p{P}", " "))
     for source in sorted(aliases, key=len, reverse=True):
         target = aliases[source].replace("\\", "\\\\").replace("$", "\\$")
         out = F.regexp_replace(out, whole_word(source), target)

@@ -62,7 +62,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def connected_components(
-    vertices: DataFrame, edges: DataFrame, *, hot_rows: int = HOT_ROWS, max_rounds: int = 60
+    vertices: DataFrame, edges: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(id, component) for every vertex; a component is named by its smallest member id."""
     spark = edges.sparkSession
@@ -72,7 +72,7 @@ def connected_components(
         .distinct()
     )
     before = _signature(stars)
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:  # every round that changes the stars brings labels closer to the smallest id
         # a star round works on at most two rows per edge: below that no node can be hot
         split = hot_rows if 2 * before[0] > hot_rows else None
         stars, next_path = write_stage(_small_star(_large_star(stars, split), split))
@@ -82,9 +82,6 @@ def connected_components(
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError("connected components did not settle")
     return (
         vertices.select("id")
         .join(stars.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left")

@@ -15,28 +15,14 @@ from .skew import lookup
 def incident_ids(members: DataFrame, identity: IdentityPolicy = IdentityPolicy()) -> DataFrame:
     """(component, incident_id, report_count): the id changes exactly when membership changes.
 
-    Incidents of ordinary size are named from their sorted, comma-joined member ids. Beyond
-    ``listed_members_max`` the name uses a mergeable digest of the members instead, so a huge
-    incident is never gathered in one task.
+    The name is a mergeable digest of the member set, at every size: map-side combined, and no task
+    holds a member list.
     """
-    stats = members.groupBy("component").agg(
+    return members.groupBy("component").agg(
         F.count(F.lit(1)).alias("report_count"), set_digest(F.sha2("id", 256)).alias("_digest")
-    )
-    limit = identity.listed_members_max
-    small = stats.filter(F.col("report_count").between(2, limit)).select("component", "report_count")
-    listed = (
-        lookup(members, small, ["component"], spread_by="id", row_count="report_count")
-        .groupBy("component")
-        .agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("_listed"))
-    )
-    name = (
-        F.when(F.col("report_count") == 1, F.col("component"))
-        .when(F.col("report_count") <= limit, F.col("_listed"))
-        .otherwise(F.concat(F.lit("digest:"), F.col("_digest")))
-    )
-    return stats.join(listed, "component", "left").select(
+    ).select(
         "component",
-        uuid5(F.concat(F.lit(identity.incident_prefix), name)).alias("incident_id"),
+        uuid5(F.concat(F.lit(identity.incident_prefix), "_digest")).alias("incident_id"),
         "report_count",
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ids import request_fingerprint
 from ..functions.locations import extract_locations
@@ -68,9 +67,9 @@ def resolve_category(explicit: Column, predicted: Column) -> Column:
     return F.coalesce(explicit, predicted, F.lit(OTHER))
 
 
-def to_complaints(valid: DataFrame, *, ascii_only: bool = False) -> DataFrame:
+def to_complaints(valid: DataFrame) -> DataFrame:
     """Valid reports to full complaints: normalised text, places, category, matched terms."""
-    df = valid.withColumn("normalized_text", normalize_text(F.col("text"), ascii_only=ascii_only))
+    df = valid.withColumn("normalized_text", normalize_text(F.col("text")))
     df = df.withColumn("prediction", classify_category(F.col("normalized_text")))
     return df.select(
         *[c for c in valid.columns if c != "category"],
@@ -96,41 +95,39 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def idempotent_outcomes(submissions: DataFrame) -> DataFrame:
+def idempotent_outcomes(submissions: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Outcome per command: first of a key is created, equal repeats replay, others conflict.
 
-    The first command per key is a map-side combined minimum; commands of a very frequent key are
-    then compared against it in several tasks.
+    The first command of a key has its lowest (sequence, complaint_id), so commands that share a
+    sequence never both count as first. Commands in ``history`` (first commands of earlier batches)
+    come before all of ``submissions`` and get no outcome themselves. The first is a map-side combined
+    minimum; commands of a very frequent key are then compared against it in several tasks.
     """
     from .skew import lookup
 
-    first = submissions.groupBy("idempotency_key").agg(
-        F.min(F.struct("sequence", "request_fingerprint", "complaint_id")).alias("first"),
+    columns = ("idempotency_key", "sequence", "complaint_id", "request_fingerprint")
+    rows = submissions.select(*columns, F.lit(True).alias("_new"))
+    if history is not None:
+        rows = history.select(
+            "idempotency_key", F.lit(None).cast("bigint").alias("sequence"), "complaint_id",
+            "request_fingerprint", F.lit(False).alias("_new"),
+        ).unionByName(rows)
+    first = rows.groupBy("idempotency_key").agg(
+        F.min(F.struct("_new", "sequence", "complaint_id", "request_fingerprint")).alias("first"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    joined = lookup(
-        submissions, first, ["idempotency_key"], spread_by="sequence", row_count="_rows"
-    )
+    joined = lookup(rows, first, ["idempotency_key"], spread_by="sequence", row_count="_rows")
+    is_first = F.col("first._new")
+    for c in ("sequence", "complaint_id"):
+        is_first = is_first & F.col(c).eqNullSafe(F.col(f"first.{c}"))
     outcome = (
-        F.when(F.col("sequence") == F.col("first.sequence"), F.lit("created"))
+        F.when(is_first, F.lit("created"))
         .when(F.col("request_fingerprint") == F.col("first.request_fingerprint"), F.lit("replayed"))
         .otherwise(F.lit("conflict"))
     )
-    return joined.select(
+    return joined.filter("_new").select(
         "idempotency_key",
         "sequence",
         outcome.alias("outcome"),
         F.when(outcome != "conflict", F.col("first.complaint_id")).alias("complaint_id"),
     )
-
-
-COMPLAINT_SCHEMA = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-        T.StructField("reported_at", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("photo_path", T.StringType()),
-    ]
-)

@@ -12,11 +12,14 @@ from ..policy import AUTO_MATCH, NO_MATCH, OTHER, REVIEW_REQUIRED, MatchingPolic
 
 
 def evidence_table(complaints: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """Per-report evidence prepared once: place sets, and the vector with its norm."""
+    """Per-report evidence prepared once: place sets, and the vector with its norm.
+
+    Reports without a vector keep their row: their pairs fail in ``match_pairs`` instead of vanishing.
+    """
     df = complaints.select("id", location_sets(F.col("locations")).alias("places"))
     if vectors is not None:
         df = df.join(
-            vectors.select("id", "vector", norm(F.col("vector")).alias("vector_norm")), "id"
+            vectors.select("id", "vector", norm(F.col("vector")).alias("vector_norm")), "id", "left"
         )
     return df
 
@@ -26,7 +29,12 @@ def attach_evidence(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     packed = F.struct(*[c for c in evidence.columns if c != "id"])
     left = evidence.select(F.col("id").alias("left_id"), packed.alias("left"))
     right = evidence.select(F.col("id").alias("right_id"), packed.alias("right"))
-    return pairs.join(left, "left_id").join(right, "right_id")
+    return pairs.join(left, "left_id", "left").join(right, "right_id", "left")
+
+
+def unusable_pairs(scored: DataFrame) -> DataFrame:
+    """Scored pairs without a similarity: a vector is missing or unusable on one side."""
+    return scored.filter(F.col("semantic_similarity").isNull()).select("left_id", "right_id")
 
 
 def score_pairs(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -51,11 +59,22 @@ def _decimals(value: Column, places: int) -> Column:
 def match_pairs(scored: DataFrame, policy: MatchingPolicy = MatchingPolicy()) -> DataFrame:
     """Ordered decision ladder over scored pairs; thresholds are inclusive.
 
+    A pair that needs its similarity and has none fails the job; ``unusable_pairs`` lists such pairs.
+
     Needs left/right category, distance_metres, time_gap_seconds, semantic_similarity and location.
     """
     lc, rc = F.col("left_category"), F.col("right_category")
     distance, gap = F.col("distance_metres"), F.col("time_gap_seconds")
-    similarity = F.col("semantic_similarity")
+    similarity = F.coalesce(
+        F.col("semantic_similarity"),
+        F.raise_error(
+            F.concat_ws(
+                " ",
+                F.lit("no usable vector for the pair"),
+                *[c for c in ("left_id", "right_id") if c in scored.columns],
+            )
+        ).cast("double"),
+    )
     place, place_reason = F.col("location.compatibility"), F.col("location.reason")
     radius, days = policy.geographic_radius_metres, policy.temporal_window_days
     threshold = F.when(

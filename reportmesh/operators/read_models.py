@@ -203,7 +203,7 @@ def review_view(reviews: DataFrame) -> DataFrame:
 
 
 def review_read(reviews: DataFrame, complaints: DataFrame) -> DataFrame:
-    """Reviews with both reports; a dangling reference shows up in ``dangling_reviews``."""
+    """Reviews with both reports. A dangling review stays, with nulls (see ``dangling_reviews``)."""
     side = lambda p: complaints.select(
         F.col("id").alias(f"{p}_id"),
         F.col("text").alias(f"{p}_text"),
@@ -212,7 +212,7 @@ def review_read(reviews: DataFrame, complaints: DataFrame) -> DataFrame:
         F.col("longitude").alias(f"{p}_longitude"),
         F.col("reported_at").alias(f"{p}_reported_at"),
     )
-    return reviews.join(side("left"), "left_id").join(side("right"), "right_id")
+    return reviews.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
 
 
 def dangling_reviews(reviews: DataFrame, complaints: DataFrame) -> DataFrame:

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import read_models
+from ..operators import incidents, read_models, reviews
 from ..policy import MatchingPolicy, Policies
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..streaming import embed
 from ..streaming.cluster import cluster_stream
 from ..streaming.intake import submission_stream, validate_stream
+from ..streaming.live import incident_members, publish_state, resolve_and_publish, submit_stream
 from . import incremental
 from .flow import Flow
 from .import_dataset import import_dataset
 from .incremental import ClusterState
-from .queries import _now, _store, automated, joined, query, reviewed, tail
+from .queries import _now, _store, automated, big, joined, query, reviewed, tail
 
 
 def _late(column) -> Column:
@@ -118,9 +119,8 @@ def q_import(spark, d):
         fx.sensitive_locations(spark, d),
         Policies(),
         check_manifest=False,
-        ascii_only=True,
     )
-    members = store.read("incident_members")
+    members = incident_members(store)
     rows = store.read("incidents").select("incident_id", "report_count", "status", "priority_level")
     return (
         members.join(rows, "incident_id")
@@ -182,7 +182,7 @@ def q_stream_validate(spark, d):
 def q_stream_submissions(spark, d):
     """The command log cut into three consecutive batches."""
     subs = fx.submissions(spark, d).withColumn(
-        "normalized_text", text.normalize_text(F.col("text"), ascii_only=True)
+        "normalized_text", text.normalize_text(F.col("text"))
     )
     subs = cut_lineage(subs)
     path = f"{ensure_checkpoint_dir(spark)}/stream-{_unique()}"
@@ -208,3 +208,46 @@ def q_stream_cluster(spark, d):
     return store.read("members")
 
 
+def _stored_incidents(store) -> DataFrame:
+    rows = store.read("incidents")
+    return rows.select("component", "incident_id", big("report_count").alias("report_count"), "priority_level")
+
+
+@query("stream_submit")
+def q_stream_submit(spark, d):
+    """Submissions in micro-batches, through to priorities; must equal the batch job on all of them."""
+    store = _store(spark)
+    vectors = cut_lineage(fx.vectors(spark, d))
+    reports = fx.reports(spark, d).select(
+        F.concat(F.lit("key-"), "id").alias("idempotency_key"), tail("id").alias("sequence"), F.col("id").alias("complaint_id"),
+        "id", "text", "latitude", "longitude", "reported_at", "category", "photo_path",
+        F.lit(None).cast("string").alias("photo_id"),
+    )
+
+    def vectors_of(complaints: DataFrame) -> DataFrame:
+        return vectors.join(complaints.select("id"), "id", "left_semi")
+
+    now = fx.reports(spark, d).agg(F.max("reported_at")).scalar()
+    stream = _as_stream(spark, cut_lineage(reports), 3)
+    _drain(spark, submit_stream(stream, store, vectors_of, fx.sensitive_locations(spark, d), now))
+    return _stored_incidents(store).drop("priority_level")
+
+
+@query("resolve_and_publish")
+def q_resolve_and_publish(spark, d):
+    """Officer decisions on a published automated clustering; must equal the reviewed batch job."""
+    flow = automated(spark, d)
+    found = fx.reviews(flow.matched, flow.complaints)
+    version = incidents.graph_version(flow.matched).first()["graph_version"]
+    pending = reviews.new_reviews(flow.matched, flow.now, F.lit(version))
+    state = ClusterState(flow.complaints, flow.vectors, flow.matched, flow.members, pending)
+    keys = flow.complaints.select(F.col("id").alias("idempotency_key"), F.col("id").alias("complaint_id"))
+    store = _store(spark)
+    publish_state(store, state, flow.assessed(), keys)
+    commands = found.filter(F.col("status") != "pending").select(
+        F.xxhash64("review_id").alias("sequence"), "review_id",
+        (F.col("final_relationship_state") == "auto_match").alias("approve"),
+        F.col("reviewed_by").alias("reviewer_id"), F.col("review_note").alias("note"), "resolved_at",
+    )
+    resolve_and_publish(store, commands, fx.sensitive_locations(spark, d), flow.now)
+    return _stored_incidents(store)

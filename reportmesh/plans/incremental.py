@@ -247,7 +247,10 @@ def mutation_results(
     review_id, left_id, right_id; ``assessed`` holds incident rows of ``after``.
     """
     ends = resolved.select("review_id", F.explode(F.array("left_id", "right_id")).alias("id"))
-    old_ids = incidents.incident_members(before.members, incidents.incident_ids(before.members))
+    # only the incidents of these reviews are named, not all of the history
+    reached = before.members.join(ends.select("id"), "id", "left_semi").select("component").distinct()
+    members = before.members.join(reached, "component", "left_semi")
+    old_ids = incidents.incident_members(members, incidents.incident_ids(members))
     old = (
         ends.join(old_ids, "id")
         .groupBy("review_id")

@@ -19,7 +19,6 @@ from ..functions.text import (
 from ..operators import metrics
 from ..policy import CATEGORIES, PRIORITY_LEVELS, REVIEW_STATUSES, PerformanceBudget
 from ..sources.fixtures import PHRASES, PREFIXES
-from ..sources.synthetic import ISSUES, ZONES
 
 NS = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -255,6 +254,8 @@ cte(
  CASE WHEN r.final_state IS NOT NULL THEN 'review_required' END AS matcher_recommendation
  FROM matched m LEFT JOIN rev r ON r.left_id = m.left_id AND r.right_id = m.right_id""",
 )
+#: Eight 32-bit sums over the digests ``d`` of a group's rows.
+_lanes = "||':'||".join(f"sum(('0x'||substr(d,{1 + 8 * i},8))::BIGINT)::VARCHAR" for i in range(8))
 for _name, _src in (("auto", "matched"), ("final", "edges")):
     cte(
         f"{_name}_links",
@@ -277,9 +278,9 @@ for _name, _src in (("auto", "matched"), ("final", "edges")):
     cte(
         f"{_name}_ids",
         (f"{_name}_comp",),
-        f"""SELECT component, {uuid5("'incident-v1:' || listed")} AS incident_id, report_count FROM (
- SELECT component, array_to_string(list_sort(list(id)), ',') AS listed, count(*) AS report_count
- FROM {_name}_comp GROUP BY component)""",
+        f"""SELECT component, {uuid5("'incident-v1:' || digest")} AS incident_id, report_count FROM (
+ SELECT component, sha256(count(*)::VARCHAR||':'||{_lanes}) AS digest, count(*) AS report_count
+ FROM (SELECT component, sha256(id) AS d FROM {_name}_comp) GROUP BY component)""",
     )
 cte(
     "labelled",
@@ -433,8 +434,7 @@ _digest = (
 
 
 def set_digest(digest: str, source: str) -> str:
-    lanes = "||':'||".join(f"sum(('0x'||substr(d,{1 + 8 * i},8))::BIGINT)::VARCHAR" for i in range(8))
-    return f"SELECT count(*) AS n, sha256(count(*)::VARCHAR||':'||{lanes}) AS digest FROM (SELECT {digest} AS d FROM {source})"
+    return f"SELECT count(*) AS n, sha256(count(*)::VARCHAR||':'||{_lanes}) AS digest FROM (SELECT {digest} AS d FROM {source})"
 
 
 add(
@@ -524,21 +524,6 @@ add(
     "reports",
     "auto_ids",
 )
-_zone_cat = sql_list([c for z in ZONES for c in z[3]])
-add(
-    "synthetic_complaints",
-    f"""SELECT 'complaint-' || lpad((n + 1)::VARCHAR, 12, '0') AS seed_key,
- 'Synthetic demo report at ' || {sql_list([z[0] for z in ZONES])}[zone + 1] || ': '
-  || {sql_list(list(ISSUES.values()))}[list_position({sql_list(list(ISSUES))}, category)] || ' near '
-  || CASE WHEN category = 'blocked_drain' AND zone = 1 THEN 'upstream drain near the school access area'
-    WHEN category = 'flooding' AND zone = 4 THEN 'low-lying road downstream from the drainage channel'
-    ELSE 'synthetic municipal demo location' END || ', report ' || (report + 1) AS text,
- round({[z[1] for z in ZONES]}[zone + 1]::DOUBLE + (cluster - 1.5::DOUBLE) * 0.0013::DOUBLE + (report // 3) * 0.00012::DOUBLE, 6) AS latitude,
- round({[z[2] for z in ZONES]}[zone + 1]::DOUBLE + (cluster - 1.5::DOUBLE) * 0.0011::DOUBLE + (report % 3) * 0.00012::DOUBLE + (block % 400) * 0.1::DOUBLE, 6) AS longitude,
- epoch_us(TIMESTAMP '2026-07-10 08:00:00') + (zone * 4 + cluster + report + block * 24) * 3600000000 AS reported_us, category
- FROM (SELECT *, {_zone_cat}[zone * 4 + cluster + 1] AS category FROM (
-  SELECT event_id AS n, event_id % 6 AS report, (event_id // 6) % 4 AS cluster, (event_id // 24) % 5 AS zone, event_id // 120 AS block FROM events))""",
-)
 add("append_tables", "SELECT id, text, category FROM reports", "reports")
 add(
     "validate_complaints",
@@ -1058,6 +1043,8 @@ add(
 # --- command side -----------------------------------------------------------------------------
 
 add("incremental_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
+add("resolve_and_publish", "SELECT component, incident_id, report_count, level AS priority_level FROM prio", "prio")
+add("stream_submit", "SELECT component, incident_id, report_count FROM auto_ids", "auto_ids")
 add("stream_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
 add("incremental_review", "SELECT id, component FROM final_comp", "final_comp")
 CTES["auto_inc"] = (

@@ -28,7 +28,7 @@ from ..operators import (
 )
 from ..policy import REVIEW_STATUSES, MatchingPolicy
 from ..session import cut_lineage, ensure_checkpoint_dir
-from ..sources import documents, photos, synthetic
+from ..sources import documents, photos
 from ..sources import fixtures as fx
 from ..sources.store import SnapshotStore, read_complaints
 from .flow import Flow
@@ -337,16 +337,6 @@ def q_table_health(spark, d):
     )
 
 
-@query("synthetic_complaints")
-def q_synthetic(spark, d):
-    """As many demo reports as there are events, numbered by event id."""
-    rows = fx.table(spark, d, "events").select(F.col("event_id").alias("id"))
-    return synthetic.synthetic_complaints(spark, rows).select(
-        "seed_key", "text", "latitude", "longitude", us("reported_at").alias("reported_us"),
-        "category",
-    )
-
-
 @query("append_tables")
 def q_append(spark, d):
     base = fx.reports(spark, d).select("id", "text", "category")
@@ -396,14 +386,14 @@ def q_resolve_category(spark, d):
     raw = fx.reports(spark, d).withColumn(
         "category", F.when(F.col("event_id") % 3 != 0, F.col("category"))
     )
-    return intake.to_complaints(raw, ascii_only=True).select(
+    return intake.to_complaints(raw).select(
         "id", "category", joined("matched_terms").alias("matched_terms")
     )
 
 
 def _submissions(spark, d) -> DataFrame:
     subs = fx.submissions(spark, d).withColumn(
-        "normalized_text", text.normalize_text(F.col("text"), ascii_only=True)
+        "normalized_text", text.normalize_text(F.col("text"))
     )
     return intake.with_fingerprint(subs)
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import math
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
 
 # Fixed values of the published policies.
 CATEGORIES = ("pothole", "blocked_drain", "flooding", "rubbish", "street_light", "other")
@@ -65,9 +64,6 @@ class IdentityPolicy:
     incident_prefix: str = "incident-v1:"
     review_prefix: str = "review-v1:"
     seed_prefix: str = "seed:"
-    # Incidents up to this size are named from their sorted member list; larger ones from a
-    # mergeable member digest, so that no task ever holds an unbounded member list.
-    listed_members_max: int = 10_000
 
 
 @dataclass(frozen=True)
@@ -92,12 +88,3 @@ class Policies:
     matching: MatchingPolicy = field(default_factory=MatchingPolicy)
     priority: PriorityPolicy = field(default_factory=PriorityPolicy)
     identity: IdentityPolicy = field(default_factory=IdentityPolicy)
-
-
-def load_policy(cls: type, path: str):
-    """Build a policy from a JSON object, ignoring descriptive keys the policy does not read."""
-    with open(path, encoding="utf-8") as handle:
-        payload = json.load(handle)
-    names = {f.name for f in fields(cls)}
-    known = {k: tuple(v) if isinstance(v, list) else v for k, v in payload.items() if k in names}
-    return cls(**known)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a single-machine master
-    (tests) may fall back to a temporary folder: executors elsewhere could not read it.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Where it is unset the folder lies
+    in the warehouse, which executors share as well.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -36,9 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="reportmesh-checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/reportmesh-stages"
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

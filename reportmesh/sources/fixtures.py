@@ -86,11 +86,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complaints(spark: SparkSession, sf_dir: str, *, with_locations: bool = True) -> DataFrame:
-    """Reports with normalised text and extracted places. The text templates are ASCII."""
+    """Reports with normalised text and extracted places. """
     df = reports(spark, sf_dir).select(
         "id",
         "text",
-        normalize_text(F.col("text"), ascii_only=True).alias("normalized_text"),
+        normalize_text(F.col("text")).alias("normalized_text"),
         "latitude",
         "longitude",
         "reported_at",

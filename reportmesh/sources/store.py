@@ -1,8 +1,9 @@
 """Snapshot tables on plain Parquet with an atomic pointer.
 
-A publish writes every table under a fresh ``snapshot_id=...`` folder and only then replaces a
-one-row pointer file. A job that fails earlier leaves the old pointer, and readers always see the
-tables of one snapshot.
+A publish writes every table under a fresh ``snapshot_id=...`` folder and only then adds the next
+numbered pointer file; the file with the highest number is the snapshot. A job that fails earlier adds
+none, and readers always see the tables of one snapshot. The new file is renamed into place and never
+over another, so of two publishers that began from the same snapshot one fails and loses nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_CURRENT"
+POINTER = "_SNAPSHOT-"
+#: An append that would give a table more folders than this merges them into one.
+MAX_FOLDERS = 32
+
+
+class ConcurrentPublish(RuntimeError):
+    """Another snapshot was published since the one this work began from."""
 
 
 class SnapshotStore:
@@ -30,35 +37,49 @@ class SnapshotStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
+    def _latest(self) -> int:
+        """Number of the newest pointer, 0 without any."""
+        fs, root, jvm = self._fs(self.root)
+        if not fs.exists(root):
+            return 0
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{POINTER}*"))
+        return max((int(f.getPath().getName()[len(POINTER) :]) for f in found), default=0)
+
     def _read_pointer(self) -> dict | None:
-        fs, path, jvm = self._fs(f"{self.root}/{POINTER}")
-        if not fs.exists(path):
+        number = self._latest()
+        if not number:
             return None
+        fs, path, jvm = self._fs(f"{self.root}/{POINTER}{number:012d}")
         stream = fs.open(path)
         try:
             text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)
+        return {**json.loads(text), "number": number}
 
-    def _swap_pointer(self, content: dict) -> None:
-        """Write aside, then rename over: the only step readers can observe."""
-        fs, target, jvm = self._fs(f"{self.root}/{POINTER}")
-        aside = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{POINTER}.{uuid.uuid4().hex}")
+    def _add_pointer(self, number: int, content: dict) -> None:
+        """Write aside, then rename to a name that must be free: the only step readers can observe."""
+        fs, target, jvm = self._fs(f"{self.root}/{POINTER}{number:012d}")
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_aside-{uuid.uuid4().hex}")
         out = fs.create(aside, True)
         try:
             out.write(bytearray(json.dumps(content).encode("utf-8")))
         finally:
             out.close()
-        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         options = self.spark.sparkContext._gateway.new_array(
             jvm.org.apache.hadoop.fs.Options.Rename, 1
         )
-        options[0] = overwrite
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
         )
-        context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+        except Exception as error:
+            fs.delete(aside, False)
+            if fs.exists(target):
+                raise ConcurrentPublish(f"snapshot {number} is published already") from error
+            raise
 
     # -- snapshots ------------------------------------------------------------------------------
 
@@ -86,13 +107,17 @@ class SnapshotStore:
         replaced: dict[str, DataFrame] | None = None,
         appended: dict[str, DataFrame] | None = None,
         metadata: dict | None = None,
+        base: str | None = None,
     ) -> str:
         """Replace and/or append tables as one new snapshot; untouched tables carry over.
 
-        Appended rows become an extra folder next to the existing ones, so an append never
-        rewrites history. Many small appends are merged by ``compact``.
+        Appended rows become an extra folder next to the existing ones, so an append seldom rewrites
+        history; past MAX_FOLDERS the table is merged. ``base`` is the snapshot the tables were computed
+        from; if another is current, or becomes so meanwhile, ConcurrentPublish is raised.
         """
-        pointer = self._read_pointer() or {"tables": {}}
+        pointer = self._read_pointer() or {"tables": {}, "number": 0}
+        if base is not None and pointer.get("snapshot_id") != base:
+            raise ConcurrentPublish(f"{base} is not the current snapshot")
         snapshot = uuid.uuid4().hex
         tables = {name: list(paths) for name, paths in pointer["tables"].items()}
         for name, df in (replaced or {}).items():
@@ -100,11 +125,13 @@ class SnapshotStore:
             df.write.mode("errorifexists").parquet(path)
             tables[name] = [path]
         for name, df in (appended or {}).items():
-            path = f"{self.root}/{name}/snapshot_id={snapshot}-append"
+            path, old = f"{self.root}/{name}/snapshot_id={snapshot}-append", tables.get(name, [])
+            if len(old) >= MAX_FOLDERS:
+                df, old = self.spark.read.parquet(*old).unionByName(df, allowMissingColumns=True), []
             df.write.mode("errorifexists").parquet(path)
-            tables[name] = [*tables.get(name, []), path]
+            tables[name] = [*old, path]
         kept = {**pointer.get("metadata", {}), **(metadata or {})}
-        self._swap_pointer({"snapshot_id": snapshot, "tables": tables, "metadata": kept})
+        self._add_pointer(pointer["number"] + 1, {"snapshot_id": snapshot, "tables": tables, "metadata": kept})
         return snapshot
 
     def compact(self, table: str) -> str:

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..plans.flow import Flow
-from ..plans.incremental import ClusterState, add_reports
+from ..plans.incremental import add_reports
 from ..policy import Policies
+from ..session import cut_lineage
 from ..sources.store import SnapshotStore
 from .intake import once
+from .live import load_state
 
 
 def cluster_stream(
@@ -27,19 +28,13 @@ def cluster_stream(
     """
 
     def apply(batch: DataFrame):
-        if "members" not in store.tables():
-            flow = Flow(batch.dropDuplicates(["id"]), vectors_of(batch), policies=policies)
-            first = {"complaints": flow.complaints, "vectors": flow.vectors, "edges": flow.matched}
-            return {"members": flow.members, **first}, {}
-        state = ClusterState(
-            store.read("complaints"),
-            store.read("vectors"),
-            store.read("edges"),
-            store.read("members"),
-        )
-        fresh = batch.dropDuplicates(["id"]).join(state.members.select("id"), "id", "left_anti")
-        step = add_reports(state, fresh, vectors_of(fresh), policies)
-        appended = {"complaints": fresh, "vectors": vectors_of(fresh), "edges": step.new_edges}
+        fresh = batch.dropDuplicates(["id"])
+        if "members" in store.tables():
+            fresh = fresh.join(store.read("members").select("id"), "id", "left_anti")
+        fresh = cut_lineage(fresh)
+        vectors = cut_lineage(vectors_of(fresh))  # an encoder runs once per batch
+        step = add_reports(load_state(store, (fresh, vectors)), fresh, vectors, policies)
+        appended = {"complaints": fresh, "vectors": vectors, "edges": step.new_edges}
         return {"members": step.state.members}, appended
 
-    return complaints.writeStream.foreachBatch(once(store, apply))
+    return complaints.writeStream.foreachBatch(once(store, "cluster", apply))

@@ -1,8 +1,8 @@
 """Streaming intake: validation with quarantine, and idempotent submissions.
 
 Micro-batches run the same DataFrame operators as batch jobs. Each batch is published as one
-snapshot together with its batch number, so a replayed batch is skipped. First commands are kept
-without expiry; nothing is ever late.
+snapshot together with its stream's batch number, so a replayed batch is skipped. First commands are
+kept without expiry; nothing is ever late.
 """
 
 from __future__ import annotations
@@ -16,21 +16,25 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators import intake
 from ..sources.store import SnapshotStore
 
-RAW_SCHEMA = (
-    "idempotency_key STRING, sequence BIGINT, complaint_id STRING, id STRING, text STRING, "
-    "latitude DOUBLE, longitude DOUBLE, reported_at TIMESTAMP, category STRING, "
-    "photo_path STRING, photo_id STRING"
-)
+def stream_mark(batch: DataFrame, stream: str) -> str:
+    """Name under which a stream's progress is kept: the stream, and the identity of its checkpoint.
+
+    Another stream on the same store, or a restart from a new checkpoint, counts its batches anew.
+    """
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{stream}:{query}"
 
 
-def once(store: SnapshotStore, apply: Callable[[DataFrame], tuple[dict, dict]]):
-    """foreachBatch body: apply a batch and publish its tables unless it was published before."""
+def once(store: SnapshotStore, stream: str, apply: Callable[[DataFrame], tuple[dict, dict]]):
+    """foreachBatch body: apply a batch and publish its tables unless this stream published it before."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if store.metadata().get("batch_id", -1) >= batch_id:
+        mark, done = stream_mark(batch, stream), store.metadata().get("batches", {})
+        if done.get(mark, -1) >= batch_id:
             return
+        base = store.current()
         replaced, appended = apply(batch)
-        store.publish(replaced=replaced, appended=appended, metadata={"batch_id": batch_id})
+        store.publish(replaced=replaced, appended=appended, metadata={"batches": {**done, mark: batch_id}}, base=base)
 
     return handle
 
@@ -42,30 +46,30 @@ def validate_stream(raw: DataFrame, store: SnapshotStore, now: Column) -> DataSt
         valid, rejected = intake.split_valid(intake.validate_complaints(batch, now))
         return {}, {"accepted": valid, "quarantine": rejected}
 
-    return raw.writeStream.foreachBatch(once(store, apply))
+    return raw.writeStream.foreachBatch(once(store, "validate", apply))
 
 
 def outcomes_against(commands: DataFrame, stored_keys: DataFrame | None) -> DataFrame:
     """Outcomes of a batch of commands given the first commands stored so far.
 
-    Stored firsts join the batch as commands that precede everything; the history side is first
-    cut to the keys of the batch.
+    The history side is first cut to the keys of the batch.
     """
-    columns = ("idempotency_key", "sequence", "request_fingerprint", "complaint_id")
-    fresh = commands.select(*columns, F.lit(True).alias("_fresh"))
     if stored_keys is None:
-        return intake.idempotent_outcomes(fresh)
+        return intake.idempotent_outcomes(commands)
     known = stored_keys.join(
         commands.select("idempotency_key").distinct(), "idempotency_key", "left_semi"
     )
-    past = known.select(
-        "idempotency_key",
-        F.lit(-1).cast("bigint").alias("sequence"),
-        "request_fingerprint",
-        "complaint_id",
-        F.lit(False).alias("_fresh"),
+    return intake.idempotent_outcomes(commands, known)
+
+
+def created_keys(commands: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(idempotency_key, request_fingerprint, complaint_id) of the commands that created something."""
+    created = outcomes.filter(F.col("outcome") == "created").select("idempotency_key", "sequence", "complaint_id")
+    return (
+        commands.join(created, ["idempotency_key", "sequence", "complaint_id"], "left_semi")
+        .select("idempotency_key", "request_fingerprint", "complaint_id")
+        .dropDuplicates(["idempotency_key"])
     )
-    return intake.idempotent_outcomes(past.unionByName(fresh)).filter(F.col("sequence") >= 0)
 
 
 def submission_stream(commands: DataFrame, store: SnapshotStore) -> DataStreamWriter:
@@ -77,12 +81,6 @@ def submission_stream(commands: DataFrame, store: SnapshotStore) -> DataStreamWr
         batch = cut_lineage(intake.with_fingerprint(batch))
         stored = store.read("keys") if "keys" in store.tables() else None
         outcomes = cut_lineage(outcomes_against(batch, stored))
-        created = outcomes.filter(F.col("outcome") == "created").select(
-            "idempotency_key", "sequence"
-        )
-        keys = batch.join(created, ["idempotency_key", "sequence"], "left_semi").select(
-            "idempotency_key", "request_fingerprint", "complaint_id"
-        )
-        return {}, {"outcomes": outcomes, "keys": keys}
-
-    return commands.writeStream.foreachBatch(once(store, apply))
+        return {}, {"outcomes": outcomes, "keys": created_keys(batch, outcomes)}
+
+    return commands.writeStream.foreachBatch(once(store, "submissions", apply))

@@ -29,7 +29,7 @@ def complaints(spark, rows) -> DataFrame:
         "id string, text string, latitude double, longitude double, reported_at timestamp, "
         "category string, photo_path string"
     )
-    return to_complaints(spark.createDataFrame(full, schema), ascii_only=True)
+    return to_complaints(spark.createDataFrame(full, schema))
 
 
 def edges(spark, rows) -> DataFrame:

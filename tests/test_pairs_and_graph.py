@@ -6,7 +6,7 @@ from helpers import brute_force_pairs, complaints, edges, uid, union_find
 
 from reportmesh.operators import candidates, collapse, graph, incidents, matching
 from reportmesh.operators.skew import lookup
-from reportmesh.policy import IdentityPolicy, MatchingPolicy
+from reportmesh.policy import MatchingPolicy
 
 
 def random_reports(seed, n=220):
@@ -85,23 +85,47 @@ def test_review_edges_never_bridge_and_conflicts_surface(spark):
     assert reason.startswith("no_match contradicts confirmed component for " + uid(2))
 
 
-def test_incident_id_is_the_named_uuid_and_large_incidents_use_the_digest(spark):
+def test_incident_id_names_the_member_set_at_every_size(spark):
+    import hashlib
     import uuid
 
     members = spark.createDataFrame(
         [(uid(n), uid(1)) for n in range(1, 6)] + [(uid(9), uid(9))], "id string, component string"
     )
+
+    def name(ids):
+        rows = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
+        lanes = [str(sum(int(r[8 * k : 8 * k + 8], 16) for r in rows)) for k in range(8)]
+        digest = hashlib.sha256(":".join([str(len(ids)), *lanes]).encode()).hexdigest()
+        return str(uuid.uuid5(uuid.NAMESPACE_URL, "incident-v1:" + digest))
+
     ids = {r["component"]: r["incident_id"] for r in incidents.incident_ids(members).collect()}
-    listed = ",".join(uid(n) for n in range(1, 6))
-    assert ids[uid(1)] == str(uuid.uuid5(uuid.NAMESPACE_URL, "incident-v1:" + listed))
-    assert ids[uid(9)] == str(uuid.uuid5(uuid.NAMESPACE_URL, "incident-v1:" + uid(9)))
-    tiny = IdentityPolicy(listed_members_max=3)
-    a = {r["component"]: r["incident_id"] for r in incidents.incident_ids(members, tiny).collect()}
-    b = {
-        r["component"]: r["incident_id"]
-        for r in incidents.incident_ids(members.filter(F.col("id") != uid(5)), tiny).collect()
-    }
-    assert a[uid(1)] not in (ids[uid(1)], b[uid(1)]) and a[uid(9)] == ids[uid(9)]
+    assert ids == {uid(1): name([uid(n) for n in range(1, 6)]), uid(9): name([uid(9)])}
+
+
+def test_components_of_a_long_path(spark):
+    """A path of 5 000 nodes in shuffled order: as many rounds as it takes."""
+    names = list(range(5000))
+    random.Random(2).shuffle(names)
+    links = [(uid(a), uid(b)) for a, b in zip(names, names[1:])]
+    pairs = spark.createDataFrame(links, "left_id string, right_id string")
+    nodes = spark.createDataFrame([(uid(n),) for n in names], "id string")
+    got = graph.connected_components(nodes, pairs).select("component").distinct().collect()
+    assert [r[0] for r in got] == [uid(0)]
+
+
+def test_a_missing_vector_is_no_silent_loss(spark):
+    df = complaints(spark, [(n, "pothole block a", 3.0, 101.0, n, "pothole") for n in range(4)])
+    vectors = spark.createDataFrame([(uid(n), [1.0, 2.0]) for n in range(3)], "id string, vector array<double>")
+    pairs = candidates.candidate_pairs(df)
+    scored = matching.score_pairs(pairs, matching.evidence_table(df, vectors))
+    assert scored.count() == pairs.count() == 6
+    assert {r["right_id"] for r in matching.unusable_pairs(scored).collect()} | {
+        r["left_id"] for r in matching.unusable_pairs(scored).collect()
+    } == {uid(n) for n in range(4)}
+    with pytest.raises(Exception, match="no usable vector"):
+        matching.match_pairs(scored).collect()
+
 
 
 def _world(spark, copies):

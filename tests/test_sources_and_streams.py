@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 from helpers import BASE, complaints, uid
 
-from reportmesh.operators import evaluation, intake, metrics, quality
+from reportmesh.operators import evaluation, incidents, intake, metrics, quality, read_models, reviews
 from reportmesh.operators.ranks import running_sums
 from reportmesh.plans.flow import Flow
 from reportmesh.plans.import_dataset import import_counts, import_dataset, seed_checksum
+from reportmesh.plans.incremental import ClusterState
 from reportmesh.sources import documents, photos
-from reportmesh.sources.store import SnapshotStore
-from reportmesh.streaming import embed
+from reportmesh.sources.store import ConcurrentPublish, SnapshotStore
+from reportmesh.streaming import embed, live
 from reportmesh.streaming.cluster import cluster_stream
 from reportmesh.streaming.intake import submission_stream
 
@@ -63,13 +64,13 @@ def seed_rows():
     return [row("k1", "pothole block a", 0), row("k2", "pothole block a", 1), row("k3", "pothole", 2)]
 
 
-def seed_document(spark, checksum, resolutions=()):
+def seed_document(spark, checksum, resolutions=(), rows=None, **changes):
     manifest = {
         "seed_version": "s1", "content_sha256": checksum, "normalization_version": "normalization-v1",
         "embedding_model": "intfloat/multilingual-e5-small", "embedding_dimension": 64,
         "matching_policy_version": "matching-v1", "priority_policy_version": "priority-v1",
-    }
-    doc = {"manifest": manifest, "complaints": seed_rows(), "review_resolutions": list(resolutions)}
+    } | changes
+    doc = {"manifest": manifest, "complaints": rows or seed_rows(), "review_resolutions": list(resolutions)}
     return spark.createDataFrame([(json.dumps(doc),)], "document string")
 
 
@@ -85,19 +86,38 @@ def test_import_checks_then_publishes(spark, tmp_path):
     with pytest.raises(ValueError, match="manifest"):
         import_dataset(store, seed_document(spark, "0" * 64), vectors_of, places)
     assert store.current() is None
-    _, seed, _ = documents.parse_seed(seed_document(spark, ""))
-    good = seed_checksum(seed)
     approve = {"left_seed_key": "k3", "right_seed_key": "k1", "final_state": "auto_match",
                "reviewer_id": "o1", "note": None}
-    import_dataset(store, seed_document(spark, good, [approve]), vectors_of, places)
+
+    def sound(resolutions, **changes):
+        """A document whose checksum is right, with other manifest fields changed."""
+        _, seed, decided = documents.parse_seed(seed_document(spark, "", resolutions))
+        return seed_document(spark, seed_checksum(seed, decided), resolutions, **changes)
+
+    import_dataset(store, sound([approve]), vectors_of, places)
     counts = {(r["domain"], r["value"]): r["count"] for r in import_counts(store).collect()}
     assert counts[("review", "approved")] == 1 and counts[("review", "pending")] == 1
     assert sum(v for (d, _), v in counts.items() if d == "priority") == 1
     before = store.current()
-    bad = {**approve, "right_seed_key": "nobody"}
-    with pytest.raises(ValueError, match="resolution"):
-        import_dataset(store, seed_document(spark, good, [bad]), vectors_of, places)
-    assert store.current() == before
+
+    def rejected(message, document):
+        with pytest.raises(ValueError, match=message):
+            import_dataset(store, document, vectors_of, places)
+        assert store.current() == before
+
+    rejected("resolution", sound([{**approve, "right_seed_key": "nobody"}]))
+    rejected("resolution", sound([{**approve, "final_state": "maybe"}]))
+    rejected("resolution", sound([{**approve, "reviewer_id": " "}]))
+    rejected("manifest", sound([approve], embedding_dimension=65))
+    rejected("manifest", sound([approve], matching_policy_version="other"))
+    rejected("manifest", sound([approve], seed_version=None))
+    other = seed_document(spark, "", rows=[{**seed_rows()[0], "seed_key": "z"}], seed_version="s2")
+    rejected("manifest", sound([]).union(other))
+    _, seed, _ = documents.parse_seed(seed_document(spark, ""))
+    rejected("manifest", seed_document(spark, seed_checksum(seed), [approve]))  # resolutions count too
+    for change in ({"text": "x"}, {"latitude": 91.0}, {"reported_at": "2026-07-12T08:00:00"}, {"category": "lava"}):
+        rows = [{**seed_rows()[0], **change}, *seed_rows()[1:]]
+        rejected("seed complaint is invalid", seed_document(spark, "", rows=rows))
 
 
 def test_validation_rules(spark):
@@ -152,6 +172,134 @@ def test_submission_stream_replays_and_conflicts_across_batches(spark, tmp_path)
     }
 
 
+def _commands(spark, rows):
+    schema = "idempotency_key string, sequence bigint, complaint_id string, normalized_text string"
+    return spark.createDataFrame(rows, schema).withColumns(
+        {"latitude": F.lit(1.0), "longitude": F.lit(1.0), "reported_at": F.lit(BASE),
+         "category": F.lit("pothole"), "photo_path": F.lit(None).cast("string")}
+    )
+
+
+def _send(spark, store, df, source, checkpoint):
+    df.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    writer = submission_stream(stream, store).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_streams_of_one_store_and_new_checkpoints_lose_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    # two sources, each with its own checkpoint whose batches begin at 0, then a restart from a new one
+    for n, source in enumerate(("a", "b", "c")):
+        rows = [(f"{source}{k}", k - 1, f"{source}{k}", "text") for k in range(3)]
+        _send(spark, store, _commands(spark, rows), str(tmp_path / source), str(tmp_path / f"cp{n}"))
+    assert store.read("outcomes").filter("outcome = 'created'").count() == 9
+    # the same checkpoint again: nothing new, nothing twice
+    _send(spark, store, _commands(spark, [("a9", 5, "a9", "text")]), str(tmp_path / "a"), str(tmp_path / "cp0"))
+    assert store.read("outcomes").count() == 10
+
+
+def test_negative_and_equal_sequences(spark):
+    rows = [("k", -5, "c1", "x"), ("k", -5, "c2", "x"), ("k", -9, "c3", "y"), ("j", -1, "c4", "z")]
+    df = intake.with_fingerprint(_commands(spark, rows))
+    got = {(r["sequence"], r["outcome"]) for r in intake.idempotent_outcomes(df).collect()}
+    assert got == {(-9, "created"), (-5, "conflict"), (-1, "created")}
+    past = df.filter("complaint_id = 'c1'")
+    again = intake.idempotent_outcomes(df, past).collect()
+    assert len(again) == 4 and {r["outcome"] for r in again if r["idempotency_key"] == "k"} == {"replayed", "conflict"}
+    tied = intake.idempotent_outcomes(df.filter("sequence = -5")).collect()
+    assert sorted(r["outcome"] for r in tied) == ["created", "replayed"]
+
+
+def test_publishers_from_one_base_do_not_overwrite_each_other(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    base = store.publish(replaced={"a": spark.range(1)})
+    store.publish(replaced={"b": spark.range(2)}, base=base)
+    with pytest.raises(ConcurrentPublish):
+        store.publish(replaced={"a": spark.range(3)}, base=base)
+    late = SnapshotStore(spark, str(tmp_path / "store"))
+    number = late._latest()
+    late._latest = lambda: number - 1  # saw the snapshot before: its name is taken by now
+    with pytest.raises(ConcurrentPublish):
+        late.publish(replaced={"c": spark.range(4)})
+    assert (store.read("a").count(), store.read("b").count(), store.tables()) == (1, 2, ("a", "b"))
+
+
+def test_appends_are_merged(spark, tmp_path, monkeypatch):
+    import reportmesh.sources.store as module
+
+    monkeypatch.setattr(module, "MAX_FOLDERS", 3)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    for n in range(8):
+        store.publish(appended={"t": spark.range(n, n + 1)})
+    assert store.read("t").count() == 8 and len(store._read_pointer()["tables"]["t"]) <= 3
+
+
+def test_dangling_reviews_stay_visible(spark):
+    rows = spark.createDataFrame([("r1", uid(1), uid(2)), ("r2", uid(1), uid(77))], "review_id string, left_id string, right_id string")
+    df = complaints(spark, [(1, "a pothole", 3.0, 101.0, 0, "pothole"), (2, "a pothole", 3.0, 101.0, 0, "pothole")])
+    got = {r["review_id"]: r["right_text"] for r in read_models.review_read(rows, df).collect()}
+    assert got["r1"] is not None and got["r2"] is None
+    assert [(r["review_id"], r["id"]) for r in read_models.dangling_reviews(rows, df).collect()] == [("r2", uid(77))]
+
+
+def test_submissions_continue_an_imported_store(spark, tmp_path):
+    """Import, then streamed submissions, then officer decisions: equal to one batch job each time."""
+    rng = random.Random(8)
+    rows = [
+        (n, f"pothole {rng.choice(['block a', 'near the school', 'block b'])}", 3 + rng.uniform(0, 0.02), 101.0,
+         rng.uniform(0, 200), "pothole")
+        for n in range(60)
+    ]
+    df = complaints(spark, rows).cache()
+    old, new = df.filter(F.col("id") < uid(30)), df.filter(F.col("id") >= uid(30))
+    places = spark.createDataFrame([("p", "school", 3.01, 101.0)], "place_id string, kind string, latitude double, longitude double")
+    now = F.lit(BASE + dt.timedelta(hours=300))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    first = Flow(old, vectors_of(old), places)
+    version = incidents.graph_version(first.matched).first()["graph_version"]
+    pending = reviews.new_reviews(first.matched, now, F.lit(version))
+    state = ClusterState(first.complaints, first.vectors, first.matched, first.members, pending)
+    live.publish_state(store, state, first.assessed(now), old.select(F.col("id").alias("idempotency_key"), F.col("id").alias("complaint_id")).withColumn("request_fingerprint", F.lit("x")))
+    commands = new.select(
+        F.concat(F.lit("key-"), "id").alias("idempotency_key"), F.lit(1).cast("bigint").alias("sequence"), F.col("id").alias("complaint_id"),
+        "id", "text", "latitude", "longitude", "reported_at", "category", "photo_path", F.lit(None).cast("string").alias("photo_id"),
+    )
+    source = str(tmp_path / "in")
+    for part in range(2):
+        commands.filter(F.pmod(F.xxhash64("complaint_id"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = live.submit_stream(stream, store, vectors_of, places, now).option("checkpointLocation", str(tmp_path / "cp"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+    def rows_of(table):
+        return {(r["component"], r["incident_id"], r["report_count"], r["pending_count"], r["status"], r["priority_level"]) for r in table.collect()}
+
+    whole = Flow(df, vectors_of(df), places)
+    assert store.read("complaints").count() == 60
+    assert rows_of(store.read("incidents")) == rows_of(whole.assessed(now))
+    want = {(r["left_id"], r["right_id"]) for r in whole.matched.filter("decision = 'review_required'").collect()}
+    assert {(r["left_id"], r["right_id"]) for r in store.read("reviews").collect()} == want and want
+    some = store.read("reviews").orderBy("review_id").limit(4)
+    decisions = some.select(
+        F.xxhash64("review_id").alias("sequence"), "review_id", (F.pmod(F.xxhash64("review_id"), F.lit(2)) == 0).alias("approve"),
+        F.lit("officer").alias("reviewer_id"), F.lit(None).cast("string").alias("note"), now.alias("resolved_at"),
+    )
+    unknown = decisions.limit(1).withColumns({"review_id": F.lit("nobody"), "sequence": F.lit(0).cast("bigint")})
+    results = live.resolve_and_publish(store, decisions.unionByName(unknown), places, now).collect()
+    assert sorted(r["outcome"] for r in results if r["outcome"] != "unknown_review") and len(results) == 5
+    assert all((r["new_ids"] is None) == (r["outcome"] == "unknown_review") for r in results)
+    after = Flow(df, vectors_of(df), places, store.read("reviews"))
+    assert rows_of(store.read("incidents")) == rows_of(after.assessed(now))
+
+
+def test_half_a_store_is_refused(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.publish(replaced={"complaints": spark.range(1)})
+    with pytest.raises(ValueError, match="lacks"):
+        live.load_state(store)
+
+
 def test_cluster_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [

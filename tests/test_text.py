@@ -48,13 +48,6 @@ def test_normalize_matches_definition_and_is_idempotent(spark):
     assert got[1] == "lampu jalan rosak"
 
 
-def test_ascii_shortcut_agrees(spark):
-    ascii_only = [t for t in TRICKY if t.isascii()]
-    assert column(spark, ascii_only, lambda c: text.normalize_text(c, ascii_only=True)) == column(
-        spark, ascii_only, text.normalize_text
-    )
-
-
 def test_whole_documents_normalise_like_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = docs.select("text", text.normalize_text(F.col("text")).alias("n")).collect()
