@@ -52,16 +52,6 @@ def request_fingerprint(
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def draft_fingerprint(text: Column, latitude: Column, longitude: Column, category: Column) -> Column:
-    return F.sha2(
-        F.concat_ws(
-            "\u0001", text, latitude.cast("string"), longitude.cast("string"),
-            F.coalesce(category, F.lit("other")),
-        ),
-        256,
-    )
-
-
 def digest_lanes(row_digest: Column) -> list[Column]:
     """Split a 64-hex digest into eight 32-bit numbers.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_metres
 from ..functions.text import safety_hits
 from ..policy import PRIORITY_LEVELS, PriorityPolicy
-from .candidates import GeoGrid
+from .candidates import GeoGrid, split_hot_blocks
 
 RANK_NAMES = ("low", "medium", "high", "critical")
 
@@ -39,10 +39,12 @@ def exposed_places(
     members: DataFrame,
     places: DataFrame,
     policy: PriorityPolicy = PriorityPolicy(),
+    hot_rows: int = 500_000,
 ) -> DataFrame:
     """Distinct (component, place_id, kind) within the radius of any member.
 
-    Grid equi-join: every report sits in one cell, every place visits the cells around it.
+    Grid equi-join: every report sits in one cell, every place visits the cells around it. Crowded
+    cells are split, as in the pair join.
     """
     radius = policy.sensitive_location_radius_metres
     grid = GeoGrid(radius)
@@ -63,8 +65,9 @@ def exposed_places(
             ),
         )
     )
+    spots, around = split_hot_blocks(spots, around, ["band", "cell"], "id", hot_rows)
     near = (
-        spots.join(around, ["band", "cell"])
+        spots.join(around, ["band", "cell", "_split"])
         .filter(
             haversine_metres(F.col("latitude"), F.col("longitude"), F.col("p_lat"), F.col("p_lon"))
             <= radius

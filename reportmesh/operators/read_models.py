@@ -59,19 +59,42 @@ def _page_bounds(limit: int, offset: int) -> None:
         raise ValueError("offset must not be negative")
 
 
+def beyond(order: list[tuple[Column, bool]], cursor: tuple) -> Column:
+    """Rows that follow ``cursor`` in an order of (column, descending); nulls come last."""
+    later, same = F.lit(False), F.lit(True)
+    for (column, descending), value in zip(order, cursor, strict=True):
+        if value is None:  # only nulls are left, and they are equal
+            same = same & column.isNull()
+            continue
+        ahead = column < F.lit(value) if descending else column > F.lit(value)
+        later = later | (same & F.coalesce(ahead, F.lit(True)))
+        same = same & column.eqNullSafe(F.lit(value))
+    return later
+
+
 def incident_queue(
-    incidents: DataFrame, *, limit: int = PAGE_DEFAULT, offset: int = 0, **filters: str | None
+    incidents: DataFrame,
+    *,
+    limit: int = PAGE_DEFAULT,
+    offset: int = 0,
+    after: tuple | None = None,
+    **filters: str | None,
 ) -> DataFrame:
     """One page of the ranked queue; ``total`` counts every row the filters keep.
 
-    A small limit after a sort runs as a distributed top-k, not as a full sort.
+    A small limit after a sort runs as a distributed top-k, not as a full sort. A deep page should
+    name the last row of the page before, ``after`` = (priority_rank, latest_reported_at,
+    incident_id): it costs no more than the first, while an ``offset`` gathers all rows it skips.
     """
     _page_bounds(limit, offset)
     kept = filter_incidents(incidents, **filters)
     total = kept.agg(F.count(F.lit(1))).scalar()
+    ranked = kept.withColumn("priority_rank", priority_rank(F.col("operational_priority")))
+    if after is not None:
+        order = [(F.col("priority_rank"), True), (F.col("latest_reported_at"), True), (F.col("incident_id"), False)]
+        ranked = ranked.filter(beyond(order, after))
     page = (
-        kept.withColumn("priority_rank", priority_rank(F.col("operational_priority")))
-        .orderBy(F.desc("priority_rank"), F.desc("latest_reported_at"), "incident_id")
+        ranked.orderBy(F.desc("priority_rank"), F.desc("latest_reported_at"), "incident_id")
         .offset(offset)
         .limit(limit)
     )
@@ -79,19 +102,29 @@ def incident_queue(
 
 
 def review_queue(
-    reviews: DataFrame, *, status: str | None = None, limit: int = PAGE_DEFAULT, offset: int = 0
+    reviews: DataFrame,
+    *,
+    status: str | None = None,
+    limit: int = PAGE_DEFAULT,
+    offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """Pending first by creation, then resolved by resolution time, newest first."""
+    """Pending first by creation, then resolved by resolution time, newest first.
+
+    ``after`` = (queue_group, queue_time, review_id) of the last row before a deep page.
+    """
     _page_bounds(limit, offset)
     kept = filter_reviews(reviews, status)
     pending = F.col("status") == "pending"
     total = kept.agg(F.count(F.lit(1))).scalar()
+    ranked = kept.withColumn("queue_group", F.when(pending, 0).otherwise(1)).withColumn(
+        "queue_time", F.when(pending, F.col("created_at")).otherwise(F.col("resolved_at"))
+    )
+    if after is not None:
+        order = [(F.col("queue_group"), False), (F.col("queue_time"), True), (F.col("review_id"), False)]
+        ranked = ranked.filter(beyond(order, after))
     page = (
-        kept.withColumn("queue_group", F.when(pending, 0).otherwise(1))
-        .withColumn(
-            "queue_time", F.when(pending, F.col("created_at")).otherwise(F.col("resolved_at"))
-        )
-        .orderBy("queue_group", F.desc_nulls_last("queue_time"), "review_id")
+        ranked.orderBy("queue_group", F.desc_nulls_last("queue_time"), "review_id")
         .offset(offset)
         .limit(limit)
     )

@@ -151,10 +151,11 @@ def q_embed(spark, d):
 
 
 def _as_stream(spark, df: DataFrame, parts: int) -> DataFrame:
-    """The rows as a file stream of ``parts`` files, one file per micro-batch."""
+    """The rows as a file stream of ``parts`` micro-batches of several files each."""
+    files = spark.sparkContext.defaultParallelism
     path = f"{ensure_checkpoint_dir(spark)}/stream-{_unique()}"
-    df.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.repartition(files * parts).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _unique() -> str:
@@ -186,9 +187,11 @@ def q_stream_submissions(spark, d):
     )
     subs = cut_lineage(subs)
     path = f"{ensure_checkpoint_dir(spark)}/stream-{_unique()}"
+    files = spark.sparkContext.defaultParallelism
     for part in range(3):
-        subs.filter(F.col("sequence") % 3 == part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = subs.filter(F.col("sequence") % 3 == part)
+        rows.repartition(files).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", files).parquet(path)
     store = _store(spark)
     _drain(spark, submission_stream(stream, store))
     return store.read("outcomes")

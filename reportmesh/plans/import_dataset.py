@@ -76,6 +76,7 @@ def import_dataset(
 
     ``vectors_of`` maps complaints to (id, vector). Priorities are scored at the latest report.
     """
+    quality.require_empty(documents.place_violations(places), "sensitive place is invalid")
     manifests, seed, resolutions = documents.parse_seed(seed_documents)
     seed = cut_lineage(seed)
     quality.require_empty(documents.seed_violations(seed), "seed_key values must be unique")

@@ -580,6 +580,7 @@ _documents = f"trim(regexp_replace(regexp_replace({_folded}, '\\p{{P}}', ' ', 'g
 for _source in sorted(ALIASES, key=len, reverse=True):
     _documents = f"regexp_replace({_documents}, '\\b{_source}\\b', '{ALIASES[_source]}', 'g')"
 add("normalize_documents", f"SELECT doc_id, {_documents} AS normalized_text FROM documents")
+add("read_aliases", "SELECT id, nt AS normalized_text FROM complaints", "complaints")
 add("normalize_text", "SELECT id, nt AS normalized_text FROM complaints", "complaints")
 add(
     "extract_locations",

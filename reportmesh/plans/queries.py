@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -26,7 +27,7 @@ from ..operators import (
     sets,
     spatial,
 )
-from ..policy import REVIEW_STATUSES, MatchingPolicy
+from ..policy import NORMALIZATION_VERSION, REVIEW_STATUSES, MatchingPolicy
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents, photos
 from ..sources import fixtures as fx
@@ -416,6 +417,18 @@ def q_fingerprint(spark, d):
 # --- text -------------------------------------------------------------------------------------
 
 
+@query("read_aliases")
+def q_aliases(spark, d):
+    """Reports normalised with an alias file read back from the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/aliases-{uuid.uuid4().hex}"
+    payload = json.dumps({"version": NORMALIZATION_VERSION, "aliases": text.ALIASES})
+    spark.createDataFrame([(payload,)], "document string").coalesce(1).write.text(path)
+    aliases = documents.read_aliases(spark, path)
+    return fx.reports(spark, d).select(
+        "id", text.normalize_text(F.col("text"), aliases).alias("normalized_text")
+    )
+
+
 @query("normalize_text")
 def q_normalize(spark, d):
     return fx.complaints(spark, d, with_locations=False).select("id", "normalized_text")

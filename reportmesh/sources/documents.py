@@ -79,10 +79,9 @@ def read_sensitive_locations(spark: SparkSession, path: str) -> DataFrame:
     return parse_places(read_texts(spark, path))
 
 
-def read_aliases(path: str) -> dict[str, str]:
+def read_aliases(spark: SparkSession, path: str) -> dict[str, str]:
     """Versioned alias map: a small driver-side config that becomes literals in the plan."""
-    with open(path, encoding="utf-8") as handle:
-        payload = json.load(handle)
+    payload = json.loads(read_texts(spark, path).first()["document"])
     if payload.get("version") != NORMALIZATION_VERSION:
         raise ValueError(f"expected {NORMALIZATION_VERSION}, got {payload.get('version')}")
     aliases = payload.get("aliases")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,47 @@ def test_affected_areas(spark):
     )
     got = {r["incident_id"]: (r["geometry_type"], len(r["ring"])) for r in spatial.affected_areas(df).collect()}
     assert got == {uid(1): ("Point", 1), uid(2): ("Polygon", 65)}
+
+
+def test_cursor_pages_equal_offset_pages(spark):
+    rng = random.Random(6)
+    levels = ["critical", "high", "medium", "low", None]
+    rows = [
+        (f"i{n:03d}", rng.choice(levels), None if n % 7 == 0 else BASE + dt.timedelta(hours=rng.randrange(5)), "isolated", ["pothole"])
+        for n in range(60)
+    ]
+    df = spark.createDataFrame(
+        rows, "incident_id string, operational_priority string, latest_reported_at timestamp, status string, category_summary array<string>"
+    )
+    whole = [r["incident_id"] for r in read_models.incident_queue(df, limit=100).collect()]
+    got, last = [], None
+    while page := read_models.incident_queue(df, limit=7, after=last).collect():
+        got += [r["incident_id"] for r in page]
+        last = tuple(page[-1][c] for c in ("priority_rank", "latest_reported_at", "incident_id"))
+    assert got == whole and len(got) == 60
+    reviews = df.select(
+        F.col("incident_id").alias("review_id"), F.when(F.col("operational_priority") == "low", F.lit("approved")).otherwise(F.lit("pending")).alias("status"),
+        F.col("latest_reported_at").alias("created_at"), F.col("latest_reported_at").alias("resolved_at"),
+    )
+    whole = [r["review_id"] for r in read_models.review_queue(reviews, limit=100).collect()]
+    got, last = [], None
+    while page := read_models.review_queue(reviews, limit=7, after=last).collect():
+        got += [r["review_id"] for r in page]
+        last = tuple(page[-1][c] for c in ("queue_group", "queue_time", "review_id"))
+    assert got == whole and len(got) == 60
+
+
+def test_crowded_cells_are_split(spark):
+    df = complaints(spark, [(n, "a pothole", 3.0 + n * 1e-5, 101.0, 0, "pothole") for n in range(40)])
+    members = df.select("id", F.col("id").alias("component"))
+    places = spark.createDataFrame([("p", "school", 3.0, 101.0)], "place_id string, kind string, latitude double, longitude double")
+    one = priority.exposed_places(df, members, places).collect()
+    many = priority.exposed_places(df, members, places, hot_rows=3).collect()
+    assert sorted(one) == sorted(many) and len(one) == 40
+
+
+def test_bad_samples_are_listed(spark):
+    from reportmesh.operators import metrics
+
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", -1.0), ("d", float("nan")), ("e", float("inf"))], "metric string, value double")
+    assert {r["metric"] for r in metrics.invalid_samples(df).collect()} == {"b", "c", "d", "e"}

@@ -46,13 +46,13 @@ def test_photo_manifest_reads_files(spark, tmp_path):
     assert rows["c.jpg"]["rejection"] == "unsupported_photo_type"
 
 
-def test_aliases(tmp_path):
+def test_aliases(spark, tmp_path):
     path = tmp_path / "aliases.json"
     path.write_text(json.dumps({"version": "normalization-v1", "aliases": {"rd": "road"}}))
-    assert documents.read_aliases(str(path)) == {"rd": "road"}
+    assert documents.read_aliases(spark, str(path)) == {"rd": "road"}
     path.write_text(json.dumps({"version": "other", "aliases": {"rd": "road"}}))
     with pytest.raises(ValueError):
-        documents.read_aliases(str(path))
+        documents.read_aliases(spark, str(path))
 
 
 def seed_rows():
