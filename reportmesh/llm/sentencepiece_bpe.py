@@ -25,6 +25,8 @@ from .frames import documents, map_arrow, read, tokenizer_file
 MODEL = "piece_bpe_32k.model"
 _SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
+#: Equal words are encoded once per block.
+_BLOCK = 2_000_000
 
 
 class Bpe:
@@ -248,7 +250,7 @@ def encode(docs: DataFrame, columns: tuple[str, ...] = ("ids", "decoded"), model
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens = bpe(tokenizer_file(model))
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
+        for i, j, data, offsets in flat_blocks(batch.column("text"), _BLOCK):
             ids, rows = tokens.encode(data, offsets)
             texts = tokens.decode_rows(ids, rows) if {"decoded", "decoded_sha256"} & {*columns} else []
             # row by row: a block's ids as Python numbers would take far more room than its array

@@ -3,7 +3,7 @@
 A byte goes if some 50-byte string over it also starts in a document with a smaller id. The strings of
 the collection are cut so that equal windows always meet, whatever surrounds them:
 
-1. A window's key is the smallest hash of the 16-byte strings in it; neighbouring windows with one key
+1. A window's key is the smallest hash of the 20-byte strings in it; neighbouring windows with one key
    form a segment of at most 64 windows. Equal windows have equal keys.
 2. Equal segments (key and digest) are one string of the collection, its owner the smallest document;
    the copies of other documents go whole. A string that is alone under its key has nothing to match.
@@ -34,10 +34,10 @@ from .flat import _BYTE, flat, flat_blocks, hash_spans, mix, ranges
 from .frames import BATCH_ROWS, arrived, documents, map_arrow, read, travelling
 
 WINDOW = 50
-_GRAM, _LONG_GRAM = 16, 42
+_GRAM, _LONG_GRAM = 20, 42
 _RUN = 64
 #: Different strings under a key from which they are cut anew, over all batches and in one.
-HOT = 16_384
+HOT = 4096
 BATCH_HOT = 256
 GROUP_SEGMENTS = 5_000
 _M = 0xD6E8FEB86659FD93

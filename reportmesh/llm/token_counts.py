@@ -25,6 +25,8 @@ from .flat import NOT_SPACE, counts_of, flat_blocks, hash_spans, words
 from .frames import documents, map_arrow, read, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Equal words are scanned once per block.
+_BLOCK = 2_000_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -119,7 +121,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scan = automaton(tokenizer_file(vocabulary))
-        for i, j, data, offsets in flat_blocks(batch.column("text")):
+        for i, j, data, offsets in flat_blocks(batch.column("text"), _BLOCK):
             starts, ends, rows = words(data, offsets, NOT_SPACE)
             _, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
             per_word = scan.counts(data, starts[first], ends[first])[inverse] if len(starts) else np.zeros(0, np.int64)
