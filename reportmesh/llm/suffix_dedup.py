@@ -133,14 +133,6 @@ def _outside(batch: pa.RecordBatch, i: int, data: np.ndarray, offsets: np.ndarra
     return outside
 
 
-def _runs(owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of equal owners in each string's windows: string, first window, length."""
-    string = np.repeat(np.arange(len(counts)), counts)
-    head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (string[1:] != string[:-1])]) if len(owner) else np.zeros(0, np.int64)
-    firsts = np.cumsum(counts) - counts
-    return string[head], head - firsts[string[head]], np.diff(np.r_[head, len(owner)])
-
-
 FOLLOWS, MEETS, MEETS_MANY = 1, 2, 3
 
 
@@ -309,15 +301,18 @@ def match(shipped: DataFrame) -> DataFrame:
         some = table["segment"].combine_chunks().cast(pa.large_binary()).take(pa.array(once))
         offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
         counts, owner = smallest_owner(np.frombuffer(some.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets), doc[fresh], WINDOW)
-        own, first, size = _runs(owner, counts)
-        value = owner[(np.cumsum(counts) - counts)[own] + first]
-        bounds = np.searchsorted(own, np.arange(len(once) + 1))
-        row_runs = np.diff(bounds)[string]
-        row, run = np.repeat(np.arange(len(doc)), row_runs), ranges(bounds[:-1][string], row_runs)
-        keep = value[run] < doc[row]
-        row, run = row[keep], run[keep]
-        place = low[row] + first[run]
-        return result(doc[row], place, place + size[run])
+        # each row's windows with an owner before its document, neighbours as one range
+        own = counts[string]
+        at = ranges((np.cumsum(counts) - counts)[string], own)
+        row = np.repeat(np.arange(len(doc)), own)
+        place = ranges(low.astype(np.int64), own)
+        goes = owner[at] < doc[row]
+        row, place = row[goes], place[goes]
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+        head = np.flatnonzero(head)
+        last = np.r_[head[1:], len(row)][: len(head)].astype(np.int64) - 1
+        return result(doc[row[head]], place[head], place[last] + 1)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

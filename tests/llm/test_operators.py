@@ -159,6 +159,15 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert got == [(-1, 0, text.encode()), (3, 0, text.encode()), (3, 0, text.encode()), (8, 120, "é".encode())]
 
 
+def test_shared_keys_without_a_match(spark):
+    """49 common bytes bring strings together, and none of them goes."""
+    rnd = random.Random(1)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    common = noise(49)
+    df = spark.createDataFrame([(n, noise(80) + str(n) + common + str(n) + noise(80)) for n in range(6)], "doc_id long, text string")
+    assert {r.n_removed for r in sd.deduplicate(df).collect()} == {0}
+
+
 def test_strings_of_many_batches(spark):
     """Kinds must agree with all pairs of rows, whatever batches the rows came in."""
     rng = np.random.default_rng(4)
