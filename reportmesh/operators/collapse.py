@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_metres
+from ..functions.geo import haversine_metres, temporal_gap_seconds
 from ..functions.locations import compare_location_sets, location_sets, location_tokens
 from ..functions.vectors import cosine_from_parts, norm
 from ..policy import AUTO_MATCH, NO_MATCH, OTHER, MatchingPolicy
@@ -147,6 +147,34 @@ def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> Data
     )
 
 
+def _among_candidates(pairs: DataFrame, complaints: DataFrame, policy: MatchingPolicy) -> DataFrame:
+    """The given pairs that are candidates: an approval overrides a decision, it makes no new pair."""
+    side = lambda p: complaints.select(
+        F.col("id").alias(f"{p}_id"),
+        F.struct(
+            F.coalesce("category", F.lit(OTHER)).alias("category"),
+            "latitude",
+            "longitude",
+            "reported_at",
+        ).alias(p),
+    )
+    near = haversine_metres(
+        F.col("left.latitude"), F.col("left.longitude"), F.col("right.latitude"), F.col("right.longitude")
+    )
+    gap = temporal_gap_seconds(F.col("left.reported_at"), F.col("right.reported_at"))
+    category = F.col("left.category")
+    return (
+        pairs.select("left_id", "right_id")
+        .join(side("left"), "left_id")
+        .join(side("right"), "right_id")
+        .filter(
+            (category == F.col("right.category")) | (category == OTHER) | (F.col("right.category") == OTHER)
+        )
+        .filter((near <= policy.geographic_radius_metres) & (gap <= policy.window_seconds))
+        .select("left_id", "right_id")
+    )
+
+
 def collapsed_components(
     complaints: DataFrame,
     vectors: DataFrame,
@@ -201,7 +229,7 @@ def collapsed_components(
                 ["left_id", "right_id"],
                 "left_anti",
             )
-            .unionByName(resolved.filter(final == AUTO_MATCH).select("left_id", "right_id"))
+            .unionByName(_among_candidates(resolved.filter(final == AUTO_MATCH), complaints, policy))
         )
     roots = connected_components(nodes.select(F.col("node").alias("id")), links).toDF("node", "root")
     rooted = nodes.select("node", "rep", "rows").join(roots, "node")
