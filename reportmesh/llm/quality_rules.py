@@ -39,9 +39,8 @@ def _line_words(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(_SPACE)), _SPLIT))
 
 
-def line_fails(line: Column) -> Column:
-    """Rules for one line that has a word."""
-    n = _line_words(line)
+def line_fails(line: Column, n: Column) -> Column:
+    """Rules for one line that has ``n`` words, at least one."""
     chars = _without(line, _SPACE)
     symbols = F.length(line) - _without(line, _SYMBOLS)
     separators = F.length(line) - _without(line, "|»›•")
@@ -73,24 +72,25 @@ def quality(docs: DataFrame) -> DataFrame:
     words_left, cleaned, kept.
     """
     text = F.coalesce("text", F.lit(""))
-    has_word = lambda line: _without(line, _SPACE) > 0
+    has_word = lambda line: F.btrim(line, F.lit(_SPACE)) != ""
+    trimmed = F.btrim(text, F.lit(_SPACE))
     step = documents(docs).select(
         "doc_id",
         text.alias("text"),
-        F.filter(F.split(text, _SPLIT), lambda w: w != "").alias("words"),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPLIT)).alias("words"),
         F.filter(F.split(text, "\n"), has_word).alias("lines"),
     )
-    step = step.select(
-        "doc_id", "text", "lines",
-        F.size("words").alias("n"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
-        F.array_distinct("lines").alias("first_lines"),
-    )
-    window = lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))
+    step = step.select("doc_id", "text", "lines", "words", F.size("words").alias("n"), F.array_distinct("lines").alias("first_lines"))
+    word = lambda i: F.get("words", i)
+    window = lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))
     step = step.select(
         "doc_id", "text", "n", "first_lines",
         (F.size("lines") - F.size("first_lines")).alias("n_dup_lines"),
-        F.filter("first_lines", lambda line: ~line_fails(line)).alias("good"),
+        # words are counted once a line, not once for each rule
+        F.filter(
+            F.transform("first_lines", lambda line: F.struct(line.alias("line"), _line_words(line).alias("n"))),
+            lambda m: ~line_fails(m["line"], m["n"]),
+        ).alias("good"),
         F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)).alias("keys"),
     )
     # only texts with a repeated window pay for the sort
@@ -100,7 +100,7 @@ def quality(docs: DataFrame) -> DataFrame:
     twice = lambda i: F.coalesce(key(i) == key(i - 1), F.lit(False)) | F.coalesce(key(i) == key(i + 1), F.lit(False))
     places = F.transform(F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), twice), lambda i: F.get("sorted", i)["i"])
     step = step.withColumn("places", F.when(F.col("sorted").isNotNull(), F.sort_array(places)))
-    left = F.aggregate("good", F.lit(0), lambda total, line: total + _line_words(line))
+    left = F.aggregate("good", F.lit(0), lambda total, m: total + m["n"])
     step = step.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
@@ -109,7 +109,7 @@ def quality(docs: DataFrame) -> DataFrame:
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         F.when(F.col("places").isNull(), 0).otherwise(_covered(F.col("places"))).cast("long").alias("n_repeat_words"),
         left.cast("long").alias("words_left"),
-        F.array_join("good", "\n").alias("cleaned"),
+        F.array_join("good.line", "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return step.withColumn("base_failed", failed).withColumn(
