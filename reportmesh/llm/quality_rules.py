@@ -11,6 +11,9 @@ base rules. Every row is judged by itself.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +42,19 @@ def _line_words(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(_SPACE)), _SPLIT))
 
 
-def line_fails(line: Column, n: Column) -> Column:
-    """Rules for one line that has ``n`` words, at least one."""
+def line_fails(line: Column, n: Column, low: Column) -> Column:
+    """Rules for one line that has ``n`` words, at least one; ``low`` is its lower-case form."""
     chars = _without(line, _SPACE)
     symbols = F.length(line) - _without(line, _SYMBOLS)
     separators = F.length(line) - _without(line, "|»›•")
     marks = F.length(line) - _without(line, "!?")
     ended = F.btrim(line, F.lit(_SPACE)).rlike("[.!?:;,\"')\\]…”»。]$")
+    counted = ((separators >= 2) & (4 * separators >= n)) | (10 * symbols > chars) | ((marks >= 3) & (3 * marks > n))
     return (
-        ((separators >= 2) & (4 * separators >= n))
-        | (10 * symbols > chars)
-        | ((marks >= 3) & (3 * marks > n))
+        # counting characters is dear: plain prose has none of them
+        (line.rlike("[#*$%&|<>»›•!?]") & counted)
         | (~ended & (n < 4))
-        | F.lower(line).rlike(_BOILERPLATE)
+        | reduce(or_, [low.contains(phrase) for phrase in _BOILERPLATE.split("|")])
     )
 
 
@@ -81,15 +84,16 @@ def quality(docs: DataFrame) -> DataFrame:
         F.filter(F.split(text, "\n"), has_word).alias("lines"),
     )
     step = step.select("doc_id", "text", "lines", "words", F.size("words").alias("n"), F.array_distinct("lines").alias("first_lines"))
+    word_chars = F.length(F.array_join("words", ""))
     word = lambda i: F.get("words", i)
     window = lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))
     step = step.select(
-        "doc_id", "text", "n", "first_lines",
+        "doc_id", "text", "n", "first_lines", word_chars.alias("word_chars"),
         (F.size("lines") - F.size("first_lines")).alias("n_dup_lines"),
-        # words are counted once a line, not once for each rule
+        # words and lower case are made once a line, not once for each rule
         F.filter(
-            F.transform("first_lines", lambda line: F.struct(line.alias("line"), _line_words(line).alias("n"))),
-            lambda m: ~line_fails(m["line"], m["n"]),
+            F.transform("first_lines", lambda line: F.struct(line.alias("line"), _line_words(line).alias("n"), F.lower(line).alias("low"))),
+            lambda m: ~line_fails(m["line"], m["n"], m["low"]),
         ).alias("good"),
         F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)).alias("keys"),
     )
@@ -104,8 +108,8 @@ def quality(docs: DataFrame) -> DataFrame:
     step = step.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
-        _without(F.col("text"), _SPACE).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), _SYMBOLS)).cast("long").alias("n_symbols"),
+        F.col("word_chars").cast("long").alias("word_chars"),
+        F.when(F.col("text").rlike("[#*$%&|<>]"), F.length("text") - _without(F.col("text"), _SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         F.when(F.col("places").isNull(), 0).otherwise(_covered(F.col("places"))).cast("long").alias("n_repeat_words"),
         left.cast("long").alias("words_left"),
