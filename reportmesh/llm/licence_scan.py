@@ -1,9 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised (lower case, quotes and marks out, one blank between
-words). Known licence sentences get an identifier; the sequence of identifiers in the text is then
-matched against ordered rules, longest first: each match names a licence and uses its identifiers up.
-Identifiers left over and sentences that speak of a licence without being known are reported too.
+A text is cut into sentences at sentence ends and blank lines; a line break within is a blank, and the
+leaders of comment lines ('#', '*', '//') are no text. Sentences are normalised (lower case, quotes and
+marks out, one blank between words). Known licence sentences get an identifier, one for each part that a
+pattern knows, so that one-line notices without an end are found one by one; the sequence of identifiers
+in the text is then matched against ordered rules, longest first: each match names a licence and uses its
+identifiers up. Identifiers left over and sentences that speak of a licence without being known are
+reported too.
 
 Null texts have no sentences. Every row is judged by itself. Only texts with a cue word are cut; every
 known sentence has one, so nothing is missed (a test holds the patterns to that).
@@ -12,6 +15,7 @@ known sentence has one, so nothing is missed (a test holds the patterns to that)
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,36 +25,37 @@ from pyspark.sql import DataFrame, SparkSession
 from .flat import flat_blocks, lower_ascii
 from .frames import documents, map_arrow, read
 
-CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"as is", b"as-is", b"public domain", b"spdx", b"endorse", b"cc0", b"creative commons")
+#: Single words, where a known sentence has no other cue: lines may break between two.
+CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"as is", b"as-is", b"domain", b"spdx", b"endorse", b"cc0", b"commons")
 
-#: Known sentences: identifier and pattern of the whole normalised sentence (public licence texts).
+#: Known sentences: identifier and pattern of a part of the normalised sentence (public licence texts).
 SENTENCES = [
-    ("spdx", r".*spdx license identifier (?P<name>[a-z0-9.+ -]+)"),
-    ("cc", r".*licensed under (?:a |the )?(?:creative commons|cc)[ -](?P<name>by(?:[ -](?:nc|sa|nd))*)(?: license)?(?: version)? ?v?(?P<version>[0-9.]+)?.*"),
-    ("cc0", r".*(?:cc0|creative commons zero).*"),
-    ("apache_by", r".*licensed under the apache license version (?P<version>[0-9.]+).*"),
-    ("apache_except", r".*you may not use this file except in compliance with the license.*"),
-    ("apache_copy", r".*you may obtain a copy of the license at.*"),
-    ("apache_basis", r".*distributed under the license is distributed on an as is basis.*"),
-    ("apache_see", r".*see the license for the specific language governing permissions and limitations.*"),
-    ("mit_by", r".*(?:released|licensed|available) under the (?:terms of the )?mit license.*"),
-    ("mit_grant", r".*permission is hereby granted free of charge to any person obtaining a copy.*"),
-    ("mit_notice", r".*the above copyright notice and this permission notice shall be included in all copies.*"),
-    ("isc_grant", r".*permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("as_is", r".*the software is provided as is (?:without warranty of any kind|and the author disclaims all warranties).*"),
-    ("bsd_by", r".*(?:released|licensed|available) under the (?P<name>(?:2 clause |3 clause |new |simplified )?bsd) license.*"),
-    ("bsd_pre", r".*redistribution and use in source and binary forms with or without modification are permitted.*"),
-    ("bsd_source", r".*redistributions of source code must retain the above copyright notice.*"),
-    ("bsd_binary", r".*redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd_names", r".*neither the name of .* nor the names of .* may be used to endorse or promote products.*"),
-    ("bsd_as_is", r".*this software is provided by the .* as is and any express or implied warranties.*"),
-    ("gpl_by", r".*licensed under the (?:terms of the )?gnu (?P<name>general|lesser general|affero general) public license(?: version)? ?v?(?P<version>[0-9.]+)?.*"),
-    ("gpl_terms", r".*you can redistribute it and or modify it under the terms of the gnu (?P<name>general|lesser general|affero general) public license.*"),
-    ("gpl_version", r".*either version (?P<version>[0-9.]+) of the license or at your option any later version.*"),
-    ("gpl_hope", r".*distributed in the hope that it will be useful but without any warranty.*"),
-    ("gpl_copy", r".*you should have received a copy of the gnu .* public license.*"),
-    ("mpl", r".*subject to the terms of the mozilla public license v(?:ersion)? ?(?P<version>[0-9.]+).*"),
-    ("public_domain", r".*(?:released|placed|dedicated) (?:in|into|to) the public domain.*"),
+    ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ -]+)"),
+    ("cc", r"licensed under (?:a |the )?(?:creative commons|cc)[ -](?P<name>by(?:[ -](?:nc|sa|nd))*)(?: license)?(?: version)? ?v?(?P<version>[0-9.]+)?"),
+    ("cc0", r"(?:cc0|creative commons zero)"),
+    ("apache_by", r"licensed under the apache license version (?P<version>[0-9.]+)"),
+    ("apache_except", r"you may not use this file except in compliance with the license"),
+    ("apache_copy", r"you may obtain a copy of the license at"),
+    ("apache_basis", r"distributed under the license is distributed on an as is basis"),
+    ("apache_see", r"see the license for the specific language governing permissions and limitations"),
+    ("mit_by", r"(?:released|licensed|available) under the (?:terms of the )?mit license"),
+    ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("as_is", r"the software is provided as is (?:without warranty of any kind|and the author disclaims all warranties)"),
+    ("bsd_by", r"(?:released|licensed|available) under the (?P<name>(?:2 clause |3 clause |new |simplified )?bsd) license"),
+    ("bsd_pre", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd_source", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd_binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd_names", r"neither the name of .*? nor the names of .*? may be used to endorse or promote products"),
+    ("bsd_as_is", r"this software is provided by the .*? as is and any express or implied warranties"),
+    ("gpl_by", r"licensed under the (?:terms of the )?gnu (?P<name>general|lesser general|affero general) public license(?: version)? ?v?(?P<version>[0-9.]+)?"),
+    ("gpl_terms", r"you can redistribute it and or modify it under the terms of the gnu (?P<name>general|lesser general|affero general) public license"),
+    ("gpl_version", r"either version (?P<version>[0-9.]+) of the license or at your option any later version"),
+    ("gpl_hope", r"distributed in the hope that it will be useful but without any warranty"),
+    ("gpl_copy", r"you should have received a copy of the gnu .*? public license"),
+    ("mpl", r"subject to the terms of the mozilla public license v(?:ersion)?\.? ?(?P<version>[0-9.]+)"),
+    ("public_domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
 ]
 
 #: Rules, first match first: the licence and its sequence of identifiers.
@@ -78,22 +83,67 @@ RULES = [
 ]
 
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-_ENDS = re.compile(r"\n|(?<=[.!?;])\s+")
+_LINES = re.compile(r"\r\n?|\n")
+_LEADER = re.compile(r"""(?:[^\w"'“‘(]|_)*(?:(?:dnl|rem|REM|[Cc])(?=\s)(?:[^\w"'“‘(]|_)*)?""")
+_WORD = re.compile(r"[^\W_]")
+_SPDX = re.compile(r"spdx-license-identifier", re.IGNORECASE)
+#: Sentence ends; a version's abbreviation is none.
+_ENDS = re.compile(r"(?<=[.!?;])(?<!\b[vV]\.)(?<!\b[vV]er\.)\s+")
 _MARKS = re.compile(r"[^\w.+]+|_+")
 _SPEAKS = re.compile(r"\b(?:licen[cs]ed?|copyright)\b")
-
-
-def normalise(sentence: str) -> str:
-    return _MARKS.sub(" ", sentence.lower()).strip(" .")
-
-
-def identify(sentence: str) -> tuple[str, str] | None:
-    """Identifier and variant (such as a version) of a normalised sentence."""
+_OPENS = re.compile(r"[A-Z][^A-Z]")
+
+
+def normalise(part: str) -> str:
+    return _MARKS.sub(" ", part.lower()).strip(" ")
+
+
+def sentences(text: str) -> Iterator[list[str]]:
+    """The sentences of a text, as lists of the parts that stand in one line each."""
+    lines: list[str] = []
+    for line in [*_LINES.split(text), ""]:
+        line = line[_LEADER.match(line).end() :] if _WORD.search(line) else ""
+        alone = bool(_SPDX.match(line))
+        if lines and (alone or not line):
+            yield from (sentence.split("\n") for sentence in _ENDS.split("\n".join(lines)))
+            lines = []
+        if alone:  # such an expression ends with its line
+            yield [line]
+        elif line:
+            lines.append(line)
+
+
+def identify(parts: list[str]) -> tuple[list[tuple[str, str]], int]:
+    """Identifiers and variants (such as a version) of a sentence in text order, and the number of its
+    statements that speak of a licence and are not known. A statement ends where a line begins anew."""
+    plain, starts, at = [], [], 0
+    for part in parts:
+        plain.append(normalise(part))
+        starts.append(at)
+        at += len(plain[-1]) + 1
+    sentence = " ".join(plain)
+    taken, seen, found = bytearray(len(sentence)), set(), []
     for name, pattern in _KNOWN:
-        if found := pattern.fullmatch(sentence):
-            groups = found.groupdict()
-            return name, "-".join(p.strip(" .").replace(" ", "-") for p in (groups.get("name"), groups.get("version")) if p)
-    return None
+        for match in pattern.finditer(sentence):
+            low, high = match.span()
+            if taken.find(1, low, high) >= 0:
+                continue
+            taken[low:high] = b"\1" * (high - low)
+            groups = match.groupdict()
+            version = groups.get("version")
+            if version and "." not in version.strip(".") and match.start("version") in starts and not sentence[low : match.start("version")].endswith("version "):
+                version = None  # a number that begins the next line
+            variant = "-".join(p.strip(" .").replace(" ", "-") for p in (groups.get("name"), version) if p)
+            if (once := (bisect_right(starts, low), name, variant)) not in seen:
+                seen.add(once)
+                found.append((low, name, variant))
+    heads = [k for k, part in enumerate(parts) if not k or _OPENS.match(part)]
+    unknown = 0
+    for k, end in zip(heads, [*heads[1:], len(parts)]):
+        low, high = starts[k], starts[end] if end < len(parts) else at
+        if taken.find(1, low, high) < 0:
+            unknown += bool(_SPEAKS.search(sentence[low:high]))
+    return [f[1:] for f in sorted(found)], unknown
 
 
 def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -115,15 +165,12 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
 
 def scan(text: str) -> dict:
     found, unknown = [], 0
-    for sentence in _ENDS.split(text):
-        low = sentence.lower().encode()
+    for parts in sentences(text):
+        low = " ".join(parts).lower().encode()
         if any(cue in low for cue in CUES):
-            plain = normalise(sentence)
-            known = identify(plain)
-            if known:
-                found.append(known)
-            elif _SPEAKS.search(plain):
-                unknown += 1
+            known, others = identify(parts)
+            found += known
+            unknown += others
     names, left = licences(found)
     return {"sentence_ids": [f[0] for f in found], "licences": names, "unused_ids": left, "n_unknown": unknown}
 

@@ -390,3 +390,98 @@ def test_licence_scan(spark, docs, empty):
     assert all(set(rule) <= names for _, rule in ls.RULES)
     cues = [c.decode().replace("-", " ") for c in ls.CUES]
     assert all(any(c in pattern for c in cues) for _, pattern in ls.SENTENCES)
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU General Public License
+along with this program.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy was not distributed with this file, get one.
+"""
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", ";; ", "dnl ", "C  "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licence_texts_in_wrapped_lines(leader, end):
+    want = {MIT_TEXT: "MIT", BSD_TEXT: "BSD-3-Clause", GPL_TEXT: "GPL-or-later:general-3", ISC_TEXT: "ISC", APACHE_TEXT: "Apache:2.0", MPL_TEXT: "MPL:2.0"}
+    want[BSD_TEXT.replace(BSD_TEXT[BSD_TEXT.index("3. N") : BSD_TEXT.index("THIS S")], "")] = "BSD-2-Clause"
+    want["Every file of this folder is dedicated to the public\ndomain."] = "public-domain"
+    for text, licence in want.items():
+        got = ls.scan(end.join(leader + line for line in text.split("\n")))
+        assert (got["licences"], got["unused_ids"]) == ([licence], []), text
+    assert ls.scan(APACHE_TEXT)["n_unknown"] == 1  # the address
+    assert ls.scan(BSD_TEXT)["n_unknown"] == 0
+
+
+def test_licence_notices_of_one_line():
+    """Lines without an end are no sentence of one notice."""
+    got = ls.scan("Copyright 2020 A. Person\nReleased under the MIT License\nLicensed under CC BY 4.0\nYou need a license\n// SPDX-License-Identifier: ISC\nMore words")
+    assert (got["licences"], got["n_unknown"]) == (["MIT", "CC:by-4.0", "SPDX:isc"], 2)
+    assert ls.scan("Licensed under the GNU General Public License\n3 files")["licences"] == ["GPL:general"]
+    assert ls.scan("Licensed under the GNU General Public License\nversion 3")["licences"] == ["GPL:general-3"]
+    assert ls.scan("A Bar License that speaks of\na license in two lines.")["n_unknown"] == 1
