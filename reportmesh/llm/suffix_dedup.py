@@ -17,7 +17,8 @@ transform. Groups in a task are cut at keys, near ``GROUP_SEGMENTS`` strings of
 bounds the transform.
 
 Null and short texts lose nothing. Rows with a null id neither give nor lose. Rows that repeat an id are
-one owner: they do not remove from each other.
+one owner: they do not remove from each other. Where such rows have different texts, places in them
+travel with a digest of their text, so that each row loses its own bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collection_bwt import smallest_owner
@@ -234,25 +235,26 @@ def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return row[head], low[head], high[np.r_[head[1:], len(row)] - 1]
 
 
-_SHIPPED = "key long, segment binary, doc_id long, low int, high int"
+_SHIPPED = "key long, segment binary, doc_id long, text_digest long, low int, high int"
 
 
 def ship(docs: DataFrame) -> DataFrame:
     """Strings that meet others (with their bytes), and ranges of windows that go (without)."""
 
-    def rows(key, segment, doc, low, high) -> pa.RecordBatch:
+    def rows(key, segment, doc, text, low, high) -> pa.RecordBatch:
         """Strings have a segment, whose length tells where they end; ranges have an end instead."""
         n = len(doc)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(key), pa.nulls(n, pa.binary()) if segment is None else pa.array(segment, pa.binary()), pa.array(doc),
+                pa.array(key), pa.nulls(n, pa.binary()) if segment is None else pa.array(segment, pa.binary()), pa.array(doc), pa.array(text),
                 pa.array(low.astype(np.int32)), pa.nulls(n, pa.int32()) if high is None else pa.array(high.astype(np.int32)),
             ],
-            ["key", "segment", "doc_id", "low", "high"],
+            ["key", "segment", "doc_id", "text_digest", "low", "high"],
         )
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").fill_null(0).to_numpy()  # a null id has no tags
+        texts = batch.column("text_digest").to_numpy()
         for i, j, data, offsets in flat_blocks(arrived(batch.column("body"))):
             s = Segments(data, offsets)
             digest = s.digest()
@@ -277,26 +279,27 @@ def ship(docs: DataFrame) -> DataFrame:
             for own, at in sent:
                 if len(at):
                     bytes_ = [raw[a:b] for a, b in zip(own.first[at].tolist(), own.ends[at].tolist())]
-                    yield rows(own.key[at], bytes_, ids[i + own.row[at]], own.local()[at], None)
+                    yield rows(own.key[at], bytes_, ids[i + own.row[at]], texts[i + own.row[at]], own.local()[at], None)
             row, low, high = (np.concatenate(c) for c in zip(*ranges_))
             if len(row):
                 doc = ids[i + row]
-                yield rows(mix(doc.view(np.uint64)).view(np.int64), None, doc, low, high)
+                yield rows(mix(doc.view(np.uint64)).view(np.int64), None, doc, texts[i + row], low, high)
 
     return map_arrow(docs, one, _SHIPPED)
 
 
 def match(shipped: DataFrame) -> DataFrame:
-    """(doc_id, low, high): all ranges of windows that also start in a smaller document."""
+    """(doc_id, text_digest, low, high): all ranges of windows that also start in a smaller document."""
     spark = shipped.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = shipped.repartition(parts, "key").sortWithinPartitions("key", "segment", "doc_id")
 
-    def result(doc, low, high) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
+    def result(doc, text, low, high) -> pa.RecordBatch:
+        columns = (doc, text, low.astype(np.int32), high.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "text_digest", "low", "high"])
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        doc, low, fresh = (table[c].to_numpy() for c in ("doc_id", "low", "fresh"))
+        doc, text, low, fresh = (table[c].to_numpy() for c in ("doc_id", "text_digest", "low", "fresh"))
         once, string = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         some = table["segment"].combine_chunks().cast(pa.large_binary()).take(pa.array(once))
         offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
@@ -312,7 +315,7 @@ def match(shipped: DataFrame) -> DataFrame:
         head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
         head = np.flatnonzero(head)
         last = np.r_[head[1:], len(row)][: len(head)].astype(np.int64) - 1
-        return result(doc[row[head]], place[head], place[last] + 1)
+        return result(doc[row[head]], text[row[head]], place[head], place[last] + 1)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -322,7 +325,7 @@ def match(shipped: DataFrame) -> DataFrame:
                 continue
             segment = batch.column("segment")
             is_range = np.asarray(segment.is_null())
-            key, doc, low = (batch.column(c).to_numpy() for c in ("key", "doc_id", "low"))
+            key, doc, text, low = (batch.column(c).to_numpy() for c in ("key", "doc_id", "text_digest", "low"))
             data, ends = flat(segment)
             size = np.diff(ends)
             high = np.where(is_range, batch.column("high").fill_null(0).to_numpy(), low + size - WINDOW + 1)
@@ -336,7 +339,7 @@ def match(shipped: DataFrame) -> DataFrame:
             last, owner = (key[-1], size[-1], digest[-1]), lead[-1]
             gone = is_range | (lead < doc)
             if gone.any():
-                yield result(doc[gone], low[gone], high[gone])
+                yield result(doc[gone], text[gone], low[gone], high[gone])
             if not gone.all():
                 held.append(pa.Table.from_batches([batch]).append_column("fresh", pa.array(new)).filter(pa.array(~gone)))
                 rows += held[-1].num_rows
@@ -350,13 +353,22 @@ def match(shipped: DataFrame) -> DataFrame:
             yield solve(pa.concat_tables(held))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return dealt.mapInArrow(every, "doc_id long, low int, high int")
+    return dealt.mapInArrow(every, "doc_id long, text_digest long, low int, high int")
+
+
+def _text_digest() -> Column:
+    """Names a text among those of its id; never 0."""
+    return F.xxhash64(F.col("text").cast("string")).bitwiseOR(F.lit(1).cast("long"))
 
 
 def removed_ranges(docs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(doc_id, low, high): window starts whose string also starts in a smaller document."""
-    # an outer join, so that the shuffle of the texts is the one of the last join
-    return match(ship(bodies.join(kinds_of_strings(string_table(docs)), "doc_id", "left")))
+    """(doc_id, text_digest, low, high): window starts whose string also starts in a smaller document.
+    The digest is 0 for ids with one text."""
+    known = docs.filter("doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min(_text_digest()).alias("a"), F.max(_text_digest()).alias("b")).filter("a < b")
+    # outer joins, so that the shuffle of the texts is the one of the last join
+    tagged = bodies.join(kinds_of_strings(string_table(docs)), "doc_id", "left").join(several.select("doc_id", F.lit(True).alias("several")), "doc_id", "left")
+    return match(ship(tagged.withColumn("text_digest", F.when(F.col("several"), F.col("text_digest")).otherwise(F.lit(0).cast("long"))).drop("several")))
 
 
 def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame:
@@ -364,10 +376,12 @@ def deduplicate(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame
 
     ``kept`` are the remaining bytes; as text, bytes of characters that were cut apart go too.
     """
-    own = travelling(docs, *more)
-    ranges_of = removed_ranges(documents(docs), own)
-    lists = ranges_of.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
-    joined = own.join(lists, "doc_id", "left")
+    own = travelling(docs, *more, _text_digest().alias("text_digest"))
+    ranges_of = removed_ranges(documents(docs), own).withColumnsRenamed({"doc_id": "of_doc", "text_digest": "of_text"})
+    # dealt by id alone: the texts are, too
+    lists = ranges_of.repartition("of_doc").groupBy("of_doc", "of_text").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
+    same = (F.col("doc_id") == F.col("of_doc")) & ((F.col("of_text") == 0) | (F.col("of_text") == F.col("text_digest")))
+    joined = own.join(lists, same, "left").drop("of_doc", "of_text", "text_digest")
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in flat_blocks(arrived(batch.column("body"))):

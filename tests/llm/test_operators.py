@@ -159,6 +159,16 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert got == [(-1, 0, text.encode()), (3, 0, text.encode()), (3, 0, text.encode()), (8, 120, "é".encode())]
 
 
+@pytest.mark.parametrize("hot", [2, sd.HOT])
+def test_suffix_dedup_ids_with_several_texts(spark, rows, hot, monkeypatch):
+    """Each row loses its own bytes, whatever other texts have its id."""
+    monkeypatch.setattr(sd.kinds_of_strings, "__defaults__", (hot,))
+    same = [(i // 4 * 4 if i < 60 else i, t) for i, t in rows]
+    same += [(500, "short " + "".join(chr(97 + k * k % 26) for k in range(70))), (500, t := rows[13][1]), (501, t + "." * 60), (501, "no repeat"), (501, t + "." * 60)]
+    df = spark.createDataFrame(same, "doc_id long, text string").repartition(3)
+    assert _spans(sd.deduplicate(df)) == sorted(brute.kept_bytes(same))
+
+
 def test_shared_keys_without_a_match(spark):
     """49 common bytes bring strings together, and none of them goes."""
     rnd = random.Random(1)
