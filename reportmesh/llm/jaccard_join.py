@@ -17,7 +17,8 @@ A document is the set of its different 5-word shingles (as 64-bit hashes); two d
    pairs among its members.
 
 Documents without words are empty and linked with nothing; fewer than 5 words are one shingle. A null
-doc_id has a null component. Rows that repeat an id are one document with several sets.
+doc_id has a null component. Rows that repeat an id are one document with several sets: each set links,
+and all rows of the id have one component. Such sets share one row of short lists, long enough for each.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             c = _classes(sets, ends)
             raw = sets.tobytes()
             own = np.flatnonzero((c[:, 0] == c1[i:j]) & (c[:, 1] == c2[i:j]))  # an id may repeat with other texts
-            own = own[np.unique(ids[i + own], return_index=True)[1]]
+            own = own[np.unique(np.stack([ids[i + own], c1[i + own], c2[i + own]], 1), axis=0, return_index=True)[1]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i).take(pa.array(own)), pa.array(np.diff(ends)[own]),
                  pa.array([raw[8 * ends[k] : 8 * ends[k + 1]] for k in own], pa.binary())],
@@ -160,7 +161,8 @@ def short_lists(sets: DataFrame) -> DataFrame:
         yield sharing.rows_of_keys(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), ids)
 
     mine = sharing.shared(map_arrow(sets, one, sharing.SCHEMA)).groupBy("doc_id").agg(F.collect_set(F.struct("df", "key")).alias("lists"))
-    sizes = sets.groupBy("id").agg(F.max("n").alias("n"))
+    # of an id with several sets the smallest drops the fewest frequent shingles: what any of them needs is left
+    sizes = sets.groupBy("id").agg(F.min("n").alias("n"))
     room = F.size("lists") - F.expr(f"cast(({PERCENT} * n + 99) div 100 as int)") + 1
     return (
         mine.join(sizes, F.col("doc_id") == F.col("id")).withColumn("room", room).filter("room > 0")
@@ -180,10 +182,11 @@ def groups(lists: DataFrame) -> DataFrame:
 def search(ids: np.ndarray, n: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """T-occurrence self-join of one block; returns for each class the smallest id of its component.
 
-    ``sets`` holds the classes' shingles one after the other, ``n`` of each.
+    ``sets`` holds the classes' shingles one after the other, ``n`` of each. Classes of one id are linked.
     """
     size = len(ids)
-    comp = np.arange(size)
+    _, head, same = np.unique(ids, return_index=True, return_inverse=True)
+    comp = head[same]
     doc = np.repeat(np.arange(size), n)
     key, token, df = np.unique(sets, return_inverse=True, return_counts=True)
     live = df[token] > 1
@@ -312,7 +315,24 @@ def components(docs: DataFrame) -> DataFrame:
     named = first.join(roots, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component_id"))
     linked = classes.filter("n > 0 and doc_id is not null").join(named, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = classes.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return _one_of_each_id(classes, linked.unionByName(alone))
+
+
+def _one_of_each_id(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found`` with one component for all sets of an id."""
+    sets = F.struct("c1", "c2")
+    several = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).filter("a < b")
+    several = write_stage(several.select("doc_id"))[0]
+    if several.isEmpty():
+        return found
+    found = write_stage(found)[0]
+    of_them = found.join(several, "doc_id").select("doc_id", "component_id").distinct()
+    lows = of_them.groupBy("doc_id").agg(F.min("component_id").alias("left_id"))
+    edges = of_them.join(lows, "doc_id").filter("left_id < component_id").select("left_id", F.col("component_id").alias("right_id"))
+    edges = write_stage(edges.distinct())[0]
+    vertices = edges.select(F.col("left_id").alias("id")).union(edges.select(F.col("right_id").alias("id"))).distinct()
+    joined = connected_components(vertices, edges).select(F.col("id").alias("component_id"), "component")
+    return found.join(joined, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,33 @@ def test_jaccard_split_blocks(docs, rows, classes, monkeypatch):
     assert _by_id(jj.components(docs), "n_shingles", "component_id") == brute.components(rows)
 
 
+@pytest.mark.parametrize("classes", [3, 2048])
+def test_jaccard_ids_with_several_texts(spark, rows, classes, monkeypatch):
+    """An id links by each of its texts, and all its rows have one component."""
+    monkeypatch.setattr(jj, "BLOCK_CLASSES", classes)
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words[:30]), " ".join(words[30:])
+    long = " ".join(f"long{k}" for k in range(400))
+    near = lambda text, k: f"{text} more{k}"
+    same = [(5, a), (5, b), (5, ""), (7, near(b, 1)), (3, near(a, 2)), (9, b), (2, "one two three four five"), (9, "one two three four five"), (11, long), (11, "x y z q r s t u v w"), (12, "x y z q r s t u v w p"), (13, near(long, 4))]
+    same += [(100 + i // 3 if i % 7 else 100 + i, t) for i, t in rows]
+    of_row = brute.components([(k, t) for k, (_, t) in enumerate(same)])
+    name = {i: i for i, _ in same}
+    while True:  # the smallest id spreads over rows of an id and rows of a component
+        by_root = {}
+        for k, (i, _) in enumerate(same):
+            by_root[of_row[k][1]] = min(by_root.get(of_row[k][1], i), name[i])
+        new = dict(name)
+        for k, (i, _) in enumerate(same):
+            new[i] = min(new[i], by_root[of_row[k][1]], name[by_root[of_row[k][1]]])
+        if new == name:
+            break
+        name = new
+    got = jj.components(spark.createDataFrame(same, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, of_row[k][0], name[i]) for k, (i, _) in enumerate(same))
+    assert name[13] == 11 and name[12] == 11 and name[7] == name[9] == 2
+
+
 def test_search_equals_all_pairs():
     rng = np.random.default_rng(2)
     for _ in range(60):
