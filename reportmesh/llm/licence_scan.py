@@ -26,14 +26,14 @@ from .flat import flat_blocks, lower_ascii
 from .frames import documents, map_arrow, read
 
 #: Single words, where a known sentence has no other cue: lines may break between two.
-CUES = (b"licen", b"copyright", b"permission", b"redistribut", b"warrant", b"as is", b"as-is", b"domain", b"spdx", b"endorse", b"cc0", b"commons")
+CUES = (b"licen", b"copyright", b"permission", b"distribut", b"warrant", b"as is", b"as-is", b"domain", b"spdx", b"endorse", b"cc0", b"commons", b"misrepresent", b"altered")
 
 #: Known sentences: identifier and pattern of a part of the normalised sentence (public licence texts).
 SENTENCES = [
     ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ -]+)"),
     ("cc", r"licensed under (?:a |the )?(?:creative commons|cc)[ -](?P<name>by(?:[ -](?:nc|sa|nd))*)(?: license)?(?: version)? ?v?(?P<version>[0-9.]+)?"),
     ("cc0", r"(?:cc0|creative commons zero)"),
-    ("apache_by", r"licensed under the apache license version (?P<version>[0-9.]+)"),
+    ("apache_by", r"licensed under the apache (?:software )?license(?: version)? ?v?(?P<version>[0-9.]+)?"),
     ("apache_except", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at"),
     ("apache_basis", r"distributed under the license is distributed on an as is basis"),
@@ -41,7 +41,7 @@ SENTENCES = [
     ("mit_by", r"(?:released|licensed|available) under the (?:terms of the )?mit license"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc_grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
     ("as_is", r"the software is provided as is (?:without warranty of any kind|and the author disclaims all warranties)"),
     ("bsd_by", r"(?:released|licensed|available) under the (?P<name>(?:2 clause |3 clause |new |simplified )?bsd) license"),
     ("bsd_pre", r"redistribution and use in source and binary forms with or without modification are permitted"),
@@ -49,12 +49,26 @@ SENTENCES = [
     ("bsd_binary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_names", r"neither the name of .*? nor the names of .*? may be used to endorse or promote products"),
     ("bsd_as_is", r"this software is provided by the .*? as is and any express or implied warranties"),
-    ("gpl_by", r"licensed under the (?:terms of the )?gnu (?P<name>general|lesser general|affero general) public license(?: version)? ?v?(?P<version>[0-9.]+)?"),
-    ("gpl_terms", r"you can redistribute it and or modify it under the terms of the gnu (?P<name>general|lesser general|affero general) public license"),
+    ("gpl_by", r"licensed under the (?:terms of the )?gnu (?P<name>general|lesser general|library general|affero general) public license(?: version)? ?v?(?P<version>[0-9.]+)?"),
+    ("gpl_terms", r"you can redistribute it and or modify it under the terms of the gnu (?P<name>general|lesser general|library general|affero general) public license"),
     ("gpl_version", r"either version (?P<version>[0-9.]+) of the license or at your option any later version"),
     ("gpl_hope", r"distributed in the hope that it will be useful but without any warranty"),
     ("gpl_copy", r"you should have received a copy of the gnu .*? public license"),
     ("mpl", r"subject to the terms of the mozilla public license v(?:ersion)?\.? ?(?P<version>[0-9.]+)"),
+    ("mpl_by", r"(?:released|licensed|available) under the (?:terms of the )?mozilla public license(?: version)? ?v?\.? ?(?P<version>[0-9.]+)?"),
+    ("isc_by", r"(?:released|licensed|available) under the (?:terms of the )?isc license"),
+    ("epl_by", r"under the (?:terms (?:and conditions )?of the )?eclipse public license(?: version| v\.?)? ?v?(?P<version>[0-9.]+)?"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense_any", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense_by", r"(?:released|licensed|available|dedicated) (?:under|to) the unlicense"),
+    ("zlib_as_is", r"this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib_origin", r"the origin of this software must not be misrepresented"),
+    ("zlib_altered", r"altered source versions must be plainly marked as such"),
+    ("zlib_notice", r"this notice may not be removed or altered from any source distribution"),
+    ("zlib_by", r"(?:released|licensed|available) under the (?:terms of the )?zlib license"),
+    ("boost_by", r"(?:distributed|released|licensed|available) under the (?:terms of the )?boost software license(?: version)? ?v?(?P<version>[0-9.]+)?"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("public_domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
 ]
 
@@ -70,6 +84,9 @@ RULES = [
     ("GPL-or-later", ["gpl_terms", "gpl_version"]),
     ("ISC", ["isc_grant", "as_is"]),
     ("MIT", ["mit_grant", "mit_notice"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant", "zlib_origin", "zlib_altered", "zlib_notice"]),
+    ("Unlicense", ["unlicense", "unlicense_any"]),
+    ("BSL", ["boost_grant", "as_is"]),
     ("Apache", ["apache_by"]),
     ("GPL", ["gpl_by"]),
     ("GPL", ["gpl_terms"]),
@@ -78,6 +95,18 @@ RULES = [
     ("CC", ["cc"]),
     ("CC0", ["cc0"]),
     ("MPL", ["mpl"]),
+    ("MPL", ["mpl_by"]),
+    ("EPL", ["epl_by"]),
+    ("ISC", ["isc_by"]),
+    ("ISC", ["isc_grant"]),
+    ("MIT", ["mit_grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("Unlicense", ["unlicense_by"]),
+    ("Zlib", ["zlib_grant"]),
+    ("Zlib", ["zlib_by"]),
+    ("BSL", ["boost_by"]),
+    ("BSL", ["boost_grant"]),
+    ("BSD", ["bsd_pre"]),
     ("SPDX", ["spdx"]),
     ("public-domain", ["public_domain"]),
 ]

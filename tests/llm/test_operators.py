@@ -522,3 +522,23 @@ def test_licence_notices_of_one_line():
     assert ls.scan("Licensed under the GNU General Public License\n3 files")["licences"] == ["GPL:general"]
     assert ls.scan("Licensed under the GNU General Public License\nversion 3")["licences"] == ["GPL:general-3"]
     assert ls.scan("A Bar License that speaks of\na license in two lines.")["n_unknown"] == 1
+
+
+@pytest.mark.parametrize("text, licence", [
+    ("Licensed under the Apache License 2.0", "Apache:2.0"), ("Licensed under the Apache License.", "Apache"),
+    ("This program is made available under the terms of the Eclipse Public License 2.0 which is here.", "EPL:2.0"),
+    ("Released under the Eclipse Public License v1.0", "EPL:1.0"), ("released under the Mozilla Public License 2.0", "MPL:2.0"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.", "Unlicense"),
+    ("Dedicated to the Unlicense.", "Unlicense"), ("Licensed under the zlib license", "Zlib"), ("Released under the ISC License", "ISC"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\n"
+     "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it.\n\n"
+     "1. The origin of this software must not be misrepresented; you must not\n   claim it.\n2. Altered source versions must be plainly marked as such.\n"
+     "3. This notice may not be removed or altered from any source distribution.", "Zlib"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL:1.0"),
+    ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software", "BSL"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", "ISC"),
+])
+def test_licences_of_common_notices(text, licence):
+    got = ls.scan(text)
+    assert (got["licences"], got["unused_ids"], got["n_unknown"]) == ([licence], [], 0)
