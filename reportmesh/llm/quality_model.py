@@ -14,11 +14,13 @@ left out. Without labels of both kinds the score is the share of ones, or 1 with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .flat import NOT_SPACE, byte_class, counts_of, flat_blocks, fold, hash_span
 from .frames import documents, held_out, map_arrow, read
 
 BUCKETS = 1 << 15
+#: Metadata of the query; lang, source and doc_id are barred.
+METADATA = ("n_chars",)
 FACTORS = 6
 #: Bound of the training sample, in labelled documents.
 MAX_TRAIN = 8000
@@ -86,8 +90,31 @@ def _again(keys: np.ndarray) -> np.ndarray:
     return order[1:][keys[order][1:] == keys[order][:-1]]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row offsets, feature ids and values of each row: hashed words, then the statistics."""
+def metadata_ids(columns: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashed feature ids of metadata: name and value, of a number its sign and power of two. A
+    null has no feature."""
+    rows, ids = [], []
+    for name, column in columns.items():
+        for k, value in enumerate(column.to_pylist()):
+            if value is None:
+                continue
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                value = (value < 0, math.frexp(value)[1])
+            rows.append(k)
+            ids.append(xxhash.xxh64_intdigest(f"{name}={value}") % BUCKETS)
+    return np.array(rows, np.int64), np.array(ids, np.int64)
+
+
+def _metadata(metadata: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"metadata_{c}") for c in metadata]
+
+
+def _of_batch(batch: pa.RecordBatch, metadata: tuple[str, ...], i: int, j: int, prefix: str = "metadata_") -> tuple[np.ndarray, np.ndarray]:
+    return metadata_ids({c: batch.column(prefix + c).slice(i, j - i) for c in metadata})
+
+
+def features(data: np.ndarray, offsets: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row offsets, feature ids and values of each row: hashed words, the statistics, then metadata."""
     n = len(offsets) - 1
     low = lower_ascii(data)
     starts, ends, rows = words(low, offsets, NOT_SPACE)
@@ -100,6 +127,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     all_rows = np.r_[row, np.repeat(np.arange(n), STATISTICS)]
     ids = np.r_[cells % BUCKETS, np.tile(BUCKETS + np.arange(STATISTICS), n)]
     values = np.r_[value, stats.ravel()].astype(np.float32)
+    if more is not None:
+        all_rows, ids = np.r_[all_rows, more[0]], np.r_[ids, more[1]]
+        values = np.r_[values, np.ones(len(more[0]), np.float32)]
     order = np.argsort(all_rows, kind="stable")
     return np.r_[0, np.cumsum(np.bincount(all_rows, minlength=n))], ids[order], values[order]
 
@@ -163,8 +193,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, teaches: Column, *, max_train: int = MAX_TRAIN) -> Machine:
-    """Fit on a bounded sample of labelled documents. ``labels`` has doc_id and label (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, teaches: Column, *, max_train: int = MAX_TRAIN, metadata: tuple[str, ...] = ()) -> Machine:
+    """Fit on a bounded sample of labelled documents. ``labels`` has doc_id and label (0 or 1);
+    ``metadata`` names columns of ``docs`` that are features too, here and in scoring."""
     spark = docs.sparkSession
     sample = (
         labels.filter(teaches & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
@@ -173,11 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, *, max_train: int
         .select("doc_id", F.col("label").cast("int"))
     )
     # the sample is bounded by max_train rows of two numbers
-    rows = documents(docs).join(F.broadcast(sample), "doc_id")
+    rows = documents(docs, *_metadata(metadata)).join(F.broadcast(sample), "doc_id")
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in flat_blocks(batch.column("text")):
-            ends, ids, values = features(data, offsets)
+            ends, ids, values = features(data, offsets, _of_batch(batch, metadata, i, j))
             cut = list(zip(ends, ends[1:]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -202,27 +233,27 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, *, max_train: int
     return Machine(found[0]["bias"], np.frombuffer(found[0]["weights"], np.float32), np.frombuffer(found[0]["factors"], np.float32).reshape(-1, FACTORS))
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
+def score(docs: DataFrame, model: Machine, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score) of every text. The model has a fixed size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in flat_blocks(batch.column("text")):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(shared.value.score(*features(data, offsets)), pa.float64())],
+                [batch.column("doc_id").slice(i, j - i), pa.array(shared.value.score(*features(data, offsets, _of_batch(batch, metadata, i, j))), pa.float64())],
                 ["doc_id", "score"],
             )
 
-    return map_arrow(documents(docs), one, "doc_id long, score double")
+    return map_arrow(documents(docs, *_metadata(metadata)), one, "doc_id long, score double")
 
 
-def accepted(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, metadata: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose text scores at least the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in flat_blocks(batch.column("text")):
-            keep = shared.value.score(*features(data, offsets)) >= threshold
+            keep = shared.value.score(*features(data, offsets, _of_batch(batch, metadata, i, j, ""))) >= threshold
             yield batch.slice(i, j - i).filter(pa.array(keep))
 
     return map_arrow(docs, one, docs.schema)
@@ -234,8 +265,8 @@ def labelled(labels: DataFrame, column: str = "quality") -> DataFrame:
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = train(docs, labelled(read(spark, sf_dir, "labels")), ~held_out())
-    return score(docs, model).select(
+    model = train(docs, labelled(read(spark, sf_dir, "labels")), ~held_out(), metadata=METADATA)
+    return score(docs, model, METADATA).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 

@@ -370,6 +370,17 @@ def test_quality_model(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_quality_model_learns_from_metadata(spark):
+    rows = [(k, "same words here", "good" if k % 2 else "bad", None if k == 9 else k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, size long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, label int")
+    model = qm.train(df, labels, F.lit(True), metadata=("label", "size"))
+    got = _by_id(qm.score(df, model, ("label", "size")), "score")
+    assert all((got[k][0] > 0.5) == bool(k % 2) for k in range(40))
+    kept = qm.accepted(df, model, 0.5, ("label", "size"))
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(1, 40, 2))
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     size = qm.BUCKETS + qm.STATISTICS
