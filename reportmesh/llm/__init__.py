@@ -6,15 +6,18 @@ from __future__ import annotations
 def _modules():
     from . import (
         decontamination,
+        fill_in_middle,
         jaccard_join,
         language_id,
         licence_scan,
         quality_model,
         quality_rules,
         sentencepiece_bpe,
+        spot_signatures,
         suffix_dedup,
         token_counts,
         token_files,
+        vector_codes,
     )
 
     return (
@@ -28,6 +31,9 @@ def _modules():
         sentencepiece_bpe,
         quality_model,
         token_counts,
+        spot_signatures,
+        vector_codes,
+        fill_in_middle,
     )
 
 

@@ -77,3 +77,67 @@ def contamination(text, items) -> tuple:
 
 def sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
+
+
+def spots(text, common: str, gap: int) -> set:
+    """Spot signatures of a text as word tuples; chains of two neighbouring content words."""
+    w = ALNUM_WORD.findall(raw(text).translate(_LOWER))
+    known = set(ALNUM_WORD.findall(common.encode().translate(_LOWER)))
+    out = set()
+    for k, word in enumerate(w):
+        before = [j for j in range(k + 1) if w[j] in known]
+        if word in known or not before or k - before[-1] > gap:
+            chain = [x for x in w[k + 1 :] if x not in known][:2]
+            out.add((word, *chain))
+    return out
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rows) -> dict:
+    """{doc_id: edited text} of (doc_id, text) rows with different ids."""
+    rows = sorted((i, t or "") for i, t in rows)
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        following, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        out[i] = t[: len(t) - half] + following[:half]
+    return out
+
+
+def fill_in_middle(doc_id, text) -> tuple:
+    text = text or ""
+    x = hashlib.sha256(f"1:{doc_id}".encode()).hexdigest()
+    h = [int(x[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(text)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[:a], text[a:b], text[b:]
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, "<S>" + s + "<P>" + p + "<M>" + m
+    return n, "psm", a, b - a, "<P>" + p + "<S>" + s + "<M>" + m
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2) -> tuple[dict, list]:
+    """({vec_id: (code, error)}, codebooks) in Python integers; rows are (vec_id, vector) with different ids."""
+    import math
+
+    kept = {i: [math.floor(x * 256) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    width = len(next(iter(kept.values()))) // parts
+    cut = {i: [tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for i, v in kept.items()}
+    books = [[cut[i][p] for i in sorted(kept)[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    best = lambda p, part: min(range(len(books[p])), key=lambda k: (far(part, books[p][k]), k))
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for i in kept:
+                members[best(p, cut[i][p])].append(cut[i][p])
+            books[p] = [tuple(sum(c) // len(members[k]) for c in zip(*members[k])) if members[k] else e for k, e in enumerate(books[p])]
+    out = {}
+    for i in kept:
+        code = [best(p, cut[i][p]) for p in range(parts)]
+        out[i] = "".join(f"{k:02x}" for k in code), sum(far(cut[i][p], books[p][k]) for p, k in enumerate(code))
+    return out, books
