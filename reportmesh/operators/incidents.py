@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_metres
-from ..functions.ids import set_digest, uuid5
+from ..functions.ids import LANES, digest_lanes, set_digest, uuid5
 from ..policy import AUTO_MATCH, NO_MATCH, OTHER, REVIEW_REQUIRED, IdentityPolicy
 from .matching import ordered_pair
 from .skew import lookup
@@ -167,9 +170,42 @@ def incident_members(members: DataFrame, ids: DataFrame) -> DataFrame:
     ).select("incident_id", "id")
 
 
+def _edge_digest() -> Column:
+    return F.sha2(F.concat_ws(":", "left_id", "right_id", "decision"), 256)
+
+
 def graph_version(edges: DataFrame) -> DataFrame:
     """One-row digest of the decided graph, independent of row order and edge direction."""
-    line = F.concat_ws(":", "left_id", "right_id", "decision")
     return ordered_pair(edges).agg(
-        set_digest(F.sha2(line, 256)).alias("graph_version"), F.count(F.lit(1)).alias("edge_count")
+        set_digest(_edge_digest()).alias("graph_version"), F.count(F.lit(1)).alias("edge_count")
     )
+
+
+@dataclass(frozen=True)
+class GraphSums:
+    """The sums behind a graph version: those of added edges are added, of removed ones taken away."""
+
+    count: int = 0
+    lanes: tuple[int, ...] = (0,) * LANES
+
+    @classmethod
+    def of(cls, stored: dict | None) -> GraphSums:
+        return cls() if stored is None else cls(int(stored["count"]), tuple(int(x) for x in stored["lanes"]))
+
+    def __add__(self, other: GraphSums) -> GraphSums:
+        return GraphSums(self.count + other.count, tuple(a + b for a, b in zip(self.lanes, other.lanes)))
+
+    def __sub__(self, other: GraphSums) -> GraphSums:
+        return GraphSums(self.count - other.count, tuple(a - b for a, b in zip(self.lanes, other.lanes)))
+
+    def version(self) -> str:
+        """Equal to ``graph_version`` of the edges summed."""
+        lanes = self.lanes if self.count else ()
+        return hashlib.sha256(":".join(map(str, (self.count, *lanes))).encode()).hexdigest()
+
+
+def graph_sums(edges: DataFrame) -> GraphSums:
+    """Sums of the given edges; one row reaches the driver."""
+    sums = [F.sum(lane) for lane in digest_lanes(_edge_digest())]
+    row = ordered_pair(edges).agg(F.count(F.lit(1)), *sums).first()
+    return GraphSums(row[0], tuple(int(x or 0) for x in row[1:]))

@@ -51,6 +51,20 @@ def rejection_reasons(now: Column) -> Column:
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]))
 
 
+IDENTITY = ("idempotency_key", "sequence", "complaint_id")
+
+
+def identity_rejections() -> Column:
+    """Array of the identity fields a command lacks."""
+    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in IDENTITY]))
+
+
+def validate_commands(commands: DataFrame) -> DataFrame:
+    """Commands with ``rejections``; those without a key, a sequence or a complaint id have some."""
+    earlier = F.col("rejections") if "rejections" in commands.columns else F.array().cast("array<string>")
+    return commands.withColumn("rejections", F.concat(earlier, identity_rejections()))
+
+
 def validate_complaints(raw: DataFrame, now: Column) -> DataFrame:
     """Raw rows with stripped text and ``rejections``; valid rows have none."""
     return raw.withColumn("rejections", rejection_reasons(now)).withColumn(
@@ -100,13 +114,17 @@ def idempotent_outcomes(submissions: DataFrame, history: DataFrame | None = None
 
     The first command of a key has its lowest (sequence, complaint_id), so commands that share a
     sequence never both count as first. Commands in ``history`` (first commands of earlier batches)
-    come before all of ``submissions`` and get no outcome themselves. The first is a map-side combined
-    minimum; commands of a very frequent key are then compared against it in several tasks.
+    come before all of ``submissions`` and get no outcome themselves. A command without key, sequence or
+    complaint id is ``invalid`` and counts for no key. The first is a map-side combined minimum; commands of a very frequent key are then compared against it in several tasks.
     """
     from .skew import lookup
 
     columns = ("idempotency_key", "sequence", "complaint_id", "request_fingerprint")
-    rows = submissions.select(*columns, F.lit(True).alias("_new"))
+    known = F.size(identity_rejections()) == 0
+    rows = submissions.filter(known).select(*columns, F.lit(True).alias("_new"))
+    invalid = submissions.filter(~known).select(
+        "idempotency_key", "sequence", F.lit("invalid").alias("outcome"), F.lit(None).cast("string").alias("complaint_id")
+    )
     if history is not None:
         rows = history.select(
             "idempotency_key", F.lit(None).cast("bigint").alias("sequence"), "complaint_id",
@@ -130,4 +148,28 @@ def idempotent_outcomes(submissions: DataFrame, history: DataFrame | None = None
         "sequence",
         outcome.alias("outcome"),
         F.when(outcome != "conflict", F.col("first.complaint_id")).alias("complaint_id"),
-    )
+    ).unionByName(invalid)
+
+
+def claim_complaints(outcomes: DataFrame, stored_ids: DataFrame) -> DataFrame:
+    """Outcomes in which one command at most creates a complaint.
+
+    Of several keys that name one complaint id the lowest (sequence, key) creates it; the others, and all
+    for an id of ``stored_ids``, are ``complaint_id_taken``. Replays of such a key share its outcome.
+    """
+    from .skew import lookup
+
+    created = outcomes.filter("outcome = 'created'")
+    owner = created.groupBy("complaint_id").agg(
+        F.min(F.struct("sequence", "idempotency_key")).alias("_owner"), F.count(F.lit(1)).alias("_rows")
+    ).join(stored_ids.select(F.col("id").alias("complaint_id")).distinct().withColumn("_stored", F.lit(True)), "complaint_id", "left")
+    checked = lookup(created, owner, ["complaint_id"], spread_by="sequence", row_count="_rows")
+    lost = checked.filter(
+        F.col("_stored").isNotNull() | (F.col("_owner") != F.struct("sequence", "idempotency_key"))
+    ).select("idempotency_key", F.lit(True).alias("_taken"))
+    taken = F.col("_taken").isNotNull() & F.col("outcome").isin("created", "replayed")
+    return lookup(outcomes, lost, ["idempotency_key"], spread_by="sequence", how="left").select(
+        "idempotency_key", "sequence",
+        F.when(taken, F.lit("complaint_id_taken")).otherwise(F.col("outcome")).alias("outcome"),
+        F.when(~taken, F.col("complaint_id")).alias("complaint_id"),
+    )

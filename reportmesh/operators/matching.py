@@ -59,7 +59,8 @@ def _decimals(value: Column, places: int) -> Column:
 def match_pairs(scored: DataFrame, policy: MatchingPolicy = MatchingPolicy()) -> DataFrame:
     """Ordered decision ladder over scored pairs; thresholds are inclusive.
 
-    A pair that needs its similarity and has none fails the job; ``unusable_pairs`` lists such pairs.
+    A pair without a similarity fails the job, also one that an earlier rung would decide: a missing or
+    unusable vector is a fault of the data, whatever the pair. ``unusable_pairs`` lists such pairs.
 
     Needs left/right category, distance_metres, time_gap_seconds, semantic_similarity and location.
     """
@@ -206,8 +207,28 @@ def ordered_pair(df: DataFrame) -> DataFrame:
     )
 
 
+def without_overrides(edges: DataFrame) -> DataFrame:
+    """Edges as the matcher left them: its decision and reasons, no officer's."""
+    if "automated_decision" not in edges.columns:
+        return edges
+    overridden = F.col("decision_source") == "officer_review"
+    return edges.withColumns(
+        {
+            "decision": F.coalesce("automated_decision", "decision"),
+            "decision_source": F.when(overridden, F.lit("automated")).otherwise(F.col("decision_source")),
+            "matcher_recommendation": F.when(~overridden, F.col("matcher_recommendation")),
+            "reasons": F.when(overridden, F.slice("reasons", 1, F.size("reasons") - 1)).otherwise(F.col("reasons")),
+        }
+    ).drop("automated_decision")
+
+
 def apply_overrides(edges: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Resolved reviews replace the decision on their pair; automated evidence stays visible."""
+    """Resolved reviews replace the decision on their pair; automated evidence stays visible.
+
+    Edges that carry overrides already start again from the matcher's decision, so applying all
+    resolved reviews in every round gives what applying them once gives.
+    """
+    edges = without_overrides(edges)
     resolved = (
         ordered_pair(reviews)
         .filter((F.col("status") != "pending") & F.col("final_relationship_state").isNotNull())

@@ -55,12 +55,14 @@ def upsert_reviews(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def resolution_outcomes(commands: DataFrame, reviews: DataFrame, graph_version: Column) -> DataFrame:
-    """Typed outcome per command: unknown, already_resolved, stale, or approved / rejected.
+    """Typed outcome per command: invalid, unknown, already_resolved, stale, or approved / rejected.
 
-    Of several commands for one review the lowest ``sequence`` acts; later ones find it resolved.
+    Of several commands for one review the lowest ``sequence`` acts; later ones find it resolved. A
+    command without sequence or verdict is invalid, one without a review id knows no review.
     """
+    complete = F.col("sequence").isNotNull() & F.col("approve").isNotNull()
     first = commands.groupBy("review_id").agg(
-        F.min("sequence").alias("_first"), F.count(F.lit(1)).alias("_rows")
+        F.min(F.when(complete, F.col("sequence"))).alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     known = reviews.select(
         "review_id", "left_id", "right_id", "status", "version",
@@ -72,18 +74,20 @@ def resolution_outcomes(commands: DataFrame, reviews: DataFrame, graph_version:
         ["review_id"],
         spread_by="sequence",
         row_count="_rows",
+        how="left",
     )
     decided = F.when(F.col("approve"), F.lit("approved")).otherwise(F.lit("rejected"))
     acts = (F.col("status") == "pending") & F.col("fresh")
     outcome = (
-        F.when(F.col("status").isNull(), F.lit("unknown_review"))
+        F.when(~complete, F.lit("invalid"))
+        .when(F.col("status").isNull(), F.lit("unknown_review"))
         .when(F.col("status") != "pending", F.lit("already_resolved"))
         .when(~F.col("fresh"), F.lit("stale"))
         .when(F.col("sequence") != F.col("_first"), F.lit("already_resolved"))
         .otherwise(decided)
     )
     final = F.when(F.col("approve"), F.lit(AUTO_MATCH)).otherwise(F.lit(NO_MATCH))
-    done = acts & (F.col("sequence") == F.col("_first"))
+    done = complete & acts & (F.col("sequence") == F.col("_first"))
     return ranked.select(
         "sequence",
         "review_id",

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import incidents, read_models, reviews
+from ..operators import intake, read_models, reviews
 from ..policy import MatchingPolicy, Policies
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..streaming import embed
 from ..streaming.cluster import cluster_stream
 from ..streaming.intake import submission_stream, validate_stream
-from ..streaming.live import incident_members, publish_state, resolve_and_publish, submit_stream
+from ..streaming.live import incident_members, load_state, publish_state, resolve_and_publish, submit_stream
 from . import incremental
 from .flow import Flow
 from .import_dataset import import_dataset
@@ -216,41 +216,89 @@ def _stored_incidents(store) -> DataFrame:
     return rows.select("component", "incident_id", big("report_count").alias("report_count"), "priority_level")
 
 
-@query("stream_submit")
-def q_stream_submit(spark, d):
-    """Submissions in micro-batches, through to priorities; must equal the batch job on all of them."""
-    store = _store(spark)
-    vectors = cut_lineage(fx.vectors(spark, d))
-    reports = fx.reports(spark, d).select(
+def _submissions(reports: DataFrame) -> DataFrame:
+    """Raw reports as commands, each under a key of its own."""
+    return reports.select(
         F.concat(F.lit("key-"), "id").alias("idempotency_key"), tail("id").alias("sequence"), F.col("id").alias("complaint_id"),
         "id", "text", "latitude", "longitude", "reported_at", "category", "photo_path",
         F.lit(None).cast("string").alias("photo_id"),
     )
 
-    def vectors_of(complaints: DataFrame) -> DataFrame:
-        return vectors.join(complaints.select("id"), "id", "left_semi")
 
+def _vectors_of(vectors: DataFrame):
+    return lambda complaints: vectors.join(complaints.select("id"), "id", "left_semi")
+
+
+@query("stream_submit")
+def q_stream_submit(spark, d):
+    """Submissions in micro-batches, through to priorities; must equal the batch job on all of them."""
+    store = _store(spark)
+    vectors = cut_lineage(fx.vectors(spark, d))
     now = fx.reports(spark, d).agg(F.max("reported_at")).scalar()
-    stream = _as_stream(spark, cut_lineage(reports), 3)
-    _drain(spark, submit_stream(stream, store, vectors_of, fx.sensitive_locations(spark, d), now))
-    return _stored_incidents(store).drop("priority_level")
+    stream = _as_stream(spark, cut_lineage(_submissions(fx.reports(spark, d))), 3)
+    _drain(spark, submit_stream(stream, store, _vectors_of(vectors), fx.sensitive_locations(spark, d), now))
+    return _stored_incidents(store)
 
 
-@query("resolve_and_publish")
-def q_resolve_and_publish(spark, d):
-    """Officer decisions on a published automated clustering; must equal the reviewed batch job."""
-    flow = automated(spark, d)
-    found = fx.reviews(flow.matched, flow.complaints)
-    version = incidents.graph_version(flow.matched).first()["graph_version"]
-    pending = reviews.new_reviews(flow.matched, flow.now, F.lit(version))
+def _published(spark, flow: Flow) -> SnapshotStore:
+    """An automated clustering as a published ledger, its reviews pending."""
+    pending = reviews.new_reviews(flow.matched, flow.now, F.lit(None).cast("string"))
     state = ClusterState(flow.complaints, flow.vectors, flow.matched, flow.members, pending)
-    keys = flow.complaints.select(F.col("id").alias("idempotency_key"), F.col("id").alias("complaint_id"))
+    keys = intake.with_fingerprint(flow.complaints).select(
+        F.col("id").alias("idempotency_key"), "request_fingerprint", F.col("id").alias("complaint_id")
+    )
     store = _store(spark)
     publish_state(store, state, flow.assessed(), keys)
-    commands = found.filter(F.col("status") != "pending").select(
+    return store
+
+
+@query("live_submission_result")
+def q_live_submission_result(spark, d):
+    """Late reports submitted to the published ledger of all others: one stored result per report."""
+    now = fx.reports(spark, d).agg(F.max("reported_at")).scalar()
+    complaints, vectors = cut_lineage(fx.complaints(spark, d)), cut_lineage(fx.vectors(spark, d))
+    places = fx.sensitive_locations(spark, d)
+    store = _published(spark, Flow(complaints.filter(~_late("id")), vectors.filter(~_late("id")), places))
+    late = cut_lineage(_submissions(fx.reports(spark, d).filter(_late("id"))))
+    _drain(spark, submit_stream(_as_stream(spark, late, 1), store, _vectors_of(vectors), places, now))
+    return store.read("results")
+
+
+def _officer_commands(found: DataFrame) -> DataFrame:
+    """The resolved ones of the given reviews as commands."""
+    return found.filter(F.col("status") != "pending").select(
         F.xxhash64("review_id").alias("sequence"), "review_id",
         (F.col("final_relationship_state") == "auto_match").alias("approve"),
         F.col("reviewed_by").alias("reviewer_id"), F.col("review_note").alias("note"), "resolved_at",
     )
-    resolve_and_publish(store, commands, fx.sensitive_locations(spark, d), flow.now)
-    return _stored_incidents(store)
+
+
+def _after_rounds(spark, d, rounds: int) -> SnapshotStore:
+    """A published automated clustering after officer decisions in several publishes."""
+    flow = automated(spark, d)
+    commands = cut_lineage(_officer_commands(fx.reviews(flow.matched, flow.complaints)))
+    store = _published(spark, flow)
+    for part in range(rounds):
+        some = commands.filter(F.pmod("sequence", F.lit(rounds)) == part)
+        resolve_and_publish(store, some, fx.sensitive_locations(spark, d), flow.now)
+    return store
+
+
+@query("resolve_and_publish")
+def q_resolve_and_publish(spark, d):
+    """Officer decisions on a published automated clustering; must equal the reviewed batch job."""
+    return _stored_incidents(_after_rounds(spark, d, 1))
+
+
+@query("resolve_in_rounds")
+def q_resolve_in_rounds(spark, d):
+    """The same decisions in three publishes; each finds the reviews that the others left pending."""
+    return _stored_incidents(_after_rounds(spark, d, 3))
+
+
+@query("resolve_in_rounds_edges")
+def q_resolve_in_rounds_edges(spark, d):
+    """Decided pairs after three rounds: the matcher's own decision stays beside the officer's."""
+    return load_state(_after_rounds(spark, d, 3)).edges.select(
+        "left_id", "right_id", "automated_decision", "decision", "decision_source", "matcher_recommendation"
+    )

@@ -151,15 +151,20 @@ def submission_results(
     places: DataFrame,
     now,
     policies: Policies = Policies(),
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """Per new complaint: its incident, priority, what its incident replaced, and its decisions."""
-    rows = cut_lineage(touched_incidents(step, policies))
+    """Per new complaint: its incident, priority, what its incident replaced, and its decisions.
+
+    ``scored`` are the touched incidents with priorities, where they are known already.
+    """
     members = step.state.members.join(step.touched, "component", "left_semi")
-    complaints = step.state.complaints.join(members.select("id"), "id", "left_semi")
-    scored = priority.assess_priority(
-        priority.priority_inputs(rows, complaints, members, places, now, policies.priority),
-        policies.priority,
-    )
+    if scored is None:
+        rows = cut_lineage(touched_incidents(step, policies))
+        complaints = step.state.complaints.join(members.select("id"), "id", "left_semi")
+        scored = priority.assess_priority(
+            priority.priority_inputs(rows, complaints, members, places, now, policies.priority),
+            policies.priority,
+        )
     # incidents that existed before and whose members now belong to the touched components
     earlier = before.members.select("id", F.col("component").alias("previous_component"))
     replaced = (
@@ -208,11 +213,7 @@ def apply_review_decisions(
     Approvals add confirmed edges and rejections can only add contradictions, so components merge
     and never split; the merge runs over component labels like a batch of new edges.
     """
-    edges = cut_lineage(
-        matching.apply_overrides(
-            state.edges.drop("automated_decision"), reviews_after
-        )
-    )
+    edges = cut_lineage(matching.apply_overrides(state.edges, reviews_after))
     previous = state.edges.select(
         "left_id", "right_id", F.col("decision").alias("previous_decision")
     )

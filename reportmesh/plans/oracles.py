@@ -1045,7 +1045,8 @@ add(
 
 add("incremental_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
 add("resolve_and_publish", "SELECT component, incident_id, report_count, level AS priority_level FROM prio", "prio")
-add("stream_submit", "SELECT component, incident_id, report_count FROM auto_ids", "auto_ids")
+ORACLES["resolve_in_rounds"] = ORACLES["resolve_and_publish"]
+ORACLES["resolve_in_rounds_edges"] = ORACLES["apply_overrides"]
 add("stream_cluster", "SELECT id, component FROM auto_comp", "auto_comp")
 add("incremental_review", "SELECT id, component FROM final_comp", "final_comp")
 CTES["auto_inc"] = (
@@ -1146,6 +1147,8 @@ add(
  FROM (SELECT nt FROM complaints GROUP BY nt HAVING bool_and(event_id % 3 <> 0))""",
     "complaints",
 )
+add("stream_submit", "SELECT component, incident_id, report_count, level AS priority_level FROM auto_prio", "auto_prio")
+ORACLES["live_submission_result"] = ORACLES["submission_result"]
 ORACLES["stream_validate"] = ORACLES["validate_complaints"]
 ORACLES["stream_submissions"] = ORACLES["idempotent_submissions"]
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +39,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir')}/reportmesh-stages"
+        if not sc.master.startswith("local") and named.startswith("file:"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
-def write_stage(df: DataFrame) -> tuple[DataFrame, str]:
+_scopes = threading.local()
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the stages written inside once the block is left, also by an error.
+
+    For steps whose result lies elsewhere by then, as a published snapshot does. Scopes belong to the
+    thread and nest; a stage written with ``beyond_scope`` outlives the innermost one.
+    """
+    open_scopes = _scopes.__dict__.setdefault("paths", [])
+    open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in open_scopes.pop():
+            drop_stage(spark, path)
+
+
+def write_stage(df: DataFrame, *, beyond_scope: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` once as a compressed columnar table in the shared folder and read it back.
 
     Later readers prune columns, push filters down and plan against a plain scan; lost executors
@@ -48,12 +72,16 @@ def write_stage(df: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    open_scopes = _scopes.__dict__.get("paths", [])
+    owners = open_scopes[:-1] if beyond_scope else open_scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    return write_stage(df)[0]
+def cut_lineage(df: DataFrame, *, beyond_scope: bool = False) -> DataFrame:
+    return write_stage(df, beyond_scope=beyond_scope)[0]
 
 
 def drop_stage(spark: SparkSession, path: str) -> None:

@@ -4,21 +4,45 @@ A publish writes every table under a fresh ``snapshot_id=...`` folder and only t
 numbered pointer file; the file with the highest number is the snapshot. A job that fails earlier adds
 none, and readers always see the tables of one snapshot. The new file is renamed into place and never
 over another, so of two publishers that began from the same snapshot one fails and loses nothing.
+
+A table may be laid out by columns (``partition_by``): each publish then writes folders of their values,
+and readers that filter or semi-join on them open those folders only. A keyed table (``key``) takes new
+versions of rows; a read gives the newest version of each key, without those marked ``_gone``.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 POINTER = "_SNAPSHOT-"
-#: An append that would give a table more folders than this merges them into one.
+#: A table never has more folders of appended rows than this.
 MAX_FOLDERS = 32
 
 
+@dataclass(frozen=True)
+class TableSpec:
+    """Layout of a table: folders by column values, and the key of versioned rows."""
+
+    partition_by: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+
+
+def newest(rows: DataFrame, key: tuple[str, ...] | list[str]) -> DataFrame:
+    """The newest version of each key, without versions marked ``_gone``: one combined aggregate."""
+    rest = [c for c in rows.columns if c not in (*key, "_seq")]
+    return (
+        rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_seq").alias("_row"))
+        .select(*key, *[F.col("_row").getField(c).alias(c) for c in rest])
+        .filter(~F.col("_gone")).drop("_gone")
+    )
+
+
 class ConcurrentPublish(RuntimeError):
     """Another snapshot was published since the one this work began from."""
 
@@ -97,10 +121,24 @@ class SnapshotStore:
 
     def read(self, table: str) -> DataFrame:
         """Table of the current snapshot; filters and columns reach the Parquet scan."""
+        rows, spec = self.read_rows(table)
+        return newest(rows, spec.key) if spec.key else rows
+
+    def read_rows(self, table: str) -> tuple[DataFrame, TableSpec]:
+        """All stored rows of a table, old versions of keyed rows too, and its layout."""
         pointer = self._read_pointer()
         if pointer is None or table not in pointer["tables"]:
             raise LookupError(f"table {table} is not published")
-        return self.spark.read.parquet(*pointer["tables"][table])
+        spec = _spec_of(pointer, table)
+        return self._scan(table, pointer["tables"][table], pointer.get("schemas", {}).get(table)), spec
+
+    def _scan(self, table: str, paths: list[str], schema: str | None) -> DataFrame:
+        if schema is None:
+            return self.spark.read.parquet(*paths)
+        # folders of several publishes: their own names are no column
+        reader = self.spark.read.schema(StructType.fromJson(json.loads(schema)))
+        found = reader.option("basePath", f"{self.root}/{table}").parquet(*paths)
+        return found.drop("snapshot_id")
 
     def publish(
         self,
@@ -108,35 +146,86 @@ class SnapshotStore:
         appended: dict[str, DataFrame] | None = None,
         metadata: dict | None = None,
         base: str | None = None,
+        specs: dict[str, TableSpec] | None = None,
     ) -> str:
         """Replace and/or append tables as one new snapshot; untouched tables carry over.
 
-        Appended rows become an extra folder next to the existing ones, so an append seldom rewrites
-        history; past MAX_FOLDERS the table is merged. ``base`` is the snapshot the tables were computed
-        from; if another is current, or becomes so meanwhile, ConcurrentPublish is raised.
+        Appended rows become an extra folder next to the existing ones. Folders merge by size class, a
+        few equally large ones into one of the next class, so a row is rewritten a logarithmic number of
+        times and an append touches history seldom. ``specs`` lay out tables that this publish creates.
+        ``base`` is the snapshot the tables were computed from; if another is current, or becomes so
+        meanwhile, ConcurrentPublish is raised.
         """
         pointer = self._read_pointer() or {"tables": {}, "number": 0}
         if base is not None and pointer.get("snapshot_id") != base:
             raise ConcurrentPublish(f"{base} is not the current snapshot")
-        snapshot = uuid.uuid4().hex
+        snapshot, number = uuid.uuid4().hex, pointer["number"] + 1
         tables = {name: list(paths) for name, paths in pointer["tables"].items()}
+        weights = {name: list(w) for name, w in pointer.get("weights", {}).items()}
+        schemas, laid_out = dict(pointer.get("schemas", {})), dict(pointer.get("specs", {}))
+        for name, spec in (specs or {}).items():
+            if name not in tables:
+                laid_out[name] = asdict(spec)
+
+        def write(name: str, df: DataFrame, path: str, old: list[str]) -> None:
+            spec = _spec_of({"specs": laid_out}, name)
+            if spec.key:
+                df = df.withColumn("_seq", F.lit(number).cast("long"))
+                if "_gone" not in df.columns:
+                    df = df.withColumn("_gone", F.lit(False))
+            if spec.partition_by:
+                if name in schemas:  # the same columns in all folders
+                    known = StructType.fromJson(json.loads(schemas[name]))
+                    df = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known])
+                else:
+                    schemas[name] = df.schema.json()
+            if old:
+                df = self._scan(name, old, schemas.get(name)).unionByName(df, allowMissingColumns=True)
+            writer = df
+            if spec.partition_by:  # rows of a folder meet in one task, or in several if they are many
+                writer = df.hint("rebalance", *[F.col(c) for c in spec.partition_by])
+            writer.write.mode("errorifexists").partitionBy(*spec.partition_by).parquet(path)
+
         for name, df in (replaced or {}).items():
             path = f"{self.root}/{name}/snapshot_id={snapshot}"
-            df.write.mode("errorifexists").parquet(path)
-            tables[name] = [path]
+            schemas.pop(name, None)
+            write(name, df, path, [])
+            tables[name], weights[name] = [path], [0]
         for name, df in (appended or {}).items():
             path, old = f"{self.root}/{name}/snapshot_id={snapshot}-append", tables.get(name, [])
-            if len(old) >= MAX_FOLDERS:
-                df, old = self.spark.read.parquet(*old).unionByName(df, allowMissingColumns=True), []
-            df.write.mode("errorifexists").parquet(path)
-            tables[name] = [*old, path]
+            weight = weights.get(name, [0] * len(old))
+            merged, size = _to_merge(weight)
+            write(name, df, path, old[len(old) - merged :])
+            tables[name] = [*old[: len(old) - merged], path]
+            weights[name] = [*weight[: len(weight) - merged], size]
         kept = {**pointer.get("metadata", {}), **(metadata or {})}
-        self._add_pointer(pointer["number"] + 1, {"snapshot_id": snapshot, "tables": tables, "metadata": kept})
+        content = {"snapshot_id": snapshot, "tables": tables, "metadata": kept, "weights": weights, "schemas": schemas, "specs": laid_out}
+        self._add_pointer(number, content)
         return snapshot
 
     def compact(self, table: str) -> str:
-        """Rewrite the folders of one table as a single folder."""
-        return self.publish(replaced={table: self.read(table)})
+        """Rewrite the folders of one table as a single folder; of a keyed one the newest versions."""
+        return self.publish(replaced={table: self.read(table)}, base=self.current())
+
+
+def _spec_of(pointer: dict, table: str) -> TableSpec:
+    found = pointer.get("specs", {}).get(table, {})
+    return TableSpec(tuple(found.get("partition_by", ())), tuple(found.get("key", ())))
+
+
+def _to_merge(weights: list[int]) -> tuple[int, int]:
+    """How many of the last folders the next append takes in, and the weight of what results.
+
+    A weight counts the appends in a folder; 0 stands for a replaced table, which only a full list of
+    folders makes part of a merge.
+    """
+    if len(weights) >= MAX_FOLDERS:
+        return len(weights), 0
+    group = max(2, MAX_FOLDERS // 4)
+    taken, size = 0, 1
+    while weights[len(weights) - taken - group + 1 : len(weights) - taken] == [size] * (group - 1):
+        taken, size = taken + group - 1, size * group
+    return taken, size
 
 
 def read_complaints(

@@ -8,13 +8,16 @@ kept without expiry; nothing is ever late.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import intake
-from ..sources.store import SnapshotStore
+from ..session import cut_lineage, stage_scope
+from ..sources.store import SnapshotStore, TableSpec
+
 
 def stream_mark(batch: DataFrame, stream: str) -> str:
     """Name under which a stream's progress is kept: the stream, and the identity of its checkpoint.
@@ -25,16 +28,27 @@ def stream_mark(batch: DataFrame, stream: str) -> str:
     return f"{stream}:{query}"
 
 
-def once(store: SnapshotStore, stream: str, apply: Callable[[DataFrame], tuple[dict, dict]]):
-    """foreachBatch body: apply a batch and publish its tables unless this stream published it before."""
+def once(
+    store: SnapshotStore,
+    stream: str,
+    apply: Callable[[DataFrame], tuple[dict, dict] | tuple[dict, dict, dict]],
+    specs: dict[str, TableSpec] | None = None,
+):
+    """foreachBatch body: apply a batch and publish its tables unless this stream published it before.
+
+    ``apply`` returns the tables to replace, those to append to, and metadata where it has some. Stages
+    written on the way are dropped after the publish.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         mark, done = stream_mark(batch, stream), store.metadata().get("batches", {})
         if done.get(mark, -1) >= batch_id:
             return
         base = store.current()
-        replaced, appended = apply(batch)
-        store.publish(replaced=replaced, appended=appended, metadata={"batches": {**done, mark: batch_id}}, base=base)
+        with stage_scope(store.spark):
+            replaced, appended, *more = apply(batch)
+            metadata = {**(more[0] if more else {}), "batches": {**done, mark: batch_id}}
+            store.publish(replaced=replaced, appended=appended, metadata=metadata, base=base, specs=specs)
 
     return handle
 
@@ -73,14 +87,19 @@ def created_keys(commands: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def submission_stream(commands: DataFrame, store: SnapshotStore) -> DataStreamWriter:
-    """Commands to ``outcomes``, with the first command per key remembered in ``keys``."""
+    """Commands to ``outcomes``, with the first command per key remembered in ``keys``.
 
-    def apply(batch: DataFrame):
-        from ..session import cut_lineage
+    Keys lie in shards of the key; a batch reads the shards of its own keys. Commands without a key, a
+    sequence or a complaint id get the outcome ``invalid``.
+    """
+    from .ledger import SPECS, Ledger
 
+    def apply(batch: DataFrame):
+        ledger = Ledger(store)
         batch = cut_lineage(intake.with_fingerprint(batch))
-        stored = store.read("keys") if "keys" in store.tables() else None
-        outcomes = cut_lineage(outcomes_against(batch, stored))
-        return {}, {"outcomes": outcomes, "keys": created_keys(batch, outcomes)}
+        wanted = cut_lineage(batch.select("idempotency_key").distinct())
+        outcomes = cut_lineage(outcomes_against(batch, ledger.keyed("keys", wanted, "idempotency_key")))
+        keys = ledger.shard(created_keys(batch, outcomes), "idempotency_key")
+        return {}, {"outcomes": outcomes, "keys": keys}, {"layout": asdict(ledger.layout)}
 
-    return commands.writeStream.foreachBatch(once(store, "submissions", apply))
+    return commands.writeStream.foreachBatch(once(store, "submissions", apply, SPECS))

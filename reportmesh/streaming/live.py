@@ -1,8 +1,6 @@
 """The live store: submissions and officer decisions, each published as one snapshot.
 
-One schema for imports and streams: ``complaints``, ``vectors``, ``edges`` (all decided pairs, overrides
-applied), ``members`` (id, component), ``reviews``, ``incidents`` (scored rows, one per component) and
-``keys`` (first command of each idempotency key). A store has all state tables or none.
+Imports and streams share the tables of the incident ledger (``streaming/ledger.py``).
 """
 
 from __future__ import annotations
@@ -10,16 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import incidents, intake, priority, reviews
-from ..plans import incremental
-from ..plans.incremental import ClusterState, ClusterStep
+from ..operators import incidents
+from ..operators.layout import Layout
+from ..plans.incremental import ClusterState
 from ..policy import Policies
-from ..session import cut_lineage
+from ..session import stage_scope
 from ..sources.store import SnapshotStore
-from .intake import created_keys, once, outcomes_against
+from .intake import once
+from .ledger import SPECS, Ledger
 
 STATE = ("complaints", "vectors", "edges", "members")
 
@@ -29,6 +27,8 @@ def load_state(store: SnapshotStore, like: tuple[DataFrame, DataFrame] | None =
     given complaints and vectors; a store with only some of the tables is refused."""
     present = [t for t in STATE if t in store.tables()]
     if len(present) == len(STATE):
+        if "layout" in store.metadata():
+            return Ledger(store).state()
         past = store.read("reviews") if "reviews" in store.tables() else None
         return ClusterState(*(store.read(t) for t in STATE), past)
     if present:
@@ -41,35 +41,6 @@ def load_state(store: SnapshotStore, like: tuple[DataFrame, DataFrame] | None =
     return ClusterState(like[0].limit(0), like[1].limit(0), edges, members)
 
 
-def no_reviews(spark) -> DataFrame:
-    kinds = {"created_at": "timestamp", "resolved_at": "timestamp", "version": "int"}
-    return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in reviews.REVIEW_COLUMNS))
-
-
-def scored(step: ClusterStep, places: DataFrame, now: Column, policies: Policies) -> DataFrame:
-    """Incident rows with priorities of the touched components."""
-    rows = cut_lineage(incremental.touched_incidents(step, policies))
-    members = step.state.members.join(step.touched, "component", "left_semi")
-    complaints = step.state.complaints.join(members.select("id"), "id", "left_semi")
-    inputs = priority.priority_inputs(rows, complaints, members, places, now, policies.priority)
-    return priority.assess_priority(inputs, policies.priority).drop("safety_names")
-
-
-def merged_incidents(store: SnapshotStore, step: ClusterStep, fresh: DataFrame) -> DataFrame:
-    """Stored incidents with the touched ones replaced and those merged away left out."""
-    if "incidents" not in store.tables():
-        return fresh
-    gone = step.moved.select(F.col("previous_component").alias("component")).union(step.touched).distinct()
-    return store.read("incidents").join(gone, "component", "left_anti").unionByName(fresh, allowMissingColumns=True)
-
-
-def automated_edges(edges: DataFrame) -> DataFrame:
-    """Edges with the matcher's own decision, whatever officers decided since."""
-    if "automated_decision" not in edges.columns:
-        return edges
-    return edges.withColumn("decision", F.coalesce("automated_decision", "decision"))
-
-
 def submit_stream(
     commands: DataFrame,
     store: SnapshotStore,
@@ -77,42 +48,20 @@ def submit_stream(
     places: DataFrame,
     now: Column,
     policies: Policies = Policies(),
+    layout: Layout = Layout(),
 ) -> DataStreamWriter:
     """Submissions to incidents: validation, idempotency, vectors, clustering, reviews, priorities.
 
     ``commands`` have idempotency_key, sequence, complaint_id and the raw report. Each micro-batch
-    appends to ``outcomes``, ``quarantine``, ``keys``, ``complaints``, ``vectors`` and ``edges``, and
-    replaces ``members``, ``reviews`` and ``incidents``, in one publish.
+    appends to the ledger's tables and to ``outcomes``, ``quarantine`` and ``results`` (one row per new
+    report: its incident, priority, what the incident replaced) in one publish.
     """
 
-    def apply(batch: DataFrame) -> tuple[dict, dict]:
-        valid, rejected = intake.split_valid(intake.validate_complaints(batch, now))
-        commands_ = cut_lineage(intake.with_fingerprint(intake.to_complaints(valid)))
-        outcomes = cut_lineage(outcomes_against(commands_, store.read("keys") if "keys" in store.tables() else None))
-        created = outcomes.filter("outcome = 'created'").select("idempotency_key", "sequence", "complaint_id")
-        new = commands_.join(created, ["idempotency_key", "sequence", "complaint_id"], "left_semi").dropDuplicates(["complaint_id"])
-        fresh = new.drop("idempotency_key", "sequence", "request_fingerprint", "id").withColumnRenamed("complaint_id", "id")
-        if "members" in store.tables():
-            fresh = fresh.join(store.read("members").select("id"), "id", "left_anti")
-        fresh = cut_lineage(fresh)
-        vectors = cut_lineage(vectors_of(fresh))
-        state = load_state(store, (fresh, vectors))
-        step = incremental.add_reports(state, fresh, vectors, policies)
-        version = incidents.graph_version(automated_edges(step.state.edges)).first()["graph_version"]
-        found = reviews.new_reviews(step.new_edges, now, F.lit(version))
-        past = state.reviews if state.reviews is not None else no_reviews(store.spark)
-        current = reviews.upsert_reviews(past, found).withColumn(
-            "graph_version_at_creation",
-            F.when(F.col("status") == "pending", F.lit(version)).otherwise(F.col("graph_version_at_creation")),
-        )
-        return (
-            {"members": step.state.members, "reviews": current,
-             "incidents": merged_incidents(store, step, scored(step, places, now, policies))},
-            {"complaints": fresh, "vectors": vectors, "edges": step.new_edges, "quarantine": rejected,
-             "outcomes": outcomes, "keys": created_keys(commands_, outcomes)},
-        )
-
-    return commands.writeStream.foreachBatch(once(store, "submit", apply))
+    def apply(batch: DataFrame) -> tuple[dict, dict, dict]:
+        appended, metadata = Ledger(store, policies, layout).submit(batch, vectors_of, places, now)
+        return {}, appended, metadata
+
+    return commands.writeStream.foreachBatch(once(store, "submit", apply, SPECS))
 
 
 def resolve_and_publish(
@@ -124,41 +73,29 @@ def resolve_and_publish(
     per command: outcome, and for accepted ones the incidents before and after, conflict and priorities.
     """
     base = store.current()
-    before = load_state(store)
-    version = incidents.graph_version(automated_edges(before.edges)).first()["graph_version"]
-    outcomes = cut_lineage(reviews.resolution_outcomes(commands, before.reviews, F.lit(version)))
-    decided = cut_lineage(reviews.apply_resolutions(before.reviews, outcomes))
-    after, affected = incremental.apply_review_decisions(before, decided)
-    touched = cut_lineage(after.members.join(affected, "id", "left_semi").select("component").distinct())
-    earlier = before.members.withColumnRenamed("component", "previous_component")
-    moved = after.members.join(touched, "component", "left_semi").join(earlier, "id").filter("component <> previous_component")
-    step = ClusterStep(after, after.edges, cut_lineage(moved.select("id", "previous_component", "component")), touched)
-    fresh = cut_lineage(scored(step, places, now, policies))
-    accepted = outcomes.filter("final_relationship_state is not null").select("review_id", "left_id", "right_id")
-    results = cut_lineage(incremental.mutation_results(before, after, accepted, fresh))
-    store.publish(
-        replaced={"reviews": decided, "edges": after.edges, "members": after.members,
-                  "incidents": merged_incidents(store, step, fresh)},
-        base=base,
-    )
-    acted = F.col("final_relationship_state").isNotNull()
-    return outcomes.select("sequence", "review_id", "outcome", "final_relationship_state").join(
-        results.withColumn("_acted", F.lit(True)), (outcomes["review_id"] == results["review_id"]) & acted, "left"
-    ).drop(results["review_id"]).drop("_acted", "final_relationship_state")
+    with stage_scope(store.spark):
+        appended, results = Ledger(store, policies).resolve(commands, places, now)
+        store.publish(appended=appended, base=base, specs=SPECS)
+    return results
 
 
 def publish_state(
-    store: SnapshotStore, state: ClusterState, assessed: DataFrame, keys: DataFrame, base: str | None = None
+    store: SnapshotStore,
+    state: ClusterState,
+    assessed: DataFrame,
+    keys: DataFrame,
+    base: str | None = None,
+    layout: Layout = Layout(),
 ) -> str:
     """A whole state as one snapshot, as an import makes it."""
-    return store.publish(
-        replaced={"complaints": state.complaints, "vectors": state.vectors, "edges": state.edges,
-                  "members": state.members, "reviews": state.reviews, "keys": keys,
-                  "incidents": assessed.drop("safety_names")},
-        base=base,
-    )
+    with stage_scope(store.spark):
+        ledger = Ledger(store, layout=layout)
+        tables, metadata = ledger.whole(state, assessed, keys)
+        # of an earlier state nothing may stay: tables this one does not have are emptied
+        cleared = {t: store.read_rows(t)[0].limit(0).drop("_seq", "_gone") for t in ("redirects", "parts") if t in store.tables()}
+        return store.publish(replaced=tables | cleared, metadata=metadata, base=base, specs=SPECS)
 
 
 def incident_members(store: SnapshotStore) -> DataFrame:
     """(incident_id, id) of the current snapshot."""
-    return incidents.incident_members(store.read("members"), store.read("incidents"))
+    return incidents.incident_members(Ledger(store).members(), store.read("incidents"))
