@@ -2,9 +2,9 @@
 
 Words of both sides are lower-cased (A-Z) runs of ASCII letters and digits and of non-ASCII bytes. Every
 ten consecutive words of an item are a window; an item of fewer words, but not none, is one window. The
-windows' hashes form a set that is broadcast while their counted number is within ``MAX_WINDOWS``; each
-hash hit is verified against the window's words. Beyond that number the windows of the documents are
-joined with those of the items by a shuffle instead; the results are the same.
+windows' hashes form a set that is broadcast while their counted bytes are within ``MAX_BYTES``; each
+hash hit is verified against the window's words. Beyond that the windows of the documents are joined with
+those of the items by a shuffle instead; the results are the same.
 
 Null texts have no words. Items with a null id count for nothing. Repeated items are one. Every row of
 documents is judged by itself, repeated or not. An empty benchmark hits nothing.
@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from ..session import cut_lineage
-from .flat import byte_class, counts_of, flat_blocks, fold, hash_spans, lower_ascii, ranges, words
+from .flat import byte_class, counts_of, flat, flat_blocks, fold, hash_spans, lower_ascii, ranges, words
 from .frames import documents, map_arrow, read
 
 WINDOW = 10
-#: Bound of the broadcast: windows of at most 200 or so bytes each, two numbers and a text.
-MAX_WINDOWS = 500_000
+#: Bound of the broadcast in bytes, as counted before anything is collected.
+MAX_BYTES = 64_000_000
 
 _WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
@@ -79,25 +80,34 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class WindowSet:
-    """Sorted hashes of the windows of each length, with their texts and items."""
-
-    def __init__(self, rows: list):
-        texts: dict[tuple[int, int], dict[bytes, set[str]]] = {}
-        for r in rows:
-            texts.setdefault((r["length"], r["hash"]), {}).setdefault(bytes(r["window"]), set()).add(r["item_id"])
-        self.texts = texts
-        self.lengths = sorted({k[0] for k in texts})
-        self.hashes = {m: np.sort(np.array([h for k, h in texts if k == m], np.int64).view(np.uint64)) for m in self.lengths}
+    """Windows of each length sorted by hash: hashes, places of their texts in one string, and items."""
+
+    def __init__(self, table: pa.Table):
+        order = np.lexsort((table["hash"].to_numpy().view(np.uint64), table["length"].to_numpy()))
+        table = table.take(pa.array(order)).combine_chunks()
+        length, names = table["length"].to_numpy(), table["item_id"].combine_chunks().dictionary_encode()
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        self.raw, self.places = (a.copy() for a in flat(table["window"].combine_chunks()))
+        self.names = names.dictionary.to_pylist()
+        self.item = names.indices.to_numpy()
+        self.lengths = np.unique(length).tolist()
+        at = np.searchsorted(length, [*self.lengths, 1 << 30])
+        self.hashes = {m: (int(low), hashes[low:high]) for m, low, high in zip(self.lengths, at, at[1:])}
 
     def hits(self, t: _Text) -> list[tuple[int, int, set[str]]]:
         """(first word, length, items) of all verified occurrences."""
         found = []
         for m in self.lengths:
-            known = self.hashes[m]
+            offset, known = self.hashes[m]
             first, h = t.windows(m)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for k in np.flatnonzero(known[at] == h).tolist():
-                items = self.texts[m, int(h[k : k + 1].view(np.int64)[0])].get(t.text(int(first[k]), m))
+            low = np.searchsorted(known, h, "left")
+            for k in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h).tolist():
+                text, items, at = t.text(int(first[k]), m), set(), int(low[k])
+                while at < len(known) and known[at] == h[k]:  # one window of several items, or equal hashes
+                    a, b = self.places[offset + at : offset + at + 2]
+                    if self.raw[a:b].tobytes() == text:
+                        items.add(self.names[self.item[offset + at]])
+                    at += 1
                 if items:
                     found.append((int(first[k]), m, items))
         return found
@@ -141,16 +151,20 @@ def _marked(data, offsets, t: _Text, hit: np.ndarray, items: dict[int, set[str]]
 _SCHEMA = "n_words long, n_hit long, item_ids array<string>, cleaned string"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *more: str, window: int = WINDOW, max_windows: int = MAX_WINDOWS, cleaned: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *more: str, window: int = WINDOW, max_bytes: int = MAX_BYTES, cleaned: bool = True) -> DataFrame:
     """(doc_id, more..., n_words, n_hit, item_ids, cleaned) of every row: ``cleaned`` is the text without
-    the hit spans, or null where it is not asked for."""
+    the hit spans, or null where it is not asked for.
+
+    The windows are broadcast if their counted bytes are within ``max_bytes``, else joined: same result.
+    """
     spark = docs.sparkSession
     known = cut_lineage(item_windows(items, window))
-    rows = known.limit(max_windows + 1).collect()
+    size = F.sum(F.length("window") + F.octet_length("item_id") + 24)
+    n_bytes = known.agg(F.coalesce(size, F.lit(0))).first()[0]
     docs = documents(docs, *more)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema) + f", {_SCHEMA}"
-    if len(rows) <= max_windows:
-        windows = spark.sparkContext.broadcast(WindowSet(rows))
+    if n_bytes <= max_bytes:
+        windows = spark.sparkContext.broadcast(WindowSet(known.toArrow()))
 
         def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i, j, data, offsets in flat_blocks(batch.column("text")):
@@ -198,7 +212,8 @@ def _by_join(docs: DataFrame, known: DataFrame, cleaned: bool, schema: str) -> D
 
     seen = map_arrow(keyed.select("row_key", "text"), cut, "row_key string, first long, length int, hash long, window binary")
     hits = (
-        seen.join(known.hint("merge"), ["length", "hash", "window"])
+        # a window that many texts share is split
+        lookup(seen, known, ["length", "hash", "window"], spread_by="row_key")
         .groupBy("row_key")
         .agg(F.collect_set(F.struct("first", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
     )

@@ -7,11 +7,13 @@ prototype has the highest cosine with it. Letters are lower-cased; every run of
 blank, which takes part in n-grams as a letter of its own.
 
 Learning covers all documents with a language that the caller marks; sums are integers, so results do
-not depend on the order of rows. Prototypes are one row per language and dimension; a limit on the
-number of languages bounds what is broadcast.
+not depend on the order of rows. Prototypes are sums per language and dimension; a slice of the languages
+is broadcast at a time, so their number has no limit.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows with a null language teach nothing.
-Ties go to the language that sorts first. Without any language to learn from, all are ``und``.
+Ties go to the language that sorts first. Without any language to learn from, all are ``und``. Rows that
+repeat an id are predicted one by one; an empty table gives an empty one. Only doc_id, text and, for
+learning, lang are read. A text is never cut: a block holds at least one whole row.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .frames import documents, held_out, map_arrow, read
 
 DIMENSIONS = 1024
 GRAM = 3
-MAX_LANGUAGES = 2000
+#: Languages whose prototypes are broadcast at a time; more are scored in several passes.
+SLICE = 4096
 _UNIT = 1 << 20
 _BLOCK = 1_500_000
 _BLANK = 0x20
@@ -75,8 +78,10 @@ def vectors(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS,
     alphabet, code = np.unique(padded, return_inverse=True)
     a = len(alphabet)
     window = len(padded) - gram + 1
-    if a**gram * max(n, 1) >= 1 << 62:
-        raise OverflowError("too many different letters in a block")
+    if a**gram * n >= 1 << 62 and n > 1:  # too many different letters for one number: fewer rows at a time
+        cut = n // 2
+        parts = [vectors(data[o[0] : o[-1]], o - o[0], dimensions, gram) for o in (offsets[: cut + 1], offsets[cut:])]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ids = np.zeros(window, np.int64)
     for k in range(gram):
         ids = ids * a + code[k : k + window]
@@ -105,6 +110,13 @@ def learn(docs: DataFrame, teaches: Column, dimensions: int = DIMENSIONS) -> Dat
     """Prototype sums (lang, dim, value) over all documents that teach. ``docs`` has text and lang."""
     rows = docs.filter(teaches & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string"))
 
+    def rows_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():  # one row per language and dimension, summed map-side again
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)],
+                ["lang", "dim", "value"],
+            )
+
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -116,32 +128,49 @@ def learn(docs: DataFrame, teaches: Column, dimensions: int = DIMENSIONS) -> Dat
                 own = np.array(langs.slice(i, j - i).to_pylist(), object)
                 for lang in set(own):
                     sums[lang] = sums.get(lang, 0) + unit[own == lang].sum(0)
-        for lang, total in sums.items():  # one row per task, language and dimension, summed map-side again
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)],
-                ["lang", "dim", "value"],
-            )
+                if len(sums) > SLICE:
+                    yield from rows_of(sums)
+                    sums = {}
+        yield from rows_of(sums)
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return rows.mapInArrow(every, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
 
 
-def prototypes(sums: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Unit prototypes of all languages, on the driver: at most MAX_LANGUAGES vectors."""
-    rows = sums.limit(MAX_LANGUAGES * dimensions + 1).collect()
-    if len(rows) > MAX_LANGUAGES * dimensions:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted({r["lang"] for r in rows})
-    place = {lang: k for k, lang in enumerate(langs)}
-    out = np.zeros((len(langs), dimensions))
-    for r in rows:
-        out[place[r["lang"]], r["dim"]] = r["value"]
-    return langs, (out / np.maximum(np.sqrt((out * out).sum(1)), 1e-9)[:, None]).astype(np.float32)
+Model = list[tuple[list[str], np.ndarray]]
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(doc_id, lang_pred, score); the score maps the best cosine from -1..1 to 0..1."""
-    model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+def prototypes(sums: DataFrame, dimensions: int = DIMENSIONS) -> Model:
+    """Slices of (languages, unit prototypes), in the order of the languages' names.
+
+    A language reaches the driver as one row of ``dimensions`` numbers; there are as many as languages.
+    """
+    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v"))
+    langs, found = [], []
+    for r in rows.select("lang", F.col("v.value").alias("v")).orderBy("lang").toLocalIterator():
+        v = np.array(r.v, np.float64)
+        langs.append(r.lang)
+        found.append((v / max(np.sqrt((v * v).sum()), 1e-9)).astype(np.float32))
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    slices = [order[k : k + SLICE] for k in range(0, len(order), SLICE)]
+    return [([langs[k] for k in part], np.stack([found[k] for k in part])) for part in slices]
+
+
+def predict(docs: DataFrame, model: Model, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(doc_id, lang_pred, score); the score maps the best cosine from -1..1 to 0..1. Of equally good
+    languages the first by name is taken.
+
+    A slice of the model is broadcast at a time; each pass keeps the best language so far.
+    """
+    own = documents(docs).withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(0.0)})
+    slices = model or [([], np.zeros((0, dimensions), np.float32))]
+    for k, part in enumerate(slices):
+        own = _better(own, part, dimensions, k + 1 < len(slices))
+    return own
+
+
+def _better(docs: DataFrame, part: tuple[list[str], np.ndarray], dimensions: int, more: bool) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(part)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names, proto = model.value
@@ -152,22 +181,23 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, dimensions: i
             cosine = (v @ proto.T) / length[:, None] if names else np.zeros((j - i, 1), np.float32)
             best = cosine.argmax(1)
             score = np.clip((1 + cosine[np.arange(j - i), best].astype(np.float64)) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(i, j - i),
-                    pa.array([names[b] if h else "und" for b, h in zip(best, has)], pa.string()),
-                    pa.array(np.where(has, score, 0.0)),
-                ],
-                ["doc_id", "lang_pred", "score"],
-            )
+            before = batch.slice(i, j - i)
+            past, lang = before.column("score").to_numpy(), before.column("lang_pred").to_pylist()
+            first = np.array([x is None or x == "und" for x in lang], bool)
+            wins = has & (first | (score > past))
+            named = pa.array([names[b] if w else x or "und" for b, w, x in zip(best, wins, lang)], pa.string())
+            columns = {"doc_id": before.column("doc_id"), "lang_pred": named, "score": pa.array(np.where(wins, score, past))}
+            if more:  # the next pass reads the text again
+                columns["text"] = before.column("text")
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(documents(docs), one, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs, one, "doc_id long, lang_pred string, score double" + (", text string" if more else ""))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    langs, matrix = prototypes(learn(docs, ~F.coalesce(held_out(), F.lit(False))))
-    return predict(docs, langs, matrix).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    model = prototypes(learn(docs, ~F.coalesce(held_out(), F.lit(False))))
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op4_language_id": op4_language_id}

@@ -3,11 +3,12 @@
 A trie of the vocabulary gets failure links: where a node has no edge for the next byte, the pieces that
 the longest match would pop are already known as a count, and the scan goes on at the link. Counting a
 word so reads each byte once and never builds a piece. All different words of a block advance together,
-one byte column per step.
+one byte column per step; very long words, few if any, are read one after the other instead.
 
 The vocabulary is a byte-level one: a piece that begins with a blank starts a word, others continue it.
 Words are runs without ASCII white space; each is scanned with a blank before it. Every single byte is a
-piece, so every word has a tokenisation. Null and empty texts have no words and no tokens.
+piece, so every word has a tokenisation. Null and empty texts have no words and no tokens. Every row is
+counted by itself, repeated ones alike; an empty table gives an empty one. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .frames import documents, map_arrow, read, tokenizer_file
 VOCABULARY = "byte_bpe_50k.json"
 #: Equal words are scanned once per block.
 _BLOCK = 2_000_000
+#: Words of more bytes than this are scanned alone: a column step for one word costs more than its byte.
+LONG_WORD = 256
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -76,12 +79,36 @@ class Automaton:
                     z, count = link[z], count + popped[z]
                 link[v], popped[v] = edges[z << 8 | b], count
         order = sorted(edges)
+        self.edges = edges
         self.keys = np.array(order, np.int64)
         self.targets = np.array([edges[k] for k in order], np.int64)
         self.link, self.popped = np.array(link), np.array(popped)
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each span of bytes, a blank taken before it."""
+        out = np.empty(len(starts), np.int64)
+        long = np.flatnonzero(ends - starts > LONG_WORD)
+        for k in long.tolist():
+            out[k] = self._count(data[starts[k] : ends[k]].tobytes())
+        short = np.flatnonzero(ends - starts <= LONG_WORD)
+        out[short] = self._columns(data, starts[short], ends[short])
+        return out
+
+    def _count(self, word: bytes) -> int:
+        """Pieces of one word, a blank taken before it."""
+        edges, link, popped = self.edges, self.link.tolist(), self.popped.tolist()
+        state, count = edges[0x20], 0
+        for b in word:
+            while (step := edges.get(state << 8 | b)) is None:
+                count += popped[state]
+                state = link[state]
+            state = step
+        while state:
+            count += popped[state]
+            state = link[state]
+        return count
+
+    def _columns(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order], lengths[order]

@@ -141,3 +141,18 @@ def vector_codes(rows, parts=16, entries=64, rounds=2) -> tuple[dict, list]:
         code = [best(p, cut[i][p]) for p in range(parts)]
         out[i] = "".join(f"{k:02x}" for k in code), sum(far(cut[i][p], books[p][k]) for p, k in enumerate(code))
     return out, books
+
+
+def licences(names: list, rules: list) -> tuple[list, list]:
+    """(licences in text order, identifiers left): the longest rules first, each wherever its names stand in a row."""
+    left, out = dict(enumerate(names)), {}
+    for length in sorted({len(rule) for _, rule in rules}, reverse=True):
+        for licence, rule in rules:
+            if len(rule) != length:
+                continue
+            for k in range(len(names)):
+                if all(left.get(k + j) == name for j, name in enumerate(rule)):
+                    out[k] = licence
+                    for j in range(length):
+                        del left[k + j]
+    return [out[k] for k in sorted(out)], [left[k] for k in sorted(left)]

@@ -199,3 +199,18 @@ def test_fill_in_middle_of_awkward_rows(spark, docs):
             for s in (0, 50):
                 output, form, *_ = fm.arranged(b"<P<S<M<", [a, b, 0, s], 10, 20)
                 assert fm.restored(output, form) == b"<P<S<M<"
+
+
+def test_long_words_are_counted_like_short_ones(monkeypatch):
+    from reportmesh.llm import token_counts as tc
+    from reportmesh.llm.frames import tokenizer_file
+
+    scan = tc.automaton(tokenizer_file(tc.VOCABULARY))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "the", "é", "日", "0", "xq"]) for _ in range(n)) for n in (1, 5, 60, 100, 127, 400, 900)]
+    data, offsets = flat(pa.array([t.encode() for t in texts], pa.large_binary()))
+    whole = scan.counts(data, offsets[:-1], offsets[1:])
+    monkeypatch.setattr(tc, "LONG_WORD", 0)
+    assert scan.counts(data, offsets[:-1], offsets[1:]).tolist() == whole.tolist()
+    monkeypatch.setattr(tc, "LONG_WORD", 1 << 30)
+    assert scan.counts(data, offsets[:-1], offsets[1:]).tolist() == whole.tolist()

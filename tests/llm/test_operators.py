@@ -319,18 +319,18 @@ def test_sentencepiece_random_strings():
 ITEMS = [(1, "x1 th an er on x1 th an er on th an"), (2, "Only Three Words"), (3, None), (None, "a"), (10, "one two three four"), (10, "one two three four"), (7, "...")]
 
 
-@pytest.mark.parametrize("limit", [500_000, 2])
+@pytest.mark.parametrize("limit", [64_000_000, 2])
 def test_decontamination(spark, docs, rows, limit):
     more = [(1000, "so ONLY three, words!"), (1001, "x1 th an er on x1 th an er on th an er"), (1002, "only three wordsx")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).withColumn("cleaned", F.lit(1))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = dc.decontaminate(df, items, max_windows=limit)
+    got = dc.decontaminate(df, items, max_bytes=limit)
     known = [x for x in ITEMS if x[0] is not None]
     assert _by_id(got, "n_words", "n_hit", "item_ids") == {i: brute.contamination(t, known) for i, t in rows + more}
     texts = _by_id(got, "cleaned")
     assert texts[1000] == ("so !",) and texts[1002] == ("only three wordsx",)
     assert dc.decontaminate(df, items.limit(0)).filter("n_hit > 0").count() == 0
-    assert dc.decontaminate(df.limit(0), items, max_windows=limit).count() == 0
+    assert dc.decontaminate(df.limit(0), items, max_bytes=limit).count() == 0
 
 
 def test_language_id(spark, docs, empty):
@@ -338,13 +338,32 @@ def test_language_id(spark, docs, empty):
     got = li.op4_language_id(spark, f"{SMALL[:-5]}0.01").join(table.select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.97
-    langs, matrix = li.prototypes(li.learn(table, F.lit(True)))
-    result = _by_id(li.predict(docs, langs, matrix), "lang_pred", "score")
+    model = li.prototypes(li.learn(table, F.lit(True)))
+    langs = [name for part, _ in model for name in part]
+    result = _by_id(li.predict(docs, model), "lang_pred", "score")
     assert {result[i] for i in (0, 1, 2)} == {("und", 0.0)}
     assert all(0 <= s <= 1 and p in [*langs, "und"] for p, s in result.values())
-    assert li.predict(empty, langs, matrix).count() == 0
+    assert li.predict(empty, model).count() == 0
     nothing = li.prototypes(li.learn(docs, F.lit(True)))  # only null languages
-    assert {r.lang_pred for r in li.predict(docs, *nothing).collect()} == {"und"}
+    assert {r.lang_pred for r in li.predict(docs, nothing).collect()} == {"und"}
+    # languages beyond one slice are scored in several passes, to the same result
+    sliced = [(names[k : k + 1], matrix[k : k + 1]) for names, matrix in model for k in range(len(names))]
+    again = _by_id(li.predict(docs, sliced), "lang_pred", "score")
+    assert len(sliced) == 4 and all(again[i][0] == p and again[i][1] == pytest.approx(s) for i, (p, s) in result.items())
+
+
+def test_language_vectors_of_many_letters():
+    """A block with too many different letters for one number is split; rows keep their vectors."""
+    texts = ["".join(chr(c) for c in range(0x4E00 + 3000 * k, 0x4E00 + 3000 * k + 3000)) for k in range(6)]
+    import pyarrow
+
+    (_, _, data, offsets), *_ = flat_blocks(pyarrow.array(texts))
+    whole, _ = li.vectors(data, offsets, 16)
+    letters = 1 << 21
+    assert letters**3 >= 1 << 62  # no text has as many letters, so one row always fits
+    for k in range(6):
+        alone, _ = li.vectors(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], 16)
+        assert (alone[0] == whole[k]).all()
 
 
 def test_language_vectors_bundle_bound_grams():
@@ -437,7 +456,7 @@ def test_licence_scan(spark, docs, empty):
     names = {n for n, _ in ls.SENTENCES}
     assert all(set(rule) <= names for _, rule in ls.RULES)
     cues = [c.decode().replace("-", " ") for c in ls.CUES]
-    assert all(any(c in pattern for c in cues) for _, pattern in ls.SENTENCES)
+    assert all(any(c in pattern for c in cues) for _, pattern in ls.SENTENCES), [p for _, p in ls.SENTENCES if not any(c in p for c in cues)]
 
 
 MIT_TEXT = """MIT License
@@ -526,6 +545,44 @@ def test_licence_texts_in_wrapped_lines(leader, end):
     assert ls.scan(BSD_TEXT)["n_unknown"] == 0
 
 
+@pytest.mark.parametrize("text, licence", [
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC:by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC:by-4.0"),
+    ("Licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported licence.", "CC:by-nc-nd-3.0"),
+    ("licensed under GPLv3", "GPL:general-3"), ("This library is under the LGPL-2.1.", "GPL:lesser-general-2.1"),
+    ("Released under the AGPL v3.0 or later.", "GPL:affero-general-3.0"), ("License: MIT", "MIT"), ("Licence: Apache 2.0", "Apache:2.0"),
+    ("license: BSD-3-Clause", "BSD:3-clause"), ("License: GPL-2.0-or-later", "GPL:general-2.0"), ("Distributed under the MIT license", "MIT"),
+    ("Licensed under the BSD 3-Clause License", "BSD:3-clause"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache:2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL:general-3"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "GPL:lesser-general-2.1"),
+    ("Mozilla Public License Version 2.0\n==================================", "MPL:2.0"),
+])
+def test_licences_of_usual_forms(text, licence):
+    got = ls.scan(text)
+    assert (got["licences"], got["unused_ids"]) == ([licence], [])
+
+
+@pytest.mark.parametrize("text", [
+    "the acc0unt was closed", "This is NOT licensed under the MIT license.", "It is not released under the GPLv3", "A driving license: mitigated by age.",
+    "The file isn't available under the Apache License 2.0.",
+])
+def test_texts_that_name_no_licence_of_their_own(text):
+    assert ls.scan(text)["licences"] == [] and ls.scan(text)["sentence_ids"] == []
+
+
+def test_rules_equal_a_plain_matcher():
+    assert [len(rule) for _, rule in ls.RULES] == sorted((len(rule) for _, rule in ls.RULES), reverse=True)
+    rnd = random.Random(6)
+    names = [n for n, _ in ls.SENTENCES]
+    for _ in range(400):
+        found = []
+        while len(found) < 25:
+            found += rnd.choice([rnd.choice(ls.RULES)[1], rnd.sample(names, 1), rnd.choice(ls.RULES)[1][:-1]])
+        pairs = [(n, "") for n in found]
+        assert ls.licences(pairs) == brute.licences(found, ls.RULES)
+
+
 def test_licence_notices_of_one_line():
     """Lines without an end are no sentence of one notice."""
     got = ls.scan("Copyright 2020 A. Person\nReleased under the MIT License\nLicensed under CC BY 4.0\nYou need a license\n// SPDX-License-Identifier: ISC\nMore words")
