@@ -8,8 +8,8 @@ A chain that meets the end of the text is cut short: any text with a word has a
 
 Likeness is the Jaccard coefficient of two sets. Sets are partitioned by their length, with borders
 that grow by 1 / ``least``: sets of partitions that are no neighbours cannot reach ``least``. Comparing
-goes through the partitions and prunes pairs by their lengths; ``near_documents`` joins all documents with
-each other that way and names the component of each.
+goes through the partitions and prunes pairs by their lengths. ``with_edits`` states exact likeness, and
+decides by that pruning whether a text and its edited one, or the next one, are copies (``LEAST`` or more).
 
 Words are runs of ASCII letters and digits and of all other characters, A-Z in lower case. A fingerprint
 is the base64 of its sorted hashes, six bytes each, first byte highest. Texts without words, null or empty,
@@ -207,7 +207,10 @@ def edited_text(text: str, following: str) -> str:
 
 
 def with_edits(docs: DataFrame, common: str = COMMON, least: float = 0.0) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness; that with the next document too."""
+    """Fingerprints of every text and of its edited text, and their likeness; that with the next document too.
+
+    Texts go through a task one by one, whole; a block of results ends after about a million characters.
+    """
     limit = 1_000_000
 
     def compared(rows: list[tuple], following: str) -> pa.RecordBatch:
@@ -222,14 +225,18 @@ def with_edits(docs: DataFrame, common: str = COMMON, least: float = 0.0) -> Dat
         first = own[0][: own[1][n]], own[1][: n + 1]
         second = own[0][own[1][1] :], own[1][1:] - own[1][1]
         near_next = likeness(first, second, least)
+        copies = [likeness(first, other, LEAST) > 0 for other in (edits, second)]  # by partition and length first
+        copies[1] &= ~alone
         near_next[alone] = np.where(np.diff(first[1])[alone] == 0, 1.0, 0.0)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([doc_id for doc_id, _ in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(c).hexdigest() for c in changed]), pa.array(written(*first)), pa.array(written(*edits)),
                 pa.array(likeness(first, edits, least)), pa.array(near_next), pa.array(np.diff(first[1])), pa.array(np.diff(edits[1])),
+                pa.array(partition_of(np.diff(first[1]), LEAST)), pa.array(copies[0]), pa.array(copies[1]),
             ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "n_edited_signatures"],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "n_edited_signatures",
+             "length_partition", "edited_is_copy", "next_is_copy"],
         )
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +265,7 @@ def with_edits(docs: DataFrame, common: str = COMMON, least: float = 0.0) -> Dat
     return in_order(docs).mapInArrow(
         every,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
-        "near_next double, n_signatures long, n_edited_signatures long",
+        "near_next double, n_signatures long, n_edited_signatures long, length_partition long, edited_is_copy boolean, next_is_copy boolean",
     )
 
 

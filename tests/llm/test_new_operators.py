@@ -71,6 +71,7 @@ def test_edited_texts(spark, docs, rows, ranges):
         assert (r.n_chars, r.edited_sha256, r.n_signatures) == (len(texts[i]), _sha(changed[i]), len(spots[i]))
         assert r.near_edited == pytest.approx(brute.jaccard(spots[i], brute.spots(changed[i], ss.COMMON, ss.GAP)))
         assert r.near_next == pytest.approx(brute.jaccard(spots[i], spots[following]))
+        assert (r.edited_is_copy, r.next_is_copy) == (r.near_edited >= ss.LEAST, r.near_next >= ss.LEAST)
         assert r.n_edited_signatures * 6 == len(__import__("base64").b64decode(r.edited_fingerprint))
     plain = {r.doc_id: r.fingerprint for r in ss.fingerprints(docs).collect()}
     assert plain == {i: r.fingerprint for i, r in got.items()}
