@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_metres, temporal_gap_seconds
 from ..functions.locations import compare_location_sets, location_sets, location_tokens
-from ..functions.vectors import cosine_from_parts, norm
+from ..functions.vectors import cosine_from_parts, is_usable, norm
 from ..policy import AUTO_MATCH, NO_MATCH, OTHER, MatchingPolicy
 from ..session import write_stage
 from .candidates import GeoGrid, split_hot_blocks
@@ -24,15 +24,18 @@ from .matching import ordered_pair
 from .skew import lookup
 
 
-def _assign_nodes(complaints: DataFrame, policy: MatchingPolicy, reviews: DataFrame | None):
-    """Complaint columns plus ``node`` and ``eligible`` (can take part in a confirmed pair).
+def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPolicy, reviews: DataFrame | None):
+    """Complaint columns plus ``node``, ``eligible`` (can take part in a confirmed pair) and ``usable``
+    (has a vector with a direction).
 
-    ``vector_key`` names equal vectors (for text embeddings: a digest of the normalised text);
-    without that column no two vectors are assumed equal. Officer-decided reports stay alone.
+    Equal vectors have equal digests; a ``vector_key`` column of the complaints (for text embeddings a
+    digest of the normalised text) stands for them where it exists. Officer-decided reports stay alone.
     """
     window_us = math.ceil(policy.window_seconds * 1e6)
-    same_vector = F.col("vector_key" if "vector_key" in complaints.columns else "id")
-    rows = complaints.select(
+    digest_of = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
+    known = vectors.select("id", is_usable(F.col("vector")).alias("_usable"), digest_of.alias("_digest"))
+    same_vector = F.col("vector_key" if "vector_key" in complaints.columns else "_digest")
+    rows = complaints.join(known, "id", "left").select(
         "id",
         "category",
         "latitude",
@@ -40,7 +43,8 @@ def _assign_nodes(complaints: DataFrame, policy: MatchingPolicy, reviews: DataFr
         F.unix_micros("reported_at").alias("us"),
         location_tokens(F.col("locations")).alias("tokens"),
         location_sets(F.col("locations")).alias("places"),
-        same_vector.alias("vector_key"),
+        F.coalesce(same_vector, "id").alias("vector_key"),
+        F.coalesce("_usable", F.lit(False)).alias("usable"),
     )
     if reviews is None:
         rows = rows.withColumn("decided", F.lit(False))
@@ -69,7 +73,7 @@ def _assign_nodes(complaints: DataFrame, policy: MatchingPolicy, reviews: DataFr
         256,
     )
     return rows.select(
-        "id", "category", "latitude", "longitude", "us", "tokens", "places",
+        "id", "category", "latitude", "longitude", "us", "tokens", "places", "usable",
         bucket.alias("bucket"),
         eligible.alias("eligible"),
         F.when(eligible & ~F.col("decided"), digest).otherwise(F.col("id")).alias("node"),
@@ -185,23 +189,27 @@ def collapsed_components(
 ) -> DataFrame:
     """(id, component): equal to components over all confirmed pairs, officer decisions included.
 
-    Needs ``strong_entity_semantic_threshold`` below 1, so that a vector confirms its own copy.
+    Needs ``strong_entity_semantic_threshold`` below 1, so that a vector confirms its own copy. Pairs
+    without a usable vector fail the job, as in ``match_pairs``; pairs that share no place mention cannot
+    confirm each other and are not looked at.
     """
     if policy.strong_entity_semantic_threshold >= 1:
         raise ValueError("copies only confirm each other below a similarity threshold of 1")
-    assigned, _ = write_stage(_assign_nodes(complaints, policy, reviews))
-    nodes, _ = write_stage(
-        assigned.groupBy("node").agg(
+    assigned, _ = write_stage(_assign_nodes(complaints, vectors, policy, reviews))
+    several = assigned.groupBy("node").agg(
             F.min("id").alias("rep"),
             F.count(F.lit(1)).alias("rows"),
             F.min("us").alias("lo"),
             F.max("us").alias("hi"),
+            F.min("usable").alias("usable"),
             *[
                 F.first(c).alias(c)
                 for c in ("category", "latitude", "longitude", "bucket", "tokens", "places", "eligible")
             ],
         )
-    )
+    # copies confirm each other only by vectors that can confirm anything
+    sound = F.when((F.col("rows") > 1) & ~F.col("usable"), F.raise_error(F.concat(F.lit("no usable vector for copies of "), "rep")).cast("bigint"))
+    nodes, _ = write_stage(several.withColumn("rows", F.coalesce(sound, "rows")))
     pairs = _node_pairs(nodes.filter("eligible"), policy, hot_rows)
     # vectors are read for compatible pairs only, by the representative report of each node
     side = lambda p: vectors.select(
@@ -212,10 +220,11 @@ def collapsed_components(
     similarity = cosine_from_parts(
         F.col("left_vector"), F.col("left_norm"), F.col("right_vector"), F.col("right_norm")
     )
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no usable vector for the pair"), "left_rep", "right_rep")).cast("double")
     links = (
-        pairs.join(side("left"), "left_rep")
-        .join(side("right"), "right_rep")
-        .filter(similarity >= policy.strong_entity_semantic_threshold)
+        pairs.join(side("left"), "left_rep", "left")
+        .join(side("right"), "right_rep", "left")
+        .filter(F.coalesce(similarity, missing) >= policy.strong_entity_semantic_threshold)
         .select(F.col("left_node").alias("left_id"), F.col("right_node").alias("right_id"))
     )
     if reviews is not None:

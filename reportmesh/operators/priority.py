@@ -327,6 +327,43 @@ def assess_priority(inputs: DataFrame, policy: PriorityPolicy = PriorityPolicy()
     )
 
 
+#: What ``assess_priority`` adds to its inputs, and what depends on the time of asking.
+SCORED = (
+    "priority_level", "priority_status", "points", "triggered_rules", "priority_reasons",
+    "policy_version", "operational_priority",
+)
+
+
+def with_rises(assessed: DataFrame, policy: PriorityPolicy = PriorityPolicy()) -> DataFrame:
+    """Assessed incidents with ``rises``: the times at which age alone raises their level, and to what.
+
+    At most two; none for a contradicted incident. The level without age is that of age zero.
+    """
+    fresh = assess_priority(assessed.drop(*SCORED).withColumn("unresolved_hours", F.lit(0.0)), policy)
+    steps = ((policy.high_unresolved_hours, 2), (policy.critical_unresolved_hours, 3))
+
+    def step(hours: float, rank: int) -> Column:
+        at = F.timestamp_micros((F.unix_micros("earliest_reported_at") + F.lit(round(hours * 3.6e9))).cast("bigint"))
+        rise = F.struct(at.alias("at"), F.lit(RANK_NAMES[rank]).alias("level"))
+        return F.when((F.col("status") != "conflict") & (F.col("points") < rank), rise)
+
+    rises = F.array_compact(F.array(*[step(*s) for s in steps]))
+    return assessed.join(fresh.select("component", rises.alias("rises")), "component")
+
+
+def assess_at(stored: DataFrame, now: Column, policy: PriorityPolicy = PriorityPolicy()) -> DataFrame:
+    """Stored incidents (inputs kept beside the verdict) as of ``now``: no report is read again."""
+    elapsed = (F.unix_micros(now) - F.unix_micros("earliest_reported_at")) / F.lit(3.6e9)
+    inputs = stored.drop(*SCORED).withColumn("unresolved_hours", F.greatest(F.lit(0.0), elapsed))
+    return assess_priority(inputs, policy)
+
+
+def risen(stored: DataFrame, since: Column, until: Column) -> DataFrame:
+    """(component, at, level): incidents that age raised after ``since``, up to ``until``, by change points."""
+    rises = stored.select("component", F.explode("rises").alias("r")).select("component", "r.at", "r.level")
+    return rises.filter((F.col("at") > since) & (F.col("at") <= until))
+
+
 def counts_over_domain(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
     """Row counts per value of a fixed domain, zeros included, in one narrow aggregate."""
     sums = [F.count_if(F.col(column) == value).alias(value) for value in domain]

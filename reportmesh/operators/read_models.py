@@ -52,7 +52,7 @@ def priority_rank(level: Column) -> Column:
     )
 
 
-def _page_bounds(limit: int, offset: int) -> None:
+def check_page(limit: int, offset: int) -> None:
     if not PAGE_MIN <= limit <= PAGE_MAX:
         raise ValueError(f"limit must be between {PAGE_MIN} and {PAGE_MAX}")
     if offset < 0:
@@ -84,9 +84,10 @@ def incident_queue(
 
     A small limit after a sort runs as a distributed top-k, not as a full sort. A deep page should
     name the last row of the page before, ``after`` = (priority_rank, latest_reported_at,
-    incident_id): it costs no more than the first, while an ``offset`` gathers all rows it skips.
+    incident_id): it costs no more than the first, while an ``offset`` gathers all rows it skips
+    (``streaming/published.py`` has an index for pages at any offset).
     """
-    _page_bounds(limit, offset)
+    check_page(limit, offset)
     kept = filter_incidents(incidents, **filters)
     total = kept.agg(F.count(F.lit(1))).scalar()
     ranked = kept.withColumn("priority_rank", priority_rank(F.col("operational_priority")))
@@ -113,7 +114,7 @@ def review_queue(
 
     ``after`` = (queue_group, queue_time, review_id) of the last row before a deep page.
     """
-    _page_bounds(limit, offset)
+    check_page(limit, offset)
     kept = filter_reviews(reviews, status)
     pending = F.col("status") == "pending"
     total = kept.agg(F.count(F.lit(1))).scalar()

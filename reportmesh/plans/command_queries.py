@@ -9,16 +9,19 @@ from ..functions import text
 from ..operators import intake, read_models, reviews
 from ..policy import MatchingPolicy, Policies
 from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import documents
 from ..sources import fixtures as fx
-from ..streaming import embed
+from ..streaming import embed, published
 from ..streaming.cluster import cluster_stream
 from ..streaming.intake import submission_stream, validate_stream
-from ..streaming.live import incident_members, load_state, publish_state, resolve_and_publish, submit_stream
+from ..streaming.ledger import Ledger
+from ..streaming.live import delete_and_publish, incident_members, load_state, publish_state, resolve_and_publish, submit_stream
 from . import incremental
 from .flow import Flow
-from .import_dataset import import_dataset
+from .import_dataset import import_dataset, seed_checksum
 from .incremental import ClusterState
-from .queries import _now, _store, automated, big, joined, query, reviewed, tail
+from .queries import _heat as heat_columns
+from .queries import _now, _store, automated, big, joined, query, reviewed, tail, us
 
 
 def _late(column) -> Column:
@@ -129,6 +132,46 @@ def q_import(spark, d):
     )
 
 
+@query("import_with_resolutions")
+def q_import_with_resolutions(spark, d):
+    """Documents under one checked manifest, with officer resolutions; must equal the reviewed batch job."""
+    reports, policies = fx.reports(spark, d), Policies()
+    flow = automated(spark, d)
+    decided = fx.reviews(flow.matched, flow.complaints).filter(F.col("status") != "pending")
+    at = F.date_format("reported_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("reported_at")
+    seed = F.struct(F.col("id").alias("seed_key"), "text", "latitude", "longitude", at, "category", "photo_path")
+    resolution = F.struct(
+        F.col("left_id").alias("left_seed_key"), F.col("right_id").alias("right_seed_key"), F.col("final_relationship_state").alias("final_state"),
+        F.col("reviewed_by").alias("reviewer_id"), F.col("review_note").alias("note"),
+    )
+    parts = cut_lineage(
+        reports.select(F.array(seed).alias("complaints")).unionByName(
+            decided.select(F.array(resolution).alias("review_resolutions")), allowMissingColumns=True
+        )
+    )
+
+    def under(**manifest) -> DataFrame:
+        stated = F.struct(*[F.lit(v).alias(k) for k, v in manifest.items()]).alias("manifest")
+        return parts.select(F.to_json(F.struct(stated, "complaints", "review_resolutions")).alias("document"))
+
+    _, seeds, resolutions = documents.parse_seed(under(seed_version="v1"))
+    docs = under(
+        seed_version="v1", content_sha256=seed_checksum(seeds, resolutions), normalization_version=policies.matching.normalization_version,
+        embedding_model=policies.matching.model_name, embedding_dimension=64, matching_policy_version=policies.matching.policy_version,
+        priority_policy_version=policies.priority.policy_version,
+    )
+    vectors = fx.vectors(spark, d).withColumnRenamed("id", "seed_key")
+
+    def vectors_of(complaints: DataFrame) -> DataFrame:
+        return complaints.select("id", "seed_key").join(vectors, "seed_key").select("id", "vector")
+
+    store = _store(spark)
+    import_dataset(store, docs, vectors_of, fx.sensitive_locations(spark, d), policies)
+    rows = store.read("incidents").select("incident_id", "report_count", "status", "priority_level")
+    named = incident_members(store).join(store.read("complaints").select("id", "seed_key"), "id")
+    return named.join(rows, "incident_id").select("seed_key", "report_count", "status", "priority_level")
+
+
 @query("incremental_embed")
 def q_embed(spark, d):
     """Distinct texts absent from a cache that holds the texts of every third report."""
@@ -241,9 +284,11 @@ def q_stream_submit(spark, d):
 
 
 def _published(spark, flow: Flow) -> SnapshotStore:
-    """An automated clustering as a published ledger, its reviews pending."""
-    pending = reviews.new_reviews(flow.matched, flow.now, F.lit(None).cast("string"))
-    state = ClusterState(flow.complaints, flow.vectors, flow.matched, flow.members, pending)
+    """A clustering as a published ledger; without officer decisions all its reviews are pending."""
+    found = flow.reviews
+    if found is None:
+        found = reviews.new_reviews(flow.matched, flow.now, F.lit(None).cast("string"))
+    state = ClusterState(flow.complaints, flow.vectors, flow.edges, flow.members, found)
     keys = intake.with_fingerprint(flow.complaints).select(
         F.col("id").alias("idempotency_key"), "request_fingerprint", F.col("id").alias("complaint_id")
     )
@@ -302,3 +347,38 @@ def q_resolve_in_rounds_edges(spark, d):
     return load_state(_after_rounds(spark, d, 3)).edges.select(
         "left_id", "right_id", "automated_decision", "decision", "decision_source", "matcher_recommendation"
     )
+
+
+@query("published_queue")
+def q_published_queue(spark, d):
+    """The ranked queue read from a published ledger, scored for a time given when reading."""
+    flow = reviewed(spark, d)
+    page = published.queue(_published(spark, flow), flow.now, limit=100, offset=10)
+    return page.select("incident_id", "operational_priority", us("latest_reported_at").alias("latest_us"), "total")
+
+
+@query("published_queue_page")
+def q_published_queue_page(spark, d):
+    """The same page from the published page index."""
+    flow = reviewed(spark, d)
+    store = _published(spark, flow)
+    published.index_queue(store, flow.now, block_rows=64)
+    page = published.indexed_page(store, 100, 10)
+    return page.select("incident_id", "operational_priority", us("latest_reported_at").alias("latest_us"), "total")
+
+
+@query("published_heat")
+def q_published_heat(spark, d):
+    flow = reviewed(spark, d)
+    return heat_columns(published.heat(_published(spark, flow), flow.now))
+
+
+@query("delete_and_publish")
+def q_delete_and_publish(spark, d):
+    """Every 97th report deleted from a published ledger; incidents that lost one are clustered anew."""
+    flow = reviewed(spark, d)
+    store = _published(spark, flow)
+    gone = fx.reports(spark, d).select("id").filter(tail("id") % 97 == 0)
+    delete_and_publish(store, gone, fx.sensitive_locations(spark, d), flow.now)
+    rows = store.read("incidents").select("component", "incident_id", big("report_count").alias("report_count"))
+    return Ledger(store).members().join(rows, "component").select("id", "component", "incident_id", "report_count")

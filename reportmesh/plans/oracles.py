@@ -1148,6 +1148,41 @@ add(
     "complaints",
 )
 add("stream_submit", "SELECT component, incident_id, report_count, level AS priority_level FROM auto_prio", "auto_prio")
+cte("alive", ("reports",), f"SELECT * FROM reports WHERE {_alive('id')}")
+cte(
+    "alive_links",
+    ("edges",),
+    f"""SELECT left_id AS a, right_id AS b FROM edges WHERE decision = 'auto_match' AND {_alive('left_id')} AND {_alive('right_id')}
+ UNION ALL SELECT right_id, left_id FROM edges WHERE decision = 'auto_match' AND {_alive('left_id')} AND {_alive('right_id')}""",
+)
+cte(
+    "alive_reach",
+    ("alive_links",),
+    """/*recursive*/SELECT DISTINCT a AS id, a AS root FROM alive_links
+ UNION SELECT l.b, r.root FROM alive_reach r JOIN alive_links l ON l.a = r.id""",
+)
+cte(
+    "alive_comp",
+    ("alive_reach", "alive"),
+    """SELECT p.id, coalesce(c.component, p.id) AS component FROM alive p
+ LEFT JOIN (SELECT id, min(root) AS component FROM alive_reach GROUP BY id) c ON c.id = p.id""",
+)
+cte(
+    "alive_ids",
+    ("alive_comp",),
+    f"""SELECT component, {uuid5("'incident-v1:' || digest")} AS incident_id, report_count FROM (
+ SELECT component, sha256(count(*)::VARCHAR||':'||{_lanes}) AS digest, count(*) AS report_count
+ FROM (SELECT component, sha256(id) AS d FROM alive_comp) GROUP BY component)""",
+)
+add("delete_and_publish", "SELECT id, component, incident_id, report_count FROM alive_comp JOIN alive_ids USING (component)", "alive_comp", "alive_ids")
+add(
+    "import_with_resolutions",
+    "SELECT id AS seed_key, report_count, status, level AS priority_level FROM final_comp JOIN prio USING (component)",
+    "final_comp",
+    "prio",
+)
+for _name, _same in (("published_queue", "incident_queue"), ("published_queue_page", "incident_queue"), ("published_heat", "heat_cells")):
+    ORACLES[_name] = ORACLES[_same]
 ORACLES["live_submission_result"] = ORACLES["submission_result"]
 ORACLES["stream_validate"] = ORACLES["validate_complaints"]
 ORACLES["stream_submissions"] = ORACLES["idempotent_submissions"]

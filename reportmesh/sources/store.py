@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +44,10 @@ def newest(rows: DataFrame, key: tuple[str, ...] | list[str]) -> DataFrame:
     )
 
 
+class CheckFailed(RuntimeError):
+    """A table broke a check while it was written; nothing was published."""
+
+
 class ConcurrentPublish(RuntimeError):
     """Another snapshot was published since the one this work began from."""
 
@@ -147,6 +152,8 @@ class SnapshotStore:
         metadata: dict | None = None,
         base: str | None = None,
         specs: dict[str, TableSpec] | None = None,
+        metrics: dict[str, dict[str, Column]] | None = None,
+        verify: Callable[[dict[str, dict]], list[str]] | None = None,
     ) -> str:
         """Replace and/or append tables as one new snapshot; untouched tables carry over.
 
@@ -155,6 +162,9 @@ class SnapshotStore:
         times and an append touches history seldom. ``specs`` lay out tables that this publish creates.
         ``base`` is the snapshot the tables were computed from; if another is current, or becomes so
         meanwhile, ConcurrentPublish is raised.
+
+        ``metrics`` are aggregates of tables of this publish, observed while they are written; ``verify``
+        gets them by table and names what is wrong, in which case CheckFailed is raised and no pointer moves.
         """
         pointer = self._read_pointer() or {"tables": {}, "number": 0}
         if base is not None and pointer.get("snapshot_id") != base:
@@ -167,7 +177,12 @@ class SnapshotStore:
             if name not in tables:
                 laid_out[name] = asdict(spec)
 
+        observed: dict[str, Observation] = {}
+
         def write(name: str, df: DataFrame, path: str, old: list[str]) -> None:
+            if name in (metrics or {}):
+                observed[name] = Observation(f"{name}-{snapshot}")
+                df = df.observe(observed[name], *[column.alias(metric) for metric, column in metrics[name].items()])
             spec = _spec_of({"specs": laid_out}, name)
             if spec.key:
                 df = df.withColumn("_seq", F.lit(number).cast("long"))
@@ -198,6 +213,9 @@ class SnapshotStore:
             write(name, df, path, old[len(old) - merged :])
             tables[name] = [*old[: len(old) - merged], path]
             weights[name] = [*weight[: len(weight) - merged], size]
+        broken = verify({name: seen.get for name, seen in observed.items()}) if verify else []
+        if broken:
+            raise CheckFailed("; ".join(broken))
         kept = {**pointer.get("metadata", {}), **(metadata or {})}
         content = {"snapshot_id": snapshot, "tables": tables, "metadata": kept, "weights": weights, "schemas": schemas, "specs": laid_out}
         self._add_pointer(number, content)

@@ -33,6 +33,8 @@ def once(
     stream: str,
     apply: Callable[[DataFrame], tuple[dict, dict] | tuple[dict, dict, dict]],
     specs: dict[str, TableSpec] | None = None,
+    metrics: dict | None = None,
+    verify: Callable[[dict], list[str]] | None = None,
 ):
     """foreachBatch body: apply a batch and publish its tables unless this stream published it before.
 
@@ -48,7 +50,9 @@ def once(
         with stage_scope(store.spark):
             replaced, appended, *more = apply(batch)
             metadata = {**(more[0] if more else {}), "batches": {**done, mark: batch_id}}
-            store.publish(replaced=replaced, appended=appended, metadata=metadata, base=base, specs=specs)
+            store.publish(
+                replaced=replaced, appended=appended, metadata=metadata, base=base, specs=specs, metrics=metrics, verify=verify
+            )
 
     return handle
 

@@ -9,6 +9,8 @@ stored rows:
   label below the components that lose their name, so both ways are one lookup, however long the history;
 * ``incidents`` and ``reviews`` are versioned rows: touched ones get a new version;
 * ``keys`` (first command of an idempotency key) and ``ids`` (stored reports) are looked up by shard;
+* removing reports can split components: what is left of those is clustered anew and its members get new
+  labels in ``moves`` (newest version counts). ``removed`` names the reports that are gone, in their cells;
 * the graph version is kept as sums in the snapshot's metadata, changed by the sums of the new pairs.
   Pending reviews have it as their version: every submission refreshes them all, so it is not stored.
 
@@ -23,12 +25,14 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import review_id
+from ..functions.vectors import is_usable
 from ..operators import candidates, graph, incidents, intake, matching, priority, reviews
 from ..operators.layout import CELL, Layout, in_cells, own_cells, with_keys
 from ..operators.skew import lookup
 from ..plans import incremental
 from ..plans.incremental import ClusterState, ClusterStep
-from ..policy import AUTO_MATCH, Policies
+from ..policy import AUTO_MATCH, REVIEW_REQUIRED, Policies
 from ..session import cut_lineage
 from ..sources.store import SnapshotStore, TableSpec, newest
 from .intake import created_keys, outcomes_against
@@ -39,14 +43,45 @@ SPECS = {
     "vectors": _CELLS,
     "edges": _CELLS,
     "decisions": _CELLS,
+    "removed": _CELLS,
     "members": _SHARDS,
-    "parts": _SHARDS,
-    "keys": _SHARDS,
     "ids": _SHARDS,
+    "parts": TableSpec(("shard",), ("root", "label")),
+    "keys": TableSpec(("shard",), ("idempotency_key",)),
+    "moves": TableSpec(("shard",), ("id",)),
     "redirects": TableSpec(("shard",), ("label",)),
     "incidents": TableSpec(("shard",), ("component",)),
     "reviews": TableSpec(("shard",), ("review_id",)),
 }
+
+
+def write_checks() -> dict[str, dict[str, Column]]:
+    """What is counted while the tables of a publish are written: rows, missing ids, vector sizes, pair ends."""
+    rows = F.count(F.lit(1))
+    size = F.size("vector")
+    ends = F.col("left_id").isNull() | F.col("right_id").isNull() | (F.col("left_id") >= F.col("right_id"))
+    return {
+        "complaints": {"rows": rows, "bad": F.count_if(F.col("id").isNull() | F.col("label").isNull())},
+        "members": {"rows": rows, "bad": F.count_if(F.col("id").isNull() | F.col("label").isNull())},
+        "vectors": {"rows": rows, "least": F.min(size), "most": F.max(size), "bad": F.count_if(~is_usable(F.col("vector")))},
+        "edges": {"rows": rows, "bad": F.count_if(ends | F.col("decision").isNull())},
+    }
+
+
+def broken_checks(seen: dict[str, dict]) -> list[str]:
+    """Coverage, pair ends and vectors of the tables just written."""
+    wrong = [f"{table}: {found['bad']} bad rows" for table, found in seen.items() if found.get("bad")]
+    counts = {table: found.get("rows", 0) for table, found in seen.items()}  # of an empty table nothing is seen
+    if counts.get("members", 0) != counts.get("complaints", 0):
+        wrong.append(f"{counts['members']} members for {counts['complaints']} complaints")
+    if counts.get("vectors", 0) != counts.get("complaints", 0):
+        wrong.append(f"{counts['vectors']} vectors for {counts['complaints']} complaints")
+    sizes = seen.get("vectors", {})
+    if sizes.get("least") != sizes.get("most"):
+        wrong.append(f"vectors of {sizes['least']} to {sizes['most']} numbers")
+    return wrong
+
+
 _MEMBER = ("id", "label", "bucket", "zone")
 _DECISION = ("left_id", "right_id", "status", "final_relationship_state", *CELL)
 
@@ -93,6 +128,33 @@ class Ledger:
     def shard(self, rows: DataFrame, column: str) -> DataFrame:
         return rows.withColumn("shard", self.layout.shard(F.col(column)))
 
+    def _alive(self, rows: DataFrame | None, cells: DataFrame, *columns: str) -> DataFrame | None:
+        """Rows none of whose columns names a report removed from the cells."""
+        removed = None if rows is None else self._within("removed", cells)
+        if removed is not None:
+            removed = cut_lineage(removed.select("id").distinct())
+            for column in columns:
+                rows = rows.join(removed.withColumnRenamed("id", column), column, "left_anti")
+        return rows
+
+    def _moved(self, rows: DataFrame) -> DataFrame:
+        """Rows with id and label, the label as a removal left it."""
+        if "moves" not in self.tables:
+            return rows
+        rows = cut_lineage(rows)
+        moves = self.keyed("moves", cut_lineage(rows.select("id").distinct()), "id").select("id", F.col("label").alias("_label"))
+        return rows.join(moves, "id", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+
+    def _members_below(self, below: DataFrame) -> DataFrame | None:
+        """(id, component, bucket, zone) of the members of roots, from a written table of (root, label)."""
+        stored = self.keyed("members", below, "label")
+        if stored is None:
+            return None
+        found = lookup(stored.select(*_MEMBER), below, ["label"], spread_by="id").withColumnRenamed("root", "component")
+        if "moves" in self.tables:  # rows under a label the member has no more, or of removed reports
+            found = self._moved(found.withColumn("_stored", F.col("label"))).filter("label = _stored").dropDuplicates(["id"])
+        return cut_lineage(found.select("id", "component", *CELL))
+
     def roots_of(self, labels: DataFrame) -> DataFrame:
         """(label, root) of a written table of labels."""
         redirects = self.keyed("redirects", labels, "label")
@@ -117,6 +179,8 @@ class Ledger:
         cells = cut_lineage(self.layout.cells_near(fresh, policy))
         own = fresh.withColumn("label", F.col("id"))
         local = self._within("complaints", cells, own)
+        if "removed" in self.tables:
+            local = cut_lineage(self._alive(local, cells, "id"))
         pairs = cut_lineage(candidates.candidate_pairs(local, policy, probe_side=fresh))
         involved = cut_lineage(pairs.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct())
         some = local.join(involved, "id", "left_semi")
@@ -149,12 +213,9 @@ class Ledger:
         )
         touched = cut_lineage(roots.select("root").distinct())
         below = cut_lineage(self.labels_below(touched))
-        stored = self.keyed("members", below, "label")
+        old = self._members_below(below)
         name = F.coalesce("new_component", "component").alias("component")
         where = ("id", "component", *CELL)
-        old = None
-        if stored is not None:
-            old = cut_lineage(lookup(stored.select(*_MEMBER), below, ["label"], spread_by="id").withColumnRenamed("root", "component").select(*where))
         new = None if fresh is None else fresh.withColumn("component", F.col("id")).select(*where)
         every = new if old is None else old if new is None else old.unionByName(new)
         members = lookup(every, links, ["component"], spread_by="id", how="left").select("id", name, *CELL)
@@ -175,7 +236,7 @@ class Ledger:
         own = cut_lineage(own_cells(members))
         complaints = cut_lineage(self._within("complaints", own, fresh).join(ids, "id", "left_semi"))
         around = cut_lineage(self.layout.cells_near(complaints, self.policies.matching))
-        near = self._within("edges", around, edges)
+        near = self._alive(self._within("edges", around, edges), around, "left_id", "right_id")
         left = near.join(ids.toDF("left_id"), "left_id", "left_semi")
         right = near.join(ids.toDF("right_id"), "right_id", "left_semi").join(ids.toDF("left_id"), "left_id", "left_anti")
         near = cut_lineage(left.unionByName(right))
@@ -190,7 +251,9 @@ class Ledger:
         step = ClusterStep(state, near if edges is None else edges, change.links, touched)
         rows = cut_lineage(incremental.touched_incidents(step, self.policies))
         inputs = priority.priority_inputs(rows, complaints, members.select("id", "component"), places, now, self.policies.priority)
-        return cut_lineage(priority.assess_priority(inputs, self.policies.priority).drop("safety_names")), step
+        # inputs and change points stay beside the verdict, which ages
+        assessed = priority.assess_priority(cut_lineage(inputs), self.policies.priority)
+        return cut_lineage(priority.with_rises(assessed, self.policies.priority)), step
 
     def _incident_versions(self, scored: DataFrame, change: Change) -> DataFrame:
         """New versions of touched incidents, and marks for components that lost their name."""
@@ -225,14 +288,16 @@ class Ledger:
         fresh = cut_lineage(self.layout.located(fresh))
         vectors = vectors_of(fresh).select("id", "vector").join(fresh.select("id", *CELL), "id")
         appended, metadata = self.add(fresh, cut_lineage(vectors), places, now)
-        keys = self.shard(created_keys(commands, outcomes), "idempotency_key")
-        return appended | {"quarantine": rejected, "outcomes": outcomes, "keys": keys}, metadata
+        keys = cut_lineage(self.shard(created_keys(commands, outcomes), "idempotency_key"))
+        named = keys.select(F.col("complaint_id").alias("id"), "idempotency_key")
+        ids = appended["ids"].join(named, "id", "left")
+        return appended | {"quarantine": rejected, "outcomes": outcomes, "keys": keys, "ids": ids}, metadata
 
     def add(self, fresh: DataFrame, vectors: DataFrame, places: DataFrame, now: Column) -> tuple[dict[str, DataFrame], dict]:
         """Cluster located new reports; returns the rows to append to each table and the new metadata."""
         edges, near = self._decided(fresh, vectors)
         ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
-        stored = cut_lineage(near.select("id", "label").join(ends, "id", "left_semi"))
+        stored = cut_lineage(self._moved(near.select("id", "label").join(ends, "id", "left_semi")))
         confirmed = edges.filter(F.col("decision") == AUTO_MATCH).select("left_id", "right_id")
         change = self._change(stored, confirmed, fresh.select("id", *CELL))
         born = fresh.join(change.members.select("id", F.col("component").alias("label")), "id")
@@ -247,7 +312,7 @@ class Ledger:
         rows = {
             "complaints": born, "vectors": vectors, "edges": edges,
             "members": self.shard(born.select(*_MEMBER), "label"),
-            "ids": self.shard(born.select("id"), "id"),
+            "ids": self.shard(born.select("id", *CELL), "id"),
             "reviews": self.shard(found.join(where, ["left_id", "right_id"]), "review_id"),
             "incidents": self._incident_versions(scored, change), "results": results,
         }
@@ -272,7 +337,7 @@ class Ledger:
         ))).distinct()
         ends = cut_lineage(ends)
         stored = self._within("complaints", cut_lineage(own_cells(ends)))
-        labels = cut_lineage(stored.select("id", "label").join(ends.select("id"), "id", "left_semi"))
+        labels = cut_lineage(self._moved(stored.select("id", "label").join(ends.select("id"), "id", "left_semi")))
         approved = decided.filter(F.col("final_relationship_state") == AUTO_MATCH).select("left_id", "right_id")
         change = self._change(labels, approved, None)
         scored, _ = self._scored(change, None, None, decisions, places, now)
@@ -291,11 +356,75 @@ class Ledger:
         }
         return rows | self._relabelled(change), cut_lineage(results, beyond_scope=True)
 
+    def remove(self, ids: DataFrame, places: DataFrame, now: Column) -> tuple[dict[str, DataFrame], dict, DataFrame]:
+        """Remove reports with their keys, pairs and reviews; rows to append to each table, the new metadata,
+        and the ids that were stored.
+
+        Only the components of the removed reports are clustered anew: losing a member can split them. Those that
+        had a pair with a removed report are scored anew.
+        """
+        wanted = cut_lineage(ids.select("id").filter("id is not null").distinct())
+        gone = self.keyed("ids", wanted, "id")
+        if gone is None:
+            raise LookupError("the store has no reports")
+        own = cut_lineage(own_cells(gone))
+        gone = cut_lineage(self._alive(gone, own, "id").drop("shard"), beyond_scope=True)
+        stored = self._within("complaints", own).select("id", "label").join(gone.select("id"), "id", "left_semi")
+        roots = cut_lineage(self.roots_of(cut_lineage(self._moved(stored).select("label").distinct())))
+        below = cut_lineage(self.labels_below(cut_lineage(roots.select("root").distinct())))
+        old = self._members_below(below)
+        left = cut_lineage(old.join(gone.select("id"), "id", "left_anti"))
+        # pairs of all members, with officer decisions
+        reports = cut_lineage(self._within("complaints", cut_lineage(own_cells(old))).join(old.select("id"), "id", "left_semi"))
+        around = cut_lineage(self.layout.cells_near(reports, self.policies.matching))
+        edges = self._alive(self._within("edges", around), around, "left_id", "right_id")
+        ends = lambda df, side: df.join(gone.select(F.col("id").alias(side)), side, "left_semi")
+        lost = ends(edges, "left_id").unionByName(ends(edges, "right_id")).dropDuplicates(["left_id", "right_id"])
+        lost = cut_lineage(lost)
+        decisions = self._within("decisions", around)
+        decided = edges if decisions is None else matching.apply_overrides(edges, decisions)
+        among = decided.filter(F.col("decision") == AUTO_MATCH)
+        for side in ("left_id", "right_id"):
+            among = among.join(left.select(F.col("id").alias(side)), side, "left_semi")
+        parts = graph.connected_components(left.select("id"), cut_lineage(among.select("left_id", "right_id")))
+        members = cut_lineage(left.drop("component").join(parts, "id").select("id", "component", *CELL))
+        # incidents that lose a candidate keep their members and count anew
+        far = lost.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().join(old.select("id"), "id", "left_anti")
+        beside = self._alive(self._within("complaints", around), around, "id").select("id", "label").join(far, "id", "left_semi")
+        beside = cut_lineage(self.roots_of(cut_lineage(self._moved(beside).select("label").distinct())).select("root").distinct())
+        others = self._members_below(cut_lineage(self.labels_below(beside)))
+        change = Change(members.select("component", F.lit("").alias("new_component")).limit(0), below, old, cut_lineage(members.unionByName(others)))
+        # what follows must not see the removed reports: they are named before they are published
+        ledger = _Without(self, gone)
+        scored, _ = ledger._scored(change, None, None, None, places, now)
+        names = cut_lineage(members.select("component").distinct())
+        vanished = below.select(F.col("root").alias("component")).distinct().join(names, "component", "left_anti")
+        relabelled = members.select("id", F.col("component").alias("label"), *CELL)
+        moves = relabelled.select("id", "label").unionByName(gone.select("id", F.lit("").alias("label")))
+        pairs = lost.filter(F.col("decision") == REVIEW_REQUIRED).select(review_id(F.col("left_id"), F.col("right_id")).alias("review_id"))
+        past = self.keyed("reviews", cut_lineage(pairs), "review_id")
+        rows = {
+            "removed": gone.select("id", *CELL), "moves": self.shard(moves, "id"),
+            "members": self.shard(relabelled, "label"),
+            "parts": self.shard(below.filter("root <> label").withColumn("_gone", F.lit(True)), "root"),
+            "redirects": self.shard(names.select(F.col("component").alias("label"), F.col("component").alias("root")), "label"),
+            "incidents": self.shard(scored.withColumn("_gone", F.lit(False)).unionByName(vanished.withColumn("_gone", F.lit(True)), allowMissingColumns=True), "component"),
+            "keys": self.shard(gone.filter("idempotency_key is not null").select("idempotency_key", F.lit(True).alias("_gone")), "idempotency_key"),
+        }
+        if past is not None:
+            rows["reviews"] = self.shard(past.withColumn("_gone", F.lit(True)), "review_id")
+        sums = self.version() - incidents.graph_sums(lost)
+        return rows, {"layout": asdict(self.layout), "graph": asdict(sums)}, gone.select("id")
+
     # -- whole tables ----------------------------------------------------------------------------
 
     def members(self) -> DataFrame:
         """(id, component) of all reports."""
         stored = self.store.read("members").select("id", "label")
+        if "moves" in self.tables:
+            moves = self.store.read("moves").select("id", F.col("label").alias("_label"))
+            stored = stored.join(moves, "id", "left").filter("_label is null or _label = label").drop("_label")
+            stored = stored.dropDuplicates(["id"])  # a removal may have left a member its label
         if "redirects" not in self.tables:
             return stored.withColumnRenamed("label", "component")
         redirects = self.store.read("redirects").select("label", "root")
@@ -308,11 +437,14 @@ class Ledger:
 
     def state(self) -> ClusterState:
         """All stored tables as one batch would have made them, officer decisions applied."""
-        edges = self.store.read("edges").drop(*CELL, "right_bucket", "right_zone")
+        removed = self.store.read("removed").select("id") if "removed" in self.tables else None
+        alive = lambda df, c: df if removed is None else df.join(removed.withColumnRenamed("id", c), c, "left_anti")
+        edges = alive(alive(self.store.read("edges"), "left_id"), "right_id").drop(*CELL, "right_bucket", "right_zone")
         if "decisions" in self.tables:
             edges = matching.apply_overrides(edges, self.store.read("decisions"))
-        complaints = self.store.read("complaints").drop("label", *CELL)
-        return ClusterState(complaints, self.store.read("vectors").drop(*CELL), edges, self.members(), self.reviews())
+        complaints = alive(self.store.read("complaints"), "id").drop("label", *CELL)
+        vectors = alive(self.store.read("vectors"), "id").drop(*CELL)
+        return ClusterState(complaints, vectors, edges, self.members(), self.reviews())
 
     def whole(self, state: ClusterState, assessed: DataFrame, keys: DataFrame) -> tuple[dict[str, DataFrame], dict]:
         """The tables and metadata of a clustering made elsewhere, as a batch job makes it."""
@@ -327,9 +459,10 @@ class Ledger:
         sums = incidents.graph_sums(edges)
         tables = {
             "complaints": born, "vectors": state.vectors.select("id", "vector").join(place, "id"), "edges": edges,
-            "members": self.shard(born.select(*_MEMBER), "label"), "ids": self.shard(born.select("id"), "id"),
+            "members": self.shard(born.select(*_MEMBER), "label"),
+            "ids": self.shard(born.select("id", *CELL).join(keys.select(F.col("complaint_id").alias("id"), "idempotency_key"), "id", "left"), "id"),
             "keys": self.shard(keys, "idempotency_key"),
-            "incidents": self.shard(assessed.drop("safety_names"), "component"),
+            "incidents": self.shard(priority.with_rises(cut_lineage(assessed), self.policies.priority), "component"),
         }
         if past is not None:
             past = cut_lineage(past)
@@ -338,6 +471,20 @@ class Ledger:
         return tables, {"layout": asdict(self.layout), "graph": asdict(sums)}
 
 
+class _Without(Ledger):
+    """A ledger as it is without some reports that are still stored."""
+
+    def __init__(self, ledger: Ledger, gone: DataFrame) -> None:
+        self.__dict__.update(ledger.__dict__)
+        self.gone = gone.select("id")
+
+    def _alive(self, rows: DataFrame | None, cells: DataFrame, *columns: str) -> DataFrame | None:
+        rows = super()._alive(rows, cells, *columns)
+        for column in columns if rows is not None else ():
+            rows = rows.join(self.gone.withColumnRenamed("id", column), column, "left_anti")
+        return rows
+
+
 def _with_version(rows: DataFrame, version: str) -> DataFrame:
     """Reviews whose pending ones carry the current graph version."""
     return rows.withColumn(

@@ -17,7 +17,7 @@ from ..policy import Policies
 from ..session import stage_scope
 from ..sources.store import SnapshotStore
 from .intake import once
-from .ledger import SPECS, Ledger
+from .ledger import SPECS, Ledger, broken_checks, write_checks
 
 STATE = ("complaints", "vectors", "edges", "members")
 
@@ -54,14 +54,15 @@ def submit_stream(
 
     ``commands`` have idempotency_key, sequence, complaint_id and the raw report. Each micro-batch
     appends to the ledger's tables and to ``outcomes``, ``quarantine`` and ``results`` (one row per new
-    report: its incident, priority, what the incident replaced) in one publish.
+    report: its incident, priority, what the incident replaced) in one publish, which checks coverage,
+    pair ends and vectors while it writes.
     """
 
     def apply(batch: DataFrame) -> tuple[dict, dict, dict]:
         appended, metadata = Ledger(store, policies, layout).submit(batch, vectors_of, places, now)
         return {}, appended, metadata
 
-    return commands.writeStream.foreachBatch(once(store, "submit", apply, SPECS))
+    return commands.writeStream.foreachBatch(once(store, "submit", apply, SPECS, write_checks(), broken_checks))
 
 
 def resolve_and_publish(
@@ -79,6 +80,20 @@ def resolve_and_publish(
     return results
 
 
+def delete_and_publish(
+    store: SnapshotStore, ids: DataFrame, places: DataFrame, now: Column, policies: Policies = Policies()
+) -> DataFrame:
+    """Delete reports with all that hangs on them, and recompute their incidents, in one snapshot.
+
+    Returns the ids that were stored. The ids stay taken: a later command cannot create them again.
+    """
+    base = store.current()
+    with stage_scope(store.spark):
+        appended, metadata, gone = Ledger(store, policies).remove(ids, places, now)
+        store.publish(appended=appended, metadata=metadata, base=base, specs=SPECS)
+    return gone
+
+
 def publish_state(
     store: SnapshotStore,
     state: ClusterState,
@@ -86,14 +101,18 @@ def publish_state(
     keys: DataFrame,
     base: str | None = None,
     layout: Layout = Layout(),
+    policies: Policies = Policies(),
 ) -> str:
     """A whole state as one snapshot, as an import makes it."""
     with stage_scope(store.spark):
-        ledger = Ledger(store, layout=layout)
+        ledger = Ledger(store, policies, layout)
         tables, metadata = ledger.whole(state, assessed, keys)
         # of an earlier state nothing may stay: tables this one does not have are emptied
-        cleared = {t: store.read_rows(t)[0].limit(0).drop("_seq", "_gone") for t in ("redirects", "parts") if t in store.tables()}
-        return store.publish(replaced=tables | cleared, metadata=metadata, base=base, specs=SPECS)
+        old = [t for t in ("redirects", "parts", "moves", "removed") if t in store.tables()]
+        cleared = {t: store.read_rows(t)[0].limit(0).drop("_seq", "_gone") for t in old}
+        return store.publish(
+            replaced=tables | cleared, metadata=metadata, base=base, specs=SPECS, metrics=write_checks(), verify=broken_checks
+        )
 
 
 def incident_members(store: SnapshotStore) -> DataFrame:

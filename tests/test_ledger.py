@@ -8,13 +8,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reportmesh.operators import incidents, intake, layout, matching, reviews
+from reportmesh.operators import incidents, intake, layout, matching, pages, read_models, reviews
 from reportmesh.plans.flow import Flow
-from reportmesh.plans.incremental import ClusterState
 from reportmesh.session import cut_lineage, ensure_checkpoint_dir, stage_scope
-from reportmesh.sources.store import SnapshotStore
-from reportmesh.streaming import live
-from reportmesh.streaming.ledger import SPECS, Ledger
+from reportmesh.sources.store import CheckFailed, SnapshotStore
+from reportmesh.streaming import live, published
+from reportmesh.streaming.intake import created_keys
+from reportmesh.streaming.ledger import SPECS, Ledger, broken_checks, write_checks
 
 from helpers import BASE, brute_force_pairs, complaints, uid
 from test_sources_and_streams import vectors_of
@@ -50,7 +50,9 @@ def _commands(df, salt=""):
 def _submit(spark, store, commands, places, base=None):
     with stage_scope(spark):
         appended, metadata = Ledger(store, layout=SMALL).submit(commands, vectors_of, places, _now())
-        store.publish(appended=appended, metadata=metadata, base=base or store.current(), specs=SPECS)
+        store.publish(
+            appended=appended, metadata=metadata, base=base or store.current(), specs=SPECS, metrics=write_checks(), verify=broken_checks
+        )
 
 
 def _incidents(table):
@@ -65,41 +67,77 @@ def _decided(edges):
     return {(r["left_id"], r["right_id"], r["decision"], r["automated_decision"], r["decision_source"], tuple(r["reasons"])) for r in edges.collect()}
 
 
+def _resolve(spark, store, part):
+    """Officer decisions on some pending reviews, and again on all that were decided before."""
+    found = Ledger(store).reviews()
+    some = found.filter((F.pmod(F.xxhash64("review_id"), F.lit(3)) == part) | (F.col("status") != "pending"))
+    commands = some.select(
+        F.xxhash64("review_id").alias("sequence"), "review_id", (F.pmod(F.xxhash64("left_id"), F.lit(3)) > 0).alias("approve"),
+        F.lit("officer").alias("reviewer_id"), F.lit(None).cast("string").alias("note"), _now().alias("resolved_at"), "status",
+    )
+    commands = cut_lineage(commands)
+    results = live.resolve_and_publish(store, commands.drop("status"), _places(spark), _now()).collect()
+    return {r["review_id"]: r["status"] for r in commands.collect()}, results
+
+
 @pytest.fixture(scope="module")
 def filled(spark, tmp_path_factory):
-    """A ledger filled in three batches, and the batch job on the same reports. Ids and times of the first
-    two are mixed, the third lies far from both. Also: stages left after, rows of tables before the third."""
-    df = _reports(spark, 90, 4)
+    """A ledger after submissions, decisions, submissions, decisions, and the batch job on the same reports.
+
+    Ids and times of the two batches are mixed; the second also holds reports far from all others. Also: the
+    stages left after each step, rows of tables before the second batch, and the decisions with their results.
+    """
+    df = _reports(spark, 80, 4)
     far = complaints(spark, [(5_000 + k, "pothole block a", -40.0, 20.0, k, "pothole") for k in range(3)])
     store = SnapshotStore(spark, str(tmp_path_factory.mktemp("ledger") / "store"))
-    stages, rows = [], {}
     halves = [df.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part) for part in range(2)]
-    for batch in [*halves, far]:
-        rows = {t: store.read_rows(t)[0].count() for t in store.tables()} if batch is far else rows
+    stages, rows, rounds = [], {}, []
+    for part, batch in enumerate([halves[0], halves[1].unionByName(far)]):
+        rows = {t: store.read_rows(t)[0].count() for t in store.tables()}
         _submit(spark, store, _commands(batch), _places(spark))
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/stage-*")
         stages.append(len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)))
+        added = {t: store.read_rows(t)[0].count() - n for t, n in rows.items()}
+        if part == 0:
+            rounds.append(_resolve(spark, store, part))
+            stages.clear()
+            stages.append(len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)))
+    before_last = store.current()
+    rounds.append(_resolve(spark, store, 1))
+    assert store.current() != before_last
     everything = df.unionByName(far).cache()
-    return everything, store, Flow(everything, vectors_of(everything), _places(spark)), stages, rows
+    whole = Flow(everything, vectors_of(everything), _places(spark), cut_lineage(Ledger(store).reviews()))
+    return everything, store, whole, stages, added, rounds
 
 
-def test_batches_equal_the_batch_job(filled):
+def test_steps_equal_the_batch_job(filled):
     _, store, whole, *_ = filled
     ledger = Ledger(store)
     assert ledger.layout == SMALL
     assert _members(ledger.members()) == _members(whole.members)
     assert _incidents(store.read("incidents")) == _incidents(whole.assessed(_now()))
-    assert store.read("redirects").count() > 0 and store.read("results").count() == 93
+    assert store.read("redirects").count() > 0 and store.read("results").count() == 83
     pending = {(r["left_id"], r["right_id"]) for r in whole.matched.filter("decision = 'review_required'").collect()}
     assert {(r["left_id"], r["right_id"]) for r in ledger.reviews().collect()} == pending and pending
-    assert live.load_state(store).edges.count() == whole.matched.count()
+    assert _decided(live.load_state(store).edges) == _decided(whole.edges)
+
+
+def test_no_decision_is_stale(filled):
+    """A round accepts what is pending, whatever was decided or submitted before, and nothing twice."""
+    for status, results in filled[-1]:
+        assert len(results) == len(status) > 0
+        for r in results:
+            accepted = {"approved", "rejected"} if status[r["review_id"]] == "pending" else {"already_resolved"}
+            assert r["outcome"] in accepted and (r["new_ids"] is not None) == (r["outcome"] != "already_resolved")
+    assert "already_resolved" in {r["outcome"] for r in filled[-1][1][1]}
 
 
 def test_running_digest_equals_a_recount(filled):
     _, store, whole, *_ = filled
     want = incidents.graph_version(whole.matched).first()["graph_version"]
     assert Ledger(store).version().version() == want
-    assert {r["graph_version_at_creation"] for r in Ledger(store).reviews().collect()} == {want}
+    pending = Ledger(store).reviews().filter("status = 'pending'")
+    assert {r["graph_version_at_creation"] for r in pending.collect()} == {want}
     empty = incidents.graph_version(whole.matched.limit(0)).first()["graph_version"]
     assert incidents.GraphSums().version() == empty
     half = whole.matched.filter(F.pmod(F.xxhash64("left_id"), F.lit(2)) == 0)
@@ -163,41 +201,6 @@ def test_cells_hold_every_partner(spark):
         assert near.filter(F.col("id") == pair["right_id"]).count() == 1
 
 
-def test_decisions_over_three_rounds(spark, tmp_path):
-    """Each round decides some reviews; no command is stale, and evidence stays as the matcher left it."""
-    df = _reports(spark, 60, 9, hours=150)
-    flow = Flow(df, vectors_of(df), _places(spark))
-    pending = reviews.new_reviews(flow.matched, _now(), F.lit(None).cast("string"))
-    state = ClusterState(df, vectors_of(df), flow.matched, flow.members, pending)
-    store = SnapshotStore(spark, str(tmp_path / "store"))
-    keys = intake.with_fingerprint(df).select(F.col("id").alias("idempotency_key"), F.col("id").alias("complaint_id"), "request_fingerprint")
-    live.publish_state(store, state, flow.assessed(_now()), keys, layout=SMALL)
-    version = Ledger(store).version()
-    commands = pending.select(
-        F.xxhash64("review_id").alias("sequence"), "review_id", (F.pmod(F.xxhash64("left_id"), F.lit(3)) > 0).alias("approve"),
-        F.lit("officer").alias("reviewer_id"), F.lit(None).cast("string").alias("note"), _now().alias("resolved_at"),
-    ).cache()
-    for part in range(2):
-        some = commands.filter(F.pmod("sequence", F.lit(3)) == part)
-        results = live.resolve_and_publish(store, some, _places(spark), _now()).collect()
-        assert len(results) == some.count() > 0
-        assert {r["outcome"] for r in results} <= {"approved", "rejected"} and all(r["new_ids"] for r in results)
-    again = live.resolve_and_publish(store, commands.filter(F.pmod("sequence", F.lit(3)) != 1), _places(spark), _now()).collect()
-    assert {r["outcome"] for r in again} == {"already_resolved", "approved", "rejected"}
-    assert Ledger(store).version() == version
-    after = Flow(df, vectors_of(df), _places(spark), Ledger(store).reviews())
-    assert _members(Ledger(store).members()) == _members(after.members)
-    assert _incidents(store.read("incidents")) == _incidents(after.assessed(_now()))
-    assert _decided(live.load_state(store).edges) == _decided(after.edges)
-    # then a submission, which meets decided pairs near it
-    late = complaints(spark, [(200 + k, "pothole block a", 3.01 + 0.0001 * k, 101.0, 70, "pothole") for k in range(3)])
-    _submit(spark, store, _commands(late), _places(spark))
-    everything = df.unionByName(late)
-    after = Flow(everything, vectors_of(everything), _places(spark), Ledger(store).reviews())
-    assert _members(Ledger(store).members()) == _members(after.members)
-    assert _incidents(store.read("incidents")) == _incidents(after.assessed(_now()))
-
-
 def test_overrides_applied_again_change_nothing(spark):
     df = _reports(spark, 40, 1, hours=100)
     flow = Flow(df, vectors_of(df), _places(spark))
@@ -212,28 +215,31 @@ def test_overrides_applied_again_change_nothing(spark):
 
 
 def test_nothing_without_identity_vanishes(spark, tmp_path):
-    """A null key, sequence or complaint id is quarantined; a second key for a complaint id is told so."""
+    """A null key, sequence or complaint id is rejected with its reason; a stored report is not created again."""
     df = complaints(spark, [(k, "pothole block a", 3.0, 101.0, k, "pothole") for k in range(7)])
     commands = _commands(df)
     missing = {uid(1): "idempotency_key", uid(2): "sequence", uid(3): "complaint_id"}
     for i, column in missing.items():
         commands = commands.withColumn(column, F.when(F.col("id") != i, F.col(column)))
     commands = commands.withColumn("complaint_id", F.when(F.col("id") == uid(6), F.lit(uid(5))).otherwise(F.col("complaint_id")))
+    valid, rejected = intake.split_valid(intake.validate_commands(intake.validate_complaints(commands, _now())))
+    assert {r["id"]: r["rejections"] for r in rejected.collect()} == {i: [f"missing_{c}"] for i, c in missing.items()}
+    outcomes = intake.idempotent_outcomes(intake.with_fingerprint(intake.to_complaints(commands)))
+    assert sorted(r["outcome"] for r in outcomes.collect()) == ["created"] * 4 + ["invalid"] * 3
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    _submit(spark, store, commands, _places(spark))
-    bad = {r["id"]: r["rejections"] for r in store.read("quarantine").collect()}
-    assert bad == {i: [f"missing_{c}"] for i, c in missing.items()}
-    assert {r["id"] for r in store.read("complaints").collect()} == {uid(0), uid(4), uid(5)}
-    assert sorted((r["outcome"], r["complaint_id"] or "") for r in store.read("outcomes").collect()) == [
+    ready = cut_lineage(intake.with_fingerprint(intake.to_complaints(valid)))
+    first = Ledger(store, layout=SMALL).outcomes(ready)
+    assert sorted((r["outcome"], r["complaint_id"] or "") for r in first.collect()) == [
         ("complaint_id_taken", ""), ("created", uid(0)), ("created", uid(4)), ("created", uid(5))
     ]
-    outcomes = intake.idempotent_outcomes(intake.with_fingerprint(intake.to_complaints(commands)))
-    assert sorted(r["outcome"] for r in outcomes.collect()) == ["created"] * 4 + ["invalid"] * 3
-    # the same commands again, as another stream delivers them, and new keys for stored reports
-    good = _commands(df.filter(F.col("id").isin(uid(0), uid(4))))
-    again = good.unionByName(_commands(df.filter(F.col("id") == uid(4)), "other-"))
-    ledger = Ledger(store)
-    got = ledger.outcomes(intake.with_fingerprint(intake.to_complaints(again))).collect()
+    ledger = Ledger(store, layout=SMALL)
+    created = first.filter("outcome = 'created'")
+    tables = {"keys": ledger.shard(created_keys(ready, first), "idempotency_key"), "ids": ledger.shard(created.select(F.col("complaint_id").alias("id")), "id")}
+    store.publish(appended=tables, specs=SPECS)
+    # the same commands again, as another stream delivers them, and a new key for a stored report
+    good = ready.filter(F.col("id").isin(uid(0), uid(4)))
+    again = good.unionByName(good.filter(F.col("id") == uid(4)).withColumn("idempotency_key", F.lit("other")))
+    got = Ledger(store, layout=SMALL).outcomes(again).collect()
     assert sorted((r["outcome"], r["complaint_id"] or "") for r in got) == [("complaint_id_taken", ""), ("replayed", uid(0)), ("replayed", uid(4))]
 
 
@@ -257,9 +263,104 @@ def test_incomplete_decisions_have_an_outcome(spark):
     assert got == {(None, "invalid", None), (2, "invalid", None), (3, "unknown_review", None), (4, "approved", "auto_match"), (5, "already_resolved", None)}
 
 
-def test_writes_follow_the_touched_components(filled):
-    """A batch far from all others appended its own rows only."""
-    _, store, _, _, before = filled
-    rows = {t: store.read_rows(t)[0].count() - n for t, n in before.items()}
-    assert rows["complaints"] == rows["members"] == rows["ids"] == rows["vectors"] == rows["results"] == 3
-    assert rows["incidents"] == 1 and rows["redirects"] == rows["parts"] == 0
+def test_writes_follow_the_batch(filled):
+    """The second batch appended its own rows; what it merged are a few rows per label."""
+    _, store, _, _, added, _ = filled
+    own = store.read("complaints").count() - added["complaints"]
+    assert 25 < own < 60
+    assert added["complaints"] == added["members"] == added["ids"] == added["vectors"] == added["results"] == 83 - own
+    assert added["redirects"] == added["parts"] <= own and added["decisions"] == 0
+
+
+@pytest.mark.parametrize("hours", [0, 130, 700, 5_000])
+def test_priorities_at_any_time(spark, filled, hours):
+    """Stored incidents, asked for a time, equal a full scoring at that time; change points tell who rose."""
+    _, store, whole, *_ = filled
+    columns = ["component", "priority_level", "points", "triggered_rules", "priority_reasons", "operational_priority", "unresolved_hours"]
+    of = lambda df: {tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.select(*columns).collect()}
+    now, later = _now(hours), _now(hours + 36)
+    assert of(published.incidents_at(store, now)) == of(whole.assessed(now))
+    level = lambda at: {r["component"]: r["priority_level"] for r in published.incidents_at(store, at).collect()}
+    before, after = level(now), level(later)
+    rose = {r["component"] for r in published.risen(store, now, later).collect()}
+    assert rose == {c for c in before if before[c] != after[c]}
+    plan = published.incidents_at(store, now)._jdf.queryExecution().executedPlan().toString()
+    assert "normalized_text" not in plan and "/complaints" not in plan
+
+
+def test_pages_of_the_published_queue(spark, filled):
+    _, store, whole, *_ = filled
+    ranked = [r["incident_id"] for r in published.queue(store, _now(), limit=100).collect()]
+    assert ranked == [r["incident_id"] for r in read_models.incident_queue(whole.assessed(_now()), limit=100).collect()]
+    published.index_queue(store, _now(), block_rows=7)
+    for offset, limit in ((0, 5), (5, 4), (6, 20), (len(ranked) - 2, 10), (len(ranked) + 5, 3)):
+        rows = published.indexed_page(store, limit, offset).collect()
+        assert [r["incident_id"] for r in rows] == ranked[offset : offset + limit]
+        assert {r["total"] for r in rows} <= {len(ranked)}
+    plan = published.indexed_page(store, 3, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "(block#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert published.indexed_page(store, 3, 8).select("block").distinct().count() == 1
+
+
+def test_page_index_numbers_rows_in_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(40), k) for k in range(1_000)]
+    index = pages.page_index(spark.createDataFrame(rows, "a int, id int").repartition(6), [F.desc("a"), F.asc("id")], 64)
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    got = sorted(index.collect(), key=lambda r: r["position"])
+    assert [(r["a"], r["id"]) for r in got] == want and [r["position"] for r in got] == list(range(1_000))
+    assert all(r["block"] == r["position"] // 64 for r in got)
+    assert pages.page_index(index.limit(0).drop("position", "block"), [F.asc("id")]).count() == 0
+
+
+def test_a_bad_table_is_not_published(spark, tmp_path):
+    """Counts come from the write itself; what breaks them leaves the snapshot as it was."""
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    good = {"complaints": spark.createDataFrame([("a", "a")], "id string, label string"), "members": spark.createDataFrame([("a", "a")], "id string, label string"),
+            "vectors": spark.createDataFrame([("a", [1.0, 2.0])], "id string, vector array<double>"),
+            "edges": spark.createDataFrame([], "left_id string, right_id string, decision string")}
+    publish = lambda tables: store.publish(appended=tables, metrics=write_checks(), verify=broken_checks)
+    first = publish(good)
+    worse = {
+        "members": good["members"].limit(0), "complaints": spark.createDataFrame([("a", None)], "id string, label string"),
+        "edges": spark.createDataFrame([("b", "a", "no_match")], "left_id string, right_id string, decision string"),
+        "vectors": spark.createDataFrame([("a", [0.0, 0.0])], "id string, vector array<double>"),
+    }
+    for table, rows in worse.items():
+        with pytest.raises(CheckFailed, match=table):
+            publish({**good, table: rows})
+    with pytest.raises(CheckFailed, match="1 to 2 numbers"):
+        two = {t: df.union(df) for t, df in good.items()}
+        publish({**two, "vectors": good["vectors"].union(spark.createDataFrame([("a", [1.0])], "id string, vector array<double>"))})
+    assert store.current() == first and store.read("members").count() == 1
+
+
+def test_removed_reports(spark, filled):
+    """What is left equals a batch job without them: split components, pairs, reviews, digest. Runs last, as it
+    goes on with the store the other tests read."""
+    df, store, whole, *_ = filled
+    sizes = whole.members.groupBy("component").count().orderBy(F.desc("count"), "component")
+    large = sizes.first()["component"]
+    inside = whole.members.filter(F.col("component") == large).orderBy("id")
+    hubs = whole.edges.filter("decision = 'auto_match'").select(F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").count()
+    gone = inside.join(hubs, "id").orderBy(F.desc("count"), "id").limit(6).select("id").union(df.select("id").orderBy("id").limit(2))
+    gone = cut_lineage(gone.union(spark.createDataFrame([("nobody",), (None,)], "id string")).distinct())
+    removed = live.delete_and_publish(store, gone, _places(spark), _now()).collect()
+    assert {r["id"] for r in removed} == {r["id"] for r in gone.collect()} - {"nobody", None}
+    rest = df.join(gone, "id", "left_anti").cache()
+    ledger = Ledger(store)
+    after = Flow(rest, vectors_of(rest), _places(spark), cut_lineage(ledger.reviews()))
+    assert _members(ledger.members()) == _members(after.members)
+    assert _incidents(store.read("incidents")) == _incidents(after.assessed(_now()))
+    assert ledger.version().version() == incidents.graph_version(after.matched).first()["graph_version"]
+    assert _decided(ledger.state().edges) == _decided(after.edges) and ledger.state().complaints.count() == rest.count()
+    assert store.read("keys").count() == rest.count()
+    # reports that come later meet what is left; ids of removed ones stay taken
+    late = complaints(spark, [(300 + k, "pothole block a", 3.01 + 0.002 * k, 101.0, 200, "pothole") for k in range(2)])
+    again = df.join(gone, "id", "left_semi").limit(1)
+    _submit(spark, store, _commands(late).unionByName(_commands(again, "again-")), _places(spark))
+    everything = rest.unionByName(late).cache()
+    after = Flow(everything, vectors_of(everything), _places(spark), cut_lineage(Ledger(store).reviews()))
+    assert _members(Ledger(store).members()) == _members(after.members)
+    assert _incidents(store.read("incidents")) == _incidents(after.assessed(_now()))
+    assert store.read("outcomes").filter("outcome = 'complaint_id_taken'").count() == 1

@@ -146,6 +146,21 @@ def _world(spark, copies):
     return df, vectors
 
 
+def test_collapsed_components_need_usable_vectors(spark):
+    """A missing or directionless vector fails the job on this path too, for pairs and for copies."""
+    df = complaints(spark, [(n, "pothole block a", 3.0 + (n % 2) * 1e-4, 101.0, 0, "pothole") for n in range(4)])
+    rows = [(uid(n), [1.0, 0.5 + n * 1e-3]) for n in range(4)]
+    good = spark.createDataFrame(rows, "id string, vector array<double>")
+    assert {r["component"] for r in collapse.collapsed_components(df, good).collect()} == {uid(0)}
+    zero = [(i, [0.0, 0.0]) for i, _ in rows]
+    for bad in (rows[:3], rows[1:], [*rows[:3], (uid(3), [0.0, 0.0])], zero, [*rows[:3], (uid(3), [float("nan"), 1.0])]):
+        with pytest.raises(Exception, match="no usable vector"):
+            collapse.collapsed_components(df, spark.createDataFrame(bad, "id string, vector array<double>")).collect()
+    keyed = df.withColumn("vector_key", F.lit("same"))
+    with pytest.raises(Exception, match="no usable vector"):
+        collapse.collapsed_components(keyed, spark.createDataFrame(zero, "id string, vector array<double>")).collect()
+
+
 @pytest.mark.parametrize("reviewed", [False, True])
 def test_collapsed_components_equal_the_pairwise_graph(spark, reviewed):
     df, vectors = _world(spark, 45)
