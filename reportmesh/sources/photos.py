@@ -30,9 +30,20 @@ def classify_photos(files: DataFrame) -> DataFrame:
 
 
 def photo_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Manifest of a photo folder, one row per file, read in parallel."""
+    """Manifest of a photo folder, one row per file, read in parallel.
+
+    Files above the size cap are known by their length: the filter is pushed into the reader, so their
+    content is never loaded, and their type stays unknown. Spark's reader passes over files of no bytes.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return classify_photos(files)
+    fits = F.col("length") <= MAX_PHOTO_BYTES
+    large = files.filter(~fits).select(
+        "path",
+        F.col("length").alias("byte_size"),
+        F.lit(None).cast("string").alias("media_type"),
+        F.lit("photo_too_large").alias("rejection"),
+    )
+    return classify_photos(files.filter(fits)).unionByName(large)
 
 
 def attach_photos(complaints: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -381,3 +381,43 @@ def test_checksum_ignores_order_and_sees_changes(spark):
     c = spark.createDataFrame([("x", ""), ("y", None)], "k string, v string")
     total = lambda df: quality.content_checksum(df, [F.col("k"), F.col("v")]).first()["checksum"]
     assert total(a) == total(b) != total(c)
+
+
+def test_photo_folder_leaves_large_files_closed(spark, tmp_path, monkeypatch):
+    from reportmesh.sources import photos
+
+    folder = tmp_path / "photos"
+    folder.mkdir()
+    files = {"a.jpg": bytes.fromhex(photos.JPEG_MAGIC) + b"x", "b.png": bytes.fromhex(photos.PNG_MAGIC), "c.png": bytes.fromhex(photos.PNG_MAGIC) + b"y" * 40,
+             "d.png": b"text", "e.txt": b"no photo"}
+    for name, content in files.items():
+        (folder / name).write_bytes(content)
+    monkeypatch.setattr(photos, "MAX_PHOTO_BYTES", 20)
+    found = photos.photo_manifest(spark, str(folder), "*.[jp][pn]g")
+    got = {r["path"].rsplit("/", 1)[1]: (r["byte_size"], r["media_type"], r["rejection"]) for r in found.collect()}
+    assert got == {"a.jpg": (4, "image/jpeg", None), "b.png": (8, "image/png", None), "c.png": (48, None, "photo_too_large"),
+                   "d.png": (4, None, "unsupported_photo_type")}
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line or "BatchScan" in line]
+    assert len(scans) == 2 and "LessThanOrEqual(length,20)" in scans[0]
+    assert "content" not in scans[1].split("ReadSchema")[1]
+
+
+def test_pair_files_are_joined(spark, tmp_path):
+    texts = [{"id": f"P{k}", "group": "g", "expected": "match", "positive_type": None, "incident_expected": "match", "complaint_a": "a", "complaint_b": "b", "rationale": "r"} for k in range(3)]
+    rows = [{"id": f"P{k}", "category_a": "pothole", "category_b": "pothole", "latitude_a": 3.0, "longitude_a": 101.0, "latitude_b": 3.0, "longitude_b": 101.0,
+             "reported_at_a": "2026-07-12T08:00:00+08:00", "reported_at_b": "2026-07-12T09:00:00+08:00", "split": "holdout", "incident_expected": label}
+            for k, label in ((0, "match"), (1, "non_match"), (3, "match"))]
+    for name, content in (("texts", texts), ("rows", rows)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(content))
+    pairs, violations = evaluation.join_benchmark_pairs(*documents.read_pair_files(spark, str(tmp_path / "texts.json"), str(tmp_path / "rows.json")))
+    assert [(r["id"], r["category_a"], r["complaint_b"]) for r in pairs.collect()] == [("P0", "pothole", "b")]
+    assert {(r["id"], r["violation"]) for r in violations.collect()} == {("P1", "label_contradiction"), ("P2", "text_without_metadata"), ("P3", "metadata_without_text")}
+
+
+def test_vectors_come_from_the_cache_by_text(spark):
+    df = complaints(spark, [(n, ["a pothole", "a drain"][n % 2], 3.0, 101.0, n, "pothole") for n in range(5)])
+    cache = embed.incremental_embed(df.select(F.col("normalized_text").alias("text")), spark.createDataFrame([], "text_key string"), "m", "n")
+    assert cache.count() == 2
+    want = {r["id"]: list(r["vector"]) for r in vectors_of(df).collect()}
+    assert {r["id"]: list(r["vector"]) for r in embed.vectors_from_cache(df, cache, "m", "n").collect()} == want
+    assert embed.vectors_from_cache(df, cache, "other model", "n").count() == 0
