@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import intake, read_models, reviews
+from ..operators.layout import Layout
 from ..policy import MatchingPolicy, Policies
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents
@@ -24,6 +25,10 @@ from .queries import _heat as heat_columns
 from .queries import _now, _store, automated, big, joined, query, reviewed, tail, us
 
 
+#: These ledgers are small: few folders, so that files hold more than a handful of rows.
+LAYOUT = Layout(bucket_days=28.0, zones=2, shards=2)
+
+
 def _late(column) -> Column:
     return tail(column) % 10 == 0
 
@@ -279,7 +284,7 @@ def q_stream_submit(spark, d):
     vectors = cut_lineage(fx.vectors(spark, d))
     now = fx.reports(spark, d).agg(F.max("reported_at")).scalar()
     stream = _as_stream(spark, cut_lineage(_submissions(fx.reports(spark, d))), 3)
-    _drain(spark, submit_stream(stream, store, _vectors_of(vectors), fx.sensitive_locations(spark, d), now))
+    _drain(spark, submit_stream(stream, store, _vectors_of(vectors), fx.sensitive_locations(spark, d), now, layout=LAYOUT))
     return _stored_incidents(store)
 
 
@@ -293,7 +298,7 @@ def _published(spark, flow: Flow) -> SnapshotStore:
         F.col("id").alias("idempotency_key"), "request_fingerprint", F.col("id").alias("complaint_id")
     )
     store = _store(spark)
-    publish_state(store, state, flow.assessed(), keys)
+    publish_state(store, state, flow.assessed(), keys, layout=LAYOUT)
     return store
 
 
@@ -305,7 +310,7 @@ def q_live_submission_result(spark, d):
     places = fx.sensitive_locations(spark, d)
     store = _published(spark, Flow(complaints.filter(~_late("id")), vectors.filter(~_late("id")), places))
     late = cut_lineage(_submissions(fx.reports(spark, d).filter(_late("id"))))
-    _drain(spark, submit_stream(_as_stream(spark, late, 1), store, _vectors_of(vectors), places, now))
+    _drain(spark, submit_stream(_as_stream(spark, late, 1), store, _vectors_of(vectors), places, now, layout=LAYOUT))
     return store.read("results")
 
 
