@@ -9,11 +9,12 @@ nodes are found through a shared place mention, which every confirmed pair has.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_metres, temporal_gap_seconds
+from ..functions.geo import haversine_metres, temporal_gap_seconds, valid_coordinate
 from ..functions.locations import compare_location_sets, location_sets, location_tokens
 from ..functions.vectors import cosine_from_parts, is_usable, norm
 from ..policy import AUTO_MATCH, NO_MATCH, OTHER, MatchingPolicy
@@ -58,7 +59,9 @@ def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPol
         rows = rows.join(decided, "id", "left").withColumn(
             "decided", F.coalesce("_decided", F.lit(False))
         )
-    eligible = F.coalesce(F.col("category") != OTHER, F.lit(False)) & (F.size("tokens") > 0)
+    # without a usable place or time a report is in no candidate pair
+    placed = valid_coordinate(F.col("latitude"), F.col("longitude")) & F.col("us").isNotNull()
+    eligible = F.coalesce(F.col("category") != OTHER, F.lit(False)) & (F.size("tokens") > 0) & placed
     bucket = F.floor(F.col("us") / F.lit(window_us)).cast("bigint")
     digest = F.sha2(
         F.concat_ws(
@@ -80,28 +83,22 @@ def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPol
     )
 
 
-def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> DataFrame:
-    """Compatible node pairs within radius and window, each once."""
+def near_nodes(nodes: DataFrame, meeting: str, policy: MatchingPolicy, hot_rows: int, also: Column | None = None) -> DataFrame:
+    """Columns ``p_...`` and ``b_...`` of two nodes of one category within radius and window, each pair
+    once for each value of ``meeting`` that they share. ``also`` is tested before the distance."""
     grid = GeoGrid(policy.geographic_radius_metres)
     window_us = math.ceil(policy.window_seconds * 1e6)
-    side = lambda p: nodes.select(
-        *[
-            F.col(c).alias(f"{p}_{c}")
-            for c in ("node", "rep", "latitude", "longitude", "lo", "hi", "bucket", "tokens", "places")
-        ],
-        "category",
-    )
+    carried = ("node", "rep", "rows", "latitude", "longitude", "lo", "hi", "bucket", "tokens", "places")
+    side = lambda p: nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in carried], "category", meeting)
     build = (
         side("b")
-        .withColumn("token", F.explode("b_tokens"))
         .withColumn("band", grid.band(F.col("b_latitude")))
         .withColumn("cell", grid.cell(F.col("b_longitude"), grid.cells_in(F.col("band"))))
-        .withColumnRenamed("b_bucket", "bucket")
+        .withColumn("bucket", F.col("b_bucket"))
     )
     bucket_of = lambda us: F.floor(us / F.lit(window_us)).cast("bigint")
     probe = (
         side("p")
-        .withColumn("token", F.explode("p_tokens"))
         .withColumn(
             "bucket",
             F.explode_outer(
@@ -118,40 +115,40 @@ def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> Data
             ),
         )
     )
-    keys = ["category", "token", "bucket", "band", "cell"]
+    keys = ["category", meeting, "bucket", "band", "cell"]
     build, probe = split_hot_blocks(build, probe, keys, "b_node", hot_rows)
     # both intervals lie inside one window-wide bucket, so the closest members are this far apart
     gap = F.greatest("p_lo", "b_lo") - F.least("p_hi", "b_hi")
-    # several shared mentions: keep the pair at the first one
-    first_shared = F.array_min(F.array_intersect("p_tokens", "b_tokens"))
+    distance = haversine_metres(
+        F.col("p_latitude"), F.col("p_longitude"), F.col("b_latitude"), F.col("b_longitude")
+    )
     return (
         probe.join(build.hint("merge"), [*keys, "_split"])
-        .filter(
-            (F.col("p_node") < F.col("b_node"))
-            & (gap <= policy.window_seconds * 1e6)
-            & (first_shared == F.col("token"))
-            & (
-                haversine_metres(
-                    F.col("p_latitude"), F.col("p_longitude"),
-                    F.col("b_latitude"), F.col("b_longitude"),
-                )
-                <= policy.geographic_radius_metres
-            )
-        )
-        .filter(
-            compare_location_sets(F.col("p_places"), F.col("b_places"))["compatibility"]
-            == "compatible"
-        )
-        .select(
-            F.col("p_node").alias("left_node"),
-            F.col("b_node").alias("right_node"),
-            F.col("p_rep").alias("left_rep"),
-            F.col("b_rep").alias("right_rep"),
-        )
+        .filter((F.col("p_node") < F.col("b_node")) & (gap <= policy.window_seconds * 1e6))
+        .filter(F.lit(True) if also is None else also)
+        .filter(distance <= policy.geographic_radius_metres)
+    )
+
+
+def place_state() -> Column:
+    """How the place mentions of two near nodes compare."""
+    return compare_location_sets(F.col("p_places"), F.col("b_places"))["compatibility"]
+
+
+def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> DataFrame:
+    """Compatible node pairs within radius and window, each once."""
+    # several shared mentions: keep the pair at the first one
+    first_shared = F.array_min(F.array_intersect("p_tokens", "b_tokens")) == F.col("token")
+    mentions = nodes.withColumn("token", F.explode("tokens"))
+    return near_nodes(mentions, "token", policy, hot_rows, first_shared).filter(place_state() == "compatible").select(
+        F.col("p_node").alias("left_node"),
+        F.col("b_node").alias("right_node"),
+        F.col("p_rep").alias("left_rep"),
+        F.col("b_rep").alias("right_rep"),
     )
 
 
-def _among_candidates(pairs: DataFrame, complaints: DataFrame, policy: MatchingPolicy) -> DataFrame:
+def among_candidates(pairs: DataFrame, complaints: DataFrame, policy: MatchingPolicy) -> DataFrame:
     """The given pairs that are candidates: an approval overrides a decision, it makes no new pair."""
     side = lambda p: complaints.select(
         F.col("id").alias(f"{p}_id"),
@@ -179,6 +176,23 @@ def _among_candidates(pairs: DataFrame, complaints: DataFrame, policy: MatchingP
     )
 
 
+@dataclass(frozen=True)
+class CollapsedGraph:
+    """Confirmed components over nodes: ``assigned`` reports (id, node, us, ...), ``nodes`` with what their
+    copies have in common, and ``labels`` (node, component, rows)."""
+
+    assigned: DataFrame
+    nodes: DataFrame
+    labels: DataFrame
+
+    @property
+    def members(self) -> DataFrame:
+        """(id, component)"""
+        return lookup(
+            self.assigned.select("id", "node"), self.labels, ["node"], spread_by="id", row_count="rows"
+        ).select("id", "component")
+
+
 def collapsed_components(
     complaints: DataFrame,
     vectors: DataFrame,
@@ -187,7 +201,19 @@ def collapsed_components(
     *,
     hot_rows: int = 5_000,
 ) -> DataFrame:
-    """(id, component): equal to components over all confirmed pairs, officer decisions included.
+    """(id, component): equal to components over all confirmed pairs, officer decisions included."""
+    return collapsed_graph(complaints, vectors, policy, reviews, hot_rows=hot_rows).members
+
+
+def collapsed_graph(
+    complaints: DataFrame,
+    vectors: DataFrame,
+    policy: MatchingPolicy = MatchingPolicy(),
+    reviews: DataFrame | None = None,
+    *,
+    hot_rows: int = 5_000,
+) -> CollapsedGraph:
+    """Components over all confirmed pairs, officer decisions included, without a list of the pairs.
 
     Needs ``strong_entity_semantic_threshold`` below 1, so that a vector confirms its own copy. Pairs
     without a usable vector fail the job, as in ``match_pairs``; pairs that share no place mention cannot
@@ -238,12 +264,9 @@ def collapsed_components(
                 ["left_id", "right_id"],
                 "left_anti",
             )
-            .unionByName(_among_candidates(resolved.filter(final == AUTO_MATCH), complaints, policy))
+            .unionByName(among_candidates(resolved.filter(final == AUTO_MATCH), complaints, policy))
         )
     roots = connected_components(nodes.select(F.col("node").alias("id")), links).toDF("node", "root")
     rooted = nodes.select("node", "rep", "rows").join(roots, "node")
     names = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    label = rooted.join(names, "root").select("node", "component", "rows")
-    return lookup(
-        assigned.select("id", "node"), label, ["node"], spread_by="id", row_count="rows"
-    ).select("id", "component")
+    return CollapsedGraph(assigned, nodes, rooted.join(names, "root").select("node", "component", "rows"))

@@ -90,8 +90,14 @@ def incident_summary(
     members: DataFrame,
     edges: DataFrame | None = None,
     identity: IdentityPolicy = IdentityPolicy(),
+    *,
+    conflict_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per component. Unbounded lists (members, candidates, reasons) stay separate tables."""
+    """One row per component. Unbounded lists (members, candidates, reasons) stay separate tables.
+
+    With ``conflict_counts`` (component, conflict_count) no edges are needed; ``pending_count`` is null
+    then, as candidates are known from pairs only.
+    """
     rows = members.join(
         complaints.select("id", "latitude", "longitude", "reported_at", "category"), "id"
     )
@@ -126,6 +132,11 @@ def incident_summary(
         .join(radii, "component", "left")
         .withColumn("radius_metres", F.coalesce("radius_metres", F.lit(0.0)))
     )
+    if conflict_counts is not None:
+        counted = out.join(conflict_counts, "component", "left")
+        return counted.withColumns(
+            {"conflict_count": F.coalesce("conflict_count", F.lit(0).cast("bigint")), "pending_count": F.lit(None).cast("bigint")}
+        ).withColumn("status", incident_status())
     if edges is None:
         return out.withColumns(
             {"conflict_count": F.lit(0).cast("bigint"), "pending_count": F.lit(0).cast("bigint")}

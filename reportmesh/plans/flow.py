@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, graph, incidents, matching, priority
+from ..operators import candidates, collapse, contradictions, graph, incidents, matching, priority
 from ..policy import Policies
 from ..session import cut_lineage
 
@@ -83,3 +83,36 @@ class Flow:
 
     def assessed(self, now: Column | None = None) -> DataFrame:
         return priority.assess_priority(self.priority_inputs(now), self.policies.priority)
+
+
+class CollapsedFlow(Flow):
+    """What the ranked queue and the heat grid need, without a table of report pairs.
+
+    Members and contradictions come from the collapsed graph; ``reviews_of`` is a table or None. The number
+    of pending candidates is null: it is a property of pairs, which the review queue alone lists.
+    """
+
+    @property
+    def matched(self) -> DataFrame:
+        raise ValueError("this flow lists no pairs")
+
+    @cached_property
+    def collapsed(self) -> collapse.CollapsedGraph:
+        found = collapse.collapsed_graph(self.complaints, self.vectors, self.policies.matching, self.reviews)
+        return replace(found, labels=cut_lineage(found.labels))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return cut_lineage(self.collapsed.members)
+
+    @cached_property
+    def conflict_counts(self) -> DataFrame:
+        return contradictions.conflict_counts(self.collapsed, self.complaints, self.policies.matching, self.reviews)
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        return cut_lineage(
+            incidents.incident_summary(
+                self.complaints, self.members, None, self.policies.identity, conflict_counts=self.conflict_counts
+            )
+        )

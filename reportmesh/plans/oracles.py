@@ -853,13 +853,10 @@ add(
  CASE WHEN radius = 0 THEN 1 ELSE 65 END::BIGINT AS vertex_count FROM inc""",
     "inc",
 )
-add(
-    "incident_queue",
-    """SELECT incident_id, operational AS operational_priority, epoch_us(latest) AS latest_us, (SELECT count(*) FROM prio) AS total FROM prio
+QUEUE = """SELECT incident_id, operational AS operational_priority, epoch_us(latest) AS latest_us, (SELECT count(*) FROM prio) AS total FROM prio
  ORDER BY CASE operational WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END DESC, latest DESC, incident_id
- LIMIT 100 OFFSET 10""",
-    "prio",
-)
+ LIMIT 100 OFFSET 10"""
+add("incident_queue", QUEUE, "prio")
 _rq = "CASE WHEN status = 'pending' THEN created_at ELSE resolved_at END"
 add(
     "review_queue",
@@ -1183,6 +1180,19 @@ add(
 )
 for _name, _same in (("published_queue", "incident_queue"), ("published_queue_page", "incident_queue"), ("published_heat", "heat_cells")):
     ORACLES[_name] = ORACLES[_same]
+add(
+    "conflict_counts_collapsed",
+    """SELECT 'automated' AS graph, component, conflicts AS conflict_count FROM auto_inc WHERE conflicts > 0
+ UNION ALL SELECT 'reviewed', component, conflicts FROM inc WHERE conflicts > 0""",
+    "auto_inc",
+    "inc",
+)
+# without officer decisions the edges are the matcher's
+_decided = CTES["edges"]
+CTES["edges"] = (("matched",), "SELECT * FROM matched")
+add("incident_queue_collapsed", QUEUE, "prio")
+add("heat_cells_collapsed", heat(""), "prio")
+CTES["edges"] = _decided
 ORACLES["live_submission_result"] = ORACLES["submission_result"]
 ORACLES["stream_validate"] = ORACLES["validate_complaints"]
 ORACLES["stream_submissions"] = ORACLES["idempotent_submissions"]

@@ -32,7 +32,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents, photos
 from ..sources import fixtures as fx
 from ..sources.store import SnapshotStore, read_complaints
-from .flow import Flow
+from .flow import CollapsedFlow, Flow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -816,6 +816,16 @@ def q_conflicts(spark, d):
     return incidents.conflicts(flow.edges, flow.members).select("component", "left_id", "right_id")
 
 
+@query("conflict_counts_collapsed")
+def q_conflict_counts(spark, d):
+    """Contradictions per component of the automated and of the reviewed graph, found between nodes."""
+    flow = reviewed(spark, d)
+    before = CollapsedFlow(flow.complaints, flow.vectors)
+    after = CollapsedFlow(flow.complaints, flow.vectors, None, cut_lineage(flow.reviews))
+    rows = lambda f, name: f.conflict_counts.select(F.lit(name).alias("graph"), "component", "conflict_count")
+    return rows(before, "automated").unionByName(rows(after, "reviewed"))
+
+
 @query("confirmed_edges")
 def q_confirmed_edges(spark, d):
     flow = reviewed(spark, d)
@@ -958,6 +968,26 @@ def q_queue(spark, d):
     )
 
 
+def _without_pairs(spark: SparkSession, d: str) -> CollapsedFlow:
+    flow = automated(spark, d)
+    return CollapsedFlow(flow.complaints, flow.vectors, flow.places)
+
+
+@query("incident_queue_collapsed")
+def q_queue_collapsed(spark, d):
+    """The ranked queue before officer decisions; no table of pairs is made on the way."""
+    page = read_models.incident_queue(_without_pairs(spark, d).assessed(), limit=100, offset=10)
+    return page.select(
+        "incident_id", "operational_priority", us("latest_reported_at").alias("latest_us"),
+        "total",
+    )
+
+
+@query("heat_cells_collapsed")
+def q_heat_collapsed(spark, d):
+    return _heat(spatial.heat_cells(_without_pairs(spark, d).assessed()))
+
+
 @query("review_queue")
 def q_review_queue(spark, d):
     page = read_models.review_queue(reviewed(spark, d).reviews, limit=100, offset=20)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from helpers import brute_force_pairs, complaints, edges, uid, union_find
 
-from reportmesh.operators import candidates, collapse, graph, incidents, matching
+from reportmesh.operators import candidates, collapse, contradictions, graph, incidents, matching
 from reportmesh.operators.skew import lookup
 from reportmesh.policy import MatchingPolicy
 
@@ -196,6 +196,42 @@ def test_collapsed_components_equal_the_pairwise_graph(spark, reviewed):
     assert got == want and len(set(got.values())) < len(got)
 
 
+@pytest.mark.parametrize("reviewed", [False, True])
+def test_contradictions_between_nodes_equal_the_listed_ones(spark, reviewed):
+    """Copies of reports that name two units of one block, over several time windows; an officer rejects some."""
+    rng = random.Random(5)
+    rows = [(n, f"pothole block a{rng.choice(['', ' unit 2', ' unit 3'])}", 3.004, 101.004, rng.randrange(0, 500), "pothole") for n in range(70)]
+    rows += [(100 + n, f"pothole block a unit {n % 4}", 3.004 + rng.uniform(0, 0.008), 101.004, rng.uniform(0, 500), "pothole") for n in range(40)]
+    rows += [(200 + n, "pothole block b", 3.004, 101.004, n * 90, rng.choice(["pothole", "other"])) for n in range(8)]
+    df = complaints(spark, rows).cache()
+    vectors = df.select("id", F.array(F.lit(1.0), F.lit(0.5)).alias("vector"))
+    policy = MatchingPolicy()
+    scored = matching.score_pairs(candidates.candidate_pairs(df, policy), matching.evidence_table(df, vectors))
+    edges = matching.match_pairs(scored, policy).cache()
+    reviews = None
+    if reviewed:
+        one = F.pmod(F.xxhash64("left_id", "right_id"), F.lit(12))
+        final = F.when(one == 0, "no_match").otherwise("auto_match")
+        reviews = edges.filter(one < 2).select("left_id", "right_id", F.lit("done").alias("status"), final.alias("final_relationship_state")).cache()
+        edges = matching.apply_overrides(edges, reviews)
+    members = graph.confirmed_components(df, edges)
+    listed = incidents.conflicts(edges, members).groupBy("component").count()
+    want = {r["component"]: r["count"] for r in listed.collect()}
+    found = collapse.collapsed_graph(df, vectors, policy, reviews, hot_rows=5)
+    got = {r["component"]: r["conflict_count"] for r in contradictions.conflict_counts(found, df, policy, reviews, hot_rows=5).collect()}
+    assert got == want and sum(want.values()) > 500
+
+
+def test_reports_without_a_place_or_time_stay_alone_in_both_graphs(spark):
+    df = complaints(spark, [(n, "pothole block a", 3.0, 101.0, 0, "pothole") for n in range(6)])
+    lost = {"latitude": [0, 1], "reported_at": [2, 3]}
+    for column, gone in lost.items():
+        df = df.withColumn(column, F.when(~F.col("id").isin([uid(n) for n in gone]), F.col(column)))
+    vectors = df.select("id", F.array(F.lit(1.0)).alias("vector"))
+    got = {r["id"]: r["component"] for r in collapse.collapsed_components(df, vectors).collect()}
+    assert got == {uid(n): uid(min(n, 4)) for n in range(6)}
+
+
 def test_split_lookup_keeps_every_row(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id")
     table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
