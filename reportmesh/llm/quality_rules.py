@@ -6,7 +6,9 @@ an equal line stood before it. A text that loses too much with its lines is reje
 are too short or repeat themselves (the base rules).
 
 Words are runs without ASCII white space, lines are split at \\n. Null texts have no words and fail the
-base rules. Every row is judged by itself.
+base rules. Every row is judged by itself, so rows that repeat are judged alike, an empty table gives no rows,
+and a very long text is one row like any other. Of equal lines the first stays. Columns beside doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,28 @@ MIN_LEFT_PERCENT = 60
 _SPACE = " \t\n\u000b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
-_BOILERPLATE = (
-    "accept cookies|cookie policy|enable javascript|all rights reserved|terms of use|terms of service|"
-    "privacy policy|click here|sign up for|subscribe to our|skip to content|back to top"
-)
+#: Phrases of web pages, in lower case, for each language of the corpus: a parameter of ``quality``.
+BOILERPLATE = {
+    "en": (
+        "accept cookies", "cookie policy", "enable javascript", "all rights reserved", "terms of use", "terms of service",
+        "privacy policy", "click here", "sign up for", "subscribe to our", "skip to content", "back to top",
+    ),
+    "de": (
+        "cookies akzeptieren", "cookie-richtlinie", "javascript aktivieren", "alle rechte vorbehalten", "nutzungsbedingungen",
+        "allgemeine geschäftsbedingungen", "datenschutzerklärung", "klicken sie hier", "melden sie sich an", "newsletter abonnieren",
+        "zum inhalt springen", "nach oben scrollen",
+    ),
+    "fr": (
+        "accepter les cookies", "politique de cookies", "activer javascript", "tous droits réservés", "conditions d'utilisation",
+        "conditions générales d'utilisation", "politique de confidentialité", "cliquez ici", "inscrivez-vous", "abonnez-vous à",
+        "aller au contenu", "haut de page",
+    ),
+    "es": (
+        "aceptar cookies", "política de cookies", "habilitar javascript", "todos los derechos reservados", "condiciones de uso",
+        "términos del servicio", "política de privacidad", "haga clic aquí", "regístrese", "suscríbase a",
+        "saltar al contenido", "volver arriba",
+    ),
+}
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -42,8 +62,11 @@ def _line_words(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(_SPACE)), _SPLIT))
 
 
-def line_fails(line: Column, n: Column, low: Column) -> Column:
-    """Rules for one line that has ``n`` words, at least one; ``low`` is its lower-case form."""
+def line_fails(line: Column, n: Column, low: Column, boilerplate: dict[str, tuple[str, ...]] = BOILERPLATE) -> Column:
+    """Rules for one line that has ``n`` words, at least one; ``low`` is its lower-case form.
+
+    Boilerplate of every language counts in every text, as pages mix languages.
+    """
     chars = _without(line, _SPACE)
     symbols = F.length(line) - _without(line, _SYMBOLS)
     separators = F.length(line) - _without(line, "|»›•")
@@ -54,7 +77,7 @@ def line_fails(line: Column, n: Column, low: Column) -> Column:
         # counting characters is dear: plain prose has none of them
         (line.rlike("[#*$%&|<>»›•!?]") & counted)
         | (~ended & (n < 4))
-        | reduce(or_, [low.contains(phrase) for phrase in _BOILERPLATE.split("|")])
+        | reduce(or_, [low.contains(phrase) for phrases in boilerplate.values() for phrase in phrases], F.lit(False))
     )
 
 
@@ -68,7 +91,7 @@ def _covered(positions: Column) -> Column:
     return F.when(F.size(positions) == 0, 0).when(F.size(positions) == 1, 3).otherwise(gaps + 3)
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, boilerplate: dict[str, tuple[str, ...]] = BOILERPLATE) -> DataFrame:
     """Counts, verdicts and the cleaned text of every row.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -93,7 +116,7 @@ def quality(docs: DataFrame) -> DataFrame:
         # words and lower case are made once a line, not once for each rule
         F.filter(
             F.transform("first_lines", lambda line: F.struct(line.alias("line"), _line_words(line).alias("n"), F.lower(line).alias("low"))),
-            lambda m: ~line_fails(m["line"], m["n"], m["low"]),
+            lambda m: ~line_fails(m["line"], m["n"], m["low"], boilerplate),
         ).alias("good"),
         F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)).alias("keys"),
     )
@@ -129,6 +152,7 @@ QUERIES = {"op7_quality_rules": op7_quality_rules}
 
 _W = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ORACLE_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PHRASES = "|".join(phrase for phrases in BOILERPLATE.values() for phrase in phrases).replace("'", "''")
 ORACLE = {
     "op7_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -146,7 +170,7 @@ ln AS (SELECT r, l, len({_W.format("l")}) AS n, length(regexp_replace(l, '[\x20\
   FROM (SELECT DISTINCT r, unnest(lines) AS l FROM w)),
 good AS (SELECT r, sum(n) AS words_left FROM ln
   WHERE NOT ((separators >= 2 AND 4 * separators >= n) OR 10 * symbols > chars OR (marks >= 3 AND 3 * marks > n)
-    OR (NOT ended AND n < 4) OR regexp_matches(lower(l), '{_BOILERPLATE}')) GROUP BY r),
+    OR (NOT ended AND n < 4) OR regexp_matches(lower(l), '{_PHRASES}')) GROUP BY r),
 c AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(words_left, 0) AS BIGINT) AS words_left

@@ -436,6 +436,18 @@ def test_line_rules(spark):
     assert got[2].cleaned == "" and got[2].words_left == 0 and not got[2].kept
 
 
+def test_boilerplate_of_every_language(spark):
+    """A line with a phrase of any language goes, in any case; without a table none goes for its phrases."""
+    prose = "Ein Satz, der lang genug ist und gut endet. Une phrase assez longue qui finit bien. " * 4
+    phrases = [p for some in qr.BOILERPLATE.values() for p in some]
+    assert len(set(phrases)) == len(phrases) and all(p == p.lower() for p in phrases)
+    df = spark.createDataFrame([(n, f"{prose}\nSome words, {p.upper()}, and more.") for n, p in enumerate(phrases)], "doc_id long, text string")
+    assert {r.cleaned for r in qr.quality(df).collect()} == {prose}
+    assert all(r.cleaned.endswith("and more.") for r in qr.quality(df, {}).collect())
+    clean = spark.createDataFrame([(1, f"{prose}\nLes conditions étaient bonnes, la politique aussi, y volver a casa.")], "doc_id long, text string")
+    assert "volver a casa." in qr.quality(clean).first().cleaned
+
+
 def test_licence_scan(spark, docs, empty):
     mit = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\n"
