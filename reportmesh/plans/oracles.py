@@ -740,6 +740,16 @@ add(
     "edges",
     "rev",
 )
+add(
+    "cascade_delete_rows",
+    f"""SELECT t AS table_name, id, '' AS more FROM reports, (SELECT unnest(['complaints','embeddings','incident_members']) AS t) WHERE {_alive('id')}
+ UNION ALL SELECT 'submission_keys', id, 'key-' || event_id FROM reports WHERE {_alive('id')}
+ UNION ALL SELECT 'match_edges', left_id, right_id FROM edges WHERE {_alive('left_id')} AND {_alive('right_id')}
+ UNION ALL SELECT 'reviews', left_id, right_id FROM rev WHERE {_alive('left_id')} AND {_alive('right_id')}""",
+    "reports",
+    "edges",
+    "rev",
+)
 add(
     "attach_photos",
     """SELECT id, CASE WHEN event_id % 2 = 1 THEN 'photo.jpg' WHEN (event_id % 50) % 8 <> 0 THEN 'uploads/stored-' || (event_id % 50) || '.png' END AS photo_path,

@@ -716,11 +716,10 @@ def q_affected(spark, d):
     )
 
 
-@query("cascade_delete")
-def q_cascade(spark, d):
+def _after_deletion(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     flow = reviewed(spark, d)
     keys = fx.submissions(spark, d).select("idempotency_key", "complaint_id").distinct()
-    left = sets.cascade_delete(
+    return sets.cascade_delete(
         {
             "complaints": flow.complaints.select("id"),
             "embeddings": flow.vectors.select("id"),
@@ -731,8 +730,12 @@ def q_cascade(spark, d):
         },
         _touched(spark, d),
     )
+
+
+@query("cascade_delete")
+def q_cascade(spark, d):
     out = None
-    for name, df in left.items():
+    for name, df in _after_deletion(spark, d).items():
         row = df.agg(F.count(F.lit(1)).alias("rows_left")).select(
             F.lit(name).alias("table_name"), "rows_left"
         )
@@ -740,6 +743,19 @@ def q_cascade(spark, d):
     return out
 
 
+@query("cascade_delete_rows")
+def q_cascade_rows(spark, d):
+    """The rows themselves that a deletion leaves in every table."""
+    out = None
+    for name, df in _after_deletion(spark, d).items():
+        pair = "left_id" in df.columns
+        first = "left_id" if pair else "complaint_id" if "complaint_id" in df.columns else "id"
+        more = F.col("right_id") if pair else F.col("idempotency_key") if "idempotency_key" in df.columns else F.lit("")
+        rows = df.select(F.lit(name).alias("table_name"), F.col(first).alias("id"), more.alias("more"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("attach_photos")
 def q_attach_photos(spark, d):
     e = F.col("event_id")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmesh.functions.geo import haversine_metres
-from reportmesh.operators import evaluation, matching
-from reportmesh.policy import MatchingPolicy
+from reportmesh.functions.text import normalize_text
+from reportmesh.operators import evaluation, matching, sets
+from reportmesh.policy import MatchingPolicy, PerformanceBudget, PriorityPolicy
 
 # Pair, split, expectation, kind of positive, categories, coordinates of both reports, hours between
 # them, similarity, place comparison, published decision.
@@ -83,3 +84,54 @@ def test_published_threshold_and_decisions(pairs):
     assert {r["pair_id"]: r["decision"] for r in decided.collect()} == {p[0]: p[-1] for p in PAIRS}
     report = evaluation.holdout_report(decided).first().asDict()
     assert {k: report[k] for k in HOLDOUT} == HOLDOUT
+
+
+# Fixed values of the published policies, stated once more: queries and their SQL both read the code's.
+MATCHING = {
+    "policy_version": "matching-v1", "geographic_radius_metres": 500, "temporal_window_days": 7, "semantic_threshold": 0.88,
+    "strong_entity_semantic_threshold": 0.92, "model_name": "intfloat/multilingual-e5-small", "normalization_version": "normalization-v1",
+}
+PRIORITY = {
+    "policy_version": "priority-v1", "sensitive_location_radius_metres": 250, "medium_report_count": 2, "high_report_count": 10,
+    "critical_report_count": 20, "high_unresolved_hours": 24, "critical_unresolved_hours": 48, "evidence_completeness_threshold": 0.5,
+    "critical_safety_signals": ("accident_injury", "exposed_electrical_hazard"), "high_safety_signals": ("active_flooding", "blocked_road"),
+}
+BUDGET = {
+    "application_composition_seconds_max": 5.0, "warm_readiness_seconds_max": 2.0, "cold_cached_model_initialization_seconds_max": 25.0,
+    "incident_list_p95_ms_max": 250.0, "incident_detail_p95_ms_max": 200.0, "submission_p95_ms_max": 2500.0,
+    "review_resolution_p95_ms_max": 2000.0, "reset_seconds_max": 45.0, "ready_rss_mb_max": 1536.0,
+    "mutation_memory_growth_percent_max": 15.0, "dashboard_first_usable_seconds_max": 5.0,
+}
+ALIASES = {
+    "longkang sumbat": "longkang tersumbat", "lampu jln": "lampu jalan", "jln": "jalan", "tmn": "taman", "lrng": "lorong",
+    "blk": "blok", "sek": "sekolah", "smk": "sekolah menengah kebangsaan", "sk": "sekolah kebangsaan", "kg": "kampung",
+    "dpn": "depan", "skolah": "sekolah", "kat": "dekat", "sampah tak kutip": "sampah tidak dikutip",
+}
+
+
+@pytest.mark.parametrize(("policy", "stated"), [(MatchingPolicy(), MATCHING), (PriorityPolicy(), PRIORITY), (PerformanceBudget(), BUDGET)])
+def test_published_values(policy, stated):
+    assert vars(policy) == stated
+
+
+def test_published_aliases(spark):
+    df = spark.createDataFrame(list(ALIASES.items()), "short string, long string")
+    got = df.select("short", normalize_text(F.col("short")).alias("alone"), normalize_text(F.concat(F.lit("x "), "short", F.lit(" y"))).alias("inside"))
+    assert {r["short"]: r["alone"] for r in got.collect()} == ALIASES
+    assert {r["short"]: r["inside"] for r in got.collect()} == {k: f"x {v} y" for k, v in ALIASES.items()}
+
+
+def test_deletion_cascades_to_both_ends(spark):
+    """Rows that name a deleted report in any id column go; null references and unknown tombstones touch nothing."""
+    tables = {
+        "complaints": spark.createDataFrame([("a",), ("b",), ("c",)], "id string"),
+        "keys": spark.createDataFrame([("k1", "a"), ("k2", "b"), ("k3", None)], "idempotency_key string, complaint_id string"),
+        "edges": spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "c")], "left_id string, right_id string"),
+        "places": spark.createDataFrame([("a",)], "place_id string"),
+    }
+    gone = spark.createDataFrame([("a",), ("a",), ("z",)], "id string")
+    left = {k: sorted(map(str, map(list, map(tuple, df.select(*tables[k].columns).collect())))) for k, df in sets.cascade_delete(tables, gone).items()}
+    assert left == {
+        "complaints": ["['b']", "['c']"], "keys": ["['k2', 'b']", "['k3', None]"],
+        "edges": ["['b', 'c']", "['c', 'c']"], "places": ["['a']"],
+    }
