@@ -7,6 +7,7 @@ from helpers import brute_force_pairs, complaints, edges, uid, union_find
 from reportmesh.operators import candidates, collapse, contradictions, graph, incidents, matching
 from reportmesh.operators.skew import lookup
 from reportmesh.policy import MatchingPolicy
+from reportmesh.session import configure
 
 
 def random_reports(seed, n=220):
@@ -265,3 +266,13 @@ def test_decision_ladder(spark, change, decision, reason):
     row = matching.decide_explicit_pairs(pair.withColumn("semantic_similarity", F.lit(v["sim"]))).first()
     assert row["decision"] == decision
     assert reason in row["reasons"] and row["reasons"][-1] == f"final decision: {decision}"
+
+
+def test_union_does_not_claim_the_partitioning_of_its_inputs(spark, capsys):
+    """Joins above a union shuffle it: its inputs may be coalesced differently while the query runs."""
+    configure(spark)
+    rows = lambda m: spark.range(40).groupBy((F.col("id") % m).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    joined = rows(7).unionByName(rows(5)).join(rows(3).withColumnRenamed("n", "o").hint("merge"), "k")
+    joined.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(") == 4
+    assert joined.count() == 6
