@@ -364,3 +364,20 @@ def test_removed_reports(spark, filled):
     assert _members(Ledger(store).members()) == _members(after.members)
     assert _incidents(store.read("incidents")) == _incidents(after.assessed(_now()))
     assert store.read("outcomes").filter("outcome = 'complaint_id_taken'").count() == 1
+
+
+def test_queries_of_decisions_decide_pairs_once(spark, tmp_path, monkeypatch):
+    """Both graphs, before and after officer decisions, come from one table of decided pairs."""
+    from reportmesh.plans import command_queries
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(n, base + dt.timedelta(hours=n % 200)) for n in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    vectors = [(n, [float(1 + (n * 7 + k) % 5) for k in range(4)]) for n in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    decided, match = [], matching.match_pairs
+    monkeypatch.setattr(matching, "match_pairs", lambda *args: decided.append(1) or match(*args))
+    for run in (command_queries.q_incremental_review, command_queries.q_mutation_view):
+        decided.clear()
+        run(spark, str(tmp_path))
+        assert len(decided) == 1
