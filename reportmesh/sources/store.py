@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import together
+
 POINTER = "_SNAPSHOT-"
 #: A table never has more folders of appended rows than this.
 MAX_FOLDERS = 32
@@ -179,7 +181,7 @@ class SnapshotStore:
 
         observed: dict[str, Observation] = {}
 
-        def write(name: str, df: DataFrame, path: str, old: list[str]) -> None:
+        def writing(name: str, df: DataFrame, path: str, old: list[str]) -> Callable[[], None]:
             if name in (metrics or {}):
                 observed[name] = Observation(f"{name}-{snapshot}")
                 df = df.observe(observed[name], *[column.alias(metric) for metric, column in metrics[name].items()])
@@ -199,20 +201,23 @@ class SnapshotStore:
             writer = df
             if spec.partition_by:  # rows of a folder meet in one task, or in several if they are many
                 writer = df.hint("rebalance", *[F.col(c) for c in spec.partition_by])
-            writer.write.mode("errorifexists").partitionBy(*spec.partition_by).parquet(path)
+            return lambda: writer.write.mode("errorifexists").partitionBy(*spec.partition_by).parquet(path)
+
+        writes = []
 
         for name, df in (replaced or {}).items():
             path = f"{self.root}/{name}/snapshot_id={snapshot}"
             schemas.pop(name, None)
-            write(name, df, path, [])
+            writes.append(writing(name, df, path, []))
             tables[name], weights[name] = [path], [0]
         for name, df in (appended or {}).items():
             path, old = f"{self.root}/{name}/snapshot_id={snapshot}-append", tables.get(name, [])
             weight = weights.get(name, [0] * len(old))
             merged, size = _to_merge(weight)
-            write(name, df, path, old[len(old) - merged :])
+            writes.append(writing(name, df, path, old[len(old) - merged :]))
             tables[name] = [*old[: len(old) - merged], path]
             weights[name] = [*weight[: len(weight) - merged], size]
+        together(self.spark, writes)
         broken = verify({name: seen.get for name, seen in observed.items()}) if verify else []
         if broken:
             raise CheckFailed("; ".join(broken))
