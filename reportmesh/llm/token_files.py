@@ -33,6 +33,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 _NULL_ID = np.iinfo(np.int64).min
 _UNIT_BYTES = 6_000_000
+#: Different pieces of text whose ids a worker keeps: some 40 MB.
+_KNOWN_UNITS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -48,13 +50,16 @@ def width(vocabulary: int) -> str:
 
 
 _BLANK = ~byte_class((0x20, 0x20), (0x09, 0x0D))
+_WORDY = ~byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_POINT = ~byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
-def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of pieces that can be encoded one by one: white space with what follows it.
+def _units(data: np.ndarray, offsets: np.ndarray, points: np.ndarray = _POINT) -> np.ndarray:
+    """Starts of pieces that can be encoded one by one: white space with what follows it, and points
+    that follow a word.
 
-    A cut lies before an ASCII blank whose left neighbour ends no white space of any script: no
-    token of the byte-level pattern reaches across it.
+    A cut lies before an ASCII blank whose left neighbour ends no white space of any script, and before
+    one of ``points`` after an ASCII letter or digit: no token of the byte-level pattern reaches across.
     """
     n = len(data)
     cut = np.zeros(n, bool)
@@ -69,6 +74,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             two = (second == 0xC2) & ((last == 0x85) | (last == 0xA0))
             three = np.isin(third, (0xE1, 0xE2, 0xE3)) & (last < 0xB0)
             cut[wide[two | three]] = False
+        cut[1:] |= points[data[1:]] & _WORDY[data[:-1]]
         cut[offsets[:-1][offsets[:-1] < n]] = True
     return np.flatnonzero(cut)
 
@@ -82,6 +88,49 @@ def _id_bytes(path: str) -> np.ndarray:
     return np.array([added.get(i, names.get(i, 0)) for i in range(max([*names, *added]) + 1)], np.int64)
 
 
+@lru_cache(maxsize=2)
+def _points(path: str) -> np.ndarray:
+    """Points that stand in no added token: those are found in the text before any pattern."""
+    points = _POINT.copy()
+    for token in tokenizer(path).get_added_tokens_decoder().values():
+        points[list(token.content.encode())] = False
+    return points
+
+
+class Known:
+    """Ids of the units met before, by the units' hashes. It is emptied when more than ``most`` are held."""
+
+    def __init__(self, most: int = _KNOWN_UNITS):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.firsts = self.counts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash in the rising ones held, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        there = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        there[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, there
+
+    def add(self, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Hold new units; ``at`` are their places by ``find``."""
+        firsts = len(self.ids) + np.cumsum(counts) - counts
+        self.hashes, self.firsts, self.counts = (
+            np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.firsts, firsts), (self.counts, counts))
+        )
+        self.ids = np.r_[self.ids, ids.astype(np.uint32)]
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> Known:
+    return Known()
+
+
 def _encode_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the units, and their counts. Units that are not ``alone`` are joined to long strings:
     cuts between them are token borders, so bytes per id tell which ids belong to which unit."""
@@ -102,19 +151,28 @@ def _encode_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone:
 
 
 def encode_block(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows with the end id after each, and the rows' lengths. Equal units are encoded once."""
+    """Ids of all rows with the end id after each, and the rows' lengths. Equal units are encoded once,
+    also those of blocks that this worker had before."""
     n = len(offsets) - 1
-    starts = _units(data, offsets)
+    starts = _units(data, offsets, _points(path))
     ends = np.r_[starts[1:], len(data)].astype(np.int64)
     if not len(starts):
         return np.full(n, END_ID, np.uint32), np.ones(n, np.int64)
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
-    alone = border[starts] | border[ends]
-    _, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-    ids, counts = _encode_units(data, starts[first], ends[first], alone[first], path)
-    lengths = counts[inverse]
-    body = ids[ranges((np.cumsum(counts) - counts)[inverse], lengths)]
+    # only pieces that begin with a blank can follow any other piece
+    alone = border[starts] | border[ends] | ~_BLANK[data[starts]]
+    hashes, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    known = _known(path)
+    if len(known.hashes) > known.most:
+        known.clear()
+    at, there = known.find(hashes)
+    if not there.all():
+        fresh = first[~there]
+        known.add(at[~there], hashes[~there], *_encode_units(data, starts[fresh], ends[fresh], alone[fresh], path))
+        at, _ = known.find(hashes)
+    lengths = known.counts[at][inverse]
+    body = known.ids[ranges(known.firsts[at][inverse], lengths)]
     row = np.searchsorted(offsets, starts, "right") - 1
     per_row = np.bincount(row, weights=lengths, minlength=n).astype(np.int64)
     out = np.full(len(body) + n, END_ID, np.uint32)

@@ -269,6 +269,45 @@ def test_units_never_change_ids():
             assert ids[ends[k] - lengths[k] : ends[k]].tolist() == coder.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_units_are_encoded_once_per_worker(monkeypatch):
+    path, encoded = tokenizer_file(tf.TOKENIZER), []
+    whole = tf._encode_units
+
+    def counting(data, starts, ends, *more):
+        encoded.append([data.tobytes()[a:b] for a, b in zip(starts, ends)])
+        return whole(data, starts, ends, *more)
+
+    monkeypatch.setattr(tf, "_encode_units", counting)
+    tf._known(path).clear()
+    for texts in (["one two"], ["two two, (one two) two!!,"], ["two two,"]):
+        for _, _, data, offsets in flat_blocks(pa.array(texts)):
+            ids, _ = tf.encode_block(data, offsets, path)
+            assert ids.tolist() == [i for t in texts for i in [*tf.tokenizer(path).encode(t, add_special_tokens=False).ids, 0]]
+    assert [sorted(e) for e in encoded] == [[b" two", b"one"], sorted([b"two", b",", b" (one", b")", b"!!,"])]
+
+
+def test_known_units_are_bounded_and_points_join_nothing():
+    path = tokenizer_file(tf.TOKENIZER)
+    known, most = tf._known(path), tf._known(path).most
+    known.clear()
+    known.most = 50
+    rnd = random.Random(6)
+    parts = ["a", "in", "9", " ", "\n", "é", "—", ",", ".", "!!", "'s", "don't", "<|endoftext|>", "<|endof", "|>", "_", "\x00", "\x7f"]
+    try:
+        for _ in range(60):
+            texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(20))) for _ in range(20)]
+            for i, j, data, offsets in flat_blocks(pa.array(texts)):
+                before = len(known.hashes)
+                ids, _ = tf.encode_block(data, offsets, path)
+                assert len(known.hashes) <= max(before, 50) + len(tf._units(data, offsets))
+                want = [k for t in texts[i:j] for k in [*tf.tokenizer(path).encode(t, add_special_tokens=False).ids, 0]]
+                assert ids.tolist() == want
+        assert len(known.hashes) < 500
+    finally:
+        known.most = most
+        known.clear()
+
+
 def test_token_counts_are_greedy(docs, rows, empty):
     pieces = set(tc.pieces_of(tokenizer_file(tc.VOCABULARY)))
     longest = max(map(len, pieces))
