@@ -85,7 +85,7 @@ def rows_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
@@ -104,15 +104,26 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """Polynomial sum of the bytes before each position: what ``hash_spans`` takes differences of."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_R, len(data)), out=sums[1:])
+    return sums
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each span of bytes, from differences of one running polynomial sum."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_R, n), out=sums[1:])
-    inverse = _power(_R_INVERSE, n + 1)
+    sums = running_sums(data) if sums is None else sums
+    inverse = _power(_R_INVERSE, len(data) + 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_grams(sums: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of the string of ``length`` bytes at each position where one fits."""
+    n = max(len(sums) - length, 0)
+    return mix((sums[length:] - sums[:n]) * _power(_R_INVERSE, n))
+
+
 def fold(columns: list[np.ndarray]) -> np.ndarray:
     """One ordered 64-bit hash of several columns of hashes."""
     h = np.full(len(columns[0]), 0x51ED270B7F4A7C15, np.uint64)

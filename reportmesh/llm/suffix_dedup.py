@@ -7,8 +7,8 @@ the collection are cut so that equal windows always meet, whatever surrounds the
    form a segment of at most 64 windows. Equal windows have equal keys.
 2. Equal segments (key and digest) are one string of the collection, its owner the smallest document;
    the copies of other documents go whole. A string that is alone under its key has nothing to match.
-3. The other strings go to the task of their key, where a collection Burrows-Wheeler transform with
-   common prefixes is built column by column (``collection_bwt``); runs of prefixes of 50 bytes or more
+3. The other strings go to the task of their key. Those that share a longer key with another string of
+   their group stay, and a collection Burrows-Wheeler transform with common prefixes is built of them column by column (``collection_bwt``); runs of prefixes of 50 bytes or more
    are equal windows, and the smallest owner of each run decides.
 
 Copies are combined in each batch before the shuffle, so one row per batch and string is counted. Keys
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collection_bwt import smallest_owner
-from .flat import _BYTE, flat, flat_blocks, hash_spans, mix, ranges
+from .flat import flat, flat_blocks, hash_grams, hash_spans, mix, ranges, rows_of, running_sums
 from .frames import BATCH_ROWS, arrived, documents, map_arrow, read, travelling
 
 WINDOW = 50
@@ -45,75 +45,55 @@ _M = 0xD6E8FEB86659FD93
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the string of ``length`` bytes at each position; positions where none fits get the top value."""
-    n = len(data)
-    out = np.full(n, _NEVER, np.uint64)
-    if n < length:
-        return out
-    power, total, size = _BYTE[data], None, 1
-    taken = 0
-    while True:
-        if length & size:  # lengths add up from powers of two
-            total = power if total is None else total * np.uint64(pow(_M, size, 1 << 64)) + _shift(power, taken)
-            taken += size
-        if 2 * size > length:
-            break
-        power = power * np.uint64(pow(_M, size, 1 << 64)) + _shift(power, size)
-        size *= 2
-    out = mix(total) >> np.uint64(16)  # keys only bring strings together: 48 bits travel cheaper
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-    out[room < length] = _NEVER
-    return out
+def _tails(flags: np.ndarray, offsets: np.ndarray, length: int, value) -> np.ndarray:
+    """Positions at which no string of ``length`` bytes fits into its row get the value."""
+    low = np.maximum(offsets[:-1], offsets[1:] - (length - 1))
+    at = ranges(low, offsets[1:] - low)
+    flags[at[at < len(flags)]] = value
+    return flags
 
 
-def _shift(a: np.ndarray, by: int) -> np.ndarray:
-    out = np.zeros_like(a)
-    if by < len(a):
-        out[: len(a) - by] = a[by:]
-    return out
-
-
-def _keys(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the window at each position, and whether a window starts there."""
-    g = _grams(data, offsets, gram)
-    span = WINDOW - gram + 1
-    least, size = g, 1
+def _keys(sums: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the window at each position of the bytes but the last, and whether a window starts there."""
+    # keys only bring strings together: 48 bits travel cheaper
+    least, span, size = _tails(hash_grams(sums, gram) >> np.uint64(16), offsets, gram, _NEVER), WINDOW - gram + 1, 1
     while 2 * size <= span:
-        least = np.minimum(least, _shift(least, size))
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
-    least = np.minimum(least, _shift(least, span - size))
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    return least, room >= WINDOW
+    if span > size:
+        least = np.minimum(least[: size - span], least[span - size :])
+    return least, _tails(np.ones(len(least), bool), offsets, WINDOW, False)
 
 
 class Segments:
     """Runs of windows with one key in a block: positions in its bytes, and rows."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, gram: int = _GRAM, only: np.ndarray | None = None):
-        self.data, self.offsets = data, offsets
-        key, good = _keys(data, offsets, gram)
+        self.data, self.offsets, self.sums = data, offsets, running_sums(data)
+        if len(data) < WINDOW:
+            key, good = np.zeros(0, np.uint64), np.zeros(0, bool)
+        else:
+            key, good = _keys(self.sums, offsets, gram)
         if only is not None:
-            good &= only
-        n = len(data)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        starts = good.copy()
-        starts[1:] &= ~good[:-1] | (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            good &= only[: len(good)]
+        # no window starts at the last bytes of a row, so that a run ends with its row
+        edge = key[1:] != key[:-1]
+        starts, lasts = good.copy(), good.copy()
+        starts[1:] &= ~good[:-1] | edge
+        lasts[:-1] &= ~good[1:] | edge
         first = np.flatnonzero(starts)
-        covered = np.cumsum(good)
-        total = int(covered[-1]) if n else 0
-        count = np.diff(np.r_[covered[first] - 1, total]) if len(first) else first
+        count = np.flatnonzero(lasts) - first + 1
         pieces = -(-count // _RUN)  # long runs (texts of one repeated byte) are cut
         owner = np.repeat(np.arange(len(first)), pieces)
         step = ranges(np.zeros(len(first), np.int64), pieces)
         self.first = first[owner] + step * _RUN
         self.windows = np.minimum(count[owner] - step * _RUN, _RUN)
         self.key = key[self.first].view(np.int64)
-        self.row = row[self.first]
+        self.row = rows_of(offsets, self.first)
         self.ends = self.first + self.windows + WINDOW - 1
 
     def digest(self) -> np.ndarray:
-        return hash_spans(self.data, self.first, self.ends).view(np.int64)
+        return hash_spans(self.data, self.first, self.ends, self.sums).view(np.int64)
 
     def local(self) -> np.ndarray:
         """First byte of each segment within its row."""
@@ -144,7 +124,11 @@ def string_rows(key: np.ndarray, digest: np.ndarray, owner: np.ndarray) -> pa.Re
     their tag as key and a negative salt. Strings of a key with many of them are salted by digest, and a
     witness tells the other batches.
     """
-    order = np.lexsort((owner, digest, key))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same]) if len(key) else order
+    some = order[tied]
+    order[tied] = some[np.lexsort((owner[some], digest[some], key[some]))]
     key, digest, owner = key[order], digest[order], owner[order]
     new_key = np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
@@ -288,6 +272,21 @@ def ship(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, one, _SHIPPED)
 
 
+def may_share(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each string of a group has a window whose longer key another of them has, too: strings
+    with a common 20-byte string mostly differ right beside it, and no window of theirs is equal."""
+    s = Segments(data, offsets, _LONG_GRAM)
+    out = np.zeros(len(offsets) - 1, bool)
+    if len(s.key):
+        order = np.argsort(s.key, kind="stable")
+        key, string = s.key[order], s.row[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(new) - 1
+        other = string != string[np.flatnonzero(new)][group]
+        out[string[np.bincount(group[other], minlength=group[-1] + 1)[group] > 0]] = True
+    return out
+
+
 def match(shipped: DataFrame) -> DataFrame:
     """(doc_id, text_digest, low, high): all ranges of windows that also start in a smaller document."""
     spark = shipped.sparkSession
@@ -302,8 +301,11 @@ def match(shipped: DataFrame) -> DataFrame:
         doc, text, low, fresh = (table[c].to_numpy() for c in ("doc_id", "text_digest", "low", "fresh"))
         once, string = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         some = table["segment"].combine_chunks().cast(pa.large_binary()).take(pa.array(once))
-        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
-        counts, owner = smallest_owner(np.frombuffer(some.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets), doc[fresh], WINDOW)
+        data, offsets = flat(some)
+        meets = may_share(data, offsets)
+        counts, owner = np.zeros(len(meets), np.int64), np.zeros(0, np.int64)
+        if meets.any():
+            counts[meets], owner = smallest_owner(data, offsets[:-1][meets], np.diff(offsets)[meets], doc[fresh][meets], WINDOW)
         # each row's windows with an owner before its document, neighbours as one range
         own = counts[string]
         at = ranges((np.cumsum(counts) - counts)[string], own)

@@ -186,6 +186,20 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert got == [(-1, 0, text.encode()), (3, 0, text.encode()), (3, 0, text.encode()), (8, 120, "é".encode())]
 
 
+def test_only_strings_that_may_share_a_window_reach_the_transform():
+    rnd = random.Random(9)
+    text = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    for _ in range(40):
+        gram, window = text(20), text(50)
+        strings = [text(rnd.randrange(15, 30)) + gram + text(rnd.randrange(15, 30)) for _ in range(30)] + [b"", b"a" * 49]
+        strings += [text(rnd.randrange(15)) + window + text(rnd.randrange(15)) for _ in range(3)]
+        rnd.shuffle(strings)
+        data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
+        assert sd.may_share(data, offsets).tolist() == [window in s for s in strings]
+    alone = np.frombuffer(b"a" * 113, np.uint8)  # equal windows of one string are no match
+    assert sd.may_share(alone, np.array([0, 113])).tolist() == [False]
+
+
 @pytest.mark.parametrize("hot", [2, sd.HOT])
 def test_suffix_dedup_ids_with_several_texts(spark, rows, hot, monkeypatch):
     """Each row loses its own bytes, whatever other texts have its id."""
