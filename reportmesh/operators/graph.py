@@ -2,12 +2,14 @@
 
 Alternating large-star / small-star rounds (Kiveris et al., 2014): hub nodes are handled by the
 split lookup, every round is a table in the shared folder that replaces the one before, and only one row of
-sums per round reaches the driver.
+sums per round, taken while its table is written, reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..policy import AUTO_MATCH
@@ -17,18 +19,23 @@ from .skew import HOT_ROWS, lookup
 
 def _star(pairs: DataFrame, keep_lower: bool, hot_rows: int | None) -> DataFrame:
     """Point neighbours at the smallest node of each neighbourhood. ``pairs`` is (u, v)."""
+    if hot_rows is None:
+        # no node is hot: its pairs meet in one task, so one shuffle gives both the minimum and the rows
+        met = pairs.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u"))
+        moved = F.struct(F.col("v").alias("a"), F.col("m").alias("b"))
+        own = F.struct(F.col("u").alias("a"), F.col("m").alias("b"))
+        if keep_lower:
+            found = met.select(F.inline_outer(F.array(moved, own)))
+        else:
+            found = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return found.filter(F.col("a") != F.col("b"))
     smallest = (
         pairs.groupBy("u")
         .agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
         .select("u", F.least("_m", "u").alias("m"), "_n")
     )
     rows = pairs if keep_lower else pairs.filter(F.col("v") > F.col("u"))
-    if hot_rows is None:
-        joined = rows.join(smallest, "u")
-    else:
-        joined = lookup(
-            rows, smallest, ["u"], spread_by="v", row_count="_n", hot_rows=hot_rows
-        )
+    joined = lookup(rows, smallest, ["u"], spread_by="v", row_count="_n", hot_rows=hot_rows)
     moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
     if keep_lower:
         moved = moved.unionByName(smallest.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -36,9 +43,8 @@ def _star(pairs: DataFrame, keep_lower: bool, hot_rows: int | None) -> DataFrame
 
 
 def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
+    way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = edges.select(F.inline_outer(F.array(way("a", "b"), way("b", "a"))))
     return _star(both, False, hot_rows)
 
 
@@ -50,15 +56,18 @@ def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     return _star(downhill, True, hot_rows).distinct()
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Order-free signature of an edge set: one map-side combined aggregate, one row back."""
+def _write_stars(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The written edges, their folder, and an order-free signature of them, summed up during the write."""
     wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-    row = edges.agg(
-        F.count(F.lit(1)),
-        wide(F.xxhash64("a", "b")),
-        wide(F.xxhash64(F.lit(7), "b", "a")),
-    ).first()
-    return tuple(row)
+    sums = {
+        "rows": F.count(F.lit(1)),
+        "there": wide(F.xxhash64("a", "b")),
+        "back": wide(F.xxhash64(F.lit(7), "b", "a")),
+    }
+    seen = Observation(f"stars-{uuid.uuid4().hex}")
+    stars, path = write_stage(edges.observe(seen, *[total.alias(name) for name, total in sums.items()]))
+    found = seen.get  # of an empty table nothing is seen
+    return stars, path, (found.get("rows") or 0, found.get("there"), found.get("back"))
 
 
 def connected_components(
@@ -66,19 +75,17 @@ def connected_components(
 ) -> DataFrame:
     """(id, component) for every vertex; a component is named by its smallest member id."""
     spark = edges.sparkSession
-    stars, path = write_stage(
+    stars, path, before = _write_stars(
         edges.filter(F.col("left_id") != F.col("right_id"))
         .select(F.greatest("left_id", "right_id").alias("a"), F.least("left_id", "right_id").alias("b"))
         .distinct()
     )
-    before = _signature(stars)
     while before[0]:  # every round that changes the stars brings labels closer to the smallest id
         # a star round works on at most two rows per edge: below that no node can be hot
         split = hot_rows if 2 * before[0] > hot_rows else None
-        stars, next_path = write_stage(_small_star(_large_star(stars, split), split))
+        stars, next_path, after = _write_stars(_small_star(_large_star(stars, split), split))
         drop_stage(spark, path)
         path = next_path
-        after = _signature(stars)
         if after == before:
             break
         before = after

@@ -114,16 +114,26 @@ def add_reports(
     return ClusterStep(after, new_edges, moved, touched)
 
 
-def touched_incidents(step: ClusterStep, policies: Policies = Policies()) -> DataFrame:
-    """Recomputed incident rows of the touched components only."""
+def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end among the ids, each once. Both ends are marked in passing: edges are read once."""
+    known = ids.select("id").distinct()
+    mark = lambda end: known.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+    marked = edges.join(mark("left_id"), "left_id", "left").join(mark("right_id"), "right_id", "left")
+    return marked.filter(F.coalesce("_left_id", "_right_id")).select(*edges.columns)
+
+
+def touched_incidents(
+    step: ClusterStep, policies: Policies = Policies(), *, near: DataFrame | None = None
+) -> DataFrame:
+    """Recomputed incident rows of the touched components only.
+
+    ``near`` are the edges with an end in one of them, where they are known already.
+    """
     members = step.state.members.join(step.touched, "component", "left_semi")
     ids = members.select("id")
     complaints = step.state.complaints.join(ids, "id", "left_semi")
-    edges = step.state.edges
-    reach = ids.toDF("left_id")
-    near = edges.join(reach, "left_id", "left_semi").unionByName(
-        edges.join(ids.toDF("right_id"), "right_id", "left_semi").join(reach, "left_id", "left_anti")
-    )
+    if near is None:
+        near = edges_at(step.state.edges, ids)
     summary = incidents.incident_summary(complaints, members, None, policies.identity)
     # conflicts and candidates need labels of far ends outside the touched set as well
     clash = incidents.conflicts(near, step.state.members)

@@ -237,9 +237,7 @@ class Ledger:
         complaints = cut_lineage(self._within("complaints", own, fresh).join(ids, "id", "left_semi"))
         around = cut_lineage(self.layout.cells_near(complaints, self.policies.matching))
         near = self._alive(self._within("edges", around, edges), around, "left_id", "right_id")
-        left = near.join(ids.toDF("left_id"), "left_id", "left_semi")
-        right = near.join(ids.toDF("right_id"), "right_id", "left_semi").join(ids.toDF("left_id"), "left_id", "left_anti")
-        near = cut_lineage(left.unionByName(right))
+        near = cut_lineage(incremental.edges_at(near, ids))
         resolved = self._within("decisions", around, decisions)
         if resolved is not None:
             near = cut_lineage(matching.apply_overrides(near, resolved))
@@ -249,7 +247,7 @@ class Ledger:
         touched = cut_lineage(members.select("component").distinct())
         state = ClusterState(complaints, complaints.limit(0), near, labels)
         step = ClusterStep(state, near if edges is None else edges, change.links, touched)
-        rows = cut_lineage(incremental.touched_incidents(step, self.policies))
+        rows = cut_lineage(incremental.touched_incidents(step, self.policies, near=near))
         inputs = priority.priority_inputs(rows, complaints, members.select("id", "component"), places, now, self.policies.priority)
         # inputs and change points stay beside the verdict, which ages
         assessed = priority.assess_priority(cut_lineage(inputs), self.policies.priority)

@@ -6,6 +6,7 @@ from helpers import brute_force_pairs, complaints, edges, uid, union_find
 
 from reportmesh.operators import candidates, collapse, contradictions, graph, incidents, matching
 from reportmesh.operators.skew import lookup
+from reportmesh.plans import incremental
 from reportmesh.policy import MatchingPolicy
 from reportmesh.session import configure
 
@@ -115,6 +116,34 @@ def test_components_of_a_long_path(spark):
     assert [r[0] for r in got] == [uid(0)]
 
 
+def test_a_round_shuffles_three_times_and_sums_while_writing(spark, tmp_path):
+    """One shuffle per star and one for the distinct; the signature needs no job of its own."""
+    path = f"{tmp_path}/links"
+    edges(spark, [(1, 2, "auto_match"), (2, 3, "auto_match"), (7, 8, "auto_match")]).write.parquet(path)
+    links = spark.read.parquet(path)
+    pairs = links.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))
+    plan = graph._small_star(graph._large_star(pairs, None), None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("FileScan") == 1
+    stars, _, seen = graph._write_stars(pairs)
+    assert seen[0] == 3 == stars.count() and seen == graph._write_stars(stars.orderBy("a"))[2]
+    assert graph._write_stars(pairs.filter("a = b"))[2][0] == 0
+
+
+def test_edges_at_ids_are_read_once(spark, tmp_path):
+    path = f"{tmp_path}/edges"
+    rows = [(1, 2, "auto_match"), (1, 2, "auto_match"), (2, 3, "no_match"), (4, 5, "no_match"), (5, 1, "auto_match")]
+    edges(spark, rows).write.parquet(path)
+    stored = spark.read.parquet(path)
+    stored = stored.unionByName(stored.limit(1).withColumn("right_id", F.lit(None).cast("string")).withColumn("left_id", F.lit("x")))
+    ids = spark.createDataFrame([(uid(1),), (uid(1),), (uid(3),), (None,)], "id string")
+    got = incremental.edges_at(stored, ids)
+    assert got.columns == stored.columns
+    want = sorted((uid(a), uid(b)) for a, b, _ in rows if {a, b} & {1, 3})
+    assert sorted((r.left_id, r.right_id) for r in got.collect()) == want
+    plan = incremental.edges_at(spark.read.parquet(path), ids)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_a_missing_vector_is_no_silent_loss(spark):
     df = complaints(spark, [(n, "pothole block a", 3.0, 101.0, n, "pothole") for n in range(4)])
     vectors = spark.createDataFrame([(uid(n), [1.0, 2.0]) for n in range(3)], "id string, vector array<double>")
