@@ -31,10 +31,11 @@ SLACK = 1e-6
 class GeoGrid:
     """Latitude bands with band-specific longitude cells; wraps at 180 degrees, safe at poles."""
 
-    def __init__(self, radius_metres: float) -> None:
+    def __init__(self, radius_metres: float, width: float = BLOCK_WIDTH) -> None:
+        self.width = width
         self.delta = radius_metres / EARTH_RADIUS_METRES * (1 + SLACK)
         self.delta_degrees = math.degrees(self.delta)
-        self.band_height = BLOCK_WIDTH * self.delta_degrees
+        self.band_height = width * self.delta_degrees
 
     def band(self, latitude: Column) -> Column:
         return F.floor((latitude + 90) / self.band_height)
@@ -58,7 +59,7 @@ class GeoGrid:
         widest = F.least(
             F.greatest(F.abs(south), F.abs(south + self.band_height)), F.lit(90.0)
         )
-        width = self._reach(widest) * BLOCK_WIDTH
+        width = self._reach(widest) * self.width
         return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("bigint")
 
     def cell(self, longitude: Column, cells: Column) -> Column:

@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_metres, temporal_gap_seconds, valid_coordinate
 from ..functions.locations import compare_location_sets, location_sets, location_tokens
-from ..functions.vectors import cosine_from_parts, is_usable, norm
+from ..functions.vectors import cosine_from_parts, norm
 from ..policy import AUTO_MATCH, NO_MATCH, OTHER, MatchingPolicy
-from ..session import write_stage
+from ..session import release_shuffles, write_stage
 from .candidates import GeoGrid, split_hot_blocks
 from .graph import connected_components
 from .matching import ordered_pair
+from .node_links import described, node_links
 from .skew import lookup
 
+#: Nodes of a block from which on it is dealt out in slices.
+HOT_NODES = 20_000
+#: Pairs up to which both ends of an open pair are picked by broadcast.
+FEW_PAIRS = 100_000
+
 
 def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPolicy, reviews: DataFrame | None):
     """Complaint columns plus ``node``, ``eligible`` (can take part in a confirmed pair) and ``usable``
@@ -33,9 +39,8 @@ def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPol
     digest of the normalised text) stands for them where it exists. Officer-decided reports stay alone.
     """
     window_us = math.ceil(policy.window_seconds * 1e6)
-    digest_of = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
-    known = vectors.select("id", is_usable(F.col("vector")).alias("_usable"), digest_of.alias("_digest"))
-    same_vector = F.col("vector_key" if "vector_key" in complaints.columns else "_digest")
+    known = described(vectors).toDF("id", "_usable", "_digest", "_sketch")
+    same_vector = F.col("vector_key") if "vector_key" in complaints.columns else F.base64("_digest")
     rows = complaints.join(known, "id", "left").select(
         "id",
         "category",
@@ -46,6 +51,7 @@ def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPol
         location_sets(F.col("locations")).alias("places"),
         F.coalesce(same_vector, "id").alias("vector_key"),
         F.coalesce("_usable", F.lit(False)).alias("usable"),
+        F.col("_sketch").alias("sketch"),
     )
     if reviews is None:
         rows = rows.withColumn("decided", F.lit(False))
@@ -79,6 +85,7 @@ def _assign_nodes(complaints: DataFrame, vectors: DataFrame, policy: MatchingPol
         "id", "category", "latitude", "longitude", "us", "tokens", "places", "usable",
         bucket.alias("bucket"),
         eligible.alias("eligible"),
+        F.when(eligible, F.col("sketch")).alias("sketch"),
         F.when(eligible & ~F.col("decided"), digest).otherwise(F.col("id")).alias("node"),
     )
 
@@ -135,17 +142,46 @@ def place_state() -> Column:
     return compare_location_sets(F.col("p_places"), F.col("b_places"))["compatibility"]
 
 
-def _node_pairs(nodes: DataFrame, policy: MatchingPolicy, hot_rows: int) -> DataFrame:
-    """Compatible node pairs within radius and window, each once."""
-    # several shared mentions: keep the pair at the first one
-    first_shared = F.array_min(F.array_intersect("p_tokens", "b_tokens")) == F.col("token")
-    mentions = nodes.withColumn("token", F.explode("tokens"))
-    return near_nodes(mentions, "token", policy, hot_rows, first_shared).filter(place_state() == "compatible").select(
-        F.col("p_node").alias("left_node"),
-        F.col("b_node").alias("right_node"),
-        F.col("p_rep").alias("left_rep"),
-        F.col("b_rep").alias("right_rep"),
-    )
+def _exact_links(pairs: DataFrame, nodes: DataFrame, vectors: DataFrame, policy: MatchingPolicy, rejected: DataFrame | None) -> DataFrame:
+    """Those of the given pairs of node numbers that are confirmed, by the tests of ``match_pairs``.
+
+    Few pairs are expected, so their ends are picked from the nodes and vectors without moving these.
+    """
+    few = pairs.count() <= FEW_PAIRS
+    small = lambda df: F.broadcast(df) if few else df
+    carried = ("number", "node", "rep", "latitude", "longitude", "lo", "hi", "places")
+    side = lambda p: nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in carried])
+    ends = pairs.toDF("p_number", "b_number")
+    ends = side("p").join(small(ends), "p_number")
+    ends = side("b").join(small(ends), "b_number")
+    gap = F.greatest("p_lo", "b_lo") - F.least("p_hi", "b_hi")
+    distance = haversine_metres(F.col("p_latitude"), F.col("p_longitude"), F.col("b_latitude"), F.col("b_longitude"))
+    ends = ends.filter((gap <= policy.window_seconds * 1e6) & (distance <= policy.geographic_radius_metres)).filter(
+        place_state() == "compatible"
+    )
+    if rejected is not None:
+        ends = (
+            ends.withColumns({"left_id": F.least("p_node", "b_node"), "right_id": F.greatest("p_node", "b_node")})
+            .join(rejected, ["left_id", "right_id"], "left_anti")
+        )
+    ends, _ = write_stage(ends.select("p_number", "b_number", F.col("p_rep").alias("left_rep"), F.col("b_rep").alias("right_rep")))
+    wanted = ends.select(F.explode(F.array("left_rep", "right_rep")).alias("id")).distinct()
+    known = vectors.select("id", "vector").join(small(wanted), "id", "left_semi")
+    if few:
+        known, _ = write_stage(known)
+    vector = lambda p: known.select(
+        F.col("id").alias(f"{p}_rep"), F.col("vector").alias(f"{p}_vector"), norm(F.col("vector")).alias(f"{p}_norm")
+    )
+    similarity = cosine_from_parts(
+        F.col("left_vector"), F.col("left_norm"), F.col("right_vector"), F.col("right_norm")
+    )
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no usable vector for the pair"), "left_rep", "right_rep")).cast("double")
+    return (
+        ends.join(vector("left"), "left_rep", "left")
+        .join(vector("right"), "right_rep", "left")
+        .filter(F.coalesce(similarity, missing) >= policy.strong_entity_semantic_threshold)
+        .select(F.col("p_number").alias("left_id"), F.col("b_number").alias("right_id"))
+    )
 
 
 def among_candidates(pairs: DataFrame, complaints: DataFrame, policy: MatchingPolicy) -> DataFrame:
@@ -199,7 +235,7 @@ def collapsed_components(
     policy: MatchingPolicy = MatchingPolicy(),
     reviews: DataFrame | None = None,
     *,
-    hot_rows: int = 5_000,
+    hot_rows: int = HOT_NODES,
 ) -> DataFrame:
     """(id, component): equal to components over all confirmed pairs, officer decisions included."""
     return collapsed_graph(complaints, vectors, policy, reviews, hot_rows=hot_rows).members
@@ -211,7 +247,7 @@ def collapsed_graph(
     policy: MatchingPolicy = MatchingPolicy(),
     reviews: DataFrame | None = None,
     *,
-    hot_rows: int = 5_000,
+    hot_rows: int = HOT_NODES,
 ) -> CollapsedGraph:
     """Components over all confirmed pairs, officer decisions included, without a list of the pairs.
 
@@ -222,12 +258,14 @@ def collapsed_graph(
     if policy.strong_entity_semantic_threshold >= 1:
         raise ValueError("copies only confirm each other below a similarity threshold of 1")
     assigned, _ = write_stage(_assign_nodes(complaints, vectors, policy, reviews))
+    release_shuffles(assigned.sparkSession)
     several = assigned.groupBy("node").agg(
             F.min("id").alias("rep"),
             F.count(F.lit(1)).alias("rows"),
             F.min("us").alias("lo"),
             F.max("us").alias("hi"),
             F.min("usable").alias("usable"),
+            F.min_by("sketch", "id").alias("sketch"),
             *[
                 F.first(c).alias(c)
                 for c in ("category", "latitude", "longitude", "bucket", "tokens", "places", "eligible")
@@ -235,38 +273,29 @@ def collapsed_graph(
         )
     # copies confirm each other only by vectors that can confirm anything
     sound = F.when((F.col("rows") > 1) & ~F.col("usable"), F.raise_error(F.concat(F.lit("no usable vector for copies of "), "rep")).cast("bigint"))
-    nodes, _ = write_stage(several.withColumn("rows", F.coalesce(sound, "rows")))
-    pairs = _node_pairs(nodes.filter("eligible"), policy, hot_rows)
-    # vectors are read for compatible pairs only, by the representative report of each node
-    side = lambda p: vectors.select(
-        F.col("id").alias(f"{p}_rep"),
-        F.col("vector").alias(f"{p}_vector"),
-        norm(F.col("vector")).alias(f"{p}_norm"),
-    )
-    similarity = cosine_from_parts(
-        F.col("left_vector"), F.col("left_norm"), F.col("right_vector"), F.col("right_norm")
-    )
-    missing = F.raise_error(F.concat_ws(" ", F.lit("no usable vector for the pair"), "left_rep", "right_rep")).cast("double")
-    links = (
-        pairs.join(side("left"), "left_rep", "left")
-        .join(side("right"), "right_rep", "left")
-        .filter(F.coalesce(similarity, missing) >= policy.strong_entity_semantic_threshold)
-        .select(F.col("left_node").alias("left_id"), F.col("right_node").alias("right_id"))
-    )
+    # numbered as they are written: pairs of numbers are narrower than pairs of digests
+    nodes, _ = write_stage(several.withColumn("rows", F.coalesce(sound, "rows")).withColumn("number", F.monotonically_increasing_id()))
+    release_shuffles(nodes.sparkSession)
+    found, _ = write_stage(node_links(nodes.filter("eligible"), policy, hot_rows))
+    release_shuffles(nodes.sparkSession)
+    rejected = approved = None
     if reviews is not None:
         resolved = ordered_pair(reviews.filter(F.col("status") != "pending"))
         final = F.col("final_relationship_state")
         # decided reports are their own nodes, so review pairs address nodes directly
-        links = (
-            ordered_pair(links)
-            .join(
-                resolved.filter(final == NO_MATCH).select("left_id", "right_id"),
-                ["left_id", "right_id"],
-                "left_anti",
+        rejected = resolved.filter(final == NO_MATCH).select("left_id", "right_id")
+        approved = among_candidates(resolved.filter(final == AUTO_MATCH), complaints, policy)
+    links = found.filter("sure").select("left_id", "right_id")
+    unsure = found.filter(~F.col("sure")).select("left_id", "right_id").distinct()
+    links = links.unionByName(_exact_links(unsure, nodes, vectors, policy, rejected))
+    if approved is not None:
+        named = lambda end: nodes.select(F.col("node").alias(f"{end}_id"), F.col("number").alias(f"{end}_number"))
+        links = links.unionByName(
+            approved.join(named("left"), "left_id").join(named("right"), "right_id").select(
+                F.col("left_number").alias("left_id"), F.col("right_number").alias("right_id")
             )
-            .unionByName(among_candidates(resolved.filter(final == AUTO_MATCH), complaints, policy))
         )
-    roots = connected_components(nodes.select(F.col("node").alias("id")), links).toDF("node", "root")
-    rooted = nodes.select("node", "rep", "rows").join(roots, "node")
+    roots = connected_components(nodes.select(F.col("number").alias("id")), links).toDF("number", "root")
+    rooted = nodes.select("number", "node", "rep", "rows").join(roots, "number")
     names = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     return CollapsedGraph(assigned, nodes, rooted.join(names, "root").select("node", "component", "rows"))

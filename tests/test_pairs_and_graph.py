@@ -1,10 +1,13 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from helpers import brute_force_pairs, complaints, edges, uid, union_find
 
-from reportmesh.operators import candidates, collapse, contradictions, graph, incidents, matching
+from reportmesh.functions import vectors as vectors_of
+from reportmesh.operators import candidates, collapse, contradictions, graph, incidents, matching, node_links
 from reportmesh.operators.skew import lookup
 from reportmesh.plans import incremental
 from reportmesh.policy import MatchingPolicy
@@ -305,3 +308,60 @@ def test_union_does_not_claim_the_partitioning_of_its_inputs(spark, capsys):
     joined.explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning(") == 4
     assert joined.count() == 6
+
+
+def _dense(spark, n):
+    """Reports of one block and week, 0 to 1 km apart, with vectors whose cosines lie at the threshold."""
+    threshold = MatchingPolicy().strong_entity_semantic_threshold
+    places = ("block a", "block b unit 1", "block a unit 2", "block a unit 1")
+    rows = [(i, f"pothole {places[i * 7 % 4]}", 3.0 + (i % 10) * 1e-3, 101.0 + (i % 7) * 1e-4, i % 40, "pothole") for i in range(n)]
+    angle = math.acos(threshold)
+    turn = lambda i: (i * 5 % 3) * angle + (i % 11 - 5) * 1e-9 * 10 ** (i % 8)
+    vectors = [(uid(i), [math.cos(turn(i)) * (1 + i), math.sin(turn(i)) * (1 + i)]) for i in range(n)]
+    return complaints(spark, rows), spark.createDataFrame(vectors, "id string, vector array<double>")
+
+
+@pytest.mark.parametrize("hot_rows", [9, 20_000])
+def test_collapsed_components_decide_ties_as_the_pairwise_graph(spark, hot_rows):
+    df, vectors = _dense(spark, 90)
+    policy = MatchingPolicy()
+    decided = matching.match_pairs(
+        matching.score_pairs(candidates.candidate_pairs(df, policy), matching.evidence_table(df, vectors)), policy
+    )
+    want = {r["id"]: r["component"] for r in graph.confirmed_components(df, decided).collect()}
+    got = {r["id"]: r["component"] for r in collapse.collapsed_components(df, vectors, hot_rows=hot_rows).collect()}
+    assert got == want and 1 < len(set(got.values())) < len(got)
+
+
+def test_collapsed_links_grow_with_the_nodes(spark, monkeypatch):
+    """What is handed on between a dense block's nodes is a forest, not their pairs; vectors stay in the block."""
+    n, seen = 150, []
+    rows = [(i, "pothole block a", 3.0 + i * 1e-6, 101.0, 0, "pothole") for i in range(n)]
+    vectors = spark.createDataFrame([(uid(i), [1.0, i * 1e-3]) for i in range(n)], "id string, vector array<double>")
+    components = collapse.connected_components
+
+    def counted(vertices, edges):
+        seen.append(edges.count())
+        return components(vertices, edges)
+
+    monkeypatch.setattr(collapse, "connected_components", counted)
+    got = collapse.collapsed_components(complaints(spark, rows), vectors).collect()
+    assert {r["component"] for r in got} == {uid(0)} and len(got) == n
+    assert seen[0] < 5 * n  # 11,175 pairs
+
+
+def test_described_vectors(spark):
+    """Usable and equal as before; a sketch is within its error of the unit vector."""
+    nan, inf = float("nan"), float("inf")
+    given = [[3.0, 4.0], [3.0, 4.0], [], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [1.0, None], [1e-200, 0.0], [5.0], [-1.0, 0.25]]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(given)], "id string, vector array<double>")
+    rows = {int(r["id"]): r for r in node_links.described(df).collect()}
+    want = {int(r["id"]): r["u"] for r in df.select("id", vectors_of.is_usable(F.col("vector")).alias("u")).collect()}
+    assert {i: r["usable"] for i, r in rows.items()} == want
+    assert rows[0]["digest"] == rows[1]["digest"] and len({bytes(r["digest"]) for r in rows.values()}) == len(given) - 2
+    assert [i for i, r in sorted(rows.items()) if r["sketch"] is not None] == [0, 1, 9, 10]
+    for i in (0, 9, 10):
+        raw = bytes(rows[i]["sketch"])
+        step, error = np.frombuffer(raw[:16], "<f8")
+        unit = np.array(given[i]) / np.linalg.norm(given[i])
+        assert np.linalg.norm(np.frombuffer(raw[16:], "<i2") * step - unit) <= error < 1e-4
